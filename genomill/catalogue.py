@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genomill.plans import sequences  # noqa: F401  (each module registers its queries)
+from genomill.plans import alignments, intervals, matches, sequences  # noqa: F401  (each module registers its queries)
 from genomill.plans.registry import QUERIES, SQL
 
 
