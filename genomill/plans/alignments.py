@@ -112,12 +112,12 @@ f AS (SELECT set_id, col, avg(CASE WHEN ch = 'A' THEN 1.0 WHEN ch = 'N' THEN 0.0
   avg((b = 0 AND g = 0)::INT) AS ll, avg((b = 0 AND g = 1)::INT) AS lg, avg((b = 1 AND g = 0)::INT) AS gl, avg((b = 1 AND g = 1)::INT) AS gg, avg((a = 0 AND g = 1)::INT) AS le FROM t GROUP BY set_id, col)
 SELECT set_id, col, round(f_a, 6) AS f_a, round(f_c, 6) AS f_c, round(f_g, 6) AS f_g, round(f_t, 6) AS f_t, round(ll, 6) AS ll, round(lg, 6) AS lg, round(gl, 6) AS gl, round(gg, 6) AS gg,
   round((1 - lg) * -200, 6) AS gap_open, round((1 - le) * -200, 6) AS gap_close,
-  round(f_a * 151 + f_c * -54 + f_g * 29 + f_t * -63, 6) AS score_a, round(f_a * -54 + f_c * 160 + f_g * -65 + f_t * 29, 6) AS score_c,
-  round(f_a * 29 + f_c * -65 + f_g * 160 + f_t * -54, 6) AS score_g, round(f_a * -63 + f_c * 29 + f_g * -54 + f_t * 151, 6) AS score_t FROM f
+  round(f_a * 151 + f_c * -54 + f_g * 29 + f_t * -63, 6) + 0.0 AS score_a, round(f_a * -54 + f_c * 160 + f_g * -65 + f_t * 29, 6) + 0.0 AS score_c,
+  round(f_a * 29 + f_c * -65 + f_g * 160 + f_t * -54, 6) + 0.0 AS score_g, round(f_a * -63 + f_c * 29 + f_g * -54 + f_t * 151, 6) + 0.0 AS score_t FROM f
 """)
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = C.weighted_profile(cols(spark, sf_dir))
-    return p.select("set_id", "col", *(F.round(c, 6).alias(c) for c in ("f_a", "f_c", "f_g", "f_t", "ll", "lg", "gl", "gg")), *(F.round(c, 6).alias(c) for c in ("gap_open", "gap_close", "score_a", "score_c", "score_g", "score_t")))
+    return p.select("set_id", "col", *(F.round(c, 6).alias(c) for c in ("f_a", "f_c", "f_g", "f_t", "ll", "lg", "gl", "gg")), *((F.round(c, 6) + 0.0).alias(c) for c in ("gap_open", "gap_close", "score_a", "score_c", "score_g", "score_t")))
 
 
 SMOOTH = PROFILE + (
