@@ -47,11 +47,12 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def slices(df: DataFrame, factor: float = 1.0) -> int:
-    """Partitions of about one scan split each, so that a task's data don't grow with the input."""
-    spark = df.sparkSession
+    """Partitions of about one scan split each, so that a task's data don't grow with the input; where the plan has no size, as many as a shuffle has."""
+    spark, size = df.sparkSession, input_bytes(df)
+    if size >= 1 << 60:  # the optimiser's mark of an unknown size
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    least = 2 * spark.sparkContext.defaultParallelism
-    return max(min(least, 1 + input_bytes(df) // (1 << 20)), math.ceil(factor * input_bytes(df) / split))
+    return max(min(2 * spark.sparkContext.defaultParallelism, 1 + size // (1 << 20)), math.ceil(factor * size / split))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

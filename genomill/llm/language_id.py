@@ -187,7 +187,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, limit: int = GRAMS) -> Mode
     below = F.lit(False)
     for lang, n in counts.items():
         below = below | ((F.col("lang") == lang) & (F.col("at") < sample / n))
-    summed = rows.where(below).select("lang", "text").mapInArrow(_grams_of, "lang string, gram string, n long").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
+    summed = rows.where(below).select("lang", "text").mapInArrow(_grams_of, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
     return _model(summed, sorted(counts), limit)
 
 

@@ -258,7 +258,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_keys: int =
         return docs.mapInArrow(_probing(shared, shards), _OUT)
     docs = stash(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     asked = docs.mapInArrow(_asked, "key binary, row long, line long, doc_id long").mapInArrow(_dealt(shards), "shard long, key binary, row long, line long, doc_id long").withColumn("salt", F.pmod("row", F.lit(SALTS)))
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     hits = asked.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInPandas(_answer, "row long, line long")
     gone = hits.groupBy("row").agg(F.collect_list("line").alias("gone"))
     return docs.join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(_strike, _OUT)
