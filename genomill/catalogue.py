@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genomill.plans import alignments, formats, intervals, matches, sequences, trees  # noqa: F401  (each module registers its queries)
+from genomill.plans import alignments, extra, formats, intervals, matches, sequences, trees  # noqa: F401  (each module registers its queries)
 from genomill.plans.registry import QUERIES, SQL
 
 
@@ -17,4 +17,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["recruit_by_distance"](spark, sf_dir)
+    return QUERIES["mumi"](spark, sf_dir)

@@ -35,9 +35,11 @@ def count_of(seq: Column, symbol: str) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All windows of k symbols, first to last; none if the sequence is shorter."""
-    n = F.length(seq) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All windows of k symbols, first to last; none if the sequence is shorter.
+
+    One pass of a look-ahead: substr by position would count characters from the start for every window.
+    """
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), 1)
 
 
 def gapless(seq: Column) -> Column:

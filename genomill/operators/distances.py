@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genomill.functions.sequence import kmers
 
 
-def kmer_distances(s: DataFrame, k: int, fraction: bool = False) -> DataFrame:
-    """a, b, d for each pair b < a of a set: shared k-mers, counted with multiplicity.
+def kmer_distances(s: DataFrame, k: int, fraction: bool = False, places: int = 8) -> DataFrame:
+    """a, b, d for each pair b < a of a set of at most `places` sequences: shared k-mers, counted with multiplicity.
 
-    Counts are gathered in one map a sequence before pairs are made, so that a pair is one row and not one a k-mer; sets
-    are small, so pairs grow with the number of sets.
+    Each k-mer of a set is one row with a count for every place in the set, and a pair's shared count is a sum of least
+    counts over these rows; no row is made for a pair and a k-mer.
     """
-    counts = s.select("seq_id", "set_id", F.explode_outer(kmers(F.col("seq"), k)).alias("kmer")).groupBy("seq_id", "set_id", "kmer").agg(F.count("kmer").alias("n"))
-    sets = counts.groupBy("set_id", "kmer").agg(F.collect_list(F.struct("seq_id", "n")).alias("own"))  # as many as a set has sequences
-    pairs = sets.where("kmer is not null and size(own) > 1").select("set_id", F.explode("own").alias("x"), "own").select("set_id", "x", F.explode("own").alias("y")).where("y.seq_id < x.seq_id")
-    shared = pairs.groupBy(F.col("x.seq_id").alias("a"), F.col("y.seq_id").alias("b")).agg(F.sum(F.least("x.n", "y.n")).alias("c"))
-    size = s.select("set_id", "seq_id", F.greatest(F.length("seq") - (k - 1), F.lit(0)).alias("c"))
-    both = size.select("set_id", F.col("seq_id").alias("a"), F.col("c").alias("ca")).join(size.select("set_id", F.col("seq_id").alias("b"), F.col("c").alias("cb")), "set_id").where("b < a")
-    c = F.coalesce("c", F.lit(0))
-    d = 1 - c / F.least("ca", "cb") if fraction else F.least(3.0 * (F.col("ca") - c) / F.col("ca"), 3.0 * (F.col("cb") - c) / F.col("cb"))
-    return both.join(shared, ["a", "b"], "left").select("set_id", "a", "b", F.when(F.least("ca", "cb") == 0, 1.0).otherwise(d).alias("d"))
+    order = F.array_sort(F.collect_list(F.struct("seq_id", F.greatest(F.length("seq") - (k - 1), F.lit(0)).alias("c"))))
+    sets = s.groupBy("set_id").agg(order.alias("own"))
+    ids = F.transform("own", lambda x: x["seq_id"])
+    place = F.array_position(ids, F.col("seq_id")).cast("int") - 1
+    rows = s.join(sets, "set_id").select("set_id", place.alias("place"), F.explode(kmers(F.col("seq"), k)).alias("kmer"))
+    counts = rows.groupBy("set_id", "kmer").agg(*(F.count(F.when(F.col("place") == i, 1)).alias(f"n{i}") for i in range(places)))
+    pairs = list(combinations(range(places), 2))
+    shared = counts.groupBy("set_id").agg(*(F.sum(F.least(f"n{i}", f"n{j}")).alias(f"c{i}_{j}") for i, j in pairs))
+    listed = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.coalesce(f"c{i}_{j}", F.lit(0)).alias("c")) for i, j in pairs))
+    found = sets.join(shared, "set_id", "left").select("set_id", "own", F.explode(listed).alias("p")).where(F.col("p.j") < F.size("own"))
+    a, b = F.get("own", F.col("p.j")), F.get("own", F.col("p.i"))
+    ca, cb, c = a["c"], b["c"], F.col("p.c")
+    d = 1 - c / F.least(ca, cb) if fraction else F.least(3.0 * (ca - c) / ca, 3.0 * (cb - c) / cb)
+    return found.select("set_id", a["seq_id"].alias("a"), b["seq_id"].alias("b"), F.when(F.least(ca, cb) == 0, 1.0).otherwise(d).alias("d"))
