@@ -9,8 +9,8 @@ draws. Points later than a bound are not drawn; if a component stays empty, the
 
 Documents with equal word sequences are one class from the start, by a digest. Signatures of the others are cut into `BANDS`
 bands; documents that share a band are candidates. In each bucket all are compared with its lowest document, by exact multiset
-overlap. A bucket whose documents then still lie in several groups is resolved exactly: those outside its largest group are
-compared with all its documents, in blocks. Links of likeness `THRESHOLD` or more are closed to groups by rounds of minimum labels.
+overlap. A bucket whose other documents then still lie in several groups is resolved exactly: those outside the largest of
+these groups are compared with all of them, in blocks. Links of likeness `THRESHOLD` or more are closed to groups by rounds of minimum labels.
 
 The chance that a pair of likeness 0.8 shares no band is (1 - 0.8^4)^32 = 5e-8.
 
@@ -328,7 +328,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     bodies = signed.select("row", "sig", "items", "many").join(small(needed, BROADCAST_ROWS), "row", "left_semi")
     links = stash(verified(buckets.where("row <> head").select("head", "row").distinct(), bodies), "near")
     labels = components(links)
-    more = stash(resolved(buckets.select("bucket", "row"), labels, bodies), "near")
+    more = stash(resolved(buckets.where("row <> head").select("bucket", "row"), labels, bodies), "near")  # all were compared with the head
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     roots = texts.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select("key", F.coalesce("least", "rep").alias("root"))
