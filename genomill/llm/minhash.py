@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genomill.llm.common import small, stash, unstash
@@ -177,21 +177,21 @@ def _unpacked(items: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.view("<u8").ravel(), counts
 
 
-_SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("sig", pa.binary()), ("items", pa.binary()), ("many", pa.binary())])
-_SIGNED_DDL = "row long, doc_id long, key binary, sig binary, items binary, many binary"
+_SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("key", pa.binary()), ("sig", pa.binary()), ("items", pa.binary()), ("many", pa.binary())])
+_SIGNED_DDL = "row long, doc_id long, tag long, key binary, sig binary, items binary, many binary"
 
 
 def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
         for part in _chunks(batch):
-            rows, ids, texts = (part.column(c).to_pylist() for c in ("row", "doc_id", "text"))
+            rows, ids, tags, texts = (part.column(c).to_pylist() for c in ("row", "doc_id", "tag", "text"))
             sequences = [words(t) for t in texts]
             items, counts, bounds = shingler(sequences)
             sigs = signatures(items, counts, bounds)
             keys = [xxhash.xxh3_128_digest(b" ".join(s)) if s else None for s in sequences]
             packed = [_packed(items[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = rows, ids, keys, [x.tobytes() for x in sigs], [x[0] for x in packed], [x[1] for x in packed]
+            columns = rows, ids, tags, keys, [x.tobytes() for x in sigs], [x[0] for x in packed], [x[1] for x in packed]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SIGNED.types, strict=True)], schema=_SIGNED)
 
 
@@ -316,9 +316,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Copies of one word sequence are represented by one row, so a group of copies is as cheap as one document.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("doc_id", "text"))
     signed = stash(docs.mapInArrow(_signing, _SIGNED_DDL), "signed")
-    plain = signed.select("row", "doc_id", "key")
+    plain = signed.select("row", "doc_id", "tag", "key")
     texts = stash(plain.where("key is not null").groupBy("key").agg(F.min("row").alias("rep")), "texts")
     bands = signed.select("row", "sig").join(texts.select(F.col("rep").alias("row")), "row", "left_semi").mapInArrow(_banding, "bucket long, row long")
     bands = stash(bands, "bands")
@@ -332,16 +332,23 @@ def near_groups(docs: DataFrame) -> DataFrame:
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     roots = texts.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select("key", F.coalesce("least", "rep").alias("root"))
-    placed = stash(plain.join(roots, "key", "left").select("row", "doc_id", F.coalesce("root", "row").alias("root")), "groups")
+    placed = stash(plain.join(roots, "key", "left").select("row", "doc_id", "tag", F.coalesce("root", "row").alias("root")), "groups")
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("first_row"))
     unstash(signed, bands, buckets, needed, links, more)
-    return placed.join(classes, "root").select("doc_id", "class_id", "class_size", "row", (F.col("row") == F.col("first_row")).alias("is_first"))
+    return placed.join(classes, "root").select("doc_id", "tag", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("is_first"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the lowest doc_id, with all its columns."""
-    numbered = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = near_groups(numbered.select(F.col("__row").alias("doc_id"), "text"))
-    ranks = numbered.select("__row", F.col("doc_id").alias("__doc_id")).join(groups.select(F.col("doc_id").alias("__row"), "class_id"), "__row")
-    kept = ranks.groupBy("class_id").agg(F.min(F.struct(F.col("__doc_id").isNull(), "__doc_id", "__row")).getField("__row").alias("__row")).select("__row")
-    return numbered.join(kept, "__row", "left_semi").select(docs.columns)
+    """One document of each group, the one with the lowest doc_id, with all its columns.
+
+    Kept documents are found by doc_id and a hash of doc_id and text, so texts needn't travel; where several rows share
+    both, one of them is kept.
+    """
+    found = near_groups(docs).withColumn("__key", F.struct(F.col("doc_id").alias("id"), "tag"))
+    kept = stash(found.groupBy("__key").agg(F.max("is_first").alias("first"), F.count("*").alias("n")).where("first").select("__key", "n"), "kept")
+    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("tag"))
+    keyed = docs.withColumn("__key", key)
+    single = keyed.join(small(kept.where("n = 1"), BROADCAST_ROWS), "__key", "left_semi")
+    several = keyed.join(small(kept.where("n > 1"), BROADCAST_ROWS), "__key", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return single.select(docs.columns).unionByName(several.withColumn("__nth", nth).where("__nth = 1").select(docs.columns))
