@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genomill.operators import columns as C
 from genomill.operators.dp import PartialOrder, align_pair, local_score
 from genomill.operators.maximal import recursive_anchors
 from genomill.operators.trees import Tree, kmer_distance_matrix, leaf_weights, midpoint, multiple_alignment, neighbour_joining, upgma
@@ -159,8 +158,8 @@ def clustalw_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = ancestors(hierarchy(spark, sf_dir), spark)
     below = up.groupBy("node").agg(F.count("*").alias("below"))
     raw = up.join(below, "node").groupBy("leaf").agg(F.sum(F.col("length") / F.col("below")).alias("raw")).withColumn("raw", F.when(F.col("raw") < 0.0001, 1.0).otherwise(F.col("raw")))
-    total = raw.agg(F.sum("raw").alias("total"))
-    return raw.crossJoin(F.broadcast(total)).select("leaf", F.round(F.col("raw") / F.col("total"), 9).alias("weight"))  # one row of a total
+    total = raw.groupBy(F.lit(0).alias("tree")).agg(F.sum("raw").alias("total"))  # one row a tree
+    return raw.withColumn("tree", F.lit(0)).join(F.broadcast(total), "tree").select("leaf", F.round(F.col("raw") / F.col("total"), 9).alias("weight"))
 
 
 @query("""
