@@ -12,7 +12,7 @@ bands; documents that share a band are candidates. In each bucket all are compar
 overlap. A bucket whose other documents then still lie in several groups is resolved exactly: those outside the largest of
 these groups are compared with all of them, in blocks. Links of likeness `THRESHOLD` or more are closed to groups by rounds of minimum labels.
 
-The chance that a pair of likeness 0.8 shares no band is (1 - 0.8^4)^32 = 5e-8.
+The chance that a pair of likeness 0.8 shares no band is (1 - 0.8^5)^36 = 6e-7.
 
 Defined cases: words are runs of ASCII letters, digits and non-ASCII characters, ASCII lower-cased; a text of fewer words
 than a shingle is one shingle; texts without words (also null) have no links and are groups of their own; rows are
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from genomill.llm.common import small, stash, unstash
 
-SHINGLE, WIDTH, BANDS, THRESHOLD = 5, 128, 32, 0.8
+SHINGLE, WIDTH, BANDS, THRESHOLD = 5, 180, 36, 0.8
 #: Likeness estimates below this can't come from a pair of likeness 0.8 (six standard deviations).
-ESTIMATE = 0.58
+ESTIMATE = 0.6
 BLOCK = 2_000
 #: Most candidate rows whose numbers are broadcast to pick their shingles.
 BROADCAST_ROWS = 1_000_000

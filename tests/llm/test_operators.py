@@ -419,7 +419,7 @@ def test_near_groups(spark, nothing):
 
 def test_mixed_buckets_are_resolved(spark, monkeypatch):
     """With one row a band nearly everything shares buckets, so most links come from resolving them."""
-    monkeypatch.setattr(minhash, "BANDS", 128)
+    monkeypatch.setattr(minhash, "BANDS", 180)
     monkeypatch.setattr(minhash, "BLOCK", 7)
     texts = near_texts()
     got = minhash.near_groups(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])).collect()
