@@ -80,48 +80,55 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        if word not in self.words:
+        found = self.words.get(word)
+        if found is None:
             if len(self.words) > OLD:
                 self.words = {}
-            self.words[word] = array("H", [t.id for t in self.model.tokenize(word.translate(self.mapped))]).tobytes()
-        return self.words[word]
+            spelled = word.replace(" ", self.mapped[32]).replace("\n", self.mapped[10]) if word.isascii() else word.translate(self.mapped)
+            found = self.words[word] = array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
 
     def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces; False for a piece with white space inside its ends, whose text must be encoded as a whole."""
         hard = []
         for p in pieces:
+            store = self.old if len(self.old) < OLD else self.young
+            bare = p[1:] if p[:1] == " " else p
+            if not bare or bare[0].isspace() or bare[-1].isspace():
+                store[p] = False
+                continue
             parts = self.PLAIN.findall(p)
             if sum(map(len, parts)) == len(p):
-                (self.old if len(self.old) < OLD else self.young)[p] = b"".join(map(self._word, parts))
+                store[p] = b"".join(map(self._word, parts))
             else:
                 hard.append(p)
         for k in range(0, len(hard), 5_000):
-            for p, e in zip(hard[k : k + 5_000], self.tokenizer.encode_batch_fast(hard[k : k + 5_000], add_special_tokens=False), strict=True):
-                (self.old if len(self.old) < OLD else self.young)[p] = array("H", e.ids).tobytes()
+            for p, ids in zip(hard[k : k + 5_000], self._whole(hard[k : k + 5_000]), strict=True):
+                (self.old if len(self.old) < OLD else self.young)[p] = ids
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """uint16 ids of each text."""
-        out = []
-        for text in texts:
-            pieces, known = self._pieces(text), self.old
-            new = [p for p in pieces if p not in known]
-            if new:
-                if len(self.young) > YOUNG:
-                    self.young = {}
-                self._learn([p for p in dict.fromkeys(new) if p not in self.young])
-                young = self.young
-                out.append(b"".join([known[p] if p in known else young[p] for p in pieces]))
-            else:
-                out.append(b"".join(map(known.__getitem__, pieces)))
-        return out
-
-    def _pieces(self, text: str) -> list[str]:
-        if " " not in text or text[0].isspace() or text[-1].isspace() or any(t in text for t in self.added) or _SPACES.search(text):
-            return [text]
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-
-
-#: A blank next to other white space.
-_SPACES = re.compile(r" \s|\s ")
+        return [self._encode(text) for text in texts]
+
+    def _encode(self, text: str) -> bytes:
+        if "\0" in text or any(t in text for t in self.added):
+            return self._whole([text])[0]
+        pieces = text.replace(" ", "\0 ").split("\0")  # every blank begins a piece
+        parts = list(map(self.old.get, pieces))
+        if None in parts:
+            if len(self.young) > YOUNG:
+                self.young = {}
+            young = self.young
+            self._learn([p for p in dict.fromkeys(p for p, x in zip(pieces, parts, strict=True) if x is None) if p not in young])
+            known = self.old
+            parts = [known[p] if p in known else young[p] if x is None else x for p, x in zip(pieces, parts, strict=True)]
+        try:
+            return b"".join(parts)
+        except TypeError:  # a False among them
+            return self._whole([text])[0]
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
