@@ -65,3 +65,14 @@ def union(frames: list[DataFrame]) -> DataFrame:
     for df in frames[1:]:
         out = out.unionByName(df)
     return out
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker process keeps between tasks: the object of the last key only, so operators don't add up in memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

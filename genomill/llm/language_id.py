@@ -19,6 +19,7 @@ documents of their own; empty tables work; columns other than text (and, for lea
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genomill.llm.common import held
+
 SAMPLE, GRAMS, SWITCH, UND = 1_000, 200_000, 12.0, "und"
 ORDER = 3
 #: Most words whose scores a worker remembers before it starts anew.
@@ -203,11 +206,11 @@ def _model(summed: DataFrame, langs: list[str], limit: int) -> Model:
 
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """The documents' columns with lang_pred, score and, if asked for, spans."""
-    columns = docs.columns
+    columns, token = docs.columns, uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)  # `GRAMS` n-grams at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = held(("language", token), lambda: shared.value)
         for batch in batches:
             found = labels(batch.column("text").to_pylist(), own, spans)
             added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]

@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genomill.llm.common import scratch, slices, stash, unstash
+from genomill.llm.common import held, scratch, slices, stash, unstash
 
 MAX_BITS, STEP, BLOCK_IDS, END_ID = 16, 512, 500_000, 2
 #: Most blocks whose numbers are broadcast to place them.
 PLACES = 1_000_000
-#: Most pieces of text whose ids a worker remembers, for good and for a while.
-OLD, YOUNG = 600_000, 200_000
+#: Most pieces of text whose ids a worker remembers, for good and for a while, and most words.
+OLD, YOUNG, WORDS = 400_000, 150_000, 250_000
 MAGIC = b"TKH1"
 
 
@@ -82,7 +82,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > OLD:
+            if len(self.words) > WORDS:
                 self.words = {}
             spelled = word.replace(" ", self.mapped[32]).replace("\n", self.mapped[10]) if word.isascii() else word.translate(self.mapped)
             found = self.words[word] = array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
@@ -231,7 +231,7 @@ def read_block(payload: bytes, code: Code) -> tuple[list, list[np.ndarray]]:
 
 def _encoding(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = held(("encoder", path), lambda: Encoder(path))
         end = np.array([END_ID], np.uint16).tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -240,16 +240,6 @@ def _encoding(path: str):
     return run
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    """One for each worker process, which serves many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << 16, np.int64)
     for batch in batches:
