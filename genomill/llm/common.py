@@ -6,7 +6,9 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,15 @@ def held(key, make):
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def chunks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes of text each, so that what is made of them stays small."""
+    start = size = 0
+    for i, text in enumerate(batch.column("text")):
+        size += len(text.as_buffer()) if text.is_valid else 0
+        if size > most:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < len(batch):
+        yield batch.slice(start)

@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomill.llm.common import held
+from genomill.llm.common import chunks, held
 
 SAMPLE, GRAMS, SWITCH, UND = 1_000, 200_000, 12.0, "und"
 ORDER = 3
+#: Bytes of text whose words a worker holds at once.
+CHUNK = 2_000_000
 #: Most words whose scores a worker remembers before it starts anew.
 REMEMBERED = 400_000
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
@@ -168,7 +170,7 @@ def _labelled(words: list[str], found: list, scores: np.ndarray, langs: list[str
 
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in (part for whole in batches for part in chunks(whole, CHUNK)):
         words: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words.update((lang, w) for w in _WORD.findall((text or "").lower()))
@@ -211,7 +213,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held(("language", token), lambda: shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, CHUNK)):
             found = labels(batch.column("text").to_pylist(), own, spans)
             added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if spans:

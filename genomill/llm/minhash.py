@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomill.llm.common import small, stash, unstash
+from genomill.llm.common import chunks, small, stash, unstash
 
 SHINGLE, WIDTH, BANDS, THRESHOLD = 5, 180, 36, 0.8
 #: Likeness estimates below this can't come from a pair of likeness 0.8 (six standard deviations).
@@ -184,7 +184,7 @@ _SIGNED_DDL = "row long, doc_id long, tag long, key binary, sig binary, items bi
 def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
-        for part in _chunks(batch):
+        for part in chunks(batch, 4_000_000):
             rows, ids, tags, texts = (part.column(c).to_pylist() for c in ("row", "doc_id", "tag", "text"))
             sequences = [words(t) for t in texts]
             items, counts, bounds = shingler(sequences)
@@ -195,18 +195,6 @@ def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SIGNED.types, strict=True)], schema=_SIGNED)
 
 
-def _chunks(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of at most about `most` bytes of text, so that arrays stay small."""
-    start = size = 0
-    for i, text in enumerate(batch.column("text")):
-        size += len(text.as_buffer()) if text.is_valid else 0
-        if size > most:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < len(batch):
-        yield batch.slice(start)
-
-
 def _banding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     per = WIDTH // BANDS
     for batch in batches:
