@@ -13,10 +13,12 @@ def length_ratio(s: DataFrame, refs: DataFrame, on: list[str], low: float = 0.8,
 
 
 def fast_cut(rows: DataFrame, group: str, limit: float = 0.5, most: int = 101) -> DataFrame:
-    """Distances below the limit, at most `most` a group, and at most three population deviations above the least."""
+    """Every distance below the limit that is at most three population deviations above the least of its group; least and
+    deviation are those of the `most` smallest distances below the limit."""
     w = Window.partitionBy(group)
-    near = rows.where(F.col("d") < limit).withColumn("rn", F.row_number().over(w.orderBy("d", "seq_id"))).where(F.col("rn") <= most)
-    return near.withColumn("cut", F.min("d").over(w) + 3 * F.stddev_pop("d").over(w)).where("d <= cut").drop("rn")
+    near = rows.where(F.col("d") < limit).withColumn("rn", F.row_number().over(w.orderBy("d", "seq_id")))
+    least = F.when(F.col("rn") <= most, F.col("d"))
+    return near.withColumn("cut", F.min(least).over(w) + 3 * F.stddev_pop(least).over(w)).where("d <= cut").drop("rn")
 
 
 def ani_group(rows: DataFrame, least: float, cover: float) -> DataFrame:

@@ -14,6 +14,7 @@ from genomill.operators import intervals as I
 from genomill.operators.columns import GAP_OPEN, pair_score
 from genomill.operators.dp import PartialOrder, Profile, align_pair, global_path, local_score
 from genomill.operators.maximal import multi_mums, recursive_anchors
+from genomill.operators.recruit import fast_cut
 from genomill.operators.trees import kmer_distance_matrix, leaf_weights, midpoint, multiple_alignment, neighbour_joining, upgma
 from genomill.sources import formats as R
 
@@ -154,6 +155,18 @@ def test_multi_mums_against_all_substrings():
     assert all(a[0][k] + a[1] <= b[0][k] for a, b in zip(anchors, anchors[1:], strict=False) for k in range(3))
 
 
+def test_fast_cut_keeps_all_near_rows(spark):
+    rng = random.Random(3)
+    groups = {"copies": [0.1] * 300 + [0.4], "spread": [rng.uniform(0.2, 0.6) for _ in range(400)], None: [0.3] * 150, "few": [0.1, 0.2, 0.7]}
+    rows = [(g, i, d) for g, own in groups.items() for i, d in enumerate(own)]
+    want = set()
+    for g, own in groups.items():
+        low = sorted(d for d in own if d < 0.5)[:101]
+        want |= {(g, i) for i, d in enumerate(own) if d < 0.5 and d <= min(low) + 3 * np.std(low) + 1e-12}
+    got = fast_cut(spark.createDataFrame(rows, "lang string, seq_id long, d double"), "lang").collect()
+    assert len(got) == len(want) and {(r.lang, r.seq_id) for r in got} == want
+
+
 def one(spark, **columns):
     return spark.range(1).select(*(c.alias(k) for k, c in columns.items())).first()
 
