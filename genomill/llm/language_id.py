@@ -1,6 +1,7 @@
 """Language identification of mixed-language text.
 
-The scripts of a word's letters narrow its candidate languages to those met in that script while learning. A word's score in
+The scripts of a word's letters narrow its candidate languages to those that while learning had at least one of `RARE` of
+their own words in that script, however few words the language has beside the others. A word's score in
 a language is the log probability of its character n-grams (of 1 to 3 letters, with word ends), shared out between the candidates. A
 Viterbi pass over the words of a text, in which changing the language costs `SWITCH`, labels its spans; the language of most
 letters is the text's, and the score is its share of letters times the mean posterior of its words there.
@@ -33,6 +34,8 @@ from genomill.llm.common import chunks, held
 
 SAMPLE, GRAMS, SWITCH, UND = 1_000, 200_000, 12.0, "und"
 ORDER = 3
+#: A language belongs to a script that at least one of so many of its own words has.
+RARE = 1_000
 #: Bytes of text whose words a worker holds at once.
 CHUNK = 2_000_000
 #: Most words whose scores a worker remembers before it starts anew.
@@ -197,13 +200,15 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, limit: int = GRAMS) -> Mode
 
 
 def _model(summed: DataFrame, langs: list[str], limit: int) -> Model:
-    grams_, by_script = {}, {}
-    for r in summed.orderBy(F.col("all").desc(), "gram").limit(limit).collect():
-        if r["gram"][0] == "#" and len(r["gram"]) > 1:
-            by_script[r["gram"][1:]] = [lang for lang, n in r["by"].items() if 1000 * n >= r["all"]]
-        else:
+    grams_, words, totals = {}, {}, Counter()
+    of_script = F.col("gram").startswith("#")  # no word has this mark; scripts are few and never give way to n-grams
+    for r in summed.orderBy(of_script.desc(), F.col("all").desc(), "gram").limit(limit + len({s for _, s in SCRIPTS})).collect():
+        if r["gram"][0] == "#":
+            words[r["gram"][1:]] = r["by"]
+            totals.update(r["by"])
+        elif len(grams_) < limit:
             grams_[r["gram"]] = r["by"]
-    return Model(grams_, langs, by_script)
+    return Model(grams_, langs, {s: [lang for lang, n in by.items() if RARE * n >= totals[lang]] for s, by in words.items()})
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:

@@ -261,6 +261,22 @@ def test_language_id(spark, nothing):
     assert {r.lang_pred for r in language_id.identify(docs.select("text"), language_id.learn(nothing)).collect()} == {"und"}
 
 
+def test_rare_languages_stay_candidates_of_their_script(spark):
+    rng = random.Random(11)
+    letters = {"aa": "bcdfo", "bb": "ghjke", "cc": "lmnpi", "dd": "qrstu", "rare": "vwxyza"}
+    text = lambda lang, n: " ".join("".join(rng.choices(letters[lang], k=5)) for _ in range(n))
+    rows = [(lang, text(lang, 500)) for lang in ("aa", "bb", "cc", "dd") for _ in range(50)] + [("rare", text("rare", 20)) for _ in range(4)]
+    model = language_id.learn(frame_of(spark, rows))
+    held = [(lang, text(lang, 30)) for lang in letters for _ in range(20)]
+    assert [x[0] for x in language_id.labels([t for _, t in held], model)] == [lang for lang, _ in held]
+    stray = language_id.learn(frame_of(spark, [("aa", text("aa", 2000)), ("aa", "\u0434\u0430"), ("bb", "\u043d\u0435\u0442 " * 9)]))
+    assert {s: [stray.langs[i] for i in own] for s, own in stray.by_script.items()} == {"latin": ["aa"], "cyrillic": ["bb"]}
+
+
+def frame_of(spark, rows):
+    return spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(5)
     for _ in range(100):
