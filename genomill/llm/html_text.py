@@ -5,7 +5,7 @@ is inside an article than outside, learned from labelled pages; one linear scan
 sum. The run is then read block by block: white space inside a block becomes one blank, blocks are joined by an empty line.
 
 Labelled pages are those that mark their article themselves (one <article>, <main> or role="main" element): the words and
-tags inside are positive, the rest negative. At most about `LABELLED` pages, those with the lowest hash of their URL, are read for this.
+tags inside are positive, the rest negative. Every labelled page of the table counts.
 Inside the run, elements that are never article text (scripts, styles, forms, navigation, asides, adverts, notices, comment
 sections and comments) are left out; these names are the fixed values below.
 
@@ -25,9 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled pages whose counts make the weights.
-LABELLED = 2_000
-
 # Elements of HTML by their role.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "button", "xmp", "noembed", "noframes", "audio", "video", "canvas", "head")
 SKIP = frozenset(RAW + ("nav", "aside", "footer", "form", "dialog", "menu", "fieldset"))
@@ -200,13 +197,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"feature": keys, "n_in": [inside[k] for k in keys], "n_out": [outside[k] for k in keys]}, schema=pa.schema([("feature", pa.string()), ("n_in", pa.int64()), ("n_out", pa.int64())]))
 
 
-def learn(pages: DataFrame, limit: int = LABELLED, features: int = 2_000) -> dict[str, float]:
-    """Weights from at most `limit` labelled pages; the driver gets the `features` commonest tags at most."""
-    order = F.xxhash64("url", "page_id")
-    chosen = pages.select(order.alias("o")).orderBy("o").limit(limit).agg(F.max("o")).first()[0]
-    if chosen is None:
-        return weights_of({})
-    rows = pages.where(order <= chosen).select("html").mapInArrow(_counts, "feature string, n_in long, n_out long")
+def learn(pages: DataFrame, features: int = 2_000) -> dict[str, float]:
+    """Weights from all labelled pages; the driver gets the `features` commonest tags at most."""
+    rows = pages.select("html").mapInArrow(_counts, "feature string, n_in long, n_out long")
     counts = rows.groupBy("feature").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
     return weights_of({r[0]: (r[1], r[2]) for r in counts.orderBy((F.col("n_in") + F.col("n_out")).desc(), "feature").limit(features).collect()})
 

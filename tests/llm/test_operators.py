@@ -177,6 +177,15 @@ def test_html_text(spark):
     assert by[50] == by[51] == by[52] == {""} and by[53] == {"plain words only"} and by[None] == {TEXT}
 
 
+def test_few_labelled_pages_among_many_make_the_weights(spark):
+    from pyspark.sql import functions as F
+
+    marked = [(i, f"u{i}", PAGE.format(f"<article>{BODY}</article>")) for i in range(3)]
+    plain = spark.range(10, 40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("url"), F.lit("<p>no mark</p>").alias("html"))
+    some = spark.createDataFrame(marked, "page_id long, url string, html string")
+    assert html_text.learn(some.unionByName(plain)) == html_text.learn(some) != html_text.weights_of({})
+
+
 def test_best_run_is_the_best():
     rng = random.Random(2)
     for _ in range(300):
