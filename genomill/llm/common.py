@@ -80,6 +80,11 @@ def held(key, make):
     return _HELD[key]
 
 
+def release() -> None:
+    """Lets go of what an earlier operator's tasks left in this worker process."""
+    _HELD.clear()
+
+
 def chunks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each, so that what is made of them stays small."""
     start = size = 0

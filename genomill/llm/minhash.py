@@ -10,7 +10,9 @@ draws. Points later than a bound are not drawn; if a component stays empty, the
 Documents with equal word sequences are one class from the start, by a digest. Signatures of the others are cut into `BANDS`
 bands; documents that share a band are candidates. In each bucket all are compared with its lowest document, by exact multiset
 overlap. A bucket whose other documents then still lie in several groups is resolved exactly: those outside the largest of
-these groups are compared with all of them, in blocks. Links of likeness `THRESHOLD` or more are closed to groups by rounds of minimum labels.
+these groups are compared with all of them, blocks against blocks, so that a task holds one block whatever the bucket's size.
+Links of likeness `THRESHOLD` or more are closed to groups by rounds of minimum labels. Only documents that share a bucket
+have their shingles written, made a second time from their texts.
 
 The chance that a pair of likeness 0.8 shares no band is (1 - 0.8^5)^36 = 6e-7.
 
@@ -22,21 +24,24 @@ documents, repeated rows fall into one group; null doc_id is allowed; an empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomill.llm.common import chunks, small, stash, unstash
+from genomill.llm.common import chunks, release, small, stash, unstash
 
 SHINGLE, WIDTH, BANDS, THRESHOLD = 5, 180, 36, 0.8
 #: Likeness estimates below this can't come from a pair of likeness 0.8 (six standard deviations).
 ESTIMATE = 0.6
-BLOCK = 2_000
-#: Most candidate rows whose numbers are broadcast to pick their shingles.
+#: Most rows, and about the most bytes, of a bucket's block that one task holds.
+BLOCK, BLOCK_BYTES = 1_000, 8_000_000
+#: Bytes of text whose words a worker holds at once.
+CHUNK = 1_000_000
+#: Most rows of one or two numbers each that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _KEEP = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 _U = np.uint64
@@ -58,48 +63,29 @@ def _add(x: np.ndarray, k: int) -> np.ndarray:
         return x + _U(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
-class Shingler:
-    """Multisets of shingles: 40-bit hashes in ascending order, with counts, for each of several texts."""
-
-    def __init__(self, remembered: int = 500_000):
-        self.known: dict[bytes, int] = {}
-        self.hashes = np.zeros(1 << 16, np.uint64)
-        self.remembered = remembered
-
-    def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """hashes and counts of all texts, and where each text's begin (one more than texts)."""
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        for sequence in texts:
-            for w in sequence:
-                if w not in known:
-                    if len(known) == len(self.hashes):
-                        self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
-                    self.hashes[len(known)] = xxhash.xxh3_64_intdigest(w)
-                    known[w] = len(known)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        flat = np.fromiter((known[w] for sequence in texts for w in sequence), np.int64, int(sizes.sum()))
-        h = self.hashes[flat]
-        width = np.minimum(sizes, SHINGLE)
-        n = np.maximum(sizes - SHINGLE + 1, sizes > 0)
-        owner = np.repeat(np.arange(len(texts)), n)
-        begin = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + begin[owner]
-        total = np.zeros(len(owner), np.uint64)
-        short = (width < SHINGLE).any()
-        for k in range(SHINGLE):
-            if short:
-                inside = k < width[owner]
-                total[inside] = _mix(_add(total[inside], 1) ^ h[at[inside] + k])
-            else:
-                total = _mix(_add(total, 1) ^ h[at + k])
-        keys = np.sort(owner.astype(np.uint64) << _U(40) | total >> _U(24))
-        new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
-        first = np.flatnonzero(new)
-        counts = np.diff(np.append(first, len(keys)))
-        bounds = np.searchsorted(keys[first], np.arange(len(texts) + 1, dtype=np.uint64) << _U(40))
-        return keys[first] & _U((1 << 40) - 1), counts, bounds
+def shingles(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multisets of shingles: 40-bit hashes in ascending order and counts of all texts, and where each text's begin (one more than texts)."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
+    width = np.minimum(sizes, SHINGLE)
+    n = np.maximum(sizes - SHINGLE + 1, sizes > 0)
+    owner = np.repeat(np.arange(len(texts)), n)
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + begin[owner]
+    total = np.zeros(len(owner), np.uint64)
+    short = (width < SHINGLE).any()
+    for k in range(SHINGLE):
+        if short:
+            inside = k < width[owner]
+            total[inside] = _mix(_add(total[inside], 1) ^ h[at[inside] + k])
+        else:
+            total = _mix(_add(total, 1) ^ h[at + k])
+    keys = np.sort(owner.astype(np.uint64) << _U(40) | total >> _U(24))
+    new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(keys)))
+    bounds = np.searchsorted(keys[first], np.arange(len(texts) + 1, dtype=np.uint64) << _U(40))
+    return keys[first] & _U((1 << 40) - 1), counts, bounds
 
 
 def _uniform(state: np.ndarray) -> np.ndarray:
@@ -129,26 +115,38 @@ def signatures(items: np.ndarray, weights: np.ndarray, bounds: np.ndarray, width
 
 
 def _points(state: np.ndarray, weight: np.ndarray, of: np.ndarray, level: int, size: int, width: int, bound: np.ndarray, first: np.ndarray, value: np.ndarray) -> None:
-    """Points of one interval's processes up to the bound, each process drawn on until it passes it."""
+    """Points of one interval's processes up to the bound. A process's points follow from its state and their number."""
     rate = width * size
     state = _mix(_add(state, 1))
     live = _uniform(state) > np.exp(-rate * bound)[of]  # the first point comes before the bound
     state, weight, of = state[live], weight[live], of[live]
-    time = -np.log(_uniform(state)) / rate
-    while len(state):
-        place = _mix(_add(state, 3))
-        cell = of * width + ((place >> _U(32)) * _U(width) >> _U(32)).astype(np.int64)
-        inside = weight >= level + size
+    point, time, whose = state, -np.log(_uniform(state)) / rate, np.arange(len(state))
+    drawn, reached = np.ones(len(state), np.int64), time
+    while len(point):
+        place = _mix(_add(point, 3))
+        inside = weight[whose] >= level + size
         if size > 1:
-            inside |= level + size * _uniform(_mix(_add(state, 5))) < weight
-        c, t, v = cell[inside], time[inside], place[inside]
+            inside |= level + size * _uniform(_mix(_add(point, 5))) < weight[whose]
+        c = of[whose[inside]] * width + ((place[inside] >> _U(32)) * _U(width) >> _U(32)).astype(np.int64)
+        t, v = time[inside], place[inside]
         np.minimum.at(first, c, t)
         earliest = t == first[c]
         value[c[earliest]] = v[earliest]
-        state = _mix(_add(state, 7))
-        time = time - np.log(_uniform(state)) / rate
-        live = time < bound[of]
-        state, weight, of, time = state[live], weight[live], of[live], time[live]
+        # as many further points at once as are expected before the bound
+        more = reached < bound[of]
+        state, weight, of, drawn, reached = state[more], weight[more], of[more], drawn[more], reached[more]
+        n = np.ceil(rate * (bound[of] - reached)).astype(np.int64)
+        whose = np.repeat(np.arange(len(n)), n)
+        begin = np.cumsum(n) - n
+        number = np.arange(len(whose)) - begin[whose] + drawn[whose]
+        with np.errstate(over="ignore"):
+            point = _mix(state[whose] + _U(0x9E3779B97F4A7C15) * (number + 7).astype(np.uint64))
+        steps = np.cumsum(-np.log(_uniform(point)) / rate)
+        before = steps[begin - 1] if len(begin) else steps
+        time = reached[whose] + steps - np.where(begin > 0, before, 0.0)[whose]
+        drawn, reached = drawn + n, time[begin + n - 1] if len(begin) else reached
+        kept = time < bound[of[whose]]
+        point, time, whose = point[kept], time[kept], whose[kept]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -177,54 +175,95 @@ def _unpacked(items: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.view("<u8").ravel(), counts
 
 
-_SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("key", pa.binary()), ("sig", pa.binary()), ("items", pa.binary()), ("many", pa.binary())])
-_SIGNED_DDL = "row long, doc_id long, tag long, key binary, sig binary, items binary, many binary"
+_SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("key", pa.binary()), ("buckets", pa.list_(pa.int64()))])
+_SIGNED_DDL = "row long, doc_id long, tag long, key binary, buckets array<long>"
+_BODY = pa.schema([("key", pa.binary()), ("sketch", pa.binary()), ("items", pa.binary()), ("many", pa.binary())])
+_BODY_DDL = "key binary, sketch binary, items binary, many binary"
 
 
-def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
+def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list, tuple, np.ndarray]]:
+    """Parts of the batches with the key, the multisets (items, counts, bounds) and the signature of each of their texts."""
+    release()
     for batch in batches:
-        for part in chunks(batch, 4_000_000):
-            rows, ids, tags, texts = (part.column(c).to_pylist() for c in ("row", "doc_id", "tag", "text"))
-            sequences = [words(t) for t in texts]
-            items, counts, bounds = shingler(sequences)
-            sigs = signatures(items, counts, bounds)
+        for part in chunks(batch, CHUNK):
+            sequences = [words(t) for t in part.column("text").to_pylist()]
             keys = [xxhash.xxh3_128_digest(b" ".join(s)) if s else None for s in sequences]
+            found = shingles(sequences)
+            yield part, keys, found, signatures(*found, width)
+
+
+def _signing(bands: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, keys, _, sigs in _signed(batches, width):
+            cut = sigs.reshape(len(keys), bands, width // bands).astype(np.uint64)
+            state = np.broadcast_to(np.arange(bands, dtype=np.uint64), cut.shape[:2])
+            for k in range(cut.shape[2]):
+                state = _mix(_add(state, 1) ^ cut[:, :, k])
+            buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(state.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "tag")), pa.array(keys, pa.binary()), buckets], schema=_SIGNED)
+
+    return run
+
+
+def _bodying(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, (items, counts, bounds), sigs in _signed(batches, width):
             packed = [_packed(items[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = rows, ids, tags, keys, [x.tobytes() for x in sigs], [x[0] for x in packed], [x[1] for x in packed]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SIGNED.types, strict=True)], schema=_SIGNED)
+            columns = keys, [x.tobytes() for x in sigs.astype(np.uint8)], [x[0] for x in packed], [x[1] for x in packed]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], schema=_BODY)
 
+    return run
 
-def _banding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    per = WIDTH // BANDS
-    for batch in batches:
-        rows = batch.column("row").to_numpy()
-        if not len(rows):
-            continue
-        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(rows), BANDS, per).astype(np.uint64)
-        state = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(rows), BANDS))
-        for k in range(per):
-            state = _mix(_add(state, 1) ^ sigs[:, :, k])
-        yield pa.RecordBatch.from_arrays([pa.array(state.ravel().view(np.int64)), pa.array(np.repeat(rows, BANDS))], names=["bucket", "row"])
 
+def bodies_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """row, sketch (8 bits of each component), items, many of the needed rows (row, tag, key).
 
-def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    They are made a second time from the texts: few documents share a bucket, so the shingles of the others are never
+    written or moved. The tag picks the texts; the key, made anew, makes sure of them.
+    """
+    tags = needed.select("tag").distinct()
+    made = docs.join(small(tags, BROADCAST_ROWS), "tag", "left_semi").select("text").mapInArrow(_bodying(width), _BODY_DDL)
+    return stash(made.join(small(needed.select("key", "row"), BROADCAST_ROWS), "key").drop("key").dropDuplicates(["row"]), "bodies")
+
+
+def _alike(a: bytes, b: bytes) -> bool:
+    """Whether the sketches leave it possible that the likeness reaches the threshold."""
+    return (np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean() >= ESTIMATE
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        a, b = [], []
-        last, head = None, None
-        for r in batch.to_pylist():
-            if r["head"] != last:
-                last, head = r["head"], _unpacked(r["head_items"], r["head_many"])
-            if likeness(head, _unpacked(r["items"], r["many"])) >= THRESHOLD:
-                a.append(last)
-                b.append(r["row"])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield from zip(*((x.as_py() for x in c) for c in batch.columns), strict=True)
+
 
+def _pairs(found: list, names: tuple[str, str] = ("a", "b")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=list(names))
 
-def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (head, row) whose likeness reaches the threshold, as links a, b."""
-    heads = bodies.select(F.col("row").alias("head"), F.col("items").alias("head_items"), F.col("many").alias("head_many"))
-    return pairs.join(bodies.select("row", "items", "many"), "row").join(heads, "head").select("head", "row", "items", "many", "head_items", "head_many").mapInArrow(_verifying, "a long, b long")
+
+def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order: a head's body, then the rows that are held against it; only the head is kept in memory."""
+    found, head = [], ()
+    for of, _, is_row, row, sketch, items, many in _rows(batches):
+        if not is_row:
+            head = of, sketch, _unpacked(items, many)
+        elif _alike(head[1], sketch) and likeness(head[2], _unpacked(items, many)) >= THRESHOLD:
+            found.append((of, row))
+            if len(found) == 10_000:
+                yield _pairs(found)
+                found = []
+    yield _pairs(found)
+
+
+def verified(pairs: DataFrame, bodies: DataFrame, block: int) -> DataFrame:
+    """The pairs (head, row) whose likeness reaches the threshold, as links a, b.
+
+    A head with many rows is salted: its body is shipped once for every `block` rows, never with each of them.
+    """
+    heads = pairs.groupBy("head").agg(F.ceil(F.count("*") / block).alias("salts"))
+    body = "sketch", "items", "many"
+    each = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("row", F.col("head")).join(bodies, "row").select("head", "salt", F.lit(0).alias("is_row"), "row", *body)
+    rows = pairs.join(heads, "head").withColumn("salt", F.pmod(F.xxhash64("row"), "salts")).join(bodies, "row").select("head", "salt", F.lit(1).alias("is_row"), "row", *body)
+    return each.unionByName(rows).repartition("head", "salt").sortWithinPartitions("head", "salt", "is_row").mapInArrow(_verifying, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -260,69 +299,108 @@ class _Groups:
         self.up[self.find(a)] = self.find(b)
 
 
-def _resolving(key, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    """Links between queries and a block of their bucket; pairs that are already in one group are not compared."""
-    out, groups = [], _Groups()
-    if len(queries) and len(block):
-        sigs = np.frombuffer(b"".join(block["sig"]), np.uint32).reshape(len(block), WIDTH)
-        bodies: dict[int, tuple] = {}
-        rows, least = block["row"].tolist(), block["least"].tolist()
-        for q in queries.itertuples():
-            same = (sigs == np.frombuffer(q.q_sig, np.uint32)).mean(axis=1)
+def _resolving(exact: bool):
+    """Rows in order: a block of a bucket's members, then queries that are held against it, one at a time.
+
+    First by sketches: the rows that may have a link into another group. Then by their multisets: the links; pairs that
+    are already in one group aren't compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members, sketches, groups, found = None, [], None, _Groups(), []
+        for bucket, part, turn, is_query, row, least, sketch, *body in _rows(batches):
+            if at != (bucket, part, turn):
+                at, members, sketches, groups = (bucket, part, turn), [], None, _Groups()
+                if not exact:
+                    seen = set()
+            if not is_query:
+                members.append((row, least, sketch, body))
+                continue
+            if not members:
+                continue
+            if sketches is None:
+                sketches = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(len(members), -1)
+            same = (sketches == np.frombuffer(sketch, np.uint8)).mean(axis=1)
+            near = np.flatnonzero(same >= ESTIMATE)
             own = None
-            for j in np.flatnonzero(same >= ESTIMATE)[np.argsort(-same[same >= ESTIMATE], kind="stable")].tolist():
-                if groups.find(q.q_least) == groups.find(least[j]):
-                    continue
-                own = own or _unpacked(q.q_items, q.q_many)
-                if j not in bodies:
-                    bodies[j] = _unpacked(block["items"].iloc[j], block["many"].iloc[j])
-                if likeness(own, bodies[j]) >= THRESHOLD:
-                    out.append((q.q_row, rows[j]))
-                    groups.join(q.q_least, least[j])
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-
-def resolved(buckets: DataFrame, labels: DataFrame, bodies: DataFrame) -> DataFrame:
+            for j in near[np.argsort(-same[near], kind="stable")].tolist():
+                other, group, _, packed = members[j]
+                if not exact:
+                    if least != group:
+                        found += [(bucket, x) for x in (row, other) if x not in seen]
+                        seen |= {row, other}
+                elif groups.find(least) != groups.find(group):
+                    own = own or _unpacked(*body)
+                    if likeness(own, _unpacked(*packed)) >= THRESHOLD:
+                        found.append((row, other))
+                        groups.join(least, group)
+            if len(found) > 10_000:
+                yield _pairs(found, ("a", "b") if exact else ("bucket", "row"))
+                found = []
+        yield _pairs(found, ("a", "b") if exact else ("bucket", "row"))
+
+    return run
+
+
+def _faced(mixed: DataFrame, bodies: DataFrame, block: int, exact: bool) -> DataFrame:
+    """Every block of a bucket's rows beside every block of its queries, in order, through `_resolving`.
+
+    mixed: bucket, row, least, main (the bucket's largest group: its rows are no queries).
+    """
+    body = ("sketch", "items", "many") if exact else ("sketch",)
+    weight = F.sum(F.length("items") + F.length("many")) if exact else F.sum(F.length("sketch"))
+    is_query = F.col("least") != F.col("main")
+    totals = mixed.join(bodies, "row").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(weight / BLOCK_BYTES)).alias("parts"), F.ceil(F.count_if(is_query) / block).alias("turns"))
+    sized = mixed.join(totals, "bucket").where("turns > 0")
+    count = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    place = lambda c: F.pmod(F.xxhash64("row"), c)
+    members = sized.withColumn("part", place("parts")).withColumn("turn", count("turns")).withColumn("is_query", F.lit(0))
+    queries = sized.where(is_query).withColumn("turn", place("turns")).withColumn("part", count("parts")).withColumn("is_query", F.lit(1))
+    key = "bucket", "part", "turn"
+    both = members.unionByName(queries).join(bodies, "row").select(*key, "is_query", "row", "least", *body)
+    return both.repartition(*key).sortWithinPartitions(*key, "is_query").mapInArrow(_resolving(exact), "a long, b long" if exact else "bucket long, row long")
+
+
+def resolved(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, block: int) -> DataFrame:
     """Links inside the buckets whose documents lie in several groups: those outside a bucket's largest group against all of it."""
     placed = stash(buckets.join(labels, "row", "left").withColumn("least", F.coalesce("least", "row")), "placed")
     sizes = placed.groupBy("bucket", "least").count()
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "least")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("groups")).where("groups > 1").select("bucket", "all", F.col("top.least").alias("main"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "least")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("bucket", F.col("top.least").alias("main"))
     # buckets of different bands that hold the same documents are one
     mixed = placed.join(main, "bucket")
     same = mixed.groupBy("bucket").agg(F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("s2"), F.count("*").alias("n"))
     once = same.groupBy("s1", "s2", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
     mixed = stash(mixed.join(once, "bucket", "left_semi"), "mixed")
-    parts = F.ceil(F.col("all") / BLOCK)
-    block = mixed.withColumn("part", F.pmod(F.xxhash64("row"), parts)).join(bodies, "row")
-    queries = mixed.where("least <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).join(bodies, "row")
-    queries = queries.toDF(*(f"q_{c}" for c in queries.columns))
-    return queries.groupBy("q_bucket", "q_part").cogroup(block.groupBy("bucket", "part")).applyInPandas(_resolving, "a long, b long")
+    live = stash(_faced(mixed, bodies, block, False).distinct(), "live")
+    found = stash(_faced(mixed.join(live, ["bucket", "row"], "left_semi"), bodies, block, True), "near")
+    unstash(placed, mixed, live)
+    return found
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, bands: int = BANDS, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (the lowest doc_id of the group) and class_size of every document.
 
     Copies of one word sequence are represented by one row, so a group of copies is as cheap as one document.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("doc_id", "text"))
-    signed = stash(docs.mapInArrow(_signing, _SIGNED_DDL), "signed")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("doc_id", "text"))
+    signed = stash(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_signing(bands, width), _SIGNED_DDL), "signed")
     plain = signed.select("row", "doc_id", "tag", "key")
     texts = stash(plain.where("key is not null").groupBy("key").agg(F.min("row").alias("rep")), "texts")
-    bands = signed.select("row", "sig").join(texts.select(F.col("rep").alias("row")), "row", "left_semi").mapInArrow(_banding, "bucket long, row long")
-    bands = stash(bands, "bands")
-    heads = bands.groupBy("bucket").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    buckets = stash(bands.join(heads, "bucket"), "buckets")
-    needed = stash(buckets.select("row").distinct(), "needed")
-    bodies = signed.select("row", "sig", "items", "many").join(small(needed, BROADCAST_ROWS), "row", "left_semi")
-    links = stash(verified(buckets.where("row <> head").select("head", "row").distinct(), bodies), "near")
+    each = signed.join(small(texts.select(F.col("rep").alias("row")), BROADCAST_ROWS), "row", "left_semi").select("row", F.explode("buckets").alias("bucket"))
+    heads = stash(each.groupBy("bucket").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"), "heads")
+    buckets = stash(each.join(small(heads, BROADCAST_ROWS), "bucket"), "buckets")
+    needed = stash(plain.join(small(buckets.select("row").distinct(), BROADCAST_ROWS), "row", "left_semi").select("row", "tag", "key"), "needed")
+    bodies = bodies_of(docs, needed, width)
+    pairs = stash(buckets.where("row <> head").select("head", "row").distinct(), "pairs")
+    links = stash(verified(pairs, bodies, block), "near")
     labels = components(links)
-    more = stash(resolved(buckets.where("row <> head").select("bucket", "row"), labels, bodies), "near")  # all were compared with the head
+    more = resolved(buckets.where("row <> head").select("bucket", "row"), labels, bodies, block)  # all were compared with the head
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     roots = texts.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select("key", F.coalesce("least", "rep").alias("root"))
     placed = stash(plain.join(roots, "key", "left").select("row", "doc_id", "tag", F.coalesce("root", "row").alias("root")), "groups")
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("first_row"))
-    unstash(signed, bands, buckets, needed, links, more)
+    unstash(signed, texts, heads, buckets, needed, bodies, pairs, links, labels, more)
     return placed.join(classes, "root").select("doc_id", "tag", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("is_first"))
 
 

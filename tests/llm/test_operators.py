@@ -442,13 +442,43 @@ def test_near_groups(spark, nothing):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(expected))
 
 
-def test_mixed_buckets_are_resolved(spark, monkeypatch):
-    """With one row a band nearly everything shares buckets, so most links come from resolving them."""
-    monkeypatch.setattr(minhash, "BANDS", 180)
-    monkeypatch.setattr(minhash, "BLOCK", 7)
+@pytest.mark.parametrize(("bands", "block"), [(180, 7), (36, 3)])
+def test_mixed_buckets_are_resolved(spark, bands, block):
+    """With one component a band nearly everything shares buckets, so most links come from resolving them, in many small blocks."""
     texts = near_texts()
-    got = minhash.near_groups(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])).collect()
+    got = minhash.near_groups(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), bands=bands, block=block).collect()
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(naive_groups(texts)))
+    docs = frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]).selectExpr("doc_id AS row", "doc_id", "doc_id AS tag", "text")
+    signed = docs.mapInArrow(minhash._signing(bands, 180), minhash._SIGNED_DDL).where("key is not null").collect()
+    assert {len(r.buckets) for r in signed} == {bands}
+    shared = Counter(b for r in signed for b in set(r.buckets))
+    assert max(shared.values()) > block  # buckets of several blocks
+
+
+def test_recall_on_the_tables(spark):
+    """Every pair of likeness 0.8 or more, by comparing all documents that share a shingle, lies in one group."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    every = [shingles(r.text) for r in rows]
+    holders, pairs = defaultdict(list), Counter()
+    for i, s in enumerate(every):
+        for x in s:
+            holders[x].append(i)
+    for own in holders.values():
+        for k, i in enumerate(own):
+            pairs.update((j, i) for j in own[:k])
+    near = [(i, j) for i, j in pairs if sum((every[i] & every[j]).values()) >= 0.8 * sum((every[i] | every[j]).values())]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in near:
+        a, b = sorted((find(i), find(j)))
+        up[b] = a
+    got = {r.doc_id: r.class_id for r in minhash.near_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(near) > 50 and got == {rows[i].doc_id: rows[find(i)].doc_id for i in range(len(rows))}
 
 
 def test_odd_rows(spark, docs):
