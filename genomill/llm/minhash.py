@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from genomill.llm.common import chunks, release, small, stash, unstash
 
 SHINGLE, WIDTH, BANDS, THRESHOLD = 5, 180, 36, 0.8
-#: Likeness estimates below this can't come from a pair of likeness 0.8 (six standard deviations).
-ESTIMATE = 0.6
-#: Most rows, and about the most bytes, of a bucket's block that one task holds.
-BLOCK, BLOCK_BYTES = 1_000, 8_000_000
+#: Likeness estimates below this don't come from a pair of likeness 0.8 (five standard deviations: 3e-7).
+ESTIMATE = 0.65
+#: Most rows, and about the most bytes, of a bucket's block that one task holds, and how many times as many rows if only sketches are held.
+BLOCK, BLOCK_BYTES, SKETCHES = 4_000, 8_000_000, 4
 #: Bytes of text whose words a worker holds at once.
 CHUNK = 1_000_000
 #: Most rows of one or two numbers each that are broadcast; more are joined by a shuffle.
@@ -303,35 +303,37 @@ def _resolving(exact: bool):
     """Rows in order: a block of a bucket's members, then queries that are held against it, one at a time.
 
     First by sketches: the rows that may have a link into another group. Then by their multisets: the links; pairs that
-    are already in one group aren't compared.
+    are already in one group aren't compared. Two rows are compared in the first of the buckets that
+    hold both, and two queries of one bucket once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, sketches, groups, found = None, [], None, _Groups(), []
-        for bucket, part, turn, is_query, row, least, sketch, *body in _rows(batches):
+        at, members, sketches, groups, found, seen = None, [], None, _Groups(), [], set()
+        for bucket, part, turn, is_query, outer, row, least, own, sketch, *body in _rows(batches):
             if at != (bucket, part, turn):
-                at, members, sketches, groups = (bucket, part, turn), [], None, _Groups()
-                if not exact:
-                    seen = set()
+                at, members, sketches, groups, seen = (bucket, part, turn), [], None, _Groups(), set()
             if not is_query:
-                members.append((row, least, sketch, body))
+                members.append((row, least, outer, own, sketch, body))
                 continue
             if not members:
                 continue
             if sketches is None:
-                sketches = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(len(members), -1)
-            same = (sketches == np.frombuffer(sketch, np.uint8)).mean(axis=1)
-            near = np.flatnonzero(same >= ESTIMATE)
-            own = None
-            for j in near[np.argsort(-same[near], kind="stable")].tolist():
-                other, group, _, packed = members[j]
+                sketches = np.frombuffer(b"".join(m[4] for m in members), np.uint8).reshape(len(members), -1)
+                owns, rows = np.array([m[3] for m in members]), np.array([m[0] for m in members])
+                outers = np.array([m[2] for m in members])
+            near = np.flatnonzero((sketches == np.frombuffer(sketch, np.uint8)).mean(axis=1) >= ESTIMATE)
+            mine = np.array(own)
+            near = near[(mine[(owns[near] == mine).argmax(axis=1)] == bucket) & (~outers[near] | (rows[near] > row))]
+            unpacked = None
+            for j in near.tolist():
+                other, group, _, _, _, packed = members[j]
                 if not exact:
                     if least != group:
                         found += [(bucket, x) for x in (row, other) if x not in seen]
                         seen |= {row, other}
                 elif groups.find(least) != groups.find(group):
-                    own = own or _unpacked(*body)
-                    if likeness(own, _unpacked(*packed)) >= THRESHOLD:
+                    unpacked = unpacked or _unpacked(*body)
+                    if likeness(unpacked, _unpacked(*packed)) >= THRESHOLD:
                         found.append((row, other))
                         groups.join(least, group)
             if len(found) > 10_000:
@@ -345,9 +347,9 @@ def _resolving(exact: bool):
 def _faced(mixed: DataFrame, bodies: DataFrame, block: int, exact: bool) -> DataFrame:
     """Every block of a bucket's rows beside every block of its queries, in order, through `_resolving`.
 
-    mixed: bucket, row, least, main (the bucket's largest group: its rows are no queries).
+    mixed: bucket, row, least, own (the row's buckets by band), main (the bucket's largest group: its rows are no queries).
     """
-    body = ("sketch", "items", "many") if exact else ("sketch",)
+    body = ("own", "sketch", "items", "many") if exact else ("own", "sketch")
     weight = F.sum(F.length("items") + F.length("many")) if exact else F.sum(F.length("sketch"))
     is_query = F.col("least") != F.col("main")
     totals = mixed.join(bodies, "row").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(weight / BLOCK_BYTES)).alias("parts"), F.ceil(F.count_if(is_query) / block).alias("turns"))
@@ -357,11 +359,11 @@ def _faced(mixed: DataFrame, bodies: DataFrame, block: int, exact: bool) -> Data
     members = sized.withColumn("part", place("parts")).withColumn("turn", count("turns")).withColumn("is_query", F.lit(0))
     queries = sized.where(is_query).withColumn("turn", place("turns")).withColumn("part", count("parts")).withColumn("is_query", F.lit(1))
     key = "bucket", "part", "turn"
-    both = members.unionByName(queries).join(bodies, "row").select(*key, "is_query", "row", "least", *body)
+    both = members.unionByName(queries).join(bodies, "row").select(*key, "is_query", is_query.alias("outer"), "row", "least", *body)
     return both.repartition(*key).sortWithinPartitions(*key, "is_query").mapInArrow(_resolving(exact), "a long, b long" if exact else "bucket long, row long")
 
 
-def resolved(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, block: int) -> DataFrame:
+def resolved(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, bands: int, block: int) -> DataFrame:
     """Links inside the buckets whose documents lie in several groups: those outside a bucket's largest group against all of it."""
     placed = stash(buckets.join(labels, "row", "left").withColumn("least", F.coalesce("least", "row")), "placed")
     sizes = placed.groupBy("bucket", "least").count()
@@ -370,8 +372,11 @@ def resolved(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, block: in
     mixed = placed.join(main, "bucket")
     same = mixed.groupBy("bucket").agg(F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("s2"), F.count("*").alias("n"))
     once = same.groupBy("s1", "s2", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    mixed = stash(mixed.join(once, "bucket", "left_semi"), "mixed")
-    live = stash(_faced(mixed, bodies, block, False).distinct(), "live")
+    mixed = mixed.join(once, "bucket", "left_semi")
+    # an array of all bands; where a row has no such bucket, a number of its own
+    own = mixed.groupBy("row").agg(F.array(*(F.coalesce(F.max(F.when(F.col("band") == i, F.col("bucket"))), -F.col("row") - 1) for i in range(bands))).alias("own"))
+    mixed = stash(mixed.join(own, "row").select("bucket", "row", "least", "main", "own"), "mixed")
+    live = stash(_faced(mixed, bodies, SKETCHES * block, False).distinct(), "live")  # sketches are small
     found = stash(_faced(mixed.join(live, ["bucket", "row"], "left_semi"), bodies, block, True), "near")
     unstash(placed, mixed, live)
     return found
@@ -386,7 +391,7 @@ def near_groups(docs: DataFrame, bands: int = BANDS, width: int = WIDTH, block:
     signed = stash(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_signing(bands, width), _SIGNED_DDL), "signed")
     plain = signed.select("row", "doc_id", "tag", "key")
     texts = stash(plain.where("key is not null").groupBy("key").agg(F.min("row").alias("rep")), "texts")
-    each = signed.join(small(texts.select(F.col("rep").alias("row")), BROADCAST_ROWS), "row", "left_semi").select("row", F.explode("buckets").alias("bucket"))
+    each = signed.join(small(texts.select(F.col("rep").alias("row")), BROADCAST_ROWS), "row", "left_semi").select("row", F.posexplode("buckets").alias("band", "bucket"))
     heads = stash(each.groupBy("bucket").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"), "heads")
     buckets = stash(each.join(small(heads, BROADCAST_ROWS), "bucket"), "buckets")
     needed = stash(plain.join(small(buckets.select("row").distinct(), BROADCAST_ROWS), "row", "left_semi").select("row", "tag", "key"), "needed")
@@ -394,7 +399,7 @@ def near_groups(docs: DataFrame, bands: int = BANDS, width: int = WIDTH, block:
     pairs = stash(buckets.where("row <> head").select("head", "row").distinct(), "pairs")
     links = stash(verified(pairs, bodies, block), "near")
     labels = components(links)
-    more = resolved(buckets.where("row <> head").select("bucket", "row"), labels, bodies, block)  # all were compared with the head
+    more = resolved(buckets.where("row <> head").select("band", "bucket", "row"), labels, bodies, bands, block)  # all were compared with the head
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     roots = texts.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select("key", F.coalesce("least", "rep").alias("root"))
