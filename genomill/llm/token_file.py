@@ -18,6 +18,7 @@ come last; very long texts make long blocks, never several; an empty table gives
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -37,8 +38,8 @@ from genomill.llm.common import held, scratch, slices, stash, unstash
 MAX_BITS, STEP, BLOCK_IDS, END_ID = 16, 512, 500_000, 2
 #: Most blocks whose numbers are broadcast to place them.
 PLACES = 1_000_000
-#: Most pieces of text whose ids a worker remembers, for good and for a while, and most words.
-OLD, YOUNG, WORDS = 400_000, 150_000, 250_000
+#: Strings that a worker meets before it forgets those met longest ago.
+REMEMBERED = 200_000
 MAGIC = b"TKH1"
 
 
@@ -56,79 +57,61 @@ class _Mapped(dict):
         return self[c]
 
 
+#: The pre-tokenizer's classes of letters and numbers among the characters that `_ODD` lets through.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+_ODD = re.compile("[^\\t\\n\\r -~\u00a1-\u024f\u2010-\u2027\u2030-\u205e]")
+
+
+class _Memo(dict):
+    """Ids of pieces by the library's model; the pieces met longest ago are forgotten."""
+
+    def __init__(self, model, mapped: _Mapped):
+        super().__init__()
+        self.cut, self.mapped, self.blank, self.old = model.tokenize, mapped, mapped[32], {}
+        self.two = [i.to_bytes(2, "little") for i in range(1 << 16)]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            spelled = piece.replace(" ", self.blank) if piece.isascii() and piece.isprintable() else piece.translate(self.mapped)
+            two = self.two
+            ids = b"".join([two[t.id] for t in self.cut(spelled)])
+        self[piece] = ids
+        return ids
+
+    def tidy(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, remembering the ids of pieces between single blanks.
+    """Ids of whole texts by the tokenizers library, remembering the ids of pieces.
 
-    The pre-tokenizer lets a blank start the piece that follows it, and a single blank between two other characters always
-    does; so the ids of a text are those of its parts cut before such blanks. Parts of plain words, marks and single line
-    breaks are cut as the pre-tokenizer would and given to the library's model; others, and texts with other white space next
-    to a blank or with an added token's string, go through the whole tokenizer.
+    Texts of Latin letters, numbers and marks are cut by the byte-level pre-tokenizer's pattern; the library's model turns
+    each piece into ids, once for as long as it is remembered. Texts with other characters, where Unicode versions might cut
+    differently, or with an added token's string go through the whole tokenizer.
     """
 
-    #: Words of Latin letters, runs of marks, a line break before something else: each is one piece for the pre-tokenizer.
-    PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,!?;:]+|\n(?=[^\s])")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.mapped = self.tokenizer.model, _Mapped()
-        self.old: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > WORDS:
-                self.words = {}
-            spelled = word.replace(" ", self.mapped[32]).replace("\n", self.mapped[10]) if word.isascii() else word.translate(self.mapped)
-            found = self.words[word] = array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return found
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces; False for a piece with white space inside its ends, whose text must be encoded as a whole."""
-        hard = []
-        for p in pieces:
-            store = self.old if len(self.old) < OLD else self.young
-            bare = p[1:] if p[:1] == " " else p
-            if not bare or bare[0].isspace() or bare[-1].isspace():
-                store[p] = False
-                continue
-            parts = self.PLAIN.findall(p)
-            if sum(map(len, parts)) == len(p):
-                store[p] = b"".join(map(self._word, parts))
-            else:
-                hard.append(p)
-        for k in range(0, len(hard), 5_000):
-            for p, ids in zip(hard[k : k + 5_000], self._whole(hard[k : k + 5_000]), strict=True):
-                (self.old if len(self.old) < OLD else self.young)[p] = ids
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memo = _Memo(self.tokenizer.model, _Mapped())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """uint16 ids of each text."""
         return [self._encode(text) for text in texts]
 
     def _encode(self, text: str) -> bytes:
-        if "\0" in text or any(t in text for t in self.added):
-            return self._whole([text])[0]
-        pieces = text.replace(" ", "\0 ").split("\0")  # every blank begins a piece
-        parts = list(map(self.old.get, pieces))
-        if None in parts:
-            if len(self.young) > YOUNG:
-                self.young = {}
-            young = self.young
-            self._learn([p for p in dict.fromkeys(p for p, x in zip(pieces, parts, strict=True) if x is None) if p not in young])
-            known = self.old
-            parts = [known[p] if p in known else young[p] if x is None else x for p, x in zip(pieces, parts, strict=True)]
-        try:
-            return b"".join(parts)
-        except TypeError:  # a False among them
-            return self._whole([text])[0]
+        if _ODD.search(text) or any(t in text for t in self.added):
+            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        ids = b"".join(map(self.memo.__getitem__, _PIECE.findall(text)))
+        self.memo.tidy()
+        return ids
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -232,10 +215,12 @@ def read_block(payload: bytes, code: Code) -> tuple[list, list[np.ndarray]]:
 def _encoding(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held(("encoder", path), lambda: Encoder(path))
+        gc.disable()  # nothing here makes cycles, and the memo has many small objects
         end = np.array([END_ID], np.uint16).tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array([x + end for x in encoder.encode(texts)], pa.binary())], names=["doc_id", "tie", "ids"])
+        gc.enable()
 
     return run
 
@@ -243,8 +228,7 @@ def _encoding(path: str):
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for ids in batch.column("ids"):
-            counts += np.bincount(np.frombuffer(ids.as_buffer(), np.uint16), minlength=1 << 16)
+        counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.uint16), minlength=1 << 16)
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "n"])
 
