@@ -6,10 +6,10 @@ import math
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; where that is unset (tests, one machine) a folder of our own."""
+    """The shared folder of `spark.checkpoint.dir`; where that is unset on one machine (tests) a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{os.path.join(tempfile.gettempdir(), 'corpus-scratch-' + spark.sparkContext.applicationId)}"
     return path.rstrip("/")
 
@@ -62,6 +64,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def shielded(docs: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """`docs` with columns of the taken names (in any case) renamed, and what selects its columns under their own names again."""
+    lower = {c.lower() for c in taken}
+    named = {c: f"__own_{i}" if c.lower() in lower else c for i, c in enumerate(docs.columns)}
+    return docs.toDF(*named.values()), [F.col(f"`{new}`").alias(old) for old, new in named.items()]
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for df in frames[1:]:

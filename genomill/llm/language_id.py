@@ -6,13 +6,16 @@ a language is the log probability of its character n-grams (of 1 to 3 letters, w
 Viterbi pass over the words of a text, in which changing the language costs `SWITCH`, labels its spans; the language of most
 letters is the text's, and the score is its share of letters times the mean posterior of its words there.
 
-For each text the Viterbi path is found exactly: if no run of words in another language gains more than one switch over
-the text's best single language, that language's constant path is optimal; all others are solved by the recurrence.
+For each text the Viterbi path is found exactly. The text's best single language is the best path if two things hold: no run
+of words in another language gains more than one switch over it (so no path that uses it anywhere is better), and the best
+other languages of all words together gain no more than one switch (so no path that avoids it is better). All other texts are
+solved by the recurrence.
 
-The model is learned from at most about `SAMPLE` labelled rows a language (those with the lowest hash of doc_id). It holds at most
-`GRAMS` n-grams, the commonest.
+The model is learned from at most about `SAMPLE` labelled rows a language (those with the lowest hash of doc_id). It holds
+every n-gram met there, with one number for each language that has it.
 
-Defined cases: null text, or text without a letter, is `und` with score 0; letters in no learned script leave all languages
+Defined cases: words are runs of letters and combining marks; null text, or text without a letter (digits, number symbols
+and marks are none), is `und` with score 0; letters in no learned script leave all languages
 as candidates; without any labelled row everything is `und`; ties go to the language first by code point; repeated rows are
 documents of their own; empty tables work; columns other than text (and, for learning, doc_id and lang) are not read.
 """
@@ -27,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genomill.llm.common import chunks, held
 
-SAMPLE, GRAMS, SWITCH, UND = 1_000, 200_000, 12.0, "und"
+SAMPLE, SWITCH, UND = 1_000, 12.0, "und"
 ORDER = 3
 #: A language belongs to a script that at least one of so many of its own words has.
 RARE = 1_000
@@ -40,7 +44,10 @@ RARE = 1_000
 CHUNK = 2_000_000
 #: Most words whose scores a worker remembers before it starts anew.
 REMEMBERED = 400_000
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+(?:['’\-]\p{L}[\p{L}\p{M}]*+)*+")
+#: The same for texts without marks, number symbols and letters of other scripts, and what shows that a text has some.
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_ODD = re.compile("[²³¹¼-¾\u0300-\u1fff\u2070-\U0010ffff]")
 
 # First code point and script of ranges of letters.
 SCRIPTS = (
@@ -65,11 +72,21 @@ def scripts(word: str) -> frozenset[str]:
     return _LATIN if max(word) < "\u0370" else frozenset(script(c) for c in set(word) if c.isalpha())
 
 
+def _words(text: str | None) -> list[str]:
+    low = (text or "").lower()
+    return finder(low).findall(low)
+
+
 def grams(word: str) -> list[str]:
     w = f"<{word}>"
     return [w[i : i + n] for n in range(1, ORDER + 1) for i in range(len(w) - n + 1)]
 
 
+def finder(text: str):
+    """The pattern of this text's words."""
+    return _LETTERS if _ODD.search(text) else _WORD
+
+
 class Model:
     """Log probabilities of n-grams by language, and the languages of each script."""
 
@@ -79,26 +96,33 @@ class Model:
         place = {x: i for i, x in enumerate(self.langs)}
         self.by_script = {s: frozenset(place[x] for x in own) for s, own in by_script.items()}
         self.place = {g: i for i, g in enumerate(counts)}
-        table, order = np.zeros((len(counts), len(self.langs))), np.fromiter(map(len, counts), np.int64, len(counts))
+        kinds = np.bincount(np.fromiter(map(len, counts), np.int64, len(counts)), minlength=ORDER + 1)
+        total = np.tile((0.5 * kinds + 1)[:, None], (1, len(self.langs)))
         for g, own in counts.items():
             for lang, n in own.items():
-                table[self.place[g], place[lang]] = n
-        kinds = np.bincount(order, minlength=ORDER + 1)
-        total = np.array([table[order == n].sum(axis=0) for n in range(ORDER + 1)]) + (0.5 * kinds + 1)[:, None]
-        # after the known n-grams a row for unknown ones of each length
-        self.table = np.concatenate((np.log((table + 0.5) / total[order]), np.log(0.5 / total)))
+                total[len(g), place[lang]] += n
+        # an n-gram that a language lacks has half a count; the others add what they have above that
+        self.base = np.log(0.5 / total)
+        self.start = np.cumsum([0, *map(len, counts.values())])
+        self.lang = np.array([place[lang] for own in counts.values() for lang in own], np.int32)
+        self.gain = np.log(np.array([n + 0.5 for own in counts.values() for n in own.values()]) / 0.5).astype(np.float32)
         self.known: dict[str, int] = {}
         self.matrix = np.zeros((0, len(self.langs)), np.float32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         """Log posteriors of the words among their candidates (a flat prior); other languages get a large loss."""
-        get, base, at, sizes = self.place.get, len(self.place), [], []
+        get, at, sizes = self.place.get, [], []
         for w in words:
-            own = grams(w)
-            at += [get(g, base + len(g)) for g in own]
+            own = [i for g in grams(w) if (i := get(g)) is not None]
+            at += own
             sizes.append(len(own))
-        starts = np.cumsum([0, *sizes[:-1]])
-        total = np.add.reduceat(self.table[at], starts, axis=0) / (ORDER / 2)  # n-grams overlap
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        total = sum(np.maximum(length - n + 1, 0)[:, None] * self.base[n] for n in range(1, ORDER + 1))
+        at = np.array(at, np.int64)
+        n = self.start[at + 1] - self.start[at]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)
+        cell = np.repeat(np.repeat(np.arange(len(words)), sizes), n) * len(self.langs) + self.lang[place]
+        total = (total + np.bincount(cell, self.gain[place], total.size).reshape(total.shape)) / (ORDER / 2)  # n-grams overlap
         everything, latin = frozenset(range(len(self.langs))), self.by_script.get("latin", frozenset())
         for i, w in enumerate(words):
             own = scripts(w)
@@ -126,9 +150,12 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The labels of the best path; staying is preferred to switching, lower labels to higher ones."""
     total = scores.sum(axis=0, dtype=np.float64)
     best = int(total.argmax())
-    lead = np.cumsum(np.concatenate((np.zeros((1, scores.shape[1])), scores - scores[:, best : best + 1])), axis=0)
-    if (lead - np.minimum.accumulate(lead)).max() <= switch:
-        return np.full(len(scores), best)
+    gain = scores - scores[:, best : best + 1].astype(np.float64)
+    others = np.delete(gain, best, axis=1)
+    if others.size == 0 or others.max(axis=1).sum() <= switch:
+        lead = np.cumsum(np.concatenate((np.zeros((1, scores.shape[1])), gain)), axis=0)
+        if (lead - np.minimum.accumulate(lead)).max() <= switch:
+            return np.full(len(scores), best)
     value, rows = scores[0].tolist(), scores.tolist()
     values = [value]
     for row in rows[1:]:
@@ -148,8 +175,8 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 def labels(texts: list[str | None], model: Model, spans: bool = False) -> list[tuple[str, float, list]]:
     """Language, score and, if asked for, spans (first character, end, language) of each text."""
-    found = [[m.span() for m in _WORD.finditer(t or "")] for t in texts] if spans else [()] * len(texts)
-    words = [[t[a:b].lower() for a, b in own] for t, own in zip(texts, found, strict=True)] if spans else [_WORD.findall((t or "").lower()) for t in texts]
+    found = [[m.span() for m in finder(t or "").finditer(t or "")] for t in texts] if spans else [()] * len(texts)
+    words = [[t[a:b].lower() for a, b in own] for t, own in zip(texts, found, strict=True)] if spans else [_words(t) for t in texts]
     if not model.langs:
         return [(UND, 0.0, [])] * len(texts)
     return [_labelled(w, f, s, model.langs) if w else (UND, 0.0, []) for w, f, s in zip(words, found, model.scores(words), strict=True)]
@@ -176,7 +203,7 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in chunks(whole, CHUNK)):
         words: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words.update((lang, w) for w in _WORD.findall((text or "").lower()))
+            words.update((lang, w) for w in _words(text))
         for (lang, w), n in words.items():
             for g in grams(w):
                 counts[lang, g] += n
@@ -186,35 +213,28 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "gram", "n"])
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, limit: int = GRAMS) -> Model:
+def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """labelled: doc_id, text, lang without null lang."""
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)).alias("at"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    if not counts:
+    rates = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("rate")).collect()  # one row a language
+    if not rates:
         return Model({}, [], {})
-    below = F.lit(False)
-    for lang, n in counts.items():
-        below = below | ((F.col("lang") == lang) & (F.col("at") < sample / n))
-    summed = rows.where(below).select("lang", "text").mapInArrow(_grams_of, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all"))
-    return _model(summed, sorted(counts), limit)
-
-
-def _model(summed: DataFrame, langs: list[str], limit: int) -> Model:
+    drawn = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(rates, "lang string, rate double")), "lang").where("at < rate")
+    summed = drawn.select("lang", "text").mapInArrow(_grams_of, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     grams_, words, totals = {}, {}, Counter()
-    of_script = F.col("gram").startswith("#")  # no word has this mark; scripts are few and never give way to n-grams
-    for r in summed.orderBy(of_script.desc(), F.col("all").desc(), "gram").limit(limit + len({s for _, s in SCRIPTS})).collect():
+    for r in summed.orderBy("gram").collect():  # the sample's n-grams of `ORDER` letters at most; no word has the mark of a script
         if r["gram"][0] == "#":
             words[r["gram"][1:]] = r["by"]
             totals.update(r["by"])
-        elif len(grams_) < limit:
+        else:
             grams_[r["gram"]] = r["by"]
-    return Model(grams_, langs, {s: [lang for lang, n in by.items() if RARE * n >= totals[lang]] for s, by in words.items()})
+    return Model(grams_, sorted(r["lang"] for r in rates), {s: [lang for lang, n in by.items() if RARE * n >= totals[lang]] for s, by in words.items()})
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """The documents' columns with lang_pred, score and, if asked for, spans."""
     columns, token = docs.columns, uuid.uuid4().hex
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # `GRAMS` n-grams at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the n-grams of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held(("language", token), lambda: shared.value)
