@@ -5,12 +5,16 @@ is inside an article than outside, learned from labelled pages; one linear scan
 sum. The run is then read block by block: white space inside a block becomes one blank, blocks are joined by an empty line.
 
 Labelled pages are those that mark their article themselves (one <article>, <main> or role="main" element): the words and
-tags inside are positive, the rest negative. Every labelled page of the table counts.
-Inside the run, elements that are never article text (scripts, styles, forms, navigation, asides, adverts, notices, comment
-sections and comments) are left out; these names are the fixed values below.
+tags inside are positive, the rest negative. Every labelled page of the table counts; tags that HTML doesn't know count as one.
+Elements that are never article text (scripts, styles, forms, navigation, asides, and those whose class, id or role speaks of
+noise) don't score. The run is widened to the marked article around it, or else to the
+element that just encloses it. Inside it, class names count only
+where they name comments or adverts, or where a container is named as a menu, sidebar, notice or the like, whatever its size;
+an element that holds a marked article (for comments: a first heading) is a frame around it and never noise.
 
 Defined cases: null or empty html gives the empty text; a page without words gives the empty text; tags that are never
-closed end with the page; repeated rows are pages of their own; an empty table gives no rows; url and page_id may be null.
+closed end with the page; quotes count only after an equals sign; pages of any length and nesting take linear time; repeated
+rows are pages of their own; an empty table gives no rows; url and page_id may be null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,21 +32,26 @@ from pyspark.sql import functions as F
 
 # Elements of HTML by their role.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "button", "xmp", "noembed", "noframes", "audio", "video", "canvas", "head")
+HEAD = frozenset(("title", "meta", "link", "style", "script", "base", "noscript", "template"))
 SKIP = frozenset(RAW + ("nav", "aside", "footer", "form", "dialog", "menu", "fieldset"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 BLOCK = frozenset((
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 ))
-CLOSES_P = BLOCK - {"br"}
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|notice|newsletter|subscribe|signup|popup|modal|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|related\w*|recommend\w*"
-    r"|share|sharing|social\w*|comments?|comment-\w+|commentlist|respond|replies|reply|disqus\w*|footer\w*|masthead|toolbar|pagination|pager|login|search\w*|skip\w*|copyright|legal|disclaimer|hidden)(?:$|[\s_-])"
-)
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label legend map mark picture q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+KNOWN = BLOCK | VOID | SKIP | INLINE
+_WORD = r"(?:^|[\s_-])(?:%s)(?:$|[\s_-])"
+COMMENTS = re.compile(_WORD % r"comments?|comment-\w+|commentlist|respond|replies|reply|disqus\w*|discussion")
+ADVERTS = re.compile(_WORD % r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*")
+BOXES = re.compile(_WORD % r"cookie\w*|consent|notice|newsletter|subscribe|signup|popup|modal|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|related\w*|recommend\w*|share|sharing|social\w*|pagination|pager")
+NOISE = re.compile(_WORD % r"nav\w*|side|widget\w*|footer\w*|masthead|toolbar|login|search\w*|skip\w*|copyright|legal|disclaimer|hidden")
 NOISE_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar", "alertdialog"))
+CONTAINERS = frozenset(("div", "section", "ul", "ol", "dl", "table", "details", "figure", "header"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|aria-label)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/\"']|$)", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -59,30 +69,45 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if not name:
             continue
         yield ("close" if found[1] else "open"), name, found[3]
-        if not found[1] and name in _RAW_END and name != "head" and not found[3].endswith("/"):
+        if not found[1] and name in _RAW_END and name != "head" and not _CLOSED.search(found[3]):
             ending = _RAW_END[name].search(page, at)
             at = ending.start() if ending else end
 
 
-def noisy(name: str, attributes: str) -> bool:
+#: What an element is: article text, its mark, or noise of some kind.
+PLAIN, MARK, ROLE, COMMENT, ADVERT, BOX, NAMED = range(7)
+
+
+def kind_of(name: str, attributes: str) -> int:
+    """PLAIN, MARK (the article's own element), ROLE (noise by its element, role or style), COMMENT, ADVERT, BOX, or NAMED (noise outside the article only)."""
     if name in SKIP:
-        return True
-    if not attributes or name in ("body", "html", "article", "main"):
-        return False
-    for key, value in _ATTR.findall(attributes):
+        return ROLE
+    names, role, found = "", "", PLAIN
+    for key, value in _ATTR.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and NOISE.search(value) or key == "role" and value in NOISE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        if key in ("class", "id"):
+            names += " " + value
+        elif key == "role":
+            role = value
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            found = ROLE
+    if found == ROLE or role in NOISE_ROLES:
+        return ROLE
+    if name in ("body", "html", "main") or role == "main":
+        return MARK if name == "main" or role == "main" else PLAIN
+    if names:
+        found = COMMENT if COMMENTS.search(names) else ADVERT if ADVERTS.search(names) else BOX if BOXES.search(names) else NAMED if NOISE.search(names) else PLAIN
+    return MARK if name == "article" and found != COMMENT else found
 
 
 def feature(kind: str, name: str, attributes: str) -> str:
     """What a tag's weight is learned for: its name, and whether its attributes speak of noise."""
-    return f"{'/' if kind == 'close' else ''}{name}{'!' if kind == 'open' and noisy(name, attributes) else ''}"
+    known = name if name in KNOWN else "#other"
+    return "/" + known if kind == "close" else known + "!" * (MARK < kind_of(name, attributes) < NAMED)
 
 
 def marked(kind: str, name: str, attributes: str) -> bool:
-    return kind == "open" and (name in ("article", "main") or 'role="main"' in attributes)
+    return kind == "open" and kind_of(name, attributes) == MARK
 
 
 def count_page(page: str, inside: Counter, outside: Counter) -> bool:
@@ -101,7 +126,8 @@ def count_page(page: str, inside: Counter, outside: Counter) -> bool:
     for i, (kind, value, attributes) in enumerate(seq):
         at = inside if starts[0] < i < stop else outside
         if kind == "text":
-            at["#word"] += len(value.split())
+            if n := len(value.split()):
+                at["#word"] += n
         else:
             at[feature(kind, value, attributes)] += 1
     return True
@@ -126,26 +152,28 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return best
 
 
-def elements(seq: list) -> list[tuple[int, int, str, bool, bool]]:
-    """(first token, token after the last, name, noisy, inside an article) of every element; what isn't closed ends with its parent."""
-    out, stack, articles = [], [], 0
+def elements(seq: list) -> list[tuple[int, int, str, int, bool]]:
+    """(first token, token after the last, name, kind, inside an article) of every element; what isn't closed ends with its parent."""
+    out, stack, articles, depth = [], [], 0, Counter()
 
     def pop(end: int) -> str:
         nonlocal articles
-        start, name, noise, main, within = stack.pop()
-        articles -= main
-        out.append((start, end, name, noise, within))
+        start, name, kind, within = stack.pop()
+        articles -= kind == MARK
+        depth[name] -= 1
+        out.append((start, end, name, kind, within))
         return name
 
     for i, (kind, value, attributes) in enumerate(seq):
         if kind == "open":
-            if value in BLOCK and stack and stack[-1][1] == "p":
+            if stack and (value in BLOCK and stack[-1][1] == "p" or stack[-1][1] == "head" and value not in HEAD):
                 pop(i)
-            if value not in VOID and not attributes.endswith("/"):
-                main = marked(kind, value, attributes)
-                stack.append((i, value, noisy(value, attributes), main, articles > 0))
-                articles += main
-        elif kind == "close" and any(x[1] == value for x in stack):
+            if value not in VOID and not _CLOSED.search(attributes):
+                what = kind_of(value, attributes)
+                stack.append((i, value, what, articles > 0))
+                articles += what == MARK
+                depth[value] += 1
+        elif kind == "close" and depth[value]:
             while pop(i + 1) != value:
                 pass
     while stack:
@@ -153,22 +181,46 @@ def elements(seq: list) -> list[tuple[int, int, str, bool, bool]]:
     return out
 
 
+def _covered(size: int, ranges: Iterable[tuple[int, int]]) -> list[bool]:
+    """Which of `size` places lie in a range."""
+    edges = [0] * (size + 1)
+    for a, b in ranges:
+        edges[a] += 1
+        edges[b] -= 1
+    return [n > 0 for n in accumulate(edges[:size])]
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The run with the best score, widened to the element that just encloses it, without what is noise inside."""
+    """The run with the best score, widened to its article or the element that just encloses it, without what is noise inside."""
     seq = list(tokens(page or ""))
-    words = [len(value.split()) if kind == "text" else 0 for kind, value, _ in seq]
-    tree, total = elements(seq), sum(words)
-    hidden = [False] * len(seq)
-    for start, stop, name, noise, within in tree:
-        by_name = name in SKIP or name == "header" and not within
-        if by_name and not any(marked(*seq[i]) for i in range(start, stop)) or noise and not by_name and 2 * sum(words[start:stop]) < total:
-            hidden[start:stop] = [True] * (stop - start)
-    scores = [weights["#word"] * n if kind == "text" and not h else -0.02 if kind == "text" or h else weights.get(feature(kind, value, attributes), -1.0) for (kind, value, attributes), n, h in zip(seq, words, hidden, strict=True)]
+    tree, size = elements(seq), len(seq)
+    marks = [0, *accumulate(marked(*t) for t in seq)]
+    heads = [0, *accumulate(t[0] == "open" and t[1] in ("h1", "main") for t in seq)]
+
+    def noise(element: tuple, inside: bool) -> bool:
+        start, stop, name, kind, within = element
+        if kind == COMMENT:
+            return heads[stop] == heads[start + 1]
+        if kind <= MARK and not (name == "header" and not within) or marks[stop] > marks[start + 1]:
+            return False
+        return not inside or kind in (ROLE, ADVERT) or kind == BOX and name in CONTAINERS
+
+    hidden = _covered(size, (x[:2] for x in tree if noise(x, x[4])))
+    scores = []
+    for (kind, value, attributes), h in zip(seq, hidden, strict=True):
+        if h:
+            scores.append(-0.02)
+        elif kind == "text":
+            n = len(value.split())
+            scores.append(weights["#word"] * n if n else -0.02)
+        else:
+            scores.append(weights.get(feature(kind, value, attributes), -1.0))
     start, stop = best_run(scores)
-    around = min(((b - a, a, b) for a, b, name, _, _ in tree if a <= start and stop <= b and name not in ("body", "html")), default=None)
+    around = min(((kind != MARK, b - a, a, b) for a, b, name, kind, _ in tree if a <= start and stop <= b and name not in ("body", "html")), default=None)
     if start < stop and around:
-        start, stop = around[1:]
-    return blocks(seq, hidden, start, stop)
+        start, stop = around[2:]
+    inside = _covered(size, (x[:2] for x in tree if start < x[0] < stop and noise(x, True)))
+    return blocks(seq, inside, start, stop)
 
 
 def blocks(seq: list, hidden: list[bool], start: int, stop: int) -> str:
@@ -197,11 +249,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"feature": keys, "n_in": [inside[k] for k in keys], "n_out": [outside[k] for k in keys]}, schema=pa.schema([("feature", pa.string()), ("n_in", pa.int64()), ("n_out", pa.int64())]))
 
 
-def learn(pages: DataFrame, features: int = 2_000) -> dict[str, float]:
-    """Weights from all labelled pages; the driver gets the `features` commonest tags at most."""
+def learn(pages: DataFrame) -> dict[str, float]:
+    """Weights from all labelled pages; the driver gets one row for each kind of tag that HTML knows."""
     rows = pages.select("html").mapInArrow(_counts, "feature string, n_in long, n_out long")
     counts = rows.groupBy("feature").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
-    return weights_of({r[0]: (r[1], r[2]) for r in counts.orderBy((F.col("n_in") + F.col("n_out")).desc(), "feature").limit(features).collect()})
+    return weights_of({r[0]: (r[1], r[2]) for r in counts.collect()})
 
 
 def main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
