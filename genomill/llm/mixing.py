@@ -3,9 +3,10 @@
 Every source gets a target in words; each of its documents is then expected target / source size times. Whole copies are
 taken outright and the fraction left is an inclusion probability. The flight phase moves these probabilities through the
 null space of the two balancing equations (number of documents, number of words): three documents at a time, one reaches
-0 or 1 at each step. Blocks of a source fly independently, each keeping its own totals, until two documents a block are
-left; these fly together again in ever fewer blocks. The landing phase rounds the last two documents of a source, which
-are among its shortest, so that its words come nearest to the target.
+0 or 1 at each step. Blocks of a large source fly independently, each keeping its own totals, until two documents a block are
+left, often long ones; with them `HELD` documents of each block that sat out fly in the next round, in ever fewer blocks.
+The landing phase rounds the last two documents of a source so that its words come nearest to the target. What they miss
+is made up by documents of the last round whose draw is turned over, ever shorter ones, while that brings the words nearer.
 
 Defined cases: null text has no words; a null source is a source of its own and comes last; a source without words has
 target 0 and takes nothing; repeated rows are documents of their own; an empty table gives no rows; the draw depends on
@@ -28,7 +29,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 LIMIT = 2.0
-BLOCK = 20_000
+BLOCK, HELD = 2_000, 20
 SEED = 20
 #: Most sources whose one-row totals are broadcast.
 SOURCES = 100_000
@@ -87,6 +88,19 @@ def land(p: np.ndarray, x: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return p
 
 
+def repair(p: np.ndarray, start: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Turns over draws of documents that were open at the start, each time the one that leaves the words nearest to the target."""
+    p, open_ = p.copy(), (start > 0) & (start < 1)
+    miss = float((x * (p - start)).sum())
+    while True:
+        change = np.where(p > 0.5, -x, x) * (open_ & (x > 0))
+        after = np.abs(miss + change)
+        k = int(after.argmin()) if len(after) else 0
+        if not len(after) or not after[k] < abs(miss) - 1e-6:
+            return p
+        p[k], miss = 1 - p[k], miss + change[k]
+
+
 def _move(p: list, live: list, u: tuple, draw: float) -> None:
     up, down = float("inf"), float("inf")
     for i, d in zip(live, u, strict=True):
@@ -109,9 +123,13 @@ def _flight(turn: int, final: bool):
         draw = _draws(block["doc_id"], turn)
         at = np.lexsort((draw, -block["size"].to_numpy()))  # the longest first: those left are short
         block, draw = block.iloc[at], draw[at]
-        p, x = block["p"].to_numpy(float), block["size"].to_numpy(float)
-        p = fly(p, x, draw)
-        return block.assign(p=land(p, x, draw) if final else p)[["doc_id", "source", "size", "p"]]
+        p, x = block["p"].to_numpy(float, copy=True), block["size"].to_numpy(float)
+        if final:
+            return block.assign(p=repair(land(fly(p, x, draw), x, draw), p, x))[["doc_id", "source", "size", "p"]]
+        live, flies = np.flatnonzero((p > 0) & (p < 1)), np.ones(len(p), bool)
+        flies[live[np.linspace(len(live) // 10, len(live) - 1, min(HELD, len(live))).astype(int)]] = False
+        p[flies] = fly(p[flies], x[flies], draw[flies])
+        return block.assign(p=p)[["doc_id", "source", "size", "p"]]
 
     return run
 
@@ -125,8 +143,10 @@ def cube_sample(units: DataFrame) -> DataFrame:
         counts = left.where("p > 0 and p < 1").groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
         final = (counts.agg(F.max("blocks")).first()[0] or 1) == 1
         block = F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED + turn)), F.coalesce("blocks", F.lit(1)))
-        salted = left.join(small(counts, SOURCES), F.col("source").eqNullSafe(F.col("of")), "left").select(*left.columns, block.alias("block"))
-        flown = stash(salted.groupBy("source", "block").applyInPandas(_flight(turn, final), schema), "cube")
+        salted = left.join(small(counts, SOURCES), F.col("source").eqNullSafe(F.col("of")), "left").select(*left.columns, block.alias("block"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+        flying = salted if final else salted.where("blocks > 1")  # a source of one block waits for the last round
+        flown = flying.groupBy("source", "block").applyInPandas(_flight(turn, final), schema)
+        flown = stash(flown if final else flown.unionByName(salted.where("blocks = 1").select(left.columns)), "cube")
         if final:
             return union([*done, flown]).withColumn("doc_id", F.col("doc_id").cast("long"))
         done.append(flown.where("p = 0 or p = 1"))
