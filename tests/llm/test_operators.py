@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version, with nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import html
 import random
 import re
 import struct
@@ -117,12 +118,33 @@ def test_mixing(docs, nothing, spark):
         taken[r.source] += r.copies * r.size
         largest[r.source] = max(largest[r.source], r.size)
     assert len(got) == len(sample()) and mixing.mix(nothing).count() == 0
-    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 for s in target)  # one of two documents is rounded wrongly at worst
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 for s in target)  # a source may have few documents
     rows = mixing.mixed(docs)
     assert rows.columns == docs.columns and rows.count() == sum(r.copies for r in got)
     assert mixing.mixed(nothing).count() == 0
 
 
+@pytest.mark.parametrize("block", [2_000, 60])
+def test_sources_of_fifty_documents_meet_their_targets(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    by = defaultdict(list)
+    for r in mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect():
+        by[r.source].append((r.size, r.copies, r.target))
+    for rows in by.values():
+        miss = abs(sum(size * n for size, n, _ in rows) - rows[0][2])
+        assert len(rows) < 50 or miss <= max(0.01 * rows[0][2], sorted(x[0] for x in rows)[len(rows) // 2]), (len(rows), miss, rows[0][2])
+
+
+def test_repair_leaves_no_better_single_change():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        x, start = rng.integers(0, 300, 40).astype(float), rng.uniform(0, 1, 40)
+        x[0] = 9_000.0
+        p = mixing.repair((rng.random(40) < start).astype(float), start, x)
+        miss = (x * (p - start)).sum()
+        assert set(p) <= {0.0, 1.0} and all(abs(miss) <= abs(miss + d) + 1e-6 for d in np.where(p > 0.5, -x, x)[x > 0])
+
+
 def test_flight_keeps_totals_and_rates():
     rng = np.random.default_rng(1)
     x, p = rng.integers(1, 500, 300).astype(float), rng.uniform(0.05, 0.95, 300)
@@ -177,6 +199,58 @@ def test_html_text(spark):
     assert by[50] == by[51] == by[52] == {""} and by[53] == {"plain words only"} and by[None] == {TEXT}
 
 
+def naive_article(page):
+    """What a page's one <article> says, by plain replacements; good for pages without noise inside it."""
+    inner = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+    inner = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "", inner)
+    inner = re.sub(r"<br\s*/?>", " ", inner)
+    parts = re.split(r"</?(?:p|div|h[1-6]|ul|ol|li|table|tr|td|th|blockquote|pre|section|figure|figcaption|dl|dt|dd|hr)\b[^>]*>", inner)
+    plain = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts)
+    return "\n\n".join(x for x in plain if x)
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_every_page_gives_its_article(spark, tag):
+    """Also when the page doesn't mark it; weights come from the table as it is."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_text.learn(pages)
+    other = pages.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.lit(f"<{tag}>")), F.lit("</article>"), F.lit(f"</{tag}>")))
+    got = {r.page_id: r.text for r in html_text.main_text(other, weights).collect()}
+    assert got == {r.page_id: naive_article(r.html) for r in pages.collect()}
+
+
+def test_noise_goes_whatever_its_size_and_text_stays(spark):
+    weights = html_text.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    text = lambda page: html_text.extract(page, weights)
+    long = "<p>" + "a reader says this and that " * 60 + "</p>"
+    short = "<p>Short article of a few good words here.</p>"
+    said = "Short article of a few good words here."
+    assert text(f"<body><article>{short}</article><section id='comments'>{long}</section></body>") == said
+    assert text(f"<body><article>{short}<section id=comments>{long}</section></article></body>") == said
+    assert text(f"<body><article>{short}<div class='ad'>{long}</div></article></body>") == said
+    assert text(f"<body><article>{short}<section id='comments'><article class='comment'>{long}</article></section></article></body>") == said
+    assert text(f"<body class='comments-open has-sidebar'><div class='page sidebar-left'><article><h1>Head</h1>{short}</article></div></body>") == "Head\n\n" + said
+    assert text(f"<article>{short}<p class='legal'>Legal words.</p><div class='side'>Side words.</div></article>") == f"{said}\n\nLegal words.\n\nSide words."
+    assert text("<article><p>One two three.</p><p data-x=it's>Four five six.</p><p>It's seven.</p></article>") == "One two three.\n\nFour five six.\n\nIt's seven."
+    assert text("<html><head><title>t</title><body><article><p>No end of the head.</p></article>") == "No end of the head."
+    assert text("<article><p>a <a href=/x/>link</a> in it<p>next</article>") == "a link in it\n\nnext"
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<article>" + "<div class='ad'>" * n + "x" + "</div>" * n + "<p>words here</p>" * n + "</b>" * n + "</article>"
+        began = time.process_time()
+        assert html_text.extract(page, html_text.weights_of({})) == "\n\n".join(["words here"] * n)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 8 * 2 * max(seconds(2_000), 0.02)
+
+
 def test_few_labelled_pages_among_many_make_the_weights(spark):
     from pyspark.sql import functions as F
 
@@ -295,6 +369,62 @@ def test_viterbi_is_the_best_path():
         assert score(language_id.viterbi(s, penalty)) == pytest.approx(best)
 
 
+def test_viterbi_leaves_the_best_single_language():
+    s = np.array([[5, -8, 0], [5, -8, 0], [-8, 5, 0], [-8, 5, 0]], float)
+    assert language_id.viterbi(s, 12.0).tolist() == [0, 0, 1, 1]
+    rng = np.random.default_rng(6)
+    for _ in range(300):  # scores floored as the model's are, long enough for several switches
+        s, penalty = np.maximum(rng.normal(-2, 4, (7, 3)), -8), rng.uniform(2, 14)
+        value = lambda p: sum(s[t, a] for t, a in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: E731,B023
+        assert value(language_id.viterbi(s, penalty)) == pytest.approx(max(map(value, np.ndindex(*[3] * 7))))
+
+
+def test_language_of_every_document_by_brute_force(spark):
+    """Labels from the definition: n-gram scores word by word and the whole recurrence, for all documents."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.learn(language_id.training_rows(docs)[1])
+    counts, sizes = defaultdict(Counter), [Counter() for _ in range(4)]
+    for r in language_id.training_rows(docs)[1].collect():  # fewer than the sample
+        for w in re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", (r.text or "").lower()):
+            for g in language_id.grams(w):
+                counts[g][r.lang] += 1
+                sizes[len(g)][r.lang] += 1
+    kinds = Counter(map(len, counts))
+
+    def row(w):
+        total = np.array([sum(np.log((counts.get(g, {}).get(x, 0) + 0.5) / (sizes[len(g)][x] + 0.5 * kinds[len(g)] + 1)) for g in language_id.grams(w)) / 1.5 for x in model.langs])
+        total -= total.max()
+        return np.maximum(total - np.log(np.exp(total).sum()), -8.0)
+
+    rows, n = {}, 0
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs.select("doc_id", "text"), model).collect()}
+    for r in docs.where("length(text) < 1500").collect():
+        words = re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", (r.text or "").lower())
+        if not words or max(map(max, words)) > "\u02ff":
+            continue
+        s = np.array([rows[w] if w in rows else rows.setdefault(w, row(w)) for w in words])
+        value, back = s[0].copy(), []
+        for x in s[1:]:
+            top = int(value.argmax())
+            stay = value >= value[top] - language_id.SWITCH
+            back.append(np.where(stay, np.arange(len(value)), top))
+            value = np.where(stay, value, value[top] - language_id.SWITCH) + x
+        at = int(value.argmax())
+        path = [at]
+        for b in reversed(back):
+            at = int(b[at])
+            path.append(at)
+        share = np.bincount(path[::-1], weights=list(map(len, words)), minlength=len(model.langs))
+        n += 1
+        assert got[r.doc_id] == model.langs[int(share.argmax())], r.doc_id
+    assert n > 50
+
+
+def test_words_are_letters_with_their_marks(spark):
+    assert language_id._words("½ ² ① 12_ \u0301") == [] and language_id.labels(["½ ² ①"], language_id.Model({"<": {"a": 1}}, ["a", "b"], {}))[0][:2] == ("und", 0.0)
+    assert language_id._words("Hindī हिन्दी भाषा, naïve’s “x”") == ["hindī", "हिन्दी", "भाषा", "naïve’s", "x"]
+
+
 def test_mixed_text_has_spans(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = language_id.learn(docs.where("lang is not null"))
