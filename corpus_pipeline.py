@@ -1,15 +1,19 @@
 """The corpus pipeline: language ID, near-duplicate removal, decontamination, mixing, token-id output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read again as the next
-stage's docs. All stages but the last return the columns of documents.
+stage's docs. All stages but the last return the columns of documents, also further ones, whatever their names.
+
+Defined cases, for every stage: null or empty text, null doc_id, lang or source, repeated rows and rows of one doc_id are
+documents like others and none is merged unless it is a near duplicate; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from genomill.llm import decontaminate, language_id, minhash, mixing, token_file
-from genomill.llm.common import stash, table
+from genomill.llm.common import shielded, stash, table
 from genomill.llm.queries import tokenizer
 
 
@@ -19,23 +23,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model is learned as in op7: from the labelled documents of the stage's input that aren't held out.
     """
     model = language_id.learn(language_id.training_rows(docs)[1])
-    plain = docs.withColumn("text", docs["text"].cast("string"))
-    return language_id.identify(plain, model).where(f"lang_pred <> '{language_id.UND}'").select(docs.columns)
+    plain, own = shielded(docs.withColumn("text", docs["text"].cast("string")), ("lang_pred", "score"))
+    return language_id.identify(plain, model).where(F.col("lang_pred") != language_id.UND).select(own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one of lowest doc_id; of several rows of that doc_id, one.
+
+    A document without words is no duplicate of any other.
+    """
     return minhash.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold windows of benchmark items on a twentieth of their words or more go; the others stay as they are."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (0 to 2 times); a null source is a source, a document without words is drawn like others."""
     return mixing.mixed(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every row, read back from the token file; rows of one doc_id follow each other by text."""
     return token_file.token_file(docs, tokenizer("byte_bpe_50k.json"))
 
 
