@@ -1,32 +1,93 @@
-"""Distances between the sequences of a set."""
+"""Distances between sequences from counts of their k-mers."""
 
 from __future__ import annotations
 
-from itertools import combinations
+import hashlib
+import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genomill.functions.sequence import kmers
+#: Most sequences of a set that are held against as many others at once.
+BLOCK = 64
+_CODES = np.full(256, 4, np.int64)
+_CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 
 
-def kmer_distances(s: DataFrame, k: int, fraction: bool = False, places: int = 8) -> DataFrame:
-    """a, b, d for each pair b < a of a set of at most `places` sequences: shared k-mers, counted with multiplicity.
+def spectrum(seq: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-mers (at most 27 symbols, N is one) as ascending numbers, and their counts."""
+    codes = _CODES[np.frombuffer(seq.encode(), np.uint8)]
+    n = max(len(codes) - k + 1, 0)
+    value = np.zeros(n, np.int64)
+    for i in range(k if n else 0):
+        value = value * 5 + codes[i : i + n]
+    return np.unique(value, return_counts=True)
 
-    Each k-mer of a set is one row with a count for every place in the set, and a pair's shared count is a sum of least
-    counts over these rows; no row is made for a pair and a k-mer.
+
+def shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """k-mers of both, with multiplicity."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return int(np.minimum(a[1][i], b[1][j]).sum())
+
+
+def shared_kmers(pairs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """ref_id, query_id, c (shared k-mers) and the columns `keep` of pairs (ref_id, ref_seq, query_id, seq). Counts are made inside the row; nothing is shuffled."""
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in pairs.select(*keep).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            c = []
+            for ref_id, ref_seq, seq in zip(*(batch.column(x) for x in ("ref_id", "ref_seq", "seq")), strict=True):
+                if ref_id != last:
+                    last, own = ref_id, spectrum(ref_seq.as_py(), k)
+                c.append(shared(own, spectrum(seq.as_py(), k)))
+            yield pa.RecordBatch.from_arrays([batch.column("ref_id"), batch.column("query_id"), pa.array(c, pa.int64()), *(batch.column(x) for x in keep)], names=["ref_id", "query_id", "c", *keep])
+
+    return pairs.select("ref_id", "ref_seq", "query_id", "seq", *keep).mapInArrow(run, "ref_id long, query_id long, c long" + extra)
+
+
+def kmer_distances(s: DataFrame, k: int, fraction: bool = False, block: int = BLOCK) -> DataFrame:
+    """set_id, a, b, d for each pair b < a of a set: shared k-mers, counted with multiplicity.
+
+    Sets of any size: a set is cut into blocks of about `block` sequences, and a task holds two blocks. Of rows that repeat a
+    seq_id each is a sequence of its own; pairs of one seq_id are left out.
     """
-    order = F.array_sort(F.collect_list(F.struct("seq_id", F.greatest(F.length("seq") - (k - 1), F.lit(0)).alias("c"))))
-    sets = s.groupBy("set_id").agg(order.alias("own"))
-    ids = F.transform("own", lambda x: x["seq_id"])
-    place = F.array_position(ids, F.col("seq_id")).cast("int") - 1
-    rows = s.join(sets, "set_id").select("set_id", place.alias("place"), F.explode(kmers(F.col("seq"), k)).alias("kmer"))
-    counts = rows.groupBy("set_id", "kmer").agg(*(F.count(F.when(F.col("place") == i, 1)).alias(f"n{i}") for i in range(places)))
-    pairs = list(combinations(range(places), 2))
-    shared = counts.groupBy("set_id").agg(*(F.sum(F.least(f"n{i}", f"n{j}")).alias(f"c{i}_{j}") for i, j in pairs))
-    listed = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.coalesce(f"c{i}_{j}", F.lit(0)).alias("c")) for i, j in pairs))
-    found = sets.join(shared, "set_id", "left").select("set_id", "own", F.explode(listed).alias("p")).where(F.col("p.j") < F.size("own"))
-    a, b = F.get("own", F.col("p.j")), F.get("own", F.col("p.i"))
-    ca, cb, c = a["c"], b["c"], F.col("p.c")
-    d = 1 - c / F.least(ca, cb) if fraction else F.least(3.0 * (ca - c) / ca, 3.0 * (cb - c) / cb)
-    return found.select("set_id", a["seq_id"].alias("a"), b["seq_id"].alias("b"), F.when(F.least(ca, cb) == 0, 1.0).otherwise(d).alias("d"))
+    sizes = s.groupBy("set_id").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    own = s.select("set_id", "seq_id", "seq").join(sizes, "set_id").withColumn("own", F.pmod(F.xxhash64("seq_id"), "blocks"))
+    faced = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = faced.select("set_id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "seq_id", "seq")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found, (set_id, lo, hi) = [], rows.loc[rows.index[0], ["set_id", "lo", "hi"]]
+        counts = [spectrum(x, k) for x in rows["seq"]]
+        sizes, ids, own = [int(c[1].sum()) for c in counts], rows["seq_id"].tolist(), rows["own"].tolist()
+        for i, a in enumerate(ids):
+            for j, b in enumerate(ids):
+                if b < a and (lo == hi or own[i] != own[j]):
+                    least = min(sizes[i], sizes[j])
+                    c = shared(counts[i], counts[j]) if least else 0
+                    d = 1.0 if not least else 1 - c / least if fraction else 3.0 * (least - c) / least
+                    found.append((set_id, a, b, d))
+        return pd.DataFrame(found, columns=["set_id", "a", "b", "d"]).astype({"set_id": "int64", "a": "int64", "b": "int64", "d": "float64"})
+
+    return keyed.groupBy("set_id", "lo", "hi").applyInPandas(run, "set_id long, a long, b long, d double")
+
+
+def sketches(s: DataFrame, keep: list[str], k: int, size: int) -> DataFrame:
+    """The columns `keep` and sk, the `size` least MD5 hashes of the k-mers in order, of sequences that have a k-mer."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select(keep).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for x in batch.column("seq"):
+                seq = x.as_py().encode()
+                made.append(heapq.nsmallest(size, (hashlib.md5(w).digest() for w in {seq[i : i + k] for i in range(len(seq) - k + 1)})))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.list_(pa.binary()))], names=[*keep, "sk"])
+
+    return s.where(F.length("seq") >= k).select(*keep, "seq").mapInArrow(run, schema + ", sk array<binary>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genomill.operators.maximal import recursive_anchors
+from genomill.operators.maximal import collinear, recursive_anchors
 from genomill.operators.trees import multiple_alignment
 
 
@@ -15,9 +15,9 @@ def align_gap(parts: list[str]) -> list[str]:
 
 
 def block_alignment(seqs: list[str], factor: float = 0.6) -> list[str]:
-    """Anchors as they are, in lower case; what lies between them aligned, in upper case."""
+    """The heaviest collinear anchors as they are, in lower case; what lies between them aligned, in upper case."""
     at, rows = [0] * len(seqs), [""] * len(seqs)
-    for starts, length, _ in [*recursive_anchors(seqs, factor), (tuple(map(len, seqs)), 0, 0)]:
+    for starts, length, _ in [*collinear(recursive_anchors(seqs, factor)), (tuple(map(len, seqs)), 0, 0)]:
         gap = align_gap([s[a:b] for s, a, b in zip(seqs, at, starts, strict=True)])
         rows = [r + g.upper() + s[b : b + length].lower() for r, g, s, b in zip(rows, gap, seqs, starts, strict=True)]
         at = [b + length for b in starts]

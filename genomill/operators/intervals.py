@@ -55,11 +55,12 @@ def intersect_all(x: DataFrame, chunk: str, keys: list[str], chunks: int) -> Dat
     return swept.where(F.col("depth") == chunks).select(*keys, F.col("at").alias("start"), "end")
 
 
-def complement(x: DataFrame, keys: list[str]) -> DataFrame:
-    """Gaps between the islands of each key."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    gaps = merged(x, keys).withColumn("next", F.lead("start").over(w))
-    return gaps.where("next > end").select(*keys, F.col("end").alias("start"), F.col("next").alias("end"))
+def complement(x: DataFrame, keys: list[str], sizes: DataFrame, least: int = 2) -> DataFrame:
+    """Runs of at least `least` uncovered places, also before the first and after the last interval; sizes: keys, size. A key without intervals is one run."""
+    ends = sizes.select(*keys, F.col("size").alias("start"), F.col("size").alias("end"))
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    gaps = merged(x, keys).unionByName(ends).withColumn("before", F.coalesce(F.lag("end").over(w), F.lit(0)))
+    return gaps.where(F.col("start") - F.col("before") >= least).select(*keys, F.col("before").alias("start"), F.col("start").alias("end"))
 
 
 def neighbours(x: DataFrame, keys: list[str]) -> DataFrame:

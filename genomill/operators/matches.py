@@ -1,56 +1,140 @@
-"""Exact matches between sequences from unique k-mer seeds, and chains of matches."""
+"""Maximal unique matches between sequences, and chains of matches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomill.functions.sequence import kmers, reverse_complement
-
+from genomill.functions.sequence import reverse_complement
+
+_CODES = np.full(256, 4, np.int64)
+_CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+
+def _windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every window of k symbols as a number of 2k bits, and which of them have no N."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    value, valid = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(k):
+        value = value << 2 | codes[i : i + n] & 3
+        valid &= codes[i : i + n] < 4
+    return value, valid
+
+
+def _shared(seqs: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, places and owners of what windows of k symbols cover that all sequences have; a break (-1) after each stretch."""
+    windows = [_windows(codes, k) for codes in seqs]
+    common = None
+    for value, valid in windows:
+        own = np.unique(value[valid])
+        common = own if common is None else common[np.isin(common, own, assume_unique=True)]
+    symbols, places, owners = [], [], []
+    for i, (codes, (value, valid)) in enumerate(zip(seqs, windows, strict=True)):
+        at = np.flatnonzero(valid & np.isin(value, common))
+        edges = np.bincount(at, minlength=len(codes) + 1) - np.bincount(at + k, minlength=len(codes) + 1)[: len(codes) + 1]
+        place = np.flatnonzero(np.cumsum(edges))
+        ends = np.append(np.flatnonzero(np.diff(place) > 1) + 1, len(place))
+        symbols.append(np.insert(codes[place], ends, -1))
+        places.append(np.insert(place, ends, -1))
+        owners.append(np.full(len(symbols[-1]), i))
+    return np.concatenate(symbols), np.concatenate(places), np.concatenate(owners)
+
+
+def unique_matches(seqs: list[str], least: int) -> list[tuple[tuple[int, ...], int]]:
+    """(starts, length) of the maximal matches of at least `least` symbols that occur once in each sequence, by first start.
+
+    What no shared window of `least` symbols covers is left out. The suffixes of the rest are sorted by doubling. A match is
+    a run of neighbours, one suffix of each sequence, with a common prefix that neither neighbour of the run shares; it is
+    maximal to the left if not all the symbols before it are equal. N, breaks and ends match nothing;
+    a sequence alone has no matches.
+    """
+    if len(seqs) < 2:
+        return []
+    codes, places, owners = _shared([_CODES[np.frombuffer(s.encode(), np.uint8)] for s in seqs], min(least, 31))
+    n, size = len(seqs), len(codes)
+    odd = codes < 0
+    codes[odd] = 4 + np.arange(odd.sum())
+    ranks = [codes]
+    while len(ranks) == 1 or ranks[-1].max() + 1 < size:  # ranks[k] orders prefixes of 2^k symbols
+        step, last = 1 << (len(ranks) - 1), ranks[-1]
+        key = last * (2 * size + 5) + np.append(last[step:], np.full(min(step, size), -1))[:size] + 1
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(size, np.int64)
+        rank[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
+        ranks.append(rank)
+    order = np.argsort(ranks[-1])
+    # common prefixes of neighbours, from the longest power of two down
+    a, b, common = order[:-1].copy(), order[1:].copy(), np.zeros(size - 1, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        same = (ranks[k][np.minimum(a, size - 1)] == ranks[k][np.minimum(b, size - 1)]).astype(np.int64) << k  # a break comes before the end
+        a, b, common = a + same, b + same, common + same
+    if size <= n:
+        return []
+    edge = np.concatenate(([0], common, [0]))  # edge[i]: between order[i - 1] and order[i]
+    shared = np.lib.stride_tricks.sliding_window_view(common, n - 1).min(axis=1)
+    good = np.flatnonzero((shared >= least) & (edge[: len(shared)] < shared) & (edge[n : n + len(shared)] < shared))
+    found = []
+    for i in good.tolist():
+        at = np.sort(order[i : i + n])
+        before = codes[at - 1]  # of the first symbol of all: the last end, which is like no other
+        if (owners[at] == np.arange(n)).all() and (before != before[0]).any():
+            found.append((tuple(places[at].tolist()), int(shared[i])))
+    return sorted(found)
+
+
+_PAIRED = pa.schema([("ref_id", pa.int64()), ("query_id", pa.int64()), ("fwd", pa.bool_()), ("ref_start", pa.int64()), ("query_start", pa.int64()), ("length", pa.int64())])
+
+
+def pair_matches(pairs: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
+    """ref_id, query_id, fwd, ref_start, query_start, length: maximal unique matches of each pair (ref_id, ref_seq, query_id, seq).
+
+    Uniqueness is judged on each strand of the query; positions on the reverse strand count on the reversed query. Every
+    pair is a row of its own, so nothing is shuffled and no group is collected.
+    """
+    strands = [(True, "seq"), (False, "back")] if both_strands else [(True, "seq")]
 
-def unique_kmers(s: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """keys, kmer, pos: k-mers that a sequence holds once; positions from 0."""
-    rows = s.select(*keys, F.posexplode(kmers(F.col("seq"), k)).alias("pos", "kmer")).where(~F.col("kmer").contains("N"))
-    return rows.groupBy(*keys, "kmer").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).where("n = 1").drop("n")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(len(batch)):
+                p = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                rows += [(p["ref_id"], p["query_id"], fwd, starts[0], starts[1], length) for fwd, c in strands for starts, length in unique_matches([p["ref_seq"], p[c]], k)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PAIRED.types)], schema=_PAIRED)
 
+    sent = pairs.select("ref_id", "query_id", "ref_seq", "seq", reverse_complement(F.col("seq")).alias("back"))
+    return sent.mapInArrow(run, "ref_id long, query_id long, fwd boolean, ref_start long, query_start long, length long")
 
-def unique_matches(refs: DataFrame, queries: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
-    """set_id, ref_id, query_id, fwd, ref_start, query_start, length: stretches without a break that unique seeds cover.
 
-    Seeds of one diagonal whose places lie at most k apart overlap or touch, and are one exact match. Positions on the
-    reverse strand count on the reversed query.
-    """
-    r = unique_kmers(refs, k, ["set_id", "seq_id"]).select("set_id", F.col("seq_id").alias("ref_id"), "kmer", F.col("pos").alias("r"))
-    strands = queries.withColumn("fwd", F.lit(True))
-    if both_strands:
-        strands = strands.unionByName(queries.withColumn("seq", reverse_complement(F.col("seq"))).withColumn("fwd", F.lit(False)))
-    q = unique_kmers(strands, k, ["set_id", "seq_id", "fwd"]).select("set_id", F.col("seq_id").alias("query_id"), "fwd", "kmer", F.col("pos").alias("q"))
-    seeds = r.join(q, ["set_id", "kmer"]).where("ref_id <> query_id").withColumn("diagonal", F.col("q") - F.col("r"))
-    w = Window.partitionBy("set_id", "ref_id", "query_id", "fwd", "diagonal").orderBy("r")
-    broken = F.coalesce((F.col("r") - F.lag("r").over(w) > k).cast("int"), F.lit(1))
-    runs = seeds.withColumn("broken", broken).withColumn("run", F.sum("broken").over(w))
-    found = runs.groupBy("set_id", "ref_id", "query_id", "fwd", "diagonal", "run").agg(F.min("r").alias("ref_start"), F.min("q").alias("query_start"), (F.max("r") - F.min("r") + k).alias("length"))
-    return found.drop("diagonal", "run")
+def multi_matches(s: DataFrame, k: int) -> DataFrame:
+    """set_id, starts, length: maximal matches that every sequence of a set holds once; starts in order of seq_id. Sets of one have none."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq_id")
+        found = unique_matches(list(rows["seq"]), k) if len(rows) > 1 else []
+        return pd.DataFrame({"set_id": pd.Series([rows["set_id"].iloc[0]] * len(found), dtype="int64"), "starts": pd.Series([list(p) for p, _ in found], dtype=object), "length": pd.Series([n for _, n in found], dtype="int64")})
 
-def multi_matches(s: DataFrame, k: int) -> DataFrame:
-    """set_id, ref_start, ref_end, n_genomes: stretches of the first sequence whose k-mers every sequence of the set holds once."""
-    u = unique_kmers(s, k, ["set_id", "seq_id"])
-    sizes = s.groupBy("set_id").agg(F.count("*").alias("n"), F.min("seq_id").alias("ref_id"))
-    shared = u.groupBy("set_id", "kmer").agg(F.count("*").alias("n_genomes"), F.min_by("pos", "seq_id").alias("r")).join(sizes, "set_id").where("n_genomes = n and n > 1")
-    w = Window.partitionBy("set_id").orderBy("r")
-    runs = shared.withColumn("broken", F.coalesce((F.col("r") - F.lag("r").over(w) > 1).cast("int"), F.lit(1))).withColumn("run", F.sum("broken").over(w))
-    return runs.groupBy("set_id", "run").agg(F.min("r").alias("ref_start"), (F.max("r") + k).alias("ref_end"), F.first("n_genomes").alias("n_genomes")).drop("run")
+    return s.select("set_id", "seq_id", "seq").groupBy("set_id").applyInPandas(run, "set_id long, starts array<long>, length long")
 
 
 def mumi(matches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """ref_id, query_id, mumi: the share of the reference outside matches; 1 where lengths differ by 30 % or more."""
+    """ref_id, query_id, mumi: the share of the reference outside matches; 1 where lengths differ by 30 % or more.
+
+    A match as long as the whole reference counts from its second symbol, so an equal genome is at 1 / length.
+    """
     w = Window.partitionBy("ref_id", "query_id").orderBy("ref_start", "length")
     far = F.max(F.col("ref_start") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.col("ref_start") + F.col("length") - F.greatest(F.col("ref_start"), F.coalesce(far, F.lit(0))), F.lit(0))
-    covered = matches.withColumn("new", new).groupBy("ref_id", "query_id").agg(F.sum("new").alias("covered"))
+    covered = matches.withColumn("new", new).groupBy("ref_id", "query_id").agg(F.sum("new").alias("covered"), F.max("length").alias("longest"))
     ratio = F.col("ref_len") / F.col("query_len")
-    value = F.when((ratio > 1.3) | (ratio < 0.7), 1.0).otherwise(1 - F.coalesce("covered", F.lit(0)) / F.col("ref_len"))
+    bases = F.coalesce(F.col("covered") - (F.col("longest") == F.col("ref_len")).cast("int"), F.lit(0))
+    value = F.when((ratio > 1.3) | (ratio < 0.7), 1.0).otherwise(1 - bases / F.col("ref_len"))
     return pairs.join(covered, ["ref_id", "query_id"], "left").select("ref_id", "query_id", value.alias("mumi"))
 
 
@@ -99,9 +183,39 @@ def coverage(c: DataFrame, group: str, genomes: int) -> DataFrame:
 
 
 def random_matches(m: DataFrame, group: str, order: list[str], genomes: int, most: int, reach: int = 5000) -> DataFrame:
-    """Matches of at most `most` bases with no neighbour within `reach` on either side in every genome."""
+    """Matches of at most `most` bases that lack a neighbour within `reach` after them or, but for the first, before them in any genome.
+
+    The last match of a group is never tested. Gaps on a reversed genome count backwards.
+    """
     w = Window.partitionBy(group).orderBy(*order)
-    p = m.withColumns({"p_end": F.lag("end").over(w), "n_start": F.lead("start").over(w)})
-    near = lambda i, a, b: F.coalesce((F.get(a, i) - F.get(b, i)).between(0, reach), F.lit(False))
-    touched = F.forall(F.sequence(F.lit(0), F.lit(genomes - 1)), lambda i: near(i, "start", "p_end") | near(i, "n_start", "end"))
-    return p.where((F.col("length") <= most) & ~touched).drop("p_end", "n_start")
+    p = m.withColumns({f"{k}_{c}": f(c).over(w) for k, f in (("p", F.lag), ("n", F.lead)) for c in ("start", "end")})
+    gap = lambda i, a, a_end, b, b_end: F.when(F.get("fwd", i), F.get(b, i) - F.get(a_end, i)).otherwise(F.get(a, i) - F.get(b_end, i))
+    all_near = lambda *ends: F.forall(F.sequence(F.lit(0), F.lit(genomes - 1)), lambda i: gap(i, *ends).between(0, reach))
+    after, before = all_near("start", "end", "n_start", "n_end"), all_near("p_start", "p_end", "start", "end")
+    kept = after & (F.col("p_start").isNull() | before)
+    return p.where((F.col("length") <= most) & F.col("n_start").isNotNull() & ~kept).drop("p_start", "p_end", "n_start", "n_end")
+
+
+def compatible(d: DataFrame, group: str, bin_size: int = 64) -> DataFrame:
+    """Diagonals (group, i, a, b, len; i in order of a) that agree with all others of their group.
+
+    Two agree if they overlap on one diagonal or are apart on both axes. Of two that don't, the shorter one goes, or both
+    unless one is more than four times as long. What is left is pairwise compatible; where its order on b differs from its
+    order on a, the diagonals involved go as well: each that doesn't pass the furthest start so far, and the first of those
+    before it that it doesn't pass. Pairs meet in the bins that they touch on either axis.
+    """
+    near = []
+    for axis in ("a", "b"):
+        bins = F.explode(F.sequence(F.floor(F.col(axis) / bin_size), F.floor((F.col(axis) + F.col("len") - 1) / bin_size)))
+        x, y = (d.select(F.col(group).alias("g"), bins.alias("bin"), *(F.col(c).alias(f"{c}{k}") for c in ("i", "a", "b", "len"))) for k in (1, 2))
+        overlap = lambda c: F.least(F.col(f"{c}1") + F.col("len1"), F.col(f"{c}2") + F.col("len2")) > F.greatest(f"{c}1", f"{c}2")
+        near.append(x.join(y, ["g", "bin"]).where((F.col("i1") < F.col("i2")) & overlap(axis) & ~((F.col("a1") - F.col("b1") == F.col("a2") - F.col("b2")) & overlap("a"))).select("g", "i1", "i2", "len1", "len2"))
+    bad = near[0].unionByName(near[1])
+    losers = F.when(F.col("len1") > 4 * F.col("len2"), F.array("i2")).when(F.col("len2") > 4 * F.col("len1"), F.array("i1")).otherwise(F.array("i1", "i2"))
+    gone = bad.select(F.col("g").alias(group), F.explode(losers).alias("i")).distinct()
+    left = d.join(gone, [group, "i"], "left_anti")
+    before = F.max("b").over(Window.partitionBy(group).orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    told = left.withColumn("passes", F.coalesce(F.col("b") > before, F.lit(True)))
+    hit = F.first(F.when(F.col("passes"), F.col("i")), ignorenulls=True).over(Window.partitionBy(group).orderBy("b").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    struck = told.withColumn("i", hit).where("not passes").select(group, "i").distinct()
+    return told.where("passes").drop("passes").join(struck, [group, "i"], "left_anti")

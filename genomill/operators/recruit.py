@@ -15,10 +15,12 @@ def length_ratio(s: DataFrame, refs: DataFrame, on: list[str], low: float = 0.8,
 def fast_cut(rows: DataFrame, group: str, limit: float = 0.5, most: int = 101) -> DataFrame:
     """Every distance below the limit that is at most three population deviations above the least of its group; least and
     deviation are those of the `most` smallest distances below the limit."""
-    w = Window.partitionBy(group)
-    near = rows.where(F.col("d") < limit).withColumn("rn", F.row_number().over(w.orderBy("d", "seq_id")))
-    least = F.when(F.col("rn") <= most, F.col("d"))
-    return near.withColumn("cut", F.min(least).over(w) + 3 * F.stddev_pop(least).over(w)).where("d <= cut").drop("rn")
+    near = rows.where(F.col("d") < limit)
+    # the `most` smallest of a group by partial aggregation: a sorted list that each task cuts, not a sort of the group
+    keyed = near.select(F.col(group).alias("of"), "d").groupBy("of", F.spark_partition_id().alias("part")).agg(F.slice(F.array_sort(F.collect_list("d")), 1, most).alias("low"))
+    least = keyed.groupBy("of").agg(F.slice(F.array_sort(F.flatten(F.collect_list("low"))), 1, most).alias("low"))
+    cuts = least.select("of", F.explode("low").alias("d")).groupBy("of").agg((F.min("d") + 3 * F.stddev_pop("d")).alias("cut"))
+    return near.join(cuts, F.col(group).eqNullSafe(F.col("of"))).where("d <= cut").drop("of")
 
 
 def ani_group(rows: DataFrame, least: float, cover: float) -> DataFrame:

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genomill.functions.sequence import kmers
 from genomill.operators import columns as C
-from genomill.operators.distances import kmer_distances
+from genomill.operators.distances import kmer_distances, sketches
 from genomill.operators.extension import block_alignment, extend_block
 from genomill.operators.trees import kmer_distance_matrix, upgma
 from genomill.plans.alignments import COLS, aln, cols
 from genomill.plans.registry import load, query
 from genomill.plans.sequences import KMER_SQL
 from genomill.plans.trees import ROWS, per_set
-from genomill.sources.sequences import SEQS_SQL, SHORT_SQL, seqs, short_seqs
+from genomill.sources.sequences import SEQS_SQL, SHORT_SQL, bounded, references, seqs, short_seqs
 
 SKETCH, K = 200, 8
 MASH = f"""
@@ -26,14 +25,18 @@ d AS (SELECT a, b, j, CASE WHEN j = 0 THEN 1.0 ELSE -ln(2 * j / (1 + j)) / {K} E
 """
 
 
+def sketch_pairs(both: DataFrame, keep: list[str], size: int = SKETCH, k: int = K) -> DataFrame:
+    """Adds j and d to pairs of sketches xs, ys: likeness among the `size` least hashes of both, and the distance it stands for."""
+    both = both.withColumn("u", F.slice(F.array_sort(F.array_union("xs", "ys")), 1, size))
+    j = F.size(F.array_intersect(F.array_intersect("u", "xs"), F.col("ys"))) / F.size("u")
+    return both.select(*keep, j.alias("j")).withColumn("d", F.when(F.col("j") == 0, 1.0).otherwise(-F.log(2 * F.col("j") / (1 + F.col("j"))) / k))
+
+
 def sketch_distances(s: DataFrame, size: int = SKETCH, k: int = K) -> DataFrame:
-    """a, b, j, d for each pair of a set, from bottom sketches: the `size` least hashes of a sequence's k-mers."""
-    hashes = F.slice(F.array_sort(F.array_distinct(F.transform(kmers(F.col("seq"), k), lambda x: F.md5(x.cast("binary"))))), 1, size)
-    own = s.where(F.length("seq") >= k).select("set_id", "seq_id", hashes.alias("sk"))
+    """set_id, a, b, j, d for each pair of a set, from bottom sketches: the `size` least hashes of a sequence's k-mers."""
+    own = sketches(s, ["set_id", "seq_id"], k, size)
     x, y = own.select("set_id", F.col("seq_id").alias("a"), F.col("sk").alias("xs")), own.select("set_id", F.col("seq_id").alias("b"), F.col("sk").alias("ys"))
-    both = x.join(y, "set_id").where("b < a").withColumn("u", F.slice(F.array_sort(F.array_union("xs", "ys")), 1, size))
-    j = F.size(F.array_intersect(F.array_intersect("u", "xs"), F.col("ys"))) / F.size("u")
-    return both.select("set_id", "a", "b", j.alias("j")).withColumn("d", F.when(F.col("j") == 0, 1.0).otherwise(-F.log(2 * F.col("j") / (1 + F.col("j"))) / k))
+    return sketch_pairs(x.join(y, "set_id").where("b < a"), ["set_id", "a", "b"], size, k)
 
 
 @query(f"WITH {MASH} SELECT a, b, round(j, 6) AS j, round(d, 6) + 0.0 AS d FROM d")
@@ -41,12 +44,20 @@ def mash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_distances(seqs(spark, sf_dir)).select("a", "b", F.round("j", 6).alias("j"), (F.round("d", 6) + 0.0).alias("d"))
 
 
-@query(f"WITH {MASH}, f AS (SELECT set_id, min(seq_id) AS ref_id FROM s GROUP BY set_id) SELECT d.a AS seq_id, d.b AS ref_id, round(d.d, 6) AS d FROM d JOIN f ON d.b = f.ref_id WHERE d.d <= 0.3")
-def mash_recruit(spark: SparkSession, sf_dir: str, most: float = 0.3) -> DataFrame:
-    """Sequences within a sketch distance of the first of their set."""
+@query(f"""
+WITH {MASH.split("p AS (")[0]} f AS (SELECT lang, min(seq_id) AS ref_id FROM s GROUP BY lang), rk AS (SELECT f.lang, f.ref_id, k.sk FROM f JOIN k ON k.seq_id = f.ref_id),
+p AS (SELECT x.seq_id, rk.ref_id, list_sort(list_distinct(x.sk || rk.sk))[:{SKETCH}] AS u, x.sk AS xs, rk.sk AS ys FROM k x JOIN s ON s.seq_id = x.seq_id JOIN rk ON rk.lang = s.lang WHERE x.seq_id <> rk.ref_id),
+j AS (SELECT seq_id, ref_id, CAST(len(list_intersect(list_intersect(u, xs), ys)) AS DOUBLE) / len(u) AS j FROM p),
+d AS (SELECT seq_id, ref_id, CASE WHEN j = 0 THEN 1.0 ELSE -ln(2 * j / (1 + j)) / {K} END AS d FROM j)
+SELECT seq_id, ref_id, round(d, 6) + 0.0 AS d FROM d WHERE d <= 0.1
+""")
+def mash_recruit(spark: SparkSession, sf_dir: str, most: float = 0.1) -> DataFrame:
+    """Sequences within a sketch distance of their language's reference: every sequence is held against one."""
     s = seqs(spark, sf_dir)
-    first = s.groupBy("set_id").agg(F.min("seq_id").alias("b"))
-    return sketch_distances(s).join(first, ["set_id", "b"], "left_semi").where(F.col("d") <= most).select(F.col("a").alias("seq_id"), F.col("b").alias("ref_id"), F.round("d", 6).alias("d"))
+    own = sketches(s, ["seq_id", "lang"], K, SKETCH)
+    refs = sketches(references(s).withColumnsRenamed({"ref_seq": "seq"}), ["lang", "ref_id"], K, SKETCH).withColumnRenamed("sk", "ys")
+    both = own.withColumnRenamed("sk", "xs").join(bounded(refs), "lang").where("seq_id <> ref_id")
+    return sketch_pairs(both, ["seq_id", "ref_id"]).where(F.col("d") <= most).select("seq_id", "ref_id", (F.round("d", 6) + 0.0).alias("d"))
 
 
 @query(f"""

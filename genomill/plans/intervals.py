@@ -54,9 +54,14 @@ def partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("chunk").agg(F.count("*").alias("n_lcb"), F.sum(F.col("end") - F.col("start")).alias("covered"), F.avg(F.col("end") - F.col("start")).alias("mean_length"))
 
 
-@query(f"WITH {IV}, {MERGED.format(k='contig')}, n AS (SELECT contig, e AS start, lead(s) OVER (PARTITION BY contig ORDER BY s) AS \"end\" FROM m) SELECT * FROM n WHERE \"end\" > start")
+@query(f"""
+WITH {IV}, {MERGED.format(k='contig')}, z AS (SELECT contig, max(e) + 25 AS size FROM iv GROUP BY contig), x AS (SELECT contig, s, e FROM m UNION ALL SELECT contig, size, size FROM z),
+n AS (SELECT contig, coalesce(lag(e) OVER (PARTITION BY contig ORDER BY s, e), 0) AS start, s AS "end" FROM x) SELECT * FROM n WHERE "end" - start >= 2
+""")
 def interval_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.complement(event_intervals(spark, sf_dir), ["contig"])
+    """Places that no interval covers, of contigs that end 25 places after their last one."""
+    x = event_intervals(spark, sf_dir)
+    return I.complement(x, ["contig"], x.groupBy("contig").agg((F.max("end") + 25).alias("size")))
 
 
 @query(f"WITH {IV}, {MERGED.format(k='chunk, contig')} SELECT chunk, contig, CAST(sum(e - s) AS BIGINT) AS covered, count(*) AS islands FROM m GROUP BY chunk, contig")

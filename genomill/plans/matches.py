@@ -7,62 +7,91 @@ from pyspark.sql import functions as F
 
 from genomill.operators import matches as M
 from genomill.plans.registry import load, query
-from genomill.sources.sequences import SEQS_SQL, seqs
+from genomill.sources.sequences import SEQS_SQL, bounded, references, seqs
 
-UNIQUE = (
-    "kp AS (SELECT set_id, seq_id, fwd, p - 1 AS pos, substr(seq, p, {k}) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - {k} + 2)) AS p FROM strands WHERE length(seq) >= {k})), "
-    "u AS (SELECT set_id, seq_id, fwd, kmer, min(pos) AS pos FROM kp WHERE NOT contains(kmer, 'N') GROUP BY ALL HAVING count(*) = 1)"
-)
-STRANDS = "strands AS (SELECT set_id, seq_id, true AS fwd, seq FROM s UNION ALL SELECT set_id, seq_id, false, reverse(translate(seq, 'ACGTU', 'TGCAA')) FROM s)"
-BASES_SQL = f"SELECT set_id, seq_id, replace(seq, 'N', '') AS seq FROM ({SEQS_SQL})"  # without the N that stand for blanks
+BASES_SQL = f"SELECT seq_id, lang, replace(seq, 'N', '') AS seq FROM ({SEQS_SQL})"  # without the N that stand for blanks
+KMERS = "(SELECT *, unnest(range(1, length(seq) - {k} + 2)) AS p FROM {t} WHERE length(seq) >= {k})"
+# from the definition: equal windows in runs along a diagonal, then those whose string occurs once in each sequence
 PAIRS = (
-    f"s AS ({BASES_SQL}), r AS (SELECT set_id, min(seq_id) AS ref_id FROM s GROUP BY set_id), {STRANDS}, {UNIQUE}, "
-    "seeds AS (SELECT r.set_id, r.ref_id, b.seq_id AS query_id, b.fwd, a.pos AS r, b.pos AS q FROM r JOIN u a ON a.seq_id = r.ref_id AND a.fwd JOIN u b ON b.set_id = r.set_id AND b.kmer = a.kmer AND b.seq_id <> r.ref_id), "
+    f"s AS ({BASES_SQL}), r AS (SELECT lang, min(seq_id) AS ref_id FROM s GROUP BY lang), refs AS (SELECT r.lang, ref_id, seq FROM r JOIN s ON seq_id = ref_id), "
+    "q AS (SELECT s.*, true AS fwd FROM s JOIN r ON s.lang = r.lang WHERE seq_id <> ref_id UNION ALL SELECT seq_id, s.lang, reverse(translate(seq, 'ACGTU', 'TGCAA')), false FROM s JOIN r ON s.lang = r.lang WHERE seq_id <> ref_id), "
+    "kr AS (SELECT lang, ref_id, seq AS ref_seq, p, substr(seq, p, {k}) AS kmer FROM " + KMERS.replace("{t}", "refs") + "), kq AS (SELECT lang, seq_id, fwd, seq, p, substr(seq, p, {k}) AS kmer FROM " + KMERS.replace("{t}", "q") + "), "
+    "seeds AS (SELECT ref_id, seq_id AS query_id, fwd, kr.p AS r, kq.p AS q, ref_seq, seq FROM kr JOIN kq ON kr.lang = kq.lang AND kr.kmer = kq.kmer), "
     "l AS (SELECT *, r - lag(r) OVER (PARTITION BY ref_id, query_id, fwd, q - r ORDER BY r) AS step FROM seeds), "
-    "g AS (SELECT *, sum(CASE WHEN step IS NULL OR step > {k} THEN 1 ELSE 0 END) OVER (PARTITION BY ref_id, query_id, fwd, q - r ORDER BY r) AS run FROM l), "
-    "mm AS (SELECT set_id, ref_id, query_id, fwd, min(r) AS ref_start, min(q) AS query_start, max(r) - min(r) + {k} AS length FROM g GROUP BY set_id, ref_id, query_id, fwd, q - r, run)"
+    "g AS (SELECT *, sum(CASE WHEN step = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY ref_id, query_id, fwd, q - r ORDER BY r) AS run FROM l), "
+    "mem AS (SELECT ref_id, query_id, fwd, min(r) AS r, min(q) AS q, max(r) - min(r) + {k} AS length, substr(any_value(ref_seq), min(r), max(r) - min(r) + {k}) AS w FROM g GROUP BY ref_id, query_id, fwd, q - r, run), "
+    "once AS (SELECT ref_id, w FROM (SELECT DISTINCT ref_id, w, length FROM mem) m JOIN kr USING (ref_id) WHERE kr.kmer = substr(w, 1, {k}) AND substr(ref_seq, p, length) = w GROUP BY ref_id, w HAVING count(*) = 1), "
+    "twice AS (SELECT query_id, m.fwd, w FROM (SELECT DISTINCT query_id, fwd, w, length FROM mem) m JOIN kq ON kq.seq_id = query_id AND kq.fwd = m.fwd WHERE kq.kmer = substr(w, 1, {k}) AND substr(seq, p, length) = w GROUP BY query_id, m.fwd, w HAVING count(*) = 1), "
+    "mm AS (SELECT m.ref_id, m.query_id, m.fwd, m.r - 1 AS ref_start, m.q - 1 AS query_start, m.length FROM mem m JOIN once o ON o.ref_id = m.ref_id AND o.w = m.w JOIN twice t ON t.query_id = m.query_id AND t.fwd = m.fwd AND t.w = m.w)"
 )
 
 
 def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seqs(spark, sf_dir).select("set_id", "seq_id", F.replace(F.col("seq"), F.lit("N"), F.lit("")).alias("seq"))
+    return seqs(spark, sf_dir).select("seq_id", "lang", F.replace(F.col("seq"), F.lit("N"), F.lit("")).alias("seq"))
 
 
-def matches(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence with the reference of its language: ref_id, ref_seq, query_id, seq."""
     s = bases(spark, sf_dir)
-    first = s.groupBy("set_id").agg(F.min("seq_id").alias("seq_id"))
-    refs = s.join(first, ["set_id", "seq_id"], "left_semi")
-    return s, M.unique_matches(refs, s, k)
+    return s.join(bounded(references(s)), "lang").where("seq_id <> ref_id").select("ref_id", "ref_seq", F.col("seq_id").alias("query_id"), "seq")
 
 
 @query(f"WITH {PAIRS.format(k=13)} SELECT * FROM mm")
 def mum_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark, sf_dir, 13)[1]
+    return M.pair_matches(pairs(spark, sf_dir), 13)
 
 
 @query(f"""
-WITH s AS (SELECT seq_id // 3 AS set_id, seq_id, seq FROM ({BASES_SQL})), strands AS (SELECT set_id, seq_id, true AS fwd, seq FROM s), {UNIQUE.format(k=7)},
-n AS (SELECT set_id, count(*) AS n FROM s GROUP BY set_id), c AS (SELECT set_id, kmer, count(*) AS n_genomes, min_by(pos, seq_id) AS r FROM u GROUP BY ALL),
-h AS (SELECT c.set_id, c.n_genomes, c.r, r - lag(r) OVER (PARTITION BY c.set_id ORDER BY r) AS step FROM c JOIN n ON c.set_id = n.set_id AND n_genomes = n AND n > 1),
-g AS (SELECT *, sum(CASE WHEN step IS NULL OR step > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY set_id ORDER BY r) AS run FROM h)
-SELECT set_id, min(r) AS ref_start, max(r) + 7 AS ref_end, any_value(n_genomes) AS n_genomes FROM g GROUP BY set_id, run
+WITH s AS (SELECT seq_id // 3 AS set_id, seq_id, seq, row_number() OVER (PARTITION BY seq_id // 3 ORDER BY seq_id) AS place, count(*) OVER (PARTITION BY seq_id // 3) AS n FROM ({BASES_SQL})),
+kp AS (SELECT set_id, place, n, seq, p, substr(seq, p, 10) AS kmer FROM {KMERS.format(k=10, t="s")}),
+seeds AS (SELECT a.set_id, a.n, a.seq, b.seq AS seq2, c.seq AS seq3, a.p AS p1, b.p AS p2, c.p AS p3 FROM kp a JOIN kp b ON a.set_id = b.set_id AND a.kmer = b.kmer AND a.place = 1 AND b.place = 2
+          LEFT JOIN kp c ON a.set_id = c.set_id AND a.kmer = c.kmer AND c.place = 3 WHERE a.n = 2 OR c.p IS NOT NULL),
+l AS (SELECT *, p1 - lag(p1) OVER (PARTITION BY set_id, p2 - p1, p3 - p1 ORDER BY p1) AS step FROM seeds),
+g AS (SELECT *, sum(CASE WHEN step = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY set_id, p2 - p1, p3 - p1 ORDER BY p1) AS run FROM l),
+mem AS (SELECT set_id, any_value(n) AS n, min(p1) AS p1, min(p2) AS p2, min(p3) AS p3, max(p1) - min(p1) + 10 AS length, substr(any_value(seq), min(p1), max(p1) - min(p1) + 10) AS w FROM g GROUP BY set_id, p2 - p1, p3 - p1, run),
+once AS (SELECT set_id, place, w FROM (SELECT DISTINCT set_id, w, length FROM mem) m JOIN kp USING (set_id) WHERE kp.kmer = substr(w, 1, 10) AND substr(seq, p, length) = w GROUP BY set_id, place, w HAVING count(*) = 1),
+o AS (SELECT set_id, w, count(*) AS n FROM once GROUP BY set_id, w)
+SELECT m.set_id, m.p1 - 1 AS ref_start, m.p1 - 1 + m.length AS ref_end, m.n AS n_genomes, m.p2 - 1 AS start2, m.p3 - 1 AS start3 FROM mem m JOIN o ON o.set_id = m.set_id AND o.w = m.w AND o.n = m.n
 """)
 def multi_mum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.multi_matches(bases(spark, sf_dir).withColumn("set_id", F.floor(F.col("seq_id") / 3)), 7)
+    found = M.multi_matches(bases(spark, sf_dir).withColumn("set_id", F.floor(F.col("seq_id") / 3)), 10)
+    start = lambda i: F.get("starts", F.lit(i))
+    return found.select("set_id", start(0).alias("ref_start"), (start(0) + F.col("length")).alias("ref_end"), F.size("starts").cast("long").alias("n_genomes"), start(1).alias("start2"), start(2).alias("start3"))
+
+
+MUMI = (
+    PAIRS.format(k=15) + ", c AS (SELECT ref_id, query_id, sum(n) AS covered, max(length) AS longest FROM (SELECT *, greatest(ref_start + length - greatest(ref_start, coalesce(max(ref_start + length) OVER (PARTITION BY ref_id, query_id ORDER BY ref_start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS n FROM mm) GROUP BY ALL), "
+    "mu AS (SELECT a.lang, a.ref_id, x.seq_id AS query_id, round(CASE WHEN length(a.seq) / CAST(length(x.seq) AS DOUBLE) > 1.3 OR length(a.seq) / CAST(length(x.seq) AS DOUBLE) < 0.7 THEN 1.0 "
+    "ELSE 1 - coalesce(covered - CASE WHEN longest = length(a.seq) THEN 1 ELSE 0 END, 0) / CAST(length(a.seq) AS DOUBLE) END, 6) AS mumi "
+    "FROM refs a JOIN s x ON x.lang = a.lang AND x.seq_id <> a.ref_id LEFT JOIN c ON c.ref_id = a.ref_id AND c.query_id = x.seq_id)"
+)
+
+
+def mumi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ref_id, query_id, mumi of every sequence and its language's reference."""
+    p = pairs(spark, sf_dir)
+    sizes = p.select("ref_id", F.length("ref_seq").alias("ref_len"), "query_id", F.length("seq").alias("query_len"))
+    return M.mumi(M.pair_matches(p, 15), sizes).withColumn("mumi", F.round("mumi", 6))
+
+
+@query(f"WITH {MUMI} SELECT ref_id, query_id, mumi FROM mu")
+def mumi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mumi_rows(spark, sf_dir)
+
+
+@query(f"WITH {MUMI} SELECT ref_id, query_id, mumi FROM mu WHERE mumi < 0.5")
+def mumi_recruit(spark: SparkSession, sf_dir: str, most: float = 0.5) -> DataFrame:
+    """The genomes near enough to their reference to take part."""
+    return mumi_rows(spark, sf_dir).where(F.col("mumi") < most)
 
 
 @query(f"""
-WITH {PAIRS.format(k=15)},
-c AS (SELECT ref_id, query_id, sum(n) AS covered FROM (SELECT ref_id, query_id, greatest(ref_start + length - greatest(ref_start, coalesce(max(ref_start + length) OVER (PARTITION BY ref_id, query_id ORDER BY ref_start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS n FROM mm) GROUP BY ALL)
-SELECT r.ref_id, q.seq_id AS query_id, round(CASE WHEN length(a.seq) / CAST(length(q.seq) AS DOUBLE) > 1.3 OR length(a.seq) / CAST(length(q.seq) AS DOUBLE) < 0.7 THEN 1.0 ELSE 1 - coalesce(covered, 0) / CAST(length(a.seq) AS DOUBLE) END, 6) AS mumi
-FROM r JOIN s a ON a.seq_id = r.ref_id JOIN s q ON q.set_id = r.set_id AND q.seq_id <> r.ref_id LEFT JOIN c ON c.ref_id = r.ref_id AND c.query_id = q.seq_id
+WITH {MUMI} SELECT ref_id, arg_min(query_id, (mumi, query_id)) AS nearest, min(mumi) AS mumi, arg_min(query_id, md5(CAST(query_id AS VARCHAR)) || CAST(query_id AS VARCHAR)) AS drawn FROM mu GROUP BY ref_id
 """)
-def mumi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, found = matches(spark, sf_dir, 15)
-    sizes = s.select("set_id", "seq_id", F.length("seq").alias("len"))
-    first = sizes.groupBy("set_id").agg(F.min_by(F.struct("seq_id", "len"), "seq_id").alias("r"))
-    pairs = sizes.join(first, "set_id").where("seq_id <> r.seq_id").select(F.col("r.seq_id").alias("ref_id"), F.col("r.len").alias("ref_len"), F.col("seq_id").alias("query_id"), F.col("len").alias("query_len"))
-    return M.mumi(found, pairs).withColumn("mumi", F.round("mumi", 6))
+def autopick_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genome of the lowest MUMi becomes the reference; beside it a reproducible draw."""
+    h = F.concat(F.md5(F.col("query_id").cast("string").cast("binary")), F.col("query_id").cast("string"))
+    return mumi_rows(spark, sf_dir).groupBy("ref_id").agg(F.min_by("query_id", F.struct("mumi", "query_id")).alias("nearest"), F.min("mumi").alias("mumi"), F.min_by("query_id", h).alias("drawn"))
 
 
 GENOMES = 3
@@ -136,9 +165,9 @@ def cluster_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {MATCHES}, p AS (SELECT *, lag(e) OVER w AS pe, lead(start) OVER w AS ns FROM m WINDOW w AS (PARTITION BY grp ORDER BY start[1], l_orderkey, l_linenumber, l_partkey, length)),
-t AS (SELECT *, list_bool_and([coalesce(start[i] - pe[i] BETWEEN 0 AND 5000, false) OR coalesce(ns[i] - e[i] BETWEEN 0 AND 5000, false) FOR i IN [1, 2, 3]]) AS touched FROM p)
-SELECT grp, l_orderkey, l_linenumber, length FROM t WHERE length <= 30 AND NOT touched
+WITH {MATCHES}, p AS (SELECT *, lag(start) OVER w AS ps, lag(e) OVER w AS pe, lead(start) OVER w AS ns, lead(e) OVER w AS ne FROM m WINDOW w AS (PARTITION BY grp ORDER BY start[1], l_orderkey, l_linenumber, l_partkey, length)),
+t AS (SELECT *, list_bool_and([x BETWEEN 0 AND 5000 FOR x IN [ns[1] - e[1], ns[2] - e[2], start[3] - ne[3]]]) AS after, list_bool_and([x BETWEEN 0 AND 5000 FOR x IN [start[1] - pe[1], start[2] - pe[2], ps[3] - e[3]]]) AS before FROM p)
+SELECT grp, l_orderkey, l_linenumber, length FROM t WHERE length <= 30 AND ns IS NOT NULL AND NOT (after AND (ps IS NULL OR before))
 """)
 def random_mums(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = line_matches(spark, sf_dir).withColumn("ref_start", F.col("start")[0])

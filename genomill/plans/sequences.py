@@ -6,19 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genomill.functions.sequence import AMBIGUOUS, VALID, clean, count_of, formula, kmers, reverse_complement
-from genomill.operators.distances import kmer_distances
+from genomill.operators.distances import kmer_distances, shared_kmers
 from genomill.operators.recruit import ani_group, fast_cut, length_ratio
 from genomill.plans.registry import load, query
-from genomill.sources.sequences import SEQS_SQL, seqs
+from genomill.sources.sequences import SEQS_SQL, bounded, references, seqs
 
 FIRST_BY_LANG = "first AS (SELECT lang, min(seq_id) AS ref_id FROM seqs GROUP BY lang), refs AS (SELECT s.lang, s.seq_id AS ref_id, s.seq AS ref_seq, length(s.seq) AS ref_len FROM seqs s JOIN first f ON s.seq_id = f.ref_id)"
 
 
-def references(s: DataFrame) -> DataFrame:
-    """The first sequence of each language, one row a language."""
-    return s.groupBy("lang").agg(F.min_by(F.struct("seq_id", "seq"), "seq_id").alias("r")).select("lang", F.col("r.seq_id").alias("ref_id"), F.col("r.seq").alias("ref_seq"), F.length("r.seq").alias("ref_len"))
-
-
 @query(f"""
 WITH s AS ({SEQS_SQL}),
 c AS (SELECT seq_id, length(seq) AS size, length(seq) - length(replace(seq, 'A', '')) + length(seq) - length(replace(seq, 'T', '')) AS n_at,
@@ -37,7 +32,7 @@ WHERE length(seq) > 20 AND NOT contains(seq, '-') AND CAST(ref_len AS DOUBLE) /
 """)
 def length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = seqs(spark, sf_dir)
-    return length_ratio(s, references(s).select("lang", "ref_len"), ["lang"]).select("seq_id", F.round("ratio", 6).alias("ratio"))
+    return length_ratio(s, bounded(references(s).select("lang", "ref_len")), ["lang"]).select("seq_id", F.round("ratio", 6).alias("ratio"))
 
 
 @query(rf"""
@@ -144,16 +139,13 @@ d AS (SELECT q.seq_id, q.lang, CASE WHEN length(q.seq) < 6 OR ref_len < 6 THEN 1
       FROM seqs q JOIN refs r ON q.lang = r.lang LEFT JOIN shared h ON h.seq_id = q.seq_id WHERE q.seq_id <> r.ref_id),
 near AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY d, seq_id) AS rn FROM d WHERE d < 0.5),
 cut AS (SELECT lang, min(d) + 3 * stddev_pop(d) AS top FROM near WHERE rn <= 101 GROUP BY lang)
-SELECT n.lang, n.seq_id, round(n.d, 6) AS d, round(c.top, 6) AS cut FROM near n JOIN cut c ON n.lang = c.lang WHERE n.rn <= 101 AND n.d <= c.top
+SELECT n.lang, n.seq_id, round(n.d, 6) AS d, round(c.top, 6) AS cut FROM near n JOIN cut c ON n.lang = c.lang WHERE n.d <= c.top
 """)
 def recruit_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = seqs(spark, sf_dir)
-    refs = references(s)
-    own = s.select("seq_id", "lang", F.length("seq").alias("len"), F.explode(kmers(F.col("seq"), 6)).alias("kmer")).groupBy("seq_id", "lang", "len", "kmer").agg(F.count("*").alias("n"))
-    ref = refs.select("lang", F.explode(kmers(F.col("ref_seq"), 6)).alias("kmer")).groupBy("lang", "kmer").agg(F.count("*").alias("rn"))
-    shared = own.join(ref, ["lang", "kmer"]).groupBy("seq_id").agg(F.sum(F.least("n", "rn")).alias("c"))
-    d = F.when((F.col("len") < 6) | (F.col("ref_len") < 6), 1.0).otherwise(1 - F.coalesce("c", F.lit(0)) / (F.least("len", "ref_len") - 5))
-    rows = s.select("seq_id", "lang", F.length("seq").alias("len")).join(refs.select("lang", "ref_id", "ref_len"), "lang").where("seq_id <> ref_id").join(shared, "seq_id", "left").select("lang", "seq_id", d.alias("d"))
+    pairs = s.select("lang", F.col("seq_id").alias("query_id"), "seq").join(bounded(references(s)), "lang").where("query_id <> ref_id")
+    d = F.when((F.col("len") < 6) | (F.col("ref_len") < 6), 1.0).otherwise(1 - F.col("c") / (F.least("len", "ref_len") - 5))
+    rows = shared_kmers(pairs.withColumn("len", F.length("seq")), 6, ("lang", "len", "ref_len")).select("lang", F.col("query_id").alias("seq_id"), d.alias("d"))
     return fast_cut(rows, "lang", limit=0.5).select("lang", "seq_id", F.round("d", 6).alias("d"), F.round("cut", 6).alias("cut"))
 
 
@@ -190,13 +182,6 @@ def fragment_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqs(spark, sf_dir).select("seq_id", F.least(F.lit(3000), F.greatest(F.lit(500), F.floor(F.length("seq") / 100))).alias("fragment"))
 
 
-@query(f"WITH s AS ({SEQS_SQL}) SELECT lang, min_by(seq_id, length(seq) * 1000000000000 + seq_id) AS shortest, min_by(seq_id, xx) AS first_by_hash FROM (SELECT *, md5(CAST(seq_id AS VARCHAR)) || CAST(seq_id AS VARCHAR) AS xx FROM s) GROUP BY lang")
-def autopick_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequence with the least metric of a group, and a reproducible draw."""
-    s = seqs(spark, sf_dir).select("seq_id", "lang", F.length("seq").alias("len"), F.concat(F.md5(F.col("seq_id").cast("string").cast("binary")), F.col("seq_id").cast("string")).alias("h"))
-    return s.groupBy("lang").agg(F.min_by("seq_id", F.struct("len", "seq_id")).alias("shortest"), F.min_by("seq_id", "h").alias("first_by_hash"))
-
-
 @query("""
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT d.doc_id, d.source, n.n, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS i FROM documents d JOIN n ON d.source IS NOT DISTINCT FROM n.source)

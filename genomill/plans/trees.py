@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genomill.operators.dp import PartialOrder, align_pair, local_score
+from genomill.operators.matches import compatible
 from genomill.operators.maximal import recursive_anchors
 from genomill.operators.trees import Tree, kmer_distance_matrix, leaf_weights, midpoint, multiple_alignment, neighbour_joining, upgma
 from genomill.plans.registry import load, query
@@ -110,7 +111,7 @@ def snp_distance_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def recursive_mums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors of sets of three, generation by generation in the regions between them; a set's regions stay in one call."""
+    """Anchors of sets of three in any order, generation by generation in the regions beside them until none is left; a set's regions stay in one call."""
     s = short_seqs(spark, sf_dir).withColumns({"set_id": F.floor(F.col("seq_id") / 3), "seq": F.replace(F.col("seq"), F.lit("N"), F.lit(""))})
     return per_set(s, lambda ids, seqs: [(list(a), n, g) for a, n, g in recursive_anchors(seqs, factor=0.6)] if len(seqs) > 1 else [], "set_id long, starts array<long>, length long, generation long")
 
@@ -133,12 +134,14 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ancestors(tree: DataFrame, spark: SparkSession) -> DataFrame:
     """leaf, node, length, depth: every edge above every leaf, by a recursive query."""
-    tree.createOrReplaceTempView("tree_edges")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE up(leaf, node, parent, length, depth) AS (
-          SELECT node, node, parent, length, 1 FROM tree_edges WHERE leaf
-          UNION ALL SELECT up.leaf, t.node, t.parent, t.length, up.depth + 1 FROM up JOIN tree_edges t ON up.parent = t.node)
-        SELECT leaf, node, length, depth FROM up""")
+          SELECT node, node, parent, length, 1 FROM {tree} WHERE leaf
+          UNION ALL SELECT up.leaf, t.node, t.parent, t.length, up.depth + 1 FROM up JOIN {tree} t ON up.parent = t.node)
+        SELECT leaf, node, length, depth FROM up""",
+        tree=tree,
+    )
 
 
 @query(f"""
@@ -181,20 +184,19 @@ def path_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of one set of paths that the other lacks."""
     t = load(spark, sf_dir, "lineitem")
     edges = lambda c: t.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pa"), (F.col("l_linenumber") + F.col(c) % 2).alias("pb"))
-    return edges("l_partkey").exceptAll(edges("l_suppkey").distinct()).distinct().join(edges("l_suppkey").distinct(), ["id", "pa", "pb"], "left_anti")
+    return edges("l_partkey").subtract(edges("l_suppkey"))
 
 
 @query("""
 WITH d AS (SELECT l_suppkey AS grp, CAST(l_orderkey AS BIGINT) AS a, CAST(l_orderkey + l_partkey % 7 AS BIGINT) AS b, CAST(l_quantity AS BIGINT) AS len, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS i FROM lineitem),
-n AS (SELECT *, lead(a) OVER w AS a2, lead(b) OVER w AS b2, lead(len) OVER w AS len2 FROM d WINDOW w AS (PARTITION BY grp ORDER BY i))
-SELECT grp, i, a, b, len FROM n WHERE a2 IS NULL OR CASE WHEN a - b = a2 - b2 THEN true ELSE (a2 >= a + len OR a >= a2 + len2) AND (b2 >= b + len OR b >= b2 + len2) END OR len > 4 * len2
+bad AS (SELECT x.grp, x.i AS i1, y.i AS i2, x.len AS len1, y.len AS len2 FROM d x JOIN d y ON x.grp = y.grp AND x.i < y.i
+        WHERE NOT (x.a - x.b = y.a - y.b AND least(x.a + x.len, y.a + y.len) > greatest(x.a, y.a)) AND NOT (least(x.a + x.len, y.a + y.len) <= greatest(x.a, y.a) AND least(x.b + x.len, y.b + y.len) <= greatest(x.b, y.b))),
+gone AS (SELECT grp, i2 AS i FROM bad WHERE NOT len2 > 4 * len1 UNION SELECT grp, i1 FROM bad WHERE NOT len1 > 4 * len2),
+kept AS (SELECT * FROM d ANTI JOIN gone USING (grp, i)),
+far AS (SELECT *, coalesce(max(b) OVER (PARTITION BY grp ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM kept)
+SELECT grp, i, a, b, len FROM far x WHERE b > before AND NOT EXISTS (SELECT 1 FROM kept y WHERE y.grp = x.grp AND y.i > x.i AND y.b > x.before AND y.b <= x.b)
 """)
 def compatible_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diagonals that agree with the next one: on the same diagonal, apart on both axes, or four times as long."""
     rn = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
     d = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), rn.cast("long").alias("i"), F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_partkey") % 7).alias("b"), F.col("l_quantity").cast("long").alias("len"))
-    w = Window.partitionBy("grp").orderBy("i")
-    n = d.withColumns({f"{c}2": F.lead(c).over(w) for c in ("a", "b", "len")})
-    apart = lambda x: (F.col(f"{x}2") >= F.col(x) + F.col("len")) | (F.col(x) >= F.col(f"{x}2") + F.col("len2"))
-    fits = (F.col("a") - F.col("b") == F.col("a2") - F.col("b2")) | (apart("a") & apart("b")) | (F.col("len") > 4 * F.col("len2"))
-    return n.where(F.col("a2").isNull() | fits).select("grp", "i", "a", "b", "len")
+    return compatible(d, "grp")

@@ -24,3 +24,17 @@ def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def short_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, set_id, seq: the benchmark items, short enough for quadratic alignment."""
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.floor(F.col("item_id") / SET).alias("set_id"), folded(F.coalesce("text", F.lit(""))).alias("seq"))
+
+
+def bounded(df: DataFrame, most: int = 32_000_000) -> DataFrame:
+    """`df`, a small table such as one row a language, marked for broadcast only where its strings and rows stay within `most` bytes."""
+    strings = [c for c, t in df.dtypes if t == "string"]
+    size = df.agg(F.coalesce(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in strings), F.lit(64))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
+
+
+def references(s: DataFrame) -> DataFrame:
+    """lang, ref_id, ref_seq, ref_len: the first sequence of each language. Only ids are grouped, so no sequence is sorted or shuffled."""
+    first = s.groupBy("lang").agg(F.min("seq_id").alias("first"))
+    own = s.select("lang", F.col("seq_id").alias("ref_id"), F.col("seq").alias("ref_seq"), F.length("seq").alias("ref_len"))
+    return own.join(bounded(first.select("first")), own["ref_id"] == F.col("first"), "left_semi")

@@ -1,6 +1,7 @@
 """Kernels against plain definitions, and against cases worked out by hand."""
 
 import random
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from genomill.functions import sequence as S
 from genomill.operators import intervals as I
 from genomill.operators.columns import GAP_OPEN, pair_score
+from genomill.operators.distances import kmer_distances
 from genomill.operators.dp import PartialOrder, Profile, align_pair, global_path, local_score
-from genomill.operators.maximal import multi_mums, recursive_anchors
+from genomill.operators.matches import compatible, multi_matches, pair_matches, unique_matches
+from genomill.operators.maximal import recursive_anchors
 from genomill.operators.recruit import fast_cut
 from genomill.operators.trees import kmer_distance_matrix, leaf_weights, midpoint, multiple_alignment, neighbour_joining, upgma
 from genomill.sources import formats as R
@@ -142,17 +145,103 @@ def test_weights_add_up_and_two_leaves_are_even():
     assert leaf_weights(upgma(kmer_distance_matrix(seqs))).sum() == pytest.approx(1)
 
 
-def test_multi_mums_against_all_substrings():
+def naive_matches(seqs, least):
+    """From the definition: substrings that occur once in each sequence and can't be extended in all of them."""
+    out = set()
+    for i in range(len(seqs[0])):
+        for j in range(i + least, len(seqs[0]) + 1):
+            word = seqs[0][i:j]
+            places = [[p for p in range(len(s) - len(word) + 1) if s.startswith(word, p)] for s in seqs]
+            if "N" in word or any(len(p) != 1 for p in places):
+                continue
+            at = [p[0] for p in places]
+            left = {s[p - 1] if p else f"begin {k}" for k, (s, p) in enumerate(zip(seqs, at, strict=True))}
+            right = {s[p + len(word)] if p + len(word) < len(s) else f"end {k}" for k, (s, p) in enumerate(zip(seqs, at, strict=True))}
+            if all(len(x) > 1 or x == {"N"} for x in (left, right)):
+                out.add((tuple(at), len(word)))
+    return sorted(out)
+
+
+def related(rng, n, alphabet):
+    base = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+    out = []
+    for _ in range(n):
+        a, b = sorted((rng.randint(0, len(base)), rng.randint(0, len(base))))
+        out.append("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 6))) + base[a:b] + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 4))) + base[b:])
+    return out
+
+
+def test_unique_matches_against_all_substrings():
     rng = random.Random(7)
-    core = "".join(rng.choice("ACGT") for _ in range(40))
-    seqs = [core[:20] + "".join(rng.choice("ACGT") for _ in range(5)) + core[20:] for _ in range(3)]
-    words = {seqs[0][i:j] for i in range(len(seqs[0])) for j in range(i + 6, len(seqs[0]) + 1)}
-    unique = {w for w in words if all(s.count(w) == 1 and s.find(w) == s.rfind(w) for s in seqs)}
-    maximal = {w for w in unique if not any(w != v and w in v and all(s.find(v) <= s.find(w) for s in seqs) for v in unique)}
-    assert {seqs[0][p[0] : p[0] + n] for p, n in multi_mums(seqs, 6)} == maximal
-    anchors = recursive_anchors(seqs)
-    assert all(seqs[0][p[0] : p[0] + n] == s[q : q + n] for p, n, _ in anchors for s, q in zip(seqs, p, strict=True))
-    assert all(a[0][k] + a[1] <= b[0][k] for a, b in zip(anchors, anchors[1:], strict=False) for k in range(3))
+    for _ in range(300):
+        seqs, least = related(rng, rng.choice([2, 2, 3, 4]), rng.choice(["AC", "ACGT", "ACGTN", "A"])), rng.randint(1, 5)
+        assert unique_matches(seqs, least) == naive_matches(seqs, least), (seqs, least)
+    assert unique_matches(["ACGTTGCAGGTCA", "ACGTTGCAGGTCA"], 4) == [((0, 0), 13)]
+    assert all(n < 8 for _, n in unique_matches(["AACCGGTT", "AACCGTAGACCGGTT"], 5))
+
+
+def test_pairs_and_sets_of_matches(spark):
+    rng = random.Random(8)
+    flip = str.maketrans("ACGT", "TGCA")
+    sets = [related(rng, 3, "ACG") for _ in range(12)]
+    rows = [(k, 3 * k + i, x) for k, own in enumerate(sets) for i, x in enumerate(own)]
+    s = spark.createDataFrame(rows, "set_id long, seq_id long, seq string")
+    got = multi_matches(s, 3).collect()
+    assert sorted((r.set_id, tuple(r.starts), r.length) for r in got) == sorted((k, *m) for k, own in enumerate(sets) for m in naive_matches(own, 3))
+    pairs = spark.createDataFrame([(3 * k, own[0], 3 * k + 1, own[1]) for k, own in enumerate(sets)], "ref_id long, ref_seq string, query_id long, seq string")
+    want = [(3 * k, 3 * k + 1, fwd, *at, n) for k, own in enumerate(sets) for fwd, q in ((True, own[1]), (False, own[1].translate(flip)[::-1])) for at, n in naive_matches([own[0], q], 3)]
+    assert sorted(tuple(r) for r in pair_matches(pairs, 3).collect()) == sorted(want)
+
+
+def test_anchors_are_disjoint_equal_and_leave_no_region():
+    rng = random.Random(9)
+    for _ in range(40):
+        a, b = ("".join(rng.choice("ACGT") for _ in range(80)) for _ in range(2))
+        seqs = [a + b, b[:50] + a + b[50:], a[:30] + "T" + a[30:] + b]  # also matches in another order
+        anchors = recursive_anchors(seqs)
+        for k, s in enumerate(seqs):
+            held = sorted((p[k], p[k] + n) for p, n, _ in anchors)
+            assert all(x[1] <= y[0] for x, y in zip(held, held[1:], strict=False)) and all(seqs[0][p[0] : p[0] + n] == s[p[k] : p[k] + n] for p, n, _ in anchors)
+        whole = {m for m in unique_matches(seqs, 9)}
+        assert sum(n for _, n, g in anchors if g == 1) <= sum(n for _, n in whole) and len(anchors) >= 2
+        assert any(x[0][0] < y[0][0] and x[0][1] > y[0][1] for x in anchors for y in anchors)
+
+
+def test_compatible_diagonals_one_by_one(spark):
+    rng = random.Random(10)
+    rows, want = [], set()
+    for g in range(40):
+        d = sorted((rng.randint(0, 60), rng.randint(0, 60), rng.choice([1, 3, 5, 25])) for _ in range(rng.randint(0, 9)))
+        overlap = lambda x, y, k: min(x[k] + x[2], y[k] + y[2]) > max(x[k], y[k])
+        agree = lambda x, y: x[0] - x[1] == y[0] - y[1] and overlap(x, y, 0) or not overlap(x, y, 0) and not overlap(x, y, 1)
+        gone = set()
+        for i, x in enumerate(d):
+            for j in range(i + 1, len(d)):
+                if not agree(x, d[j]):
+                    gone |= {j} if x[2] > 4 * d[j][2] else {i} if d[j][2] > 4 * x[2] else {i, j}
+        for i, x in enumerate(d):
+            if i not in gone:
+                for j in range(i + 1, len(d)):
+                    if j not in gone and x[1] >= d[j][1]:
+                        gone |= {i, j}
+        rows += [(g, i, *x) for i, x in enumerate(d)]
+        want |= {(g, i) for i in range(len(d)) if i not in gone}
+    got = compatible(spark.createDataFrame(rows, "grp long, i long, a long, b long, len long"), "grp", bin_size=8).collect()
+    assert {(r.grp, r.i) for r in got} == want and len(got) == len(want)
+
+
+def test_kmer_distances_of_sets_of_any_size(spark):
+    rng = random.Random(12)
+    rows = [(0, i, "".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 30)))) for i in range(11)] + [(1, 20, "ACGT")]
+    got = {(r.a, r.b): r.d for r in kmer_distances(spark.createDataFrame(rows, "set_id long, seq_id long, seq string"), 3, block=4).collect()}
+    count = lambda s: Counter(s[i : i + 3] for i in range(len(s) - 2))
+    want = {}
+    for _, a, x in rows[:11]:
+        for _, b, y in rows[:11]:
+            if b < a:
+                n, least = sum((count(x) & count(y)).values()), min(max(len(x) - 2, 0), max(len(y) - 2, 0))
+                want[a, b] = 3.0 * (least - n) / least if least else 1.0
+    assert got == pytest.approx(want)
 
 
 def test_fast_cut_keeps_all_near_rows(spark):
@@ -193,7 +282,9 @@ def test_intervals_by_hand(spark):
     assert rows(I.intersect(a, b, ["k"], 4)) == [(5, 10), (20, 25)]
     assert rows(I.intersect(ivs(spark, [("x", 0, 10)]), ivs(spark, [("x", 10, 20)]), ["k"])) == []
     assert rows(I.cut_overlaps(ivs(spark, [("x", 0, 10), ("x", 5, 12), ("x", 11, 20)]), ["k"])) == [(0, 10), (11, 12), (13, 20)]
-    assert rows(I.complement(a, ["k"])) == [(10, 20)]
+    sizes = lambda *own: spark.createDataFrame(own, "k string, size long")
+    assert rows(I.complement(a, ["k"], sizes(("x", 33)))) == [(10, 20), (30, 33)]
+    assert rows(I.complement(b, ["k"], sizes(("x", 26), ("y", 7)))) == [(0, 5), (0, 7)]  # a run of one place is none
     assert rows(I.disjoint(ivs(spark, [("x", 0, 10), ("x", 2, 8), ("x", 5, 20)]), ["k"])) == [(0, 10), (11, 20)]
 
 
