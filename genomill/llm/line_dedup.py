@@ -2,13 +2,14 @@
 
 A line's key is the line without white space at both ends, ASCII letters in lower case. Of the keys of at least `MIN_CHARS`
 code points, each document sends the 128-bit hashes once; they are counted, with the largest doc_id that holds them. The
-hashes of keys in at least `MIN_DOCS` documents are dealt to shards; each shard builds a minimal perfect hash (levels of bit
+hashes of keys in more than one document are dealt to shards; each shard builds a minimal perfect hash (levels of bit
 arrays, each key at the first level where no other key hits its bit; ranks by block counts) over arrays of check bits,
-counts and last doc_ids. Documents probe the arrays; lines are never joined. The check bits are the 64 bits that the
+counts and last doc_ids. Documents probe the arrays, whose count decides; lines are never joined. The check bits are the 64 bits that the
 perfect hash does not use, so a line that isn't indexed passes with probability 2^-64.
 
 While all shards together hold at most `BROADCAST_KEYS` keys, documents probe a broadcast copy. Beyond, the documents' hashes
-travel to their shard (salted), are probed there, and the hits return to their documents.
+travel to their shard, which is copied once for every `BLOCK` of them, are probed there one batch at a time, and the hits
+return to their documents.
 
 Defined cases: null or empty text is one empty line; rows are documents, also where they repeat or share a doc_id: a key's
 lines stay in every row with its largest doc_id, and in rows without doc_id if no row that holds it has one; an empty table
@@ -26,13 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genomill.llm.common import stash
+from genomill.llm.common import stash, unstash
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BLANK = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 100_000
 BROADCAST_KEYS = 2_000_000
-SALTS = 16
+#: Lines that are probed against one copy of a shard.
+BLOCK = 1_000_000
 _MIX, _MASK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -105,18 +107,27 @@ class PerfectHash:
 
 
 class Shard:
-    """A perfect hash with its arrays: check bits, counts, last doc_ids (missing: the least integer)."""
+    """A perfect hash with its arrays: check bits, counts, last doc_ids (missing: the least integer).
 
-    def __init__(self, parts: list[bytes], check: bytes, count: bytes, last: bytes):
+    Keys whose 64 hashed bits are alike (one of 10^9 shards has some) are kept beside it, whole.
+    """
+
+    def __init__(self, parts: list[bytes], check: bytes, count: bytes, last: bytes, twins: bytes):
         self.hash = PerfectHash.load(parts)
         self.check, self.count, self.last = np.frombuffer(check, np.uint64), np.frombuffer(count, np.int64), np.frombuffer(last, np.int64)
+        rows = np.frombuffer(twins, np.int64).reshape(-1, 4)
+        self.twins = {(int(i), int(c)): (int(n), int(d)) for (i, c), (n, d) in zip(rows[:, :2].view(np.uint64), rows[:, 2:], strict=True)}
 
     def probe(self, index: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is in, and its last doc_id."""
+        """In how many documents each key is (0 if it isn't indexed), and its last doc_id."""
         at = self.hash.find(index)
         known = at >= 0
         known[known] = self.check[at[known]] == check[known]
-        return known, np.where(known, self.last[at], 0)
+        count, last = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        count[known], last[known] = self.count[at[known]], self.last[at[known]]
+        for k in np.flatnonzero(np.isin(index, np.array([i for i, _ in self.twins], np.uint64))) if self.twins else ():
+            count[k], last[k] = self.twins.get((int(index[k]), int(check[k])), (0, 0))
+        return count, last
 
 
 def _split(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,16 +150,18 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     index, check = _split(list(rows["key"]))
-    order = np.argsort(index, kind="stable")  # two keys of one index value: the second would never be found
-    assert (np.diff(index[order]) != 0).all(), "64-bit index values collide; choose another seed"
-    table = PerfectHash.build(index)
-    at = table.find(index)
+    n, last = rows["n_docs"].to_numpy(np.int64), rows["last_doc"].to_numpy(np.int64)
+    _, first, copies = np.unique(index, return_inverse=True, return_counts=True)
+    twin = copies[first] > 1
+    table = PerfectHash.build(index[~twin])
+    at = table.find(index[~twin])
     arrays = []
-    for values in (check, rows["n_docs"].to_numpy(np.int64), rows["last_doc"].to_numpy(np.int64)):
-        out = np.empty(len(rows), values.dtype)
-        out[at] = values
+    for values in (check, n, last):
+        out = np.empty(len(at), values.dtype)
+        out[at] = values[~twin]
         arrays.append(out.tobytes())
-    return pd.DataFrame([{"shard": rows["shard"].iloc[0], "parts": table.dump(), "check": arrays[0], "count": arrays[1], "last": arrays[2]}])
+    twins = np.stack((index[twin].view(np.int64), check[twin].view(np.int64), n[twin], last[twin]), axis=1).astype(np.int64)
+    return pd.DataFrame([{"shard": rows["shard"].iloc[0], "parts": table.dump(), "check": arrays[0], "count": arrays[1], "last": arrays[2], "twins": twins.tobytes()}])
 
 
 def shard_of(index: np.ndarray, shards: int) -> np.ndarray:
@@ -165,25 +178,30 @@ def _dealt(shards: int):
     return run
 
 
-def build_index(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, int, int]:
-    """The shards (shard, parts, check, count, last) of keys in at least `min_docs` documents, their number, and the keys'."""
+_INDEX = "shard long, parts array<binary>, check binary, count binary, last binary, twins binary"
+
+
+def build_index(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
+    """The shards (shard, parts, check, count, last, twins) of keys in several documents, their number, and the keys'."""
     sent = docs.mapInArrow(_sent, "key binary, doc_id long")
-    counted = stash(sent.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs), "lines")
+    counted = stash(sent.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")).where("n_docs > 1"), "lines")
     keys = counted.count()
-    shards = max(1, -(-keys // SHARD_KEYS))
+    shards = max(1, -(-keys // shard_keys))
     rows = counted.mapInArrow(_dealt(shards), "shard long, key binary, n_docs long, last_doc long")
-    return stash(rows.groupBy("shard").applyInPandas(_build, "shard long, parts array<binary>, check binary, count binary, last binary"), "index"), shards, keys
+    index = stash(rows.groupBy("shard").applyInPandas(_build, _INDEX), "index")
+    unstash(counted)
+    return index, shards, keys
 
 
 def _probe_all(tables: dict[int, Shard], shards: int, digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     index, check = _split(digests)
-    known, last = np.zeros(len(index), bool), np.zeros(len(index), np.int64)
+    count, last = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
     at = shard_of(index, shards)
     for s in np.unique(at):
         mine = at == s
         if int(s) in tables:
-            known[mine], last[mine] = tables[int(s)].probe(index[mine], check[mine])
-    return known, last
+            count[mine], last[mine] = tables[int(s)].probe(index[mine], check[mine])
+    return count, last
 
 
 _OUT = "doc_id long, n_lines long, n_dropped long, kept string"
@@ -212,7 +230,7 @@ def _emit(ids: list, texts: list, drop: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=_NAMES)
 
 
-def _probing(shared, shards: int):
+def _probing(shared, shards: int, min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {s: Shard(*rest) for s, *rest in shared.value}
         for batch in batches:
@@ -220,8 +238,8 @@ def _probing(shared, shards: int):
             keys, row, number = _lines(texts, range(len(texts)))
             drop = [set() for _ in texts]
             if keys:
-                known, last = _probe_all(tables, shards, keys)
-                for k in np.flatnonzero(known):
+                count, last = _probe_all(tables, shards, keys)
+                for k in np.flatnonzero(count >= min_docs):
                     if last[k] != (NO_ID if ids[row[k]] is None else ids[row[k]]):
                         drop[row[k]].add(number[k])
             yield _emit(ids, texts, drop)
@@ -237,11 +255,36 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(row, pa.int64()), pa.array(number, pa.int64()), pa.array([NO_ID if of[r] is None else of[r] for r in row], pa.int64())], names=["key", "row", "line", "doc_id"])
 
 
-def _answer(key, asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    if not len(index) or not len(asked):
-        return pd.DataFrame({"row": pd.Series(dtype="int64"), "line": pd.Series(dtype="int64")})
-    known, last = Shard(*index[["parts", "check", "count", "last"]].iloc[0]).probe(*_split(list(asked["key"])))
-    return asked.loc[known & (last != asked["doc_id"].to_numpy()), ["row", "line"]]
+def _answering(min_docs: int):
+    """Rows in order: a shard, then the lines that ask for it, batch by batch; only the shard is kept in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            is_row, rows, lines = (batch.column(c).to_pylist() for c in ("is_row", "row", "line"))
+            out, edges = [], [*(i for i, x in enumerate(is_row) if not x), len(is_row)]
+            for a, b in zip([0, *edges], edges + edges[-1:], strict=True):
+                if a < b and not is_row[a]:
+                    table = Shard(*(batch.column(c)[a].as_py() for c in ("parts", "check", "count", "last", "twins")))
+                    a += 1
+                if a < b and table is not None:
+                    count, last = table.probe(*_split(batch.column("key")[a:b].to_pylist()))
+                    gone = (count >= min_docs) & (last != batch.column("doc_id")[a:b].to_numpy(zero_copy_only=False))
+                    out += [(rows[a + k], lines[a + k]) for k in np.flatnonzero(gone)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["row", "line"])
+
+    return run
+
+
+def probed(asked: DataFrame, index: DataFrame, min_docs: int, block: int) -> DataFrame:
+    """row, line of the asked keys (shard, key, row, line, doc_id) that go. A shard is shipped once for every `block` lines that ask for it."""
+    salts = asked.groupBy("shard").agg(F.ceil(F.count("*") / block).alias("salts"))
+    each = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    names = ["shard", "salt", "is_row", "parts", "check", "count", "last", "twins", "key", "row", "line", "doc_id"]
+    blank = lambda df: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in zip(names, ("long", "long", "int", "array<binary>", "binary", "binary", "binary", "binary", "binary", "long", "long", "long"), strict=True)))
+    rows = asked.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("row", "line"), "salts"))
+    both = blank(each.withColumn("is_row", F.lit(0))).unionByName(blank(rows.withColumn("is_row", F.lit(1))))
+    return both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "is_row").mapInArrow(_answering(min_docs), "row long, line long")
 
 
 def _strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,16 +292,15 @@ def _strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _emit(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), [set(x or ()) for x in batch.column("gone").to_pylist()])
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept (the remaining text) of every document."""
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_keys: int = BROADCAST_KEYS, shard_keys: int = SHARD_KEYS, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept (the remaining text) of every document; min_docs is 2 at least."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index, shards, keys = build_index(docs, min_docs)
+    index, shards, keys = build_index(docs, shard_keys)
     if keys <= broadcast_keys:
         shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in index.collect()])
-        return docs.mapInArrow(_probing(shared, shards), _OUT)
+        unstash(index)
+        return docs.mapInArrow(_probing(shared, shards, min_docs), _OUT)
     docs = stash(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    asked = docs.mapInArrow(_asked, "key binary, row long, line long, doc_id long").mapInArrow(_dealt(shards), "shard long, key binary, row long, line long, doc_id long").withColumn("salt", F.pmod("row", F.lit(SALTS)))
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    hits = asked.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInPandas(_answer, "row long, line long")
-    gone = hits.groupBy("row").agg(F.collect_list("line").alias("gone"))
+    asked = stash(docs.mapInArrow(_asked, "key binary, row long, line long, doc_id long").mapInArrow(_dealt(shards), "shard long, key binary, row long, line long, doc_id long"), "asked")
+    gone = probed(asked, index, min_docs, block).groupBy("row").agg(F.collect_list("line").alias("gone"))
     return docs.join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(_strike, _OUT)
