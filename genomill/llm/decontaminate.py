@@ -5,20 +5,22 @@ into one suffix automaton. A document's words stream through it while the longes
 reaches `span` words, these words are a window of some item. An item shorter than `span` is one window of its own; each
 state knows the short items that end in it. Words outside the items' vocabulary reset the match, so only runs of known
 words are streamed. A document whose hits cover at least `coverage` of its words is contaminated; otherwise the matched
-spans alone can be cut out of its text.
+spans of at least `span` words can be cut out of its text.
 
-The automaton is as large as the benchmark: it is broadcast while the items hold at most `ITEM_WORDS` words; larger
-benchmarks are cut into slices of items, each with a pass of its own over the documents, which adds to the ranges found before.
+The automaton is as large as the benchmark, about 0.8 KB a word: its items are broadcast and each worker builds it once, while
+they hold at most `ITEM_WORDS` words; larger benchmarks are cut into slices of items, each with a pass of its own over the
+documents, which adds to the ranges found before.
 
 Defined cases: null text has no words; a document without words is clean; items without words never match; repeated items
 are items of their own if their item_id differs; null item_id counts as an empty string; rows are documents, also where
-they repeat; an empty benchmark or an empty table works; columns beside doc_id, text and item_id are not read by `scan` and
-are kept by `decontaminate`.
+they repeat; an empty benchmark or an empty table works; columns beside doc_id, text and item_id are not read, and
+`decontaminate` keeps them under any name.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genomill.llm.common import stash
+from genomill.llm.common import held, shielded, stash
 
 SPAN, COVERAGE = 13, 20
-ITEM_WORDS = 2_000_000
+ITEM_WORDS = 200_000
 _KEEP = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -150,35 +152,41 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
     return (b"".join(out) + data[at:]).decode()
 
 
-def item_slices(benchmark: DataFrame, limit: int = ITEM_WORDS) -> list[list[tuple[str, list[bytes]]]]:
-    """The items in slices of about `limit` words; each slice is read by the driver in its turn."""
+def item_slices(benchmark: DataFrame, limit: int = ITEM_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in slices of about `limit` words, at least one slice; the driver holds one at a time."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out, size = [[]], 0
+    out, size = [], 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         w = words(r["text"])
         if size and size + len(w) > limit:
-            out.append([])
-            size = 0
+            yield out
+            out, size = [], 0
         size += len(w)
-        out[-1].append((r["item_id"], w))
-    return out
+        out.append((r["item_id"], w))
+    yield out
+
 
+def _scanner(shared, kept: list[str], first: bool, coverage: int | None):
+    """coverage: where documents below the limit lose the matched spans of full length; null leaves texts as they are."""
+    token = uuid.uuid4().hex
 
-def _scanner(shared, kept: list[str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(*shared.value)
+        automaton = held(("automaton", token), lambda: Automaton(*shared.value))  # once a worker, not once a task
         for batch in batches:
             texts = batch.column("text").to_pylist()
             before = zip(*([[[]] * len(texts)] * 2 if first else (batch.column(c).to_pylist() for c in ("ranges", "items"))), strict=True)
             n_words, ranges, items = [], [], []
-            for text, (old_ranges, old_items) in zip(texts, before, strict=True):
+            for i, (text, (old_ranges, old_items)) in enumerate(zip(texts, before, strict=True)):
                 sequence = words(text)
                 found, own = automaton.ranges(sequence)
                 n_words.append(len(sequence))
                 ranges.append(joined(found + [(r["a"], r["b"]) for r in old_ranges]))
                 items.append(sorted({automaton.names[i] for i in own}.union(old_items)))
+                if coverage and ranges[-1] and coverage * sum(r["b"] - r["a"] for r in ranges[-1]) < len(sequence):
+                    texts[i] = cut(text, [(r["a"], r["b"]) for r in ranges[-1] if r["b"] - r["a"] >= automaton.span])
             added = [pa.array(n_words, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *added], names=[*kept, "n_words", "ranges", "items"])
+            same = [pa.array(texts, pa.string()) if c == "text" and coverage else batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*same, *added], names=[*kept, "n_words", "ranges", "items"])
 
     return run
 
@@ -194,16 +202,22 @@ def joined(ranges: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, limit: int = ITEM_WORDS) -> DataFrame:
-    """The documents' columns, n_words, ranges (of words) and items (ids of items whose windows occur)."""
+def scan(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, limit: int = ITEM_WORDS, remove_below: int | None = None) -> DataFrame:
+    """The documents' columns, n_words, ranges (of words) and items (ids of items whose windows occur).
+
+    remove_below: a coverage limit; documents with hits below it lose the matched spans of at least `span` words.
+    """
     spark, kept = docs.sparkSession, docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     slices = item_slices(benchmark, limit)
-    for k, items in enumerate(slices):
+    items, first = next(slices), True
+    while items is not None:
+        after = next(slices, None)
         shared = spark.sparkContext.broadcast((items, span))
-        docs = docs.mapInArrow(_scanner(shared, kept, not k), f"{fields}, n_words long, ranges array<struct<a:int,b:int>>, items array<string>")
-        if k < len(slices) - 1:
+        docs = docs.mapInArrow(_scanner(shared, kept, first, remove_below if after is None else None), f"{fields}, n_words long, ranges array<struct<a:int,b:int>>, items array<string>")
+        if after is not None:
             docs = stash(docs, "scan")
+        items, first = after, False
     return docs
 
 
@@ -215,10 +229,6 @@ def judged(scanned: DataFrame, coverage: int = COVERAGE) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, coverage: int = COVERAGE, remove_spans: bool = False) -> DataFrame:
-    """The clean documents with all their columns; with `remove_spans`, those below the coverage limit lose the matched spans."""
-    text = F.col("text").cast("string")
-    bare = docs.withColumn("text", text)
-    clean = judged(scan(bare, benchmark, span), coverage).where("not contaminated")
-    if remove_spans:
-        clean = clean.withColumn("text", F.udf(lambda t, r: cut(t, [(x["a"], x["b"]) for x in r]) if r else t)("text", "ranges"))
-    return clean.select(docs.columns)
+    """The clean documents with all their columns; with `remove_spans`, those with hits below the coverage limit lose the matched spans."""
+    bare, own = shielded(docs.withColumn("text", F.col("text").cast("string")), ("n_words", "ranges", "items", "n_hit", "n_items", "contaminated"))
+    return judged(scan(bare, benchmark, span, remove_below=coverage if remove_spans else None), coverage).where("not contaminated").select(own)

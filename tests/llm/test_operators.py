@@ -315,9 +315,21 @@ def test_line_dedup(spark, docs, nothing, limit):
     a, b = "A frequent line of more than forty characters, é", "b" * 40
     rows = [(i, f"{a if i % 2 else a.lower()}  \nown {i}\n\t{b if i < 6 else 'short'}\n{a}" if i else None) for i in range(9)] + [(8, a), (None, b), (20, ""), (21, "x\r\n"), (22, b[:39])]
     df = clashing(frame(spark, [(i, t, None, None, 0) for i, t in rows]))
-    got = line_dedup.dedup_lines(df, broadcast_keys=limit).collect()
+    small = {"broadcast_keys": limit, "shard_keys": 1, "block": 3}  # without the broadcast: several shards, and several copies of that of the hot line
+    got = line_dedup.dedup_lines(df, **small).collect()
     assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept) for r in got) == naive_lines(rows)
-    assert line_dedup.dedup_lines(nothing, broadcast_keys=limit).count() == 0
+    assert line_dedup.dedup_lines(nothing, **small).count() == 0
+
+
+def test_keys_of_one_index_value_are_kept_apart():
+    import pandas as pd
+
+    keys = [struct.pack("<QQ", i, c) for i, c in ((7, 1), (7, 2), (8, 3), (9, 4))]
+    built = line_dedup._build(pd.DataFrame({"shard": 0, "key": keys, "n_docs": [2, 3, 4, 5], "last_doc": [20, 30, 40, 50]}))
+    shard = line_dedup.Shard(*built.iloc[0][["parts", "check", "count", "last", "twins"]])
+    asked = [*keys, struct.pack("<QQ", 7, 9), struct.pack("<QQ", 8, 9), struct.pack("<QQ", 1, 1)]
+    count, last = shard.probe(*line_dedup._split(asked))
+    assert count.tolist() == [2, 3, 4, 5, 0, 0, 0] and last.tolist() == [20, 30, 40, 50, 0, 0, 0]
 
 
 def test_perfect_hash():
@@ -476,6 +488,18 @@ def test_spans_are_cut():
     assert decontaminate.cut("Keep this, CUT these words! and keep", [(2, 5)]) == "Keep this, ! and keep"
 
 
+def test_spans_go_from_documents_below_the_limit(spark):
+    words = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words[:15])), (2, "tiny item")], "item_id long, text string")
+    filler = [f"own{i}" for i in range(400)]
+    texts = [" ".join(filler[:200] + words[:14] + filler[200:]), " ".join(words[:15]), "tiny item " + " ".join(filler), " ".join(filler), None]
+    docs = clashing(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]))
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, remove_spans=True).collect()}
+    assert got == {0: " ".join(filler[:200]) + "  " + " ".join(filler[200:]), 2: texts[2], 3: texts[3], 4: None}
+    assert {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench).collect()} == {i: t for i, t in enumerate(texts) if i != 1}
+    assert decontaminate.decontaminate(docs, bench, remove_spans=True).columns == docs.columns
+
+
 # 9
 
 

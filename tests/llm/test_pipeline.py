@@ -29,6 +29,34 @@ def test_stages_keep_columns_and_follow_their_operators(spark):
     assert ids.count() == mixed.count()
 
 
+def test_stages_keep_columns_of_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, sample()).withColumns({c: F.lit("own") for c in ("Score", "lang_pred", "items", "ranges", "n_words", "row", "tag", "key", "size", "copies", "contaminated")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and {r.Score for r in out.collect()} == {"own"}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+
+
+def test_run_is_the_stages_in_turn(spark):
+    """Rows of the whole run on the tables: every document that is left, as often as it is taken, with its ids."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-2]:
+        docs = stage(spark, docs, DATA)
+    left = {r.doc_id for r in docs.collect()}
+    bench = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    found = corpus_pipeline.run(spark, DATA).collect()
+    times = {}
+    for r in found:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert set(times) <= left and max(times.values()) <= 2
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert not [i for i in times if naive_hits(texts[i], bench)[4]]
+    starts = sorted((r.start, r.n_tokens) for r in found)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
 def test_stages_take_an_empty_table(spark):
     docs = frame(spark, [])
     for _, stage in corpus_pipeline.STAGES:
