@@ -36,8 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of benchmark items on a twentieth of their words or more go; the others stay as they are."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold windows of benchmark items on a twentieth of their words or more go; others with hits lose the matched spans of 13 words or more."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove_spans=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
