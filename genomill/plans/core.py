@@ -9,11 +9,13 @@ from genomill.functions.sequence import reverse_complement
 from genomill.operators import columns as C
 from genomill.operators import intervals as I
 from genomill.operators import matches as M
+from genomill.operators.merge import merged_rows
 from genomill.plans.alignments import _SCORES, ALN, COLS, IDENTITY, aln, cols
 from genomill.plans.intervals import IV, MERGED, event_intervals
 from genomill.plans.matches import CHAIN, GENOMES, MATCHES, MUMI, PAIRS, line_clusters, line_matches, mumi_rows, pairs
 from genomill.plans.registry import load, query
 from genomill.plans.trees import TREE_SQL, ancestors, hierarchy
+from genomill.sources.sequences import SHORT_SQL, short_seqs
 
 # matches
 
@@ -207,6 +209,26 @@ def block_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aln(spark, sf_dir).groupBy("set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq_id", record))), lambda x: x["r"]), "").alias("fasta"))
 
 
+@query(f"""
+WITH s AS ({SHORT_SQL}), r AS (SELECT set_id, min(seq_id) AS ref_id FROM s GROUP BY set_id), f AS (SELECT r.set_id, ref_id, length(seq) AS n FROM r JOIN s ON seq_id = ref_id),
+p AS (SELECT s.set_id, s.seq_id, s.seq_id = ref_id AS is_ref, seq, unnest(range(1, n + 1)) AS p, CASE WHEN s.seq_id = ref_id OR s.seq_id % 2 = 0 THEN 11 ELSE 13 END AS m FROM s JOIN f ON f.set_id = s.set_id),
+w AS (SELECT set_id, p FROM p WHERE NOT is_ref AND p % m = 0 AND (seq_id + p) % 3 > 0 GROUP BY set_id, p)
+SELECT p.set_id, seq_id, string_agg(rpad(substr(seq, p.p, 1), 1, '-') || CASE WHEN w.p IS NULL THEN '' WHEN NOT is_ref AND p.p % m = 0 AND (seq_id + p.p) % 3 > 0 THEN substr('ACGT', CAST((seq_id + p.p) % 4 + 1 AS BIGINT), 1) ELSE '-' END, '' ORDER BY p.p) AS seq
+FROM p LEFT JOIN w ON w.set_id = p.set_id AND w.p = p.p GROUP BY p.set_id, seq_id
+""")
+def merged_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two alignments of each set with the set's first sequence as reference, of even and of odd sequences, with an insertion after every 11th and 13th base."""
+    s = short_seqs(spark, sf_dir)
+    first = s.groupBy("set_id").agg(F.min("seq_id").alias("ref_id"))
+    n = s.join(first, "set_id").where("seq_id = ref_id").select("set_id", "ref_id", F.length("seq").alias("n")).where("n > 0")
+    both = s.join(n, "set_id").withColumn("is_ref", F.col("seq_id") == F.col("ref_id")).withColumn("chunk", F.explode(F.when(F.col("is_ref"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("seq_id") % 2).cast("int")))))
+    letter = lambda p: F.when(F.col("is_ref") | ((F.col("seq_id") + p) % 3 == 0), "-").otherwise(F.substring(F.lit("ACGT"), ((F.col("seq_id") + p) % 4 + 1).cast("int"), F.lit(1)))
+    column = lambda p: F.concat(F.rpad(F.substring("seq", p, F.lit(1)), 1, "-"), F.when(p % (11 + 2 * F.col("chunk")) == 0, letter(p)).otherwise(""))
+    rows = both.withColumn("row", F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), column), ""))
+    columns = rows.select("set_id", "chunk", "seq_id", "is_ref", F.posexplode(F.split("row", "(?!^)")).alias("col", "ch"))
+    return merged_rows(columns)
+
+
 # trees and lists
 
 
