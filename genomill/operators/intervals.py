@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 256
+#: Width of the bins in which islands are found.
+MERGE_BIN = 1 << 14
 
 
 def _ordered(keys: list[str]):
@@ -24,12 +26,25 @@ def disjoint(x: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("start", F.greatest("start", F.coalesce(far + 1, F.col("start")))).where("start < end")
 
 
-def merged(x: DataFrame, keys: list[str]) -> DataFrame:
-    """Islands: the union as disjoint intervals; touching ones become one."""
-    far = F.max("end").over(_ordered(keys).rowsBetween(Window.unboundedPreceding, -1))
-    first = F.coalesce((F.col("start") > far).cast("int"), F.lit(1))
-    island = F.sum("first").over(_ordered(keys).rowsBetween(Window.unboundedPreceding, 0))
-    return x.withColumn("first", first).withColumn("island", island).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+def _carried(x: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Adds `name`: the greatest value in earlier bins of the key. A bin sends one row, so only bins are sorted by key."""
+    tops = x.groupBy(*keys, "bin").agg(F.max(value).alias("top"))
+    before = F.max("top").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    told = tops.select(*(F.col(k).alias(f"of_{k}") for k in [*keys, "bin"]), before.alias(name))
+    return x.join(told, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in [*keys, "bin"]]).drop(*(f"of_{k}" for k in [*keys, "bin"]))
+
+
+def merged(x: DataFrame, keys: list[str], bin_size: int = MERGE_BIN) -> DataFrame:
+    """Islands: the union as disjoint intervals; touching ones become one.
+
+    A key is cut into bins by start, which are sorted on their own; what reaches in from earlier bins is carried over.
+    """
+    binned = x.select(*keys, "start", "end").withColumn("bin", F.floor(F.col("start") / bin_size))
+    w = Window.partitionBy(*keys, "bin").orderBy("start", "end")
+    far = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("reach"))
+    marked = _carried(binned, keys, F.col("end"), "reach").withColumn("first", F.when(F.coalesce(F.col("start") > far, F.lit(True)), F.col("start")))
+    island = F.coalesce(F.max("first").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("begun"))  # starts rise, so the last one is the greatest
+    return _carried(marked, keys, F.col("first"), "begun").withColumn("island", island).groupBy(*keys, F.col("island").alias("start")).agg(F.max("end").alias("end"))
 
 
 def union_length(x: DataFrame, keys: list[str]) -> DataFrame:

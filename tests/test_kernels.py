@@ -288,6 +288,17 @@ def test_intervals_by_hand(spark):
     assert rows(I.disjoint(ivs(spark, [("x", 0, 10), ("x", 2, 8), ("x", 5, 20)]), ["k"])) == [(0, 10), (11, 20)]
 
 
+@pytest.mark.parametrize("bin_size", [3, 16, 1000])
+def test_islands_against_sets(spark, bin_size):
+    rng = random.Random(5)
+    own = {k: [(s, s + rng.choice([1, 2, 5, 40])) for s in (rng.randint(0, 300) for _ in range(25))] for k in ("x", "y", None)}
+    got = I.merged(ivs(spark, [(k, *i) for k, x in own.items() for i in x]), ["k"], bin_size).collect()
+    for k, x in own.items():
+        held = {p for a, b in x for p in range(a, b)}
+        starts, ends = sorted(p for p in held if p - 1 not in held), sorted(p + 1 for p in held if p + 1 not in held)
+        assert sorted((r.start, r.end) for r in got if r.k == k) == list(zip(starts, ends, strict=True))
+
+
 def test_intersections_against_sets(spark):
     rng = random.Random(3)
     make = lambda: [("x", s, s + rng.randint(1, 30)) for s in rng.sample(range(400), 20)]
