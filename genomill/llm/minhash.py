@@ -37,8 +37,8 @@ from genomill.llm.common import chunks, release, small, stash, unstash
 SHINGLE, WIDTH, BANDS, THRESHOLD = 5, 180, 36, 0.8
 #: Likeness estimates below this don't come from a pair of likeness 0.8 (five standard deviations: 3e-7).
 ESTIMATE = 0.65
-#: Most rows, and about the most bytes, of a bucket's block that one task holds, and how many times as many rows if only sketches are held.
-BLOCK, BLOCK_BYTES, SKETCHES = 4_000, 8_000_000, 4
+#: Most rows, and about the most bytes, of a bucket's block that one task holds.
+BLOCK, BLOCK_BYTES = 4_000, 16_000_000
 #: Bytes of text whose words a worker holds at once.
 CHUNK = 1_000_000
 #: Most rows of one or two numbers each that are broadcast; more are joined by a shuffle.
@@ -177,8 +177,8 @@ def _unpacked(items: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 _SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("key", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 _SIGNED_DDL = "row long, doc_id long, tag long, key binary, buckets array<long>"
-_BODY = pa.schema([("key", pa.binary()), ("sketch", pa.binary()), ("items", pa.binary()), ("many", pa.binary())])
-_BODY_DDL = "key binary, sketch binary, items binary, many binary"
+_BODY = pa.schema([("key", pa.binary()), ("own", pa.list_(pa.int64())), ("sketch", pa.binary()), ("items", pa.binary()), ("many", pa.binary())])
+_BODY_DDL = "key binary, own array<long>, sketch binary, items binary, many binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list, tuple, np.ndarray]]:
@@ -192,37 +192,41 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
             yield part, keys, found, signatures(*found, width)
 
 
+def _buckets(sigs: np.ndarray, bands: int) -> pa.Array:
+    """The bucket of each band of each signature; the band's number is part of it."""
+    cut = sigs.reshape(len(sigs), bands, sigs.shape[1] // bands).astype(np.uint64)
+    state = np.broadcast_to(np.arange(bands, dtype=np.uint64), cut.shape[:2])
+    for k in range(cut.shape[2]):
+        state = _mix(_add(state, 1) ^ cut[:, :, k])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * bands), pa.array(state.ravel().view(np.int64)))
+
+
 def _signing(bands: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, keys, _, sigs in _signed(batches, width):
-            cut = sigs.reshape(len(keys), bands, width // bands).astype(np.uint64)
-            state = np.broadcast_to(np.arange(bands, dtype=np.uint64), cut.shape[:2])
-            for k in range(cut.shape[2]):
-                state = _mix(_add(state, 1) ^ cut[:, :, k])
-            buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(state.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "tag")), pa.array(keys, pa.binary()), buckets], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "tag")), pa.array(keys, pa.binary()), _buckets(sigs, bands)], schema=_SIGNED)
 
     return run
 
 
-def _bodying(width: int):
+def _bodying(bands: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, keys, (items, counts, bounds), sigs in _signed(batches, width):
             packed = [_packed(items[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = keys, [x.tobytes() for x in sigs.astype(np.uint8)], [x[0] for x in packed], [x[1] for x in packed]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], schema=_BODY)
+            columns = [x.tobytes() for x in sigs.astype(np.uint8)], [x[0] for x in packed], [x[1] for x in packed]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _buckets(sigs, bands), *(pa.array(c, pa.binary()) for c in columns)], schema=_BODY)
 
     return run
 
 
-def bodies_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """row, sketch (8 bits of each component), items, many of the needed rows (row, tag, key).
+def bodies_of(docs: DataFrame, needed: DataFrame, bands: int, width: int) -> DataFrame:
+    """row, own (its buckets), sketch (8 bits of each component), items, many of the needed rows (row, tag, key).
 
     They are made a second time from the texts: few documents share a bucket, so the shingles of the others are never
     written or moved. The tag picks the texts; the key, made anew, makes sure of them.
     """
     tags = needed.select("tag").distinct()
-    made = docs.join(small(tags, BROADCAST_ROWS), "tag", "left_semi").select("text").mapInArrow(_bodying(width), _BODY_DDL)
+    made = docs.join(small(tags, BROADCAST_ROWS), "tag", "left_semi").select("text").mapInArrow(_bodying(bands, width), _BODY_DDL)
     return stash(made.join(small(needed.select("key", "row"), BROADCAST_ROWS), "key").drop("key").dropDuplicates(["row"]), "bodies")
 
 
@@ -299,86 +303,67 @@ class _Groups:
         self.up[self.find(a)] = self.find(b)
 
 
-def _resolving(exact: bool):
-    """Rows in order: a block of a bucket's members, then queries that are held against it, one at a time.
+def _resolving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order: a block of a bucket's members, then queries that are held against it, one at a time; only the block is kept.
 
-    First by sketches: the rows that may have a link into another group. Then by their multisets: the links; pairs that
-    are already in one group aren't compared. Two rows are compared in the first of the buckets that
-    hold both, and two queries of one bucket once.
+    Two rows are compared in the first of the buckets that hold both, two queries of one bucket once, and rows that are
+    already in one group not at all. The sketches pick what is compared; the multisets decide.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, sketches, groups, found, seen = None, [], None, _Groups(), [], set()
-        for bucket, part, turn, is_query, outer, row, least, own, sketch, *body in _rows(batches):
-            if at != (bucket, part, turn):
-                at, members, sketches, groups, seen = (bucket, part, turn), [], None, _Groups(), set()
-            if not is_query:
-                members.append((row, least, outer, own, sketch, body))
-                continue
-            if not members:
-                continue
-            if sketches is None:
-                sketches = np.frombuffer(b"".join(m[4] for m in members), np.uint8).reshape(len(members), -1)
-                owns, rows = np.array([m[3] for m in members]), np.array([m[0] for m in members])
-                outers = np.array([m[2] for m in members])
-            near = np.flatnonzero((sketches == np.frombuffer(sketch, np.uint8)).mean(axis=1) >= ESTIMATE)
-            mine = np.array(own)
-            near = near[(mine[(owns[near] == mine).argmax(axis=1)] == bucket) & (~outers[near] | (rows[near] > row))]
-            unpacked = None
-            for j in near.tolist():
-                other, group, _, _, _, packed = members[j]
-                if not exact:
-                    if least != group:
-                        found += [(bucket, x) for x in (row, other) if x not in seen]
-                        seen |= {row, other}
-                elif groups.find(least) != groups.find(group):
-                    unpacked = unpacked or _unpacked(*body)
-                    if likeness(unpacked, _unpacked(*packed)) >= THRESHOLD:
-                        found.append((row, other))
-                        groups.join(least, group)
-            if len(found) > 10_000:
-                yield _pairs(found, ("a", "b") if exact else ("bucket", "row"))
-                found = []
-        yield _pairs(found, ("a", "b") if exact else ("bucket", "row"))
-
-    return run
+    at, members, sketches, groups, found = None, [], None, _Groups(), []
+    for bucket, part, turn, is_query, outer, row, least, own, sketch, items, many in _rows(batches):
+        if at != (bucket, part, turn):
+            at, members, sketches, groups = (bucket, part, turn), [], None, _Groups()
+        if not is_query:
+            members.append((row, least, outer, own, sketch, items, many))
+            continue
+        if not members:
+            continue
+        if sketches is None:
+            sketches = np.frombuffer(b"".join(m[4] for m in members), np.uint8).reshape(len(members), -1)
+            rows, outers, owns = (np.array([m[k] for m in members]) for k in (0, 2, 3))
+        near = np.flatnonzero((sketches == np.frombuffer(sketch, np.uint8)).mean(axis=1) >= ESTIMATE)
+        mine = np.array(own)
+        near = near[(mine[(owns[near] == mine).argmax(axis=1)] == bucket) & (~outers[near] | (rows[near] > row))]
+        unpacked = None
+        for j in near.tolist():
+            group = members[j][1]
+            if groups.find(least) != groups.find(group):
+                unpacked = unpacked or _unpacked(items, many)
+                if likeness(unpacked, _unpacked(*members[j][5:])) >= THRESHOLD:
+                    found.append((row, members[j][0]))
+                    groups.join(least, group)
+        if len(found) > 10_000:
+            yield _pairs(found)
+            found = []
+    yield _pairs(found)
 
 
-def _faced(mixed: DataFrame, bodies: DataFrame, block: int, exact: bool) -> DataFrame:
-    """Every block of a bucket's rows beside every block of its queries, in order, through `_resolving`.
+def resolved(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, block: int) -> DataFrame:
+    """Links inside the buckets whose documents lie in several groups: those outside a bucket's largest group against all of it.
 
-    mixed: bucket, row, least, own (the row's buckets by band), main (the bucket's largest group: its rows are no queries).
+    Every block of a bucket's rows meets every block of its queries, in order, in `_resolving`.
     """
-    body = ("own", "sketch", "items", "many") if exact else ("own", "sketch")
-    weight = F.sum(F.length("items") + F.length("many")) if exact else F.sum(F.length("sketch"))
+    placed = stash(buckets.join(labels, "row", "left").withColumn("least", F.coalesce("least", "row")), "placed")
+    sizes = placed.groupBy("bucket", "least").count()
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "least")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("bucket", F.col("top.least").alias("main"))
+    mixed = placed.join(main, "bucket")
+    # buckets that hold the same documents are one: that of the first band, so that it stays the first for each of its pairs
+    same = mixed.groupBy("bucket").agg(F.min("band").alias("band"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("s2"), F.count("*").alias("n"))
+    once = same.groupBy("s1", "s2", "n").agg(F.min_by("bucket", "band").alias("bucket")).select("bucket")
+    mixed = stash(mixed.join(once, "bucket", "left_semi").select("bucket", "row", "least", "main"), "mixed")
     is_query = F.col("least") != F.col("main")
-    totals = mixed.join(bodies, "row").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(weight / BLOCK_BYTES)).alias("parts"), F.ceil(F.count_if(is_query) / block).alias("turns"))
-    sized = mixed.join(totals, "bucket").where("turns > 0")
+    held = mixed.join(bodies, "row")
+    weight = F.sum(F.length("items") + F.length("many") + F.length("sketch"))
+    totals = stash(held.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(weight / BLOCK_BYTES)).alias("parts"), F.ceil(F.count_if(is_query) / block).alias("turns")).where("turns > 0"), "totals")
+    sized = held.join(small(totals, BROADCAST_ROWS), "bucket")
     count = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     place = lambda c: F.pmod(F.xxhash64("row"), c)
     members = sized.withColumn("part", place("parts")).withColumn("turn", count("turns")).withColumn("is_query", F.lit(0))
     queries = sized.where(is_query).withColumn("turn", place("turns")).withColumn("part", count("parts")).withColumn("is_query", F.lit(1))
     key = "bucket", "part", "turn"
-    both = members.unionByName(queries).join(bodies, "row").select(*key, "is_query", is_query.alias("outer"), "row", "least", *body)
-    return both.repartition(*key).sortWithinPartitions(*key, "is_query").mapInArrow(_resolving(exact), "a long, b long" if exact else "bucket long, row long")
-
-
-def resolved(buckets: DataFrame, labels: DataFrame, bodies: DataFrame, bands: int, block: int) -> DataFrame:
-    """Links inside the buckets whose documents lie in several groups: those outside a bucket's largest group against all of it."""
-    placed = stash(buckets.join(labels, "row", "left").withColumn("least", F.coalesce("least", "row")), "placed")
-    sizes = placed.groupBy("bucket", "least").count()
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "least")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("bucket", F.col("top.least").alias("main"))
-    # buckets of different bands that hold the same documents are one
-    mixed = placed.join(main, "bucket")
-    same = mixed.groupBy("bucket").agg(F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("s2"), F.count("*").alias("n"))
-    once = same.groupBy("s1", "s2", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    mixed = mixed.join(once, "bucket", "left_semi")
-    # an array of all bands; where a row has no such bucket, a number of its own
-    own = mixed.groupBy("row").agg(F.array(*(F.coalesce(F.max(F.when(F.col("band") == i, F.col("bucket"))), -F.col("row") - 1) for i in range(bands))).alias("own"))
-    mixed = stash(mixed.join(own, "row").select("bucket", "row", "least", "main", "own"), "mixed")
-    live = stash(_faced(mixed, bodies, SKETCHES * block, False).distinct(), "live")  # sketches are small
-    found = stash(_faced(mixed.join(live, ["bucket", "row"], "left_semi"), bodies, block, True), "near")
-    unstash(placed, mixed, live)
+    both = members.unionByName(queries).select(*key, "is_query", is_query.alias("outer"), "row", "least", "own", "sketch", "items", "many")
+    found = stash(both.repartition(*key).sortWithinPartitions(*key, "is_query").mapInArrow(_resolving, "a long, b long"), "near")
+    unstash(placed, mixed, totals)
     return found
 
 
@@ -395,11 +380,11 @@ def near_groups(docs: DataFrame, bands: int = BANDS, width: int = WIDTH, block:
     heads = stash(each.groupBy("bucket").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"), "heads")
     buckets = stash(each.join(small(heads, BROADCAST_ROWS), "bucket"), "buckets")
     needed = stash(plain.join(small(buckets.select("row").distinct(), BROADCAST_ROWS), "row", "left_semi").select("row", "tag", "key"), "needed")
-    bodies = bodies_of(docs, needed, width)
+    bodies = bodies_of(docs, needed, bands, width)
     pairs = stash(buckets.where("row <> head").select("head", "row").distinct(), "pairs")
     links = stash(verified(pairs, bodies, block), "near")
     labels = components(links)
-    more = resolved(buckets.where("row <> head").select("band", "bucket", "row"), labels, bodies, bands, block)  # all were compared with the head
+    more = resolved(buckets.where("row <> head").select("band", "bucket", "row"), labels, bodies, block)  # all were compared with the head
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     roots = texts.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select("key", F.coalesce("least", "rep").alias("root"))
