@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
@@ -84,14 +85,18 @@ _HELD: dict = {}
 def held(key, make):
     """What a worker process keeps between tasks: the object of the last key only, so operators don't add up in memory."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
-    """Lets go of what an earlier operator's tasks left in this worker process."""
-    _HELD.clear()
+    """Lets go of what an earlier operator's tasks left in this worker process, and gives the memory back to the system."""
+    if _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+            trim(0)
 
 
 def chunks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

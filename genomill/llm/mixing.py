@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomill.llm.common import small, stash, union
+from genomill.llm.common import release, small, stash, union
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -120,6 +120,7 @@ def _draws(ids: pd.Series, turn: int) -> np.ndarray:
 
 def _flight(turn: int, final: bool):
     def run(block: pd.DataFrame) -> pd.DataFrame:
+        release()
         draw = _draws(block["doc_id"], turn)
         at = np.lexsort((draw, -block["size"].to_numpy()))  # the longest first: those left are short
         block, draw = block.iloc[at], draw[at]
