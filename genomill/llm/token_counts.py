@@ -13,12 +13,15 @@ not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genomill.llm.common import held
+
 MARK = "▁"
 #: Most words that a worker remembers before it starts anew.
 REMEMBERED = 500_000
@@ -88,9 +91,11 @@ def pieces_of(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
 
 
-def _counting(pieces: list[str]):
+def _counting(shared):
+    token = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, known = Matcher(pieces), {}
+        matcher, known = held(("matcher", token), lambda: Matcher(shared.value)), {}  # built once a worker
         for batch in batches:
             n_words, n_tokens = [], []
             for text in batch.column("text").to_pylist():
@@ -107,19 +112,6 @@ def _counting(pieces: list[str]):
 
 
 def token_counts(docs: DataFrame, pieces: list[str]) -> DataFrame:
-    """doc_id, n_words, n_tokens of every document; the vocabulary is a fixed table and travels with the task."""
+    """doc_id, n_words, n_tokens of every document; the vocabulary, a fixed table, is broadcast."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_counting(pieces), "doc_id long, n_words long, n_tokens long")
-
-
-def brute_force(word: str, pieces: set[str]) -> int:
-    """The definition: take the longest piece at the front, else the first character's bytes."""
-    at = total = 0
-    longest = max(map(len, pieces), default=0)
-    while at < len(word):
-        size = next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in pieces), 0)
-        total += 1 if size else len(word[at].encode())
-        at += size or 1
-    return total
-
-
+    return docs.mapInArrow(_counting(docs.sparkSession.sparkContext.broadcast(pieces)), "doc_id long, n_words long, n_tokens long")

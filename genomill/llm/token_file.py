@@ -298,8 +298,11 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     """doc_id, start (ids before it in the file), n_tokens, ids_crc32 (and ids as uint16) of every document in the file."""
     lengths = bytes(spark.read.parquet(f"{folder}/code").first()[0])
     blocks = spark.read.schema(_BLOCK_DDL).parquet(f"{folder}/blocks")
-    before = F.sum("n_ids").over(Window.partitionBy(F.lit(0)).orderBy("part", "seq")) - F.col("n_ids")  # a row of three numbers a block
-    places = blocks.select("part", "seq", "n_ids").withColumn("start", before).drop("n_ids")
+    sizes = blocks.select("part", "seq", "n_ids")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")  # one row of two numbers a written partition
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    places = sizes.withColumn("within", within).join(parts.select("part", before.alias("before")), "part").select("part", "seq", (F.col("before") + F.col("within")).alias("start"))
     places = F.broadcast(places) if blocks.count() <= PLACES else places
     found = blocks.select("part", "seq", "payload").join(places, ["part", "seq"]).select("start", "payload")
     return found.mapInArrow(_reading(lengths, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
