@@ -42,7 +42,7 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _pair(doc_id, text: str, canon: bytes, after: str, after_canon: bytes) -> dict:
+def _pair(digest, doc_id, text: str, canon: bytes, after: str, after_canon: bytes) -> dict:
     edited = edit(text, after)
     changed = canonical(edited)
     return {
@@ -59,60 +59,70 @@ _ROW = pa.schema([
 _DDL = "doc_id long, n_chars long, edited_sha256 string, fp string, sha string, edited_fp string, edited_sha string, near_edited double, near_next double, part int, first_text string, last_text string"
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(digest):
     """Rows in order: each gets its successor; the last one is left with the partition's outer texts, for the seams."""
-    part, first, before = TaskContext.get().partitionId(), None, None
-    for batch in batches:
-        out = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            text = text or ""
-            canon = canonical(text)
-            if before is None:
-                first = text
-            else:
-                out.append(_pair(*before, text, canon))
-            before = doc_id, text, canon
-        yield pa.RecordBatch.from_pylist(out, schema=_ROW)
-    if before is not None:
-        yield pa.RecordBatch.from_pylist([{"doc_id": before[0], "part": part, "first_text": first, "last_text": before[1]}], schema=_ROW)
-
-
-def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_pylist([_pair(r["doc_id"], r["last_text"], canonical(r["last_text"]), r["after"], canonical(r["after"])) for r in batch.to_pylist()], schema=_ROW)
-
-
-def _canon_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        canon = [canonical(x) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in canon], pa.string()), pa.array(canon, pa.binary())], names=["fp", "canon"])
-
-
-def unequal_buckets(docs: DataFrame, digests: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, before = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                text = text or ""
+                canon = canonical(text)
+                if before is None:
+                    first = text
+                else:
+                    out.append(_pair(digest, *before, text, canon))
+                before = doc_id, text, canon
+            yield pa.RecordBatch.from_pylist(out, schema=_ROW)
+        if before is not None:
+            yield pa.RecordBatch.from_pylist([{"doc_id": before[0], "part": part, "first_text": first, "last_text": before[1]}], schema=_ROW)
+
+    return run
+
+
+def _seams(digest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([_pair(digest, r["doc_id"], r["last_text"], canonical(r["last_text"]), r["after"], canonical(r["after"])) for r in batch.to_pylist()], schema=_ROW)
+
+    return run
+
+
+def _canon_rows(digest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            canon = [canonical(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in canon], pa.string()), pa.array(canon, pa.binary())], names=["fp", "canon"])
+
+    return run
+
+
+def unequal_buckets(docs: DataFrame, digests: DataFrame, digest=digest) -> DataFrame:
     """The digests (column fp) that different canonical texts share.
 
     Only texts of repeated digests travel; a bucket is compared by the least and greatest of its byte strings, which
     partial aggregation keeps at one pair a task, however many copies there are.
     """
     repeated = digests.groupBy("fp").count().where("count > 1").select("fp")
-    rows = docs.select("text").mapInArrow(_canon_rows, "fp string, canon binary")
+    rows = docs.select("text").mapInArrow(_canon_rows(digest), "fp string, canon binary")
     if repeated.count() <= BROADCAST_DIGESTS:
         repeated = F.broadcast(repeated)
     return rows.join(repeated, "fp", "left_semi").groupBy("fp").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("fp")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, digest=digest) -> DataFrame:
     """doc_id, n_chars, fingerprint of every document and of its edited text, and their likeness (1.0 equal, 0.0 not)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = F.col("doc_id").desc_nulls_last()
-    rows = stash(docs.repartitionByRange(slices(docs, 1.7), order).sortWithinPartitions(order, "text").mapInArrow(_neighbours, _DDL), "fingerprints")
+    rows = stash(docs.repartitionByRange(slices(docs, 1.7), order).sortWithinPartitions(order, "text").mapInArrow(_neighbours(digest), _DDL), "fingerprints")
     ends = rows.where("part is not null")
     every = Window.partitionBy(F.lit(0))  # one row of two numbers for each partition
     links = ends.select("part").withColumn("next", F.coalesce(F.lead("part").over(every.orderBy("part")), F.min("part").over(every)))
-    seams = ends.select("part", "doc_id", "last_text").join(links, "part").join(ends.select(F.col("part").alias("next"), F.col("first_text").alias("after")), "next").select("doc_id", "last_text", "after").mapInArrow(_seams, _DDL)
+    seams = ends.select("part", "doc_id", "last_text").join(links, "part").join(ends.select(F.col("part").alias("next"), F.col("first_text").alias("after")), "next").select("doc_id", "last_text", "after").mapInArrow(_seams(digest), _DDL)
     keep = [c for c in rows.columns if c not in ("part", "first_text", "last_text")]
     found = rows.where("part is null").select(keep).unionByName(seams.select(keep))
-    unequal = unequal_buckets(docs, found.select("fp"))
+    unequal = unequal_buckets(docs, found.select("fp"), digest)
     named = {"fp": "fingerprint", "edited_fp": "edited_fingerprint"}
     if bad := [r[0] for r in unequal.collect()]:  # differing texts of one 128-bit digest
         found = found.withColumns({c: F.when(F.col(c).isin(bad), F.concat_ws("-", c, c.replace("fp", "sha"))).otherwise(F.col(c)) for c in named})
