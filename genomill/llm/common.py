@@ -13,8 +13,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most rows of an Arrow batch.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a few thousand at a time at most: Arrow's buffers lie outside the heap on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +42,7 @@ def scratch(spark: SparkSession) -> str:
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: lineage is cut and lost executors lose nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomill.llm.common import chunks, held
+from genomill.llm.common import chunks, held, small_batches
 
 SAMPLE, SWITCH, UND = 1_000, 12.0, "und"
 ORDER = 3
@@ -215,6 +215,7 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """labelled: doc_id, text, lang without null lang."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)).alias("at"))
     rates = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("rate")).collect()  # one row a language
     if not rates:
