@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genomill.llm import decontaminate, fingerprint, html_text, language_id, line_dedup, minhash, mixing, sharding, token_counts, token_file
+from genomill.llm import decontaminate, filter_audit, fingerprint, html_text, language_id, line_dedup, minhash, mixing, neighbours, sharding, spelling, token_counts, token_file
 from genomill.llm.common import table
 
 
@@ -66,8 +66,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_first")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_sharding, op4_html_text, op5_token_counts, op6_line_dedup, op7_language_id, op8_decontamination, op9_token_file, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_sharding, op4_html_text, op5_token_counts, op6_line_dedup, op7_language_id, op8_decontamination, op9_token_file, op10_near_duplicates, op11_filter_audit, op12_nearest, op13_spelling)}
 
 
 _LINE_SQL = r"""
@@ -102,6 +114,34 @@ FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN item t ON d.doc_id
 """
 
 
+_AUDIT_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+facts AS (
+  SELECT d.doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 10 * length(d.t) AS c,
+         regexp_matches(d.t, '[#$%&*|]') AS d, coalesce(d.doc_id > f.first, false) AS e
+  FROM texts d JOIN firsts f ON d.t = f.t),
+judged AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, coalesce(good, false) AS good, coalesce(bad, false) AS bad FROM facts LEFT JOIN judged USING (doc_id)),
+kinds AS (SELECT part, mask, good, bad, count(*) AS n FROM fails GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS filter, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS own,
+         coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))), 0)::INT AS before
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+counted AS (
+  SELECT part, filter_order, step, filter, sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN good AND mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN bad AND mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS toxic_lost
+  FROM kinds, steps GROUP BY ALL)
+SELECT part, filter_order, step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Operators without SQL are tested against brute force in tests/llm."""
-    return {"op6_line_dedup": _LINE_SQL, "op8_decontamination": _BENCHMARK_SQL}
+    return {"op6_line_dedup": _LINE_SQL, "op8_decontamination": _BENCHMARK_SQL, "op11_filter_audit": _AUDIT_SQL}
