@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genomill.plans import alignments, core, extra, formats, intervals, matches, sequences, trees  # noqa: F401  (each module registers its queries)
+from genomill.plans import alignments, core, extra, formats, intervals, matches, recursion, sequences, trees  # noqa: F401  (each module registers its queries)
 from genomill.plans.registry import QUERIES, SQL
 
 

@@ -4,90 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genomill.functions.sequence import reverse_complement
+from genomill.operators.exact import Windows, codes_of, matches_of, unique_matches
 
-_CODES = np.full(256, 4, np.int64)
-_CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
-
-
-def _windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every window of k symbols as a number of 2k bits, and which of them have no N."""
-    n = len(codes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    value, valid = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(k):
-        value = value << 2 | codes[i : i + n] & 3
-        valid &= codes[i : i + n] < 4
-    return value, valid
-
-
-def _shared(seqs: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, places and owners of what windows of k symbols cover that all sequences have; a break (-1) after each stretch."""
-    windows = [_windows(codes, k) for codes in seqs]
-    common = None
-    for value, valid in windows:
-        own = np.unique(value[valid])
-        common = own if common is None else common[np.isin(common, own, assume_unique=True)]
-    symbols, places, owners = [], [], []
-    for i, (codes, (value, valid)) in enumerate(zip(seqs, windows, strict=True)):
-        at = np.flatnonzero(valid & np.isin(value, common))
-        edges = np.bincount(at, minlength=len(codes) + 1) - np.bincount(at + k, minlength=len(codes) + 1)[: len(codes) + 1]
-        place = np.flatnonzero(np.cumsum(edges))
-        ends = np.append(np.flatnonzero(np.diff(place) > 1) + 1, len(place))
-        symbols.append(np.insert(codes[place], ends, -1))
-        places.append(np.insert(place, ends, -1))
-        owners.append(np.full(len(symbols[-1]), i))
-    return np.concatenate(symbols), np.concatenate(places), np.concatenate(owners)
-
-
-def unique_matches(seqs: list[str], least: int) -> list[tuple[tuple[int, ...], int]]:
-    """(starts, length) of the maximal matches of at least `least` symbols that occur once in each sequence, by first start.
-
-    What no shared window of `least` symbols covers is left out. The suffixes of the rest are sorted by doubling. A match is
-    a run of neighbours, one suffix of each sequence, with a common prefix that neither neighbour of the run shares; it is
-    maximal to the left if not all the symbols before it are equal. N, breaks and ends match nothing;
-    a sequence alone has no matches.
-    """
-    if len(seqs) < 2:
-        return []
-    codes, places, owners = _shared([_CODES[np.frombuffer(s.encode(), np.uint8)] for s in seqs], min(least, 31))
-    n, size = len(seqs), len(codes)
-    odd = codes < 0
-    codes[odd] = 4 + np.arange(odd.sum())
-    ranks = [codes]
-    while len(ranks) == 1 or ranks[-1].max() + 1 < size:  # ranks[k] orders prefixes of 2^k symbols
-        step, last = 1 << (len(ranks) - 1), ranks[-1]
-        key = last * (2 * size + 5) + np.append(last[step:], np.full(min(step, size), -1))[:size] + 1
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(size, np.int64)
-        rank[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
-        ranks.append(rank)
-    order = np.argsort(ranks[-1])
-    # common prefixes of neighbours, from the longest power of two down
-    a, b, common = order[:-1].copy(), order[1:].copy(), np.zeros(size - 1, np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        same = (ranks[k][np.minimum(a, size - 1)] == ranks[k][np.minimum(b, size - 1)]).astype(np.int64) << k  # a break comes before the end
-        a, b, common = a + same, b + same, common + same
-    if size <= n:
-        return []
-    edge = np.concatenate(([0], common, [0]))  # edge[i]: between order[i - 1] and order[i]
-    shared = np.lib.stride_tricks.sliding_window_view(common, n - 1).min(axis=1)
-    good = np.flatnonzero((shared >= least) & (edge[: len(shared)] < shared) & (edge[n : n + len(shared)] < shared))
-    found = []
-    for i in good.tolist():
-        at = np.sort(order[i : i + n])
-        before = codes[at - 1]  # of the first symbol of all: the last end, which is like no other
-        if (owners[at] == np.arange(n)).all() and (before != before[0]).any():
-            found.append((tuple(places[at].tolist()), int(shared[i])))
-    return sorted(found)
-
+#: Symbols of references whose windows a task keeps (some 30 bytes each).
+KEPT = 1 << 24
 
 _PAIRED = pa.schema([("ref_id", pa.int64()), ("query_id", pa.int64()), ("fwd", pa.bool_()), ("ref_start", pa.int64()), ("query_start", pa.int64()), ("length", pa.int64())])
 
@@ -101,11 +27,17 @@ def pair_matches(pairs: DataFrame, k: int, both_strands: bool = True) -> DataFra
     strands = [(True, "seq"), (False, "back")] if both_strands else [(True, "seq")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexed: dict[int, Windows] = {}  # a reference's windows serve all queries of the task
         for batch in batches:
             rows = []
             for i in range(len(batch)):
-                p = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                rows += [(p["ref_id"], p["query_id"], fwd, starts[0], starts[1], length) for fwd, c in strands for starts, length in unique_matches([p["ref_seq"], p[c]], k)]
+                p = {c: batch.column(c)[i] for c in batch.schema.names}
+                ref_id, query_id = p["ref_id"].as_py(), p["query_id"].as_py()
+                if ref_id not in indexed:
+                    if sum(len(w.codes) for w in indexed.values()) > KEPT:
+                        indexed = {}
+                    indexed[ref_id] = Windows(codes_of(p["ref_seq"].as_py()), k)
+                rows += [(ref_id, query_id, fwd, starts[0], starts[1], length) for fwd, c in strands for starts, length in matches_of([indexed[ref_id], Windows(codes_of(p[c].as_py()), k)], k)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PAIRED.types)], schema=_PAIRED)
 
     sent = pairs.select("ref_id", "query_id", "ref_seq", "seq", reverse_complement(F.col("seq")).alias("back"))

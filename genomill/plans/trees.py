@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from genomill.operators.dp import PartialOrder, align_pair, local_score
 from genomill.operators.matches import compatible
-from genomill.operators.maximal import recursive_anchors
 from genomill.operators.trees import Tree, kmer_distance_matrix, leaf_weights, midpoint, multiple_alignment, neighbour_joining, upgma
 from genomill.plans.registry import load, query
 from genomill.sources.sequences import short_seqs
@@ -109,13 +108,6 @@ def snp_distance_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_set(snp_matrix(spark, sf_dir).withColumnRenamed("snps", "seq"), _snp_tree, "set_id long, newick string, leaves long")
 
 
-@query()
-def recursive_mums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors of sets of three in any order, generation by generation in the regions beside them until none is left; a set's regions stay in one call."""
-    s = short_seqs(spark, sf_dir).withColumns({"set_id": F.floor(F.col("seq_id") / 3), "seq": F.replace(F.col("seq"), F.lit("N"), F.lit(""))})
-    return per_set(s, lambda ids, seqs: [(list(a), n, g) for a, n, g in recursive_anchors(seqs, factor=0.6)] if len(seqs) > 1 else [], "set_id long, starts array<long>, length long, generation long")
-
-
 TREE_SQL = """
 leafs AS (SELECT c_custkey, c_nationkey, abs(c_acctbal) / 1000 AS len FROM customer),
 nat AS (SELECT n_nationkey, n_regionkey, 1.0 + n_nationkey % 5 AS len, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS below FROM nation),
