@@ -1,17 +1,17 @@
-"""Column queries over padded sets of short sequences."""
+"""Column queries over the alignments of conversations, whose rows have gaps anywhere."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genomill.functions.sequence import kimura
+from genomill.functions.sequence import PAMS, kimura
 from genomill.operators import columns as C
 from genomill.operators.merge import merged_columns
 from genomill.plans.registry import load, query
-from genomill.sources.sequences import SHORT_SQL, short_seqs
+from genomill.sources.sequences import ALN_SQL, aligned_turns
 
-ALN = f"s AS ({SHORT_SQL}), w AS (SELECT set_id, max(length(seq)) AS width FROM s GROUP BY set_id), aln AS (SELECT s.set_id, seq_id, rpad(seq, CAST(width AS INTEGER), '-') AS seq FROM s JOIN w ON s.set_id = w.set_id)"
+ALN = ALN_SQL
 COLS = ALN + ", c AS (SELECT set_id, seq_id, CAST(col AS INTEGER) AS col, substr(seq, col + 1, 1) AS ch FROM (SELECT *, unnest(range(0, length(seq))) AS col FROM aln))"
 PROFILE = COLS + (
     ", n AS (SELECT set_id, col, count(*) AS n_seqs, count(*) FILTER (ch = 'A') AS n_a, count(*) FILTER (ch = 'C') AS n_c, count(*) FILTER (ch = 'G') AS n_g, count(*) FILTER (ch = 'T') AS n_t, count(*) FILTER (ch = 'N') AS n_n, count(*) FILTER (ch = '-') AS n_gap FROM c GROUP BY ALL), "
@@ -20,7 +20,7 @@ PROFILE = COLS + (
 
 
 def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.padded(short_seqs(spark, sf_dir))
+    return aligned_turns(spark, sf_dir)
 
 
 def cols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +61,13 @@ def aln_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {IDENTITY}, d AS (SELECT a, b, 1 - CAST(same AS DOUBLE) / n_both AS p, 0.6 + 0.4 * same / CAST(n_both AS DOUBLE) AS close FROM pr)
-SELECT a, b, round(1 - p, 6) AS identity, round(-ln(1 - (1 - close) - (1 - close) * (1 - close) / 5), 6) AS kimura FROM d
+WITH {IDENTITY}, d AS (SELECT a, b, 1 - CAST(same AS DOUBLE) / n_both AS p FROM pr)
+SELECT a, b, round(1 - p, 6) AS identity, round(CASE WHEN p < 0.75 THEN -ln(1 - p - p * p / 5) WHEN p > 0.93 THEN 10 ELSE {PAMS}[least(greatest(CAST(floor((p - 0.75) * 1000 + 0.5) AS INTEGER), 0), {len(PAMS) - 1}) + 1] / 100.0 END, 6) AS kimura FROM d
 """)
 def kimura_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identities of random sequences lie near a third, so they are moved to 0.6 .. 1 for the formula; the table has a test."""
+    """The formula, the table beyond 75 % difference and the cap beyond 93 %."""
     i = C.pair_identity(cols(spark, sf_dir))
-    return i.select("a", "b", F.round("identity", 6).alias("identity"), F.round(kimura(0.6 + 0.4 * F.col("identity")), 6).alias("kimura"))
+    return i.select("a", "b", F.round("identity", 6).alias("identity"), F.round(kimura(F.col("identity")), 6).alias("kimura"))
 
 
 @query(f"WITH {PROFILE} SELECT set_id, col, n_a, n_c, n_g, n_t FROM p WHERE n_gap = 0 AND n_n = 0 AND n_types > 1")
@@ -175,13 +175,15 @@ def indel_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {ALN}, r AS (SELECT set_id, min(seq_id) AS ref_id FROM s GROUP BY set_id), x AS (SELECT r.set_id, length(s.seq) AS n FROM r JOIN s ON s.seq_id = r.ref_id)
-SELECT aln.set_id, seq_id, substr(seq, 21, 60) AS seq, 20 AS first FROM aln JOIN x ON x.set_id = aln.set_id WHERE x.n >= 80
+WITH {COLS}, r AS (SELECT set_id, min(seq_id) AS ref_id, 10 + set_id % 40 AS lo, 70 + set_id % 200 AS hi FROM s GROUP BY set_id),
+n AS (SELECT r.*, col, sum((ch <> '-')::INT) OVER (PARTITION BY r.set_id ORDER BY col ROWS UNBOUNDED PRECEDING) AS bases FROM r JOIN c ON c.set_id = r.set_id AND c.seq_id = r.ref_id),
+x AS (SELECT set_id, min(col) FILTER (bases >= lo + 1) AS first, coalesce(min(col) FILTER (bases >= hi), max(col)) AS last FROM n GROUP BY set_id)
+SELECT aln.set_id, seq_id, substr(seq, first + 1, last - first + 1) AS seq, first FROM aln JOIN x ON x.set_id = aln.set_id WHERE first IS NOT NULL
 """)
 def trim_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments cut to bases 20 .. 80 of their reference."""
+    """Alignments cut to an interval of the bases of their reference, another one in each set; some end before it does."""
     a = aln(spark, sf_dir)
-    ref = a.groupBy("set_id").agg(F.min("seq_id").alias("ref_id")).withColumns({"start": F.lit(20), "end": F.lit(80)})
+    ref = a.groupBy("set_id").agg(F.min("seq_id").alias("ref_id")).withColumns({"start": 10 + F.col("set_id") % 40, "end": 70 + F.col("set_id") % 200})
     return C.trimmed(a, ref)
 
 
@@ -219,8 +221,8 @@ def gcg_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {ALN}, e AS (SELECT set_id, seq_id, length(seq) AS width, length(replace(seq, '-', '')) AS n FROM aln)
-SELECT set_id, seq_id, n AS copied, width - n AS gaps, n || CASE WHEN width > n THEN ',-' || (width - n) ELSE '' END AS estring FROM e
+WITH {ALN}, e AS (SELECT set_id, seq_id, list_transform(regexp_extract_all(seq, '-+|[^-]+'), lambda x: CASE WHEN x[1] = '-' THEN -length(x) ELSE length(x) END) AS runs FROM aln)
+SELECT set_id, seq_id, CAST(coalesce(list_sum([x FOR x IN runs IF x > 0]), 0) AS BIGINT) AS copied, CAST(-coalesce(list_sum([x FOR x IN runs IF x < 0]), 0) AS BIGINT) AS gaps, array_to_string(runs, ',') AS estring FROM e
 """)
 def edit_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-length edit strings: +n copies n symbols, -n inserts n gaps; applying one to the bare sequence restores the row."""

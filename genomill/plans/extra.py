@@ -9,11 +9,11 @@ from genomill.operators import columns as C
 from genomill.operators.distances import kmer_distances, sketches
 from genomill.operators.extension import block_alignment, extend_block
 from genomill.operators.trees import kmer_distance_matrix, upgma
-from genomill.plans.alignments import COLS, aln, cols
+from genomill.plans.alignments import ALN, COLS, aln, cols
 from genomill.plans.registry import load, query
 from genomill.plans.sequences import KMER_SQL
 from genomill.plans.trees import ROWS, per_set
-from genomill.sources.sequences import SEQS_SQL, SHORT_SQL, bounded, references, seqs, short_seqs
+from genomill.sources.sequences import SEQS_SQL, TURNS_SQL, bounded, references, seqs, short_seqs, turns
 
 SKETCH, K = 200, 8
 MASH = f"""
@@ -61,15 +61,17 @@ def mash_recruit(spark: SparkSession, sf_dir: str, most: float = 0.1) -> DataFra
 
 
 @query(f"""
-WITH s AS ({SHORT_SQL}), {KMER_SQL.format(k=4)},
+WITH s AS (SELECT seq_id, set_id, replace(words, ' ', '') AS seq FROM ({TURNS_SQL})), {KMER_SQL.format(k=4)},
 shared AS (SELECT x.seq_id AS a, y.seq_id AS b, sum(least(x.n, y.n)) AS c FROM k x JOIN k y ON x.set_id = y.set_id AND x.kmer = y.kmer AND y.seq_id < x.seq_id GROUP BY 1, 2),
-d AS (SELECT x.set_id, x.seq_id AS a, y.seq_id AS b, round(1 - CAST(coalesce(h.c, 0) AS DOUBLE) / (least(length(x.seq), length(y.seq)) - 3), 6) AS d FROM s x JOIN s y ON x.set_id = y.set_id AND y.seq_id < x.seq_id LEFT JOIN shared h ON h.a = x.seq_id AND h.b = y.seq_id)
-SELECT set_id, a, max(d) FILTER (b % 8 = 0) AS d0, max(d) FILTER (b % 8 = 1) AS d1, max(d) FILTER (b % 8 = 2) AS d2, max(d) FILTER (b % 8 = 3) AS d3, max(d) FILTER (b % 8 = 4) AS d4, max(d) FILTER (b % 8 = 5) AS d5, max(d) FILTER (b % 8 = 6) AS d6 FROM d GROUP BY set_id, a
+d AS (SELECT x.set_id, x.seq_id AS a, y.seq_id AS b, CASE WHEN least(length(x.seq), length(y.seq)) < 4 THEN 1.0 ELSE 1 - CAST(coalesce(h.c, 0) AS DOUBLE) / (least(length(x.seq), length(y.seq)) - 3) END AS d
+      FROM s x JOIN s y ON x.set_id = y.set_id AND y.seq_id < x.seq_id LEFT JOIN shared h ON h.a = x.seq_id AND h.b = y.seq_id)
+SELECT set_id, a, count(*) AS n, string_agg(printf('%.6f', d), ' ' ORDER BY b) AS distances FROM d GROUP BY set_id, a
 """)
 def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lower-triangular matrices of the sets, a column for each place in a set."""
-    d = kmer_distances(short_seqs(spark, sf_dir), 4, fraction=True).withColumn("d", F.round("d", 6))
-    return d.groupBy("set_id", "a").agg(*(F.max(F.when(F.col("b") % 8 == i, F.col("d"))).alias(f"d{i}") for i in range(7)))
+    """Lower-triangular matrices of sets of any size, a line for each sequence."""
+    s = turns(spark, sf_dir).withColumn("seq", F.array_join("words", ""))
+    d = kmer_distances(s, 4, fraction=True).groupBy("set_id", "a").agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("row"))
+    return d.select("set_id", "a", F.size("row").cast("long").alias("n"), F.array_join(F.transform("row", lambda x: F.format_string("%.6f", x["d"])), " ").alias("distances"))
 
 
 @query("""
@@ -98,13 +100,12 @@ def gapless_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS ({SHORT_SQL}), w AS (SELECT set_id, max(length(seq)) AS width FROM s GROUP BY set_id), aln AS (SELECT s.set_id, seq_id, rpad(seq, CAST(width AS INTEGER), '-') AS seq FROM s JOIN w ON s.set_id = w.set_id)
-SELECT seq_id % 8 AS place, string_agg(seq, '' ORDER BY set_id) AS seq FROM aln GROUP BY place
+WITH {ALN} SELECT seq_id % 100 AS place, string_agg(seq, '' ORDER BY set_id) AS seq FROM aln GROUP BY place
 """)
 def concatenated_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments of several sets side by side: rows with one place in their sets are joined."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("set_id", "seq"))), lambda x: x["seq"])
-    return aln(spark, sf_dir).groupBy((F.col("seq_id") % 8).alias("place")).agg(F.array_join(parts, "").alias("seq"))
+    return aln(spark, sf_dir).groupBy((F.col("seq_id") % 100).alias("place")).agg(F.array_join(parts, "").alias("seq"))
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:

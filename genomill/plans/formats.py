@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from genomill.plans.alignments import ALN, aln, aln_occupancy
 from genomill.plans.registry import load, query
-from genomill.plans.trees import snp_distance_tree
 from genomill.sources import formats as R
 from genomill.sources import writers as W
-from genomill.sources.sequences import SEQS_SQL, SHORT_SQL, seqs, short_seqs
+from genomill.sources.sequences import SEQS_SQL, seqs
 
 
 @query(f"WITH s AS ({SEQS_SQL}) SELECT source, 'seq' || seq_id AS name, length(seq) AS size, md5(seq) AS seq_md5 FROM s")
@@ -25,13 +24,13 @@ def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xmfa_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = aln(spark, sf_dir).withColumns({"bases": F.length(F.replace(F.col("seq"), F.lit("-"), F.lit(""))), "strand": F.when(F.col("seq_id") % 3 == 0, -1).otherwise(1)})
     c = F.col
-    record = W.xmfa_record_text(c("seq_id") + 1, c("seq_id") * 1000 + 1, c("seq_id") * 1000 + c("bases"), c("strand"), c("set_id"), c("seq_id") % 2 + 1, c("seq_id") * 10, c("seq"))
+    record = W.xmfa_record_text(c("seq_id") + 1, c("seq_id") * 1000 + 1, c("seq_id") * 1000 + c("bases"), c("strand"), c("set_id"), c("seq_id") % 2 + 1, c("seq_id") % 100 * 10, c("seq"))
     return W.xmfa_text(a.withColumn("record", record), "seq_id", "record", "set_id")
 
 
 @query(f"""
 WITH {ALN} SELECT CAST(set_id AS INTEGER) AS cluster, CAST(seq_id + 1 AS INTEGER) AS idx, seq_id * 1000 + 1 AS start, seq_id * 1000 + length(replace(seq, '-', '')) AS "end", CASE WHEN seq_id % 3 = 0 THEN -1 ELSE 1 END AS strand,
-  CAST(seq_id % 2 + 1 AS INTEGER) AS contig_idx, seq_id * 10 AS contig_pos, seq FROM aln
+  CAST(seq_id % 2 + 1 AS INTEGER) AS contig_idx, seq_id % 100 * 10 AS contig_pos, seq FROM aln
 """)
 def xmfa_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.xmfa_records(xmfa_blocks(spark, sf_dir), "block")
@@ -44,13 +43,17 @@ def xmfa_header_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {ALN} SELECT 'set' || set_id || '#' || (seq_id % 2 + 1) AS src, CASE WHEN seq_id % 3 = 0 THEN 5000 - seq_id * 10 ELSE seq_id * 10 END AS start, length(replace(seq, '-', '')) AS size,
-  CASE WHEN seq_id % 3 = 0 THEN '-' ELSE '+' END AS strand, 5000 AS src_size, seq AS text FROM aln
+WITH {ALN}, n AS (SELECT set_id, seq_id % 2 + 1 AS contig, sum(length(replace(seq, '-', ''))) + 20000 AS size FROM aln GROUP BY ALL)
+SELECT 'set' || aln.set_id || '#' || contig AS src, CASE WHEN seq_id % 3 = 0 THEN CAST(n.size AS BIGINT) - seq_id % 100 * 10 ELSE seq_id % 100 * 10 END AS start, length(replace(seq, '-', '')) AS size,
+  CASE WHEN seq_id % 3 = 0 THEN '-' ELSE '+' END AS strand, CAST(n.size AS BIGINT) AS src_size, seq AS text FROM aln JOIN n ON n.set_id = aln.set_id AND n.contig = seq_id % 2 + 1
 """)
 def maf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as MAF lines; a contig is as long as its records together and 20,000 bases more, found by a join on its name."""
     r = R.xmfa_records(xmfa_blocks(spark, sf_dir), "block")
-    line = W.maf_line(F.concat(F.lit("set"), F.col("cluster").cast("string")), F.col("contig_idx").cast("string"), F.col("contig_pos"), F.col("strand"), F.lit(5000), F.col("seq"))
-    return R.maf_records(r.select(line.alias("value")))
+    bases = F.length(F.replace(F.col("seq"), F.lit("-"), F.lit("")))
+    contigs = aln(spark, sf_dir).groupBy(F.col("set_id").cast("int").alias("cluster"), (F.col("seq_id") % 2 + 1).cast("int").alias("contig_idx")).agg((F.sum(bases) + 20000).alias("size"))
+    line = W.maf_line(F.concat(F.lit("set"), F.col("cluster").cast("string")), F.col("contig_idx").cast("string"), F.col("contig_pos"), F.col("strand"), F.col("size"), F.col("seq"))
+    return R.maf_records(r.join(contigs, ["cluster", "contig_idx"]).select(line.alias("value")))
 
 
 @query(f"WITH s AS ({SEQS_SQL}) SELECT seq_id, 'VERSION     ' || seq_id || '  GI:' || seq_id AS name, md5(seq) AS seq_md5 FROM s")
@@ -102,10 +105,12 @@ def profile_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.profile_rows(load(spark, sf_dir, "events").select(value.alias("value")))
 
 
-@query("SELECT 87.5::DOUBLE AS coverage, CAST(sum(p_size) AS BIGINT) AS length FROM part")
+@query("SELECT CAST(printf('%.1f', max(s_acctbal) / 100) AS DOUBLE) AS coverage, (SELECT CAST(sum(p_size) AS BIGINT) FROM part) AS length FROM supplier")
 def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and coverages among other lines of a run's log."""
     lines = load(spark, sf_dir, "part").select(F.format_string("  Length: %d bps", F.col("p_size")).alias("value"))
-    return R.log_totals(lines.unionByName(spark.createDataFrame([("Total coverage among all sequences: 87.5%",)], "value string")))
+    other = load(spark, sf_dir, "supplier").select(F.format_string("Total coverage among all sequences: %.1f%%", F.greatest(F.col("s_acctbal") / 100, F.lit(0.0))).alias("value"))
+    return R.log_totals(lines.unionByName(other).unionByName(load(spark, sf_dir, "nation").select(F.concat(F.lit("reading "), "n_name").alias("value"))))
 
 
 @query("SELECT [c_custkey, c_custkey * 2, CAST(c_nationkey AS BIGINT)] AS starts, 20 + c_nationkey AS length FROM customer")
@@ -122,16 +127,35 @@ def ini_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ini_rows(load(spark, sf_dir, "region").select(F.col("r_name").alias("file"), F.posexplode(text).alias("at", "value")))
 
 
-@query("SELECT a, b, CAST(CASE WHEN a = b THEN 5 ELSE -4 END AS DOUBLE) AS score FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS b)")
+@query("""
+SELECT DISTINCT 'L' || x.p_size AS a, 'L' || y.p_size AS b, CAST(x.p_size * 100 - y.p_size AS DOUBLE) / 4 AS score FROM (SELECT DISTINCT p_size FROM part) x, (SELECT DISTINCT p_size FROM part) y
+""")
 def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "   A  C  G  T\n" + "\n".join(f"{a} " + " ".join(str(5 if a == b else -4) for b in "ACGT") for a in "ACGT")
-    return R.score_matrix_rows(spark.createDataFrame([("# a comment\n" + text,)], "value string"))
+    """A square table of scores between the part sizes, written as text with a comment and read back."""
+    sizes = load(spark, sf_dir, "part").agg(F.array_sort(F.collect_set("p_size")).alias("sizes"))  # as many as there are sizes, not parts
+    head = F.concat(F.lit("     "), F.array_join(F.transform("sizes", lambda x: F.format_string("L%d", x)), "  "))
+    line = lambda x: F.concat(F.format_string("L%d ", x), F.array_join(F.transform("sizes", lambda y: ((x * 100 - y) / 4).cast("string")), " "))
+    return R.score_matrix_rows(sizes.select(F.concat(F.lit("# scores\n"), head, F.lit("\n"), F.array_join(F.transform("sizes", line), "\n")).alias("value")))
 
 
-@query(f"WITH s AS ({SHORT_SQL}) SELECT set_id, 2 * count(*) - 1 AS nodes, count(*) AS leaves FROM s GROUP BY set_id")
+@query("""
+SELECT r_name AS file, n_name AS name, r_name AS above, 1.0 + n_nationkey % 5 AS edge_len FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, 'c' || c_custkey, n_name, CAST(printf('%.3f', abs(c_acctbal) / 1000) AS DOUBLE) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, r_name, NULL, NULL FROM region
+""")
 def newick_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.newick_rows(snp_distance_tree(spark, sf_dir), "newick", "set_id")
-    return rows.groupBy("set_id").agg(F.count("*").alias("nodes"), F.count("name").alias("leaves"))
+    """A tree text for each region, of its nations and their customers, read back: every node with its name, edge and the node above."""
+    t = lambda n: load(spark, sf_dir, n)
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    quoted = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
+    leaves = t("customer").groupBy("c_nationkey").agg(joined(F.format_string("c%d:%.3f", "c_custkey", F.abs("c_acctbal") / 1000)).alias("below"))
+    nations = t("nation").join(leaves, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    inner = F.concat(F.when(F.col("below").isNull(), "").otherwise(F.concat(F.lit("("), "below", F.lit(")"))), quoted("n_name"), F.lit(":"), (1 + F.col("n_nationkey") % 5).cast("double").cast("string"))
+    regions = nations.groupBy("n_regionkey").agg(joined(inner).alias("below")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    texts = regions.select(F.col("r_name").alias("file"), F.concat(F.lit("("), "below", F.lit(")"), quoted("r_name"), F.lit(";")).alias("newick"))
+    rows = R.newick_rows(texts, "newick", "file")
+    above = rows.select("file", F.col("node").alias("parent"), F.col("name").alias("above"))
+    return rows.join(above, ["file", "parent"], "left").select("file", "name", "above", "edge_len")
 
 
 @query("""
@@ -143,12 +167,10 @@ def bed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select(W.bed_line(F.col("event_type"), s, s + 100, F.col("value") / 100).alias("line"))
 
 
-@query(f"WITH s AS ({SHORT_SQL}) SELECT seq_id, length(seq) AS n_edges, length(seq) - length(replace(seq, 'N', '')) AS pa, length(replace(seq, 'N', '')) AS pb FROM s")
+@query(f"WITH {ALN} SELECT seq_id, length(seq) AS n_edges, length(seq) - length(replace(seq, '-', '')) AS pa, length(replace(seq, '-', '')) AS pb FROM aln")
 def path_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths from strings: N stands for a step in a alone, other letters for a step in b alone."""
-    path = F.translate("seq", "NACGT", "DIIII")
-    e = short_seqs(spark, sf_dir).select("seq_id", R.path_edges(path).alias("e"))
+    """Paths from rows of alignments: a gap is a step in a alone, a letter a step in b alone."""
+    path = F.translate("seq", "-NACGT", "DIIIII")
+    e = aln(spark, sf_dir).select("seq_id", R.path_edges(path).alias("e"))
     last = F.element_at("e", -1)
     return e.select("seq_id", F.size("e").alias("n_edges"), last["pa"].alias("pa"), last["pb"].alias("pb"))
-
-

@@ -15,6 +15,31 @@ SEQS_SQL = f"SELECT doc_id AS seq_id, lang, source, doc_id // {SET} AS set_id, {
 SHORT_SQL = f"SELECT item_id AS seq_id, item_id // {SET} AS set_id, {FOLD_SQL} AS seq FROM benchmark"
 
 
+# turns of a conversation, aligned word by word: the k-th words of a set stand in the columns of its longest k-th word
+FOLDED = f"regexp_replace(translate(w, '{LETTERS}', '{CYCLE}'), '[^ACGT]', 'N', 'g')"
+TURNS_SQL = f"SELECT conv_id * 100 + turn AS seq_id, conv_id AS set_id, regexp_replace(translate(coalesce(text, ''), '{LETTERS}', '{CYCLE}'), '[^ACGT ]', 'N', 'g') AS words FROM conversations"
+ALN_SQL = (
+    f"s AS (SELECT seq_id, set_id, replace(words, ' ', '') AS seq FROM ({TURNS_SQL})), wd AS (SELECT set_id, seq_id, unnest(string_split(words, ' ')) AS w, generate_subscripts(string_split(words, ' '), 1) AS k FROM ({TURNS_SQL})), "
+    "wk AS (SELECT set_id, k, CAST(max(length(w)) AS INTEGER) AS n FROM wd GROUP BY ALL), "
+    "aln AS (SELECT s.set_id, s.seq_id, string_agg(rpad(coalesce(w, ''), n, '-'), '' ORDER BY wk.k) AS seq FROM s JOIN wk ON wk.set_id = s.set_id LEFT JOIN wd ON wd.seq_id = s.seq_id AND wd.k = wk.k GROUP BY s.set_id, s.seq_id)"
+)
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq_id, set_id, words: the turns of every conversation as sequences, cut into words; a conversation is a set of any size."""
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), " "), folded)
+    return load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq_id"), F.col("conv_id").alias("set_id"), words.alias("words"))
+
+
+def aligned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """set_id, seq_id, seq: alignments of the turns of each conversation, with gaps inside the rows and at their ends."""
+    t = turns(spark, sf_dir)
+    width = t.select("set_id", F.posexplode("words").alias("k", "w")).groupBy("set_id", "k").agg(F.max(F.length("w")).alias("n"))
+    widths = width.groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("widths"))
+    row = F.zip_with("words", "widths", lambda w, n: F.rpad(F.coalesce(w, F.lit("")), n, F.lit("-")))
+    return t.join(widths, "set_id").select("set_id", "seq_id", F.array_join(row, "").alias("seq"))
+
+
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, lang, source, set_id, seq: the documents as sequences; a set is a collection of `SET` neighbours."""
     seq = folded(F.coalesce("text", F.lit("")))
