@@ -65,13 +65,13 @@ WITH s AS (SELECT seq_id, set_id, replace(words, ' ', '') AS seq FROM ({TURNS_SQ
 shared AS (SELECT x.seq_id AS a, y.seq_id AS b, sum(least(x.n, y.n)) AS c FROM k x JOIN k y ON x.set_id = y.set_id AND x.kmer = y.kmer AND y.seq_id < x.seq_id GROUP BY 1, 2),
 d AS (SELECT x.set_id, x.seq_id AS a, y.seq_id AS b, CASE WHEN least(length(x.seq), length(y.seq)) < 4 THEN 1.0 ELSE 1 - CAST(coalesce(h.c, 0) AS DOUBLE) / (least(length(x.seq), length(y.seq)) - 3) END AS d
       FROM s x JOIN s y ON x.set_id = y.set_id AND y.seq_id < x.seq_id LEFT JOIN shared h ON h.a = x.seq_id AND h.b = y.seq_id)
-SELECT set_id, a, count(*) AS n, string_agg(printf('%.6f', d), ' ' ORDER BY b) AS distances FROM d GROUP BY set_id, a
+SELECT set_id, a, count(*) AS n, string_agg(CAST(CAST(floor(d * 1000000 + 0.513) AS BIGINT) AS VARCHAR), ' ' ORDER BY b) AS distances FROM d GROUP BY set_id, a
 """)
 def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lower-triangular matrices of sets of any size, a line for each sequence."""
+    """Lower-triangular matrices of sets of any size, a line of distances in millionths for each sequence."""
     s = turns(spark, sf_dir).withColumn("seq", F.array_join("words", ""))
     d = kmer_distances(s, 4, fraction=True).groupBy("set_id", "a").agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("row"))
-    return d.select("set_id", "a", F.size("row").cast("long").alias("n"), F.array_join(F.transform("row", lambda x: F.format_string("%.6f", x["d"])), " ").alias("distances"))
+    return d.select("set_id", "a", F.size("row").cast("long").alias("n"), F.array_join(F.transform("row", lambda x: F.floor(x["d"] * 1000000 + 0.513).cast("string")), " ").alias("distances"))
 
 
 @query("""
