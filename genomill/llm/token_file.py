@@ -33,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genomill.llm.common import held, scratch, slices, stash, unstash
+from genomill.llm.common import chunks, held, scratch, slices, stash, unstash
 
 MAX_BITS, STEP, BLOCK_IDS, END_ID = 16, 512, 500_000, 2
 #: Most blocks whose numbers are broadcast to place them.
 PLACES = 1_000_000
 #: Strings that a worker meets before it forgets those met longest ago.
 REMEMBERED = 400_000
+#: Bytes of text whose ids are held at once (a longer text goes alone).
+AT_ONCE = 1 << 21
 MAGIC = b"TKH1"
 
 
@@ -80,8 +82,8 @@ class _Memo(dict):
         self[piece] = ids
         return ids
 
-    def tidy(self) -> None:
-        if len(self) > REMEMBERED:
+    def tidy(self, most: int) -> None:
+        if len(self) > most:
             self.old = dict(self)
             self.clear()
 
@@ -94,7 +96,8 @@ class Encoder:
     differently, or with an added token's string go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,7 +113,7 @@ class Encoder:
         if _ODD.search(text) or any(t in text for t in self.added):
             return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         ids = b"".join(map(self.memo.__getitem__, _PIECE.findall(text)))
-        self.memo.tidy()
+        self.memo.tidy(self.remembered)
         return ids
 
 
@@ -212,12 +215,12 @@ def read_block(payload: bytes, code: Code) -> tuple[list, list[np.ndarray]]:
     return [None if m else int(d) for d, m in zip(doc_ids, missing, strict=True)], np.split(flat, np.cumsum(sizes)[:-1]) if docs else []
 
 
-def _encoding(path: str):
+def _encoding(path: str, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held(("encoder", path), lambda: Encoder(path))
+        encoder = held(("encoder", path, remembered), lambda: Encoder(path, remembered))
         gc.disable()  # nothing here makes cycles, and the memo has many small objects
         end = np.array([END_ID], np.uint16).tobytes()
-        for batch in batches:
+        for batch in (part for b in batches for part in chunks(b, AT_ONCE)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array([x + end for x in encoder.encode(texts)], pa.binary())], names=["doc_id", "tie", "ids"])
         gc.enable()
@@ -259,10 +262,10 @@ def _writing(lengths: bytes):
     return run
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, tie (orders rows of one doc_id), ids (uint16, with the end id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_encoding(path), "doc_id long, tie long, ids binary")
+    return docs.mapInArrow(_encoding(path, remembered), "doc_id long, tie long, ids binary")
 
 
 def write_tokens(encoded: DataFrame, folder: str) -> None:
@@ -308,10 +311,10 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     return found.mapInArrow(_reading(lengths, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def token_file(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
-    """Encodes, writes to `folder` (default: a new one in the shared folder) and reads the file back."""
+def token_file(docs: DataFrame, path: str, folder: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+    """Encodes, writes to `folder` (default: a new one in the shared folder) and reads the file back. remembered: strings a worker keeps in mind (300 bytes each)."""
     folder = folder or f"{scratch(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    encoded = stash(encode_documents(docs, path), "ids")
+    encoded = stash(encode_documents(docs, path, remembered), "ids")
     write_tokens(encoded, folder)
     unstash(encoded)
     return read_tokens(docs.sparkSession, folder)
