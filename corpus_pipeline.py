@@ -46,10 +46,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every row, read back from the token file; rows of one doc_id follow each other by text."""
-    return token_file.token_file(docs, tokenizer("byte_bpe_50k.json"))
+    """doc_id, start, n_tokens and ids_crc32 of every row, read back from the token file; rows of one doc_id follow each other by a hash of their text."""
+    return token_file.token_file(docs, tokenizer("byte_bpe_50k.json"), remembered=PIECES)
 
 
+#: Pieces that a worker of the last stage keeps in mind; executors still hold memory of the stages before.
+PIECES = 150_000
+
 STAGES = [
     ("language_id", identify_language),
     ("near_duplicates", drop_near_duplicates),
