@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,16 +77,30 @@ def kmer_distances(s: DataFrame, k: int, fraction: bool = False, block: int = BL
     return keyed.groupBy("set_id", "lo", "hi").applyInPandas(run, "set_id long, a long, b long, d double")
 
 
+#: Most k-mers whose hashes a task keeps.
+KEPT = 1 << 20
+
+
 def sketches(s: DataFrame, keep: list[str], k: int, size: int) -> DataFrame:
-    """The columns `keep` and sk, the `size` least MD5 hashes of the k-mers in order, of sequences that have a k-mer."""
+    """The columns `keep` and sk, the `size` least hashes of the k-mers in order, of sequences that have a k-mer.
+
+    A hash is the number of the first 15 digits of the MD5, which keeps the MD5s' order. Each k-mer is hashed once a task.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select(keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
             made = []
             for x in batch.column("seq"):
-                seq = x.as_py().encode()
-                made.append(heapq.nsmallest(size, (hashlib.md5(w).digest() for w in {seq[i : i + k] for i in range(len(seq) - k + 1)})))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.list_(pa.binary()))], names=[*keep, "sk"])
-
-    return s.where(F.length("seq") >= k).select(*keep, "seq").mapInArrow(run, schema + ", sk array<binary>")
+                seq = x.as_py()
+                words = {seq[i : i + k] for i in range(len(seq) - k + 1)}
+                for w in words.difference(known):
+                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[:15], 16)
+                hashes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                made.append(np.sort(np.partition(hashes, size - 1)[:size] if len(hashes) > size else hashes))
+                if len(known) > KEPT:
+                    known = {}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.list_(pa.int64()))], names=[*keep, "sk"])
+
+    return s.where(F.length("seq") >= k).select(*keep, "seq").mapInArrow(run, schema + ", sk array<long>")

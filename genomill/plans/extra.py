@@ -13,6 +13,7 @@ from genomill.plans.alignments import ALN, COLS, aln, cols
 from genomill.plans.registry import load, query
 from genomill.plans.sequences import KMER_SQL
 from genomill.plans.trees import ROWS, per_set
+from genomill.sources.scratch import stash
 from genomill.sources.sequences import SEQS_SQL, TURNS_SQL, bounded, references, seqs, short_seqs, turns
 
 SKETCH, K = 200, 8
@@ -34,7 +35,7 @@ def sketch_pairs(both: DataFrame, keep: list[str], size: int = SKETCH, k: int =
 
 def sketch_distances(s: DataFrame, size: int = SKETCH, k: int = K) -> DataFrame:
     """set_id, a, b, j, d for each pair of a set, from bottom sketches: the `size` least hashes of a sequence's k-mers."""
-    own = sketches(s, ["set_id", "seq_id"], k, size)
+    own = stash(sketches(s, ["set_id", "seq_id"], k, size), "sketches")  # made once for both sides
     x, y = own.select("set_id", F.col("seq_id").alias("a"), F.col("sk").alias("xs")), own.select("set_id", F.col("seq_id").alias("b"), F.col("sk").alias("ys"))
     return sketch_pairs(x.join(y, "set_id").where("b < a"), ["set_id", "a", "b"], size, k)
 
