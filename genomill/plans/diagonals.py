@@ -17,8 +17,9 @@ g AS (SELECT ref_id, q.seq_id AS query_id, r.seq AS x, q.seq AS y FROM s q JOIN
 o AS (SELECT ref_id, query_id, length(x) >= length(y) AS swap, CASE WHEN length(x) >= length(y) THEN y ELSE x END AS p, CASE WHEN length(x) >= length(y) THEN x ELSE y END AS q FROM g WHERE least(length(x), length(y)) >= {D.K + D.SLOP}),
 lasts AS (SELECT query_id, w, max(i) AS j FROM (SELECT query_id, i, substr(q, i, {D.K}) AS w FROM (SELECT query_id, q, unnest(range(1, length(q) - {D.K} + 1)) AS i FROM o)) GROUP BY ALL),
 hits AS (SELECT h.query_id, h.i, l.j FROM (SELECT query_id, i, substr(p, i, {D.K}) AS w FROM (SELECT query_id, p, unnest(range(1, length(p) - {D.K} + 1)) AS i FROM o)) h JOIN lasts l ON l.query_id = h.query_id AND l.w = h.w),
-ext AS (SELECT h.query_id, i, j, {D.K} + list_reduce([1048576, 524288, 262144, 131072, 65536, 32768, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1],
-          lambda n, z: n + CASE WHEN length(substr(p, i + {D.K} + n, z)) = z AND substr(p, i + {D.K} + n, z) = substr(q, j + {D.K} + n, z) THEN z ELSE 0 END, 0) AS n FROM hits h JOIN o USING (query_id)),
+near AS (SELECT h.query_id, i, j, p, q, length(substr(p, i + {D.K}, 16)) = 16 AND substr(p, i + {D.K}, 16) = substr(q, j + {D.K}, 16) AS far FROM hits h JOIN o USING (query_id)),
+ext AS (SELECT query_id, i, j, {D.K} + list_reduce(CASE WHEN far THEN [1048576, 524288, 262144, 131072, 65536, 32768, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1] ELSE [8, 4, 2, 1] END,
+          lambda n, z: n + CASE WHEN length(substr(p, i + {D.K} + n, z)) = z AND substr(p, i + {D.K} + n, z) = substr(q, j + {D.K} + n, z) THEN z ELSE 0 END, 0) AS n FROM near),
 lst AS (SELECT query_id, list([{{'i': i, 'j': j, 'n': n, 'to': i + n}}] ORDER BY i) AS hs FROM ext GROUP BY query_id),
 greedy AS (SELECT query_id, list_reduce(hs, lambda held, x: CASE WHEN x[1].i >= held[len(held)].to THEN list_append(held, x[1]) ELSE held END, [{{'i': CAST(0 AS BIGINT), 'j': CAST(0 AS BIGINT), 'n': 0, 'to': CAST(0 AS BIGINT)}}]) AS hs FROM lst),
 dg AS (SELECT ref_id, query_id, CAST(CASE WHEN swap THEN h.j ELSE h.i END - 1 AS BIGINT) AS a, CAST(CASE WHEN swap THEN h.i ELSE h.j END - 1 AS BIGINT) AS b, CAST(h.n AS BIGINT) AS len FROM (SELECT query_id, unnest(hs) AS h FROM greedy) JOIN o USING (query_id) WHERE h.n >= {D.SHORTEST}),
