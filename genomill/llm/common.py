@@ -77,10 +77,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def unused(docs: DataFrame) -> str:
+    """A start of names that none of the columns has."""
+    stem = "__own_"
+    while any(c.lower().startswith(stem) for c in docs.columns):
+        stem = "_" + stem
+    return stem
+
+
 def shielded(docs: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, list[Column]]:
     """`docs` with columns of the taken names (in any case) renamed, and what selects its columns under their own names again."""
-    lower = {c.lower() for c in taken}
-    named = {c: f"__own_{i}" if c.lower() in lower else c for i, c in enumerate(docs.columns)}
+    lower, stem = {c.lower() for c in taken}, unused(docs)
+    named = {c: f"{stem}{i}" if c.lower() in lower else c for i, c in enumerate(docs.columns)}
     return docs.toDF(*named.values()), [F.col(f"`{new}`").alias(old) for old, new in named.items()]
 
 

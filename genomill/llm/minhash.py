@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomill.llm.common import chunks, release, small, stash, unstash
+from genomill.llm.common import chunks, release, small, stash, unstash, unused
 
 SHINGLE, WIDTH, BANDS, THRESHOLD = 5, 180, 36, 0.8
 #: Likeness estimates below this don't come from a pair of likeness 0.8 (five standard deviations: 3e-7).
@@ -400,11 +400,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Kept documents are found by doc_id and a hash of doc_id and text, so texts needn't travel; where several rows share
     both, one of them is kept.
     """
-    found = near_groups(docs).withColumn("__key", F.struct(F.col("doc_id").alias("id"), "tag"))
-    kept = stash(found.groupBy("__key").agg(F.max("is_first").alias("first"), F.count("*").alias("n")).where("first").select("__key", "n"), "kept")
-    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("tag"))
-    keyed = docs.withColumn("__key", key)
-    single = keyed.join(small(kept.where("n = 1"), BROADCAST_ROWS), "__key", "left_semi")
-    several = keyed.join(small(kept.where("n > 1"), BROADCAST_ROWS), "__key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return single.select(docs.columns).unionByName(several.withColumn("__nth", nth).where("__nth = 1").select(docs.columns))
+    key, nth = unused(docs) + "key", unused(docs) + "nth"
+    found = near_groups(docs).withColumn(key, F.struct(F.col("doc_id").alias("id"), "tag"))
+    kept = stash(found.groupBy(key).agg(F.max("is_first").alias("first"), F.count("*").alias("n")).where("first").select(key, "n"), "kept")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("tag")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    single = keyed.join(small(kept.where("n = 1").select(key), BROADCAST_ROWS), key, "left_semi")
+    several = keyed.join(small(kept.where("n > 1").select(key), BROADCAST_ROWS), key, "left_semi")
+    row = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return single.select(own).unionByName(several.withColumn(nth, row).where(F.col(nth) == 1).select(own))

@@ -6,7 +6,8 @@ null space of the two balancing equations (number of documents, number of words)
 0 or 1 at each step. Blocks of a large source fly independently, each keeping its own totals, until two documents a block are
 left, often long ones; with them `HELD` documents of each block that sat out fly in the next round, in ever fewer blocks.
 The landing phase rounds the last two documents of a source so that its words come nearest to the target. What they miss
-is made up by documents of the last round whose draw is turned over, ever shorter ones, while that brings the words nearer.
+is made up by documents of the last round whose draw is turned over, one or two at a time, while that brings the words
+nearer; a source of few documents that still misses its target gets the best of all choices.
 
 Defined cases: null text has no words; a null source is a source of its own and comes last; a source without words has
 target 0 and takes nothing; repeated rows are documents of their own; an empty table gives no rows; the draw depends on
@@ -23,13 +24,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomill.llm.common import release, small, stash, union
+from genomill.llm.common import release, small, stash, union, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 LIMIT = 2.0
 BLOCK, HELD = 2_000, 20
+#: A source's last round searches all choices of up to EXACT open documents where turning draws misses by more than NEAR of their words.
+EXACT, NEAR = 30, 0.002
 SEED = 20
 #: Most sources whose one-row totals are broadcast.
 SOURCES = 100_000
@@ -89,16 +92,60 @@ def land(p: np.ndarray, x: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 
 def repair(p: np.ndarray, start: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Turns over draws of documents that were open at the start, each time the one that leaves the words nearest to the target."""
-    p, open_ = p.copy(), (start > 0) & (start < 1)
+    """Turns over draws of documents that were open at the start, one or two at a time, each time those that leave the words nearest to the target.
+
+    Where that still misses by more than `NEAR` of the words that the open documents should give, and there are at most
+    `EXACT` of them, the best of all their choices is taken.
+    """
+    p, open_ = p.copy(), np.flatnonzero((start > 0) & (start < 1) & (x > 0))
+    if not len(open_):
+        return p
     miss = float((x * (p - start)).sum())
-    while True:
-        change = np.where(p > 0.5, -x, x) * (open_ & (x > 0))
-        after = np.abs(miss + change)
-        k = int(after.argmin()) if len(after) else 0
-        if not len(after) or not after[k] < abs(miss) - 1e-6:
-            return p
-        p[k], miss = 1 - p[k], miss + change[k]
+    while abs(miss) > 1e-6:
+        change = np.where(p[open_] > 0.5, -x[open_], x[open_])
+        turned = _nearest_turn(change, miss)
+        after = miss + float(change[turned].sum())
+        if not abs(after) < abs(miss) - 1e-6:
+            break
+        p[open_[turned]], miss = 1 - p[open_[turned]], after
+    if len(open_) <= EXACT and abs(miss) > NEAR * float((x * start)[open_].sum()):
+        best = _best_choice(x[open_], float((x[open_] * p[open_]).sum()) - miss)
+        if abs(float((x[open_] * (best - p[open_])).sum()) + miss) < abs(miss) - 1e-6:
+            p[open_] = best
+    return p
+
+
+def _nearest_turn(change: np.ndarray, miss: float) -> list[int]:
+    """The one change, else the two, whose sum comes nearest to -miss; pairs are met in sorted order, never listed."""
+    single = int(np.abs(change + miss).argmin())
+    order = np.argsort(change, kind="stable")
+    sums, place = change[order], np.arange(len(change))
+    found = [(abs(change[single] + miss), [single])]
+    for shift in (-2, -1, 0, 1):  # the neighbours of the wanted partner, whichever of them is the document itself
+        other = np.clip(np.searchsorted(sums, -miss - sums) + shift, 0, len(sums) - 1)
+        left = np.where(other == place, np.inf, np.abs(sums + sums[other] + miss))
+        k = int(left.argmin())
+        if np.isfinite(left[k]):
+            found.append((left[k], [int(order[k]), int(order[other[k]])]))
+    return min(found, key=lambda f: f[0])[1]
+
+
+def _best_choice(x: np.ndarray, wanted: float) -> np.ndarray:
+    """0 or 1 for each document so that the words come nearest to those wanted: the sums of two halves meet in sorted order."""
+    half = len(x) // 2
+    sums = []
+    for part in (x[:half], x[half:]):
+        total = np.zeros(1)
+        for size in part:
+            total = np.concatenate((total, total + size))  # bit j of the place: whether document j is in
+        sums.append(total)
+    order = np.argsort(sums[1], kind="stable")
+    right = sums[1][order]
+    near = np.searchsorted(right, wanted - sums[0])
+    best = min(((np.abs(sums[0] + right[at] - wanted), at) for at in (np.clip(near - 1, 0, len(right) - 1), np.clip(near, 0, len(right) - 1))), key=lambda f: f[0].min())
+    one = int(best[0].argmin())
+    two = int(order[best[1][one]])
+    return np.array([one >> j & 1 for j in range(half)] + [two >> j & 1 for j in range(len(x) - half)], float)
 
 
 def _move(p: list, live: list, u: tuple, draw: float) -> None:
@@ -167,9 +214,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of the mix: each document as often as it is taken, with all its columns."""
-    key = F.struct(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"))
-    units = mix(docs).groupBy(F.struct("doc_id", "source", "size").alias("__key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
-    joined = docs.withColumn("__key", key).join(units, "__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    each = F.floor(F.col("__copies") / F.col("__rows")) + (nth <= F.col("__copies") % F.col("__rows")).cast("int")
-    return joined.withColumn("__each", each.cast("int")).where("__each > 0").withColumn("__each", F.explode(F.array_repeat(F.lit(1), F.col("__each")))).select(docs.columns)
+    key, copies, rows, each = (unused(docs) + name for name in ("key", "copies", "rows", "each"))
+    unit = F.struct(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"))
+    units = mix(docs).groupBy(F.struct("doc_id", "source", "size").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    joined = docs.withColumn(key, unit).join(units, key)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    taken = F.floor(F.col(copies) / F.col(rows)) + (nth <= F.col(copies) % F.col(rows)).cast("int")
+    return joined.withColumn(each, taken.cast("int")).where(F.col(each) > 0).withColumn(each, F.explode(F.array_repeat(F.lit(1), F.col(each)))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import random
 import re
 import struct
@@ -147,6 +148,49 @@ def test_repair_leaves_no_better_single_change():
         assert set(p) <= {0.0, 1.0} and all(abs(miss) <= abs(miss + d) + 1e-6 for d in np.where(p > 0.5, -x, x)[x > 0])
 
 
+def test_repair_of_few_documents_is_near_the_best_of_all_choices():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 7, 10, 12):
+        for _ in range(40):
+            x, start = rng.integers(0, 4_000, n).astype(float), rng.uniform(0.05, 0.95, n)
+            p = mixing.repair((rng.random(n) < start).astype(float), start, x)
+            wanted = (x * start).sum()
+            best = min(abs((x * way).sum() - wanted) for way in itertools.product((0, 1), repeat=n))
+            miss = abs((x * p).sum() - wanted)
+            assert set(p) <= {0.0, 1.0} and miss <= max(best + 1e-6, mixing.NEAR * wanted), (n, miss, best)
+
+
+def test_repair_leaves_no_better_pair():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        x, start = rng.integers(1, 30_000, 60).astype(float), rng.uniform(0, 1, 60)
+        p = mixing.repair((rng.random(60) < start).astype(float), start, x)
+        miss, d = (x * (p - start)).sum(), np.where(p > 0.5, -x, x)
+        assert all(abs(miss) <= abs(miss + d[i] + d[j]) + 1e-6 for i in range(60) for j in range(i))
+
+
+def test_every_source_meets_its_target_or_its_best_choice(spark):
+    by = defaultdict(list)
+    for r in mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet")).collect():
+        by[r.source].append((r.size, r.copies, r.target, r.source_size))
+    for source, rows in by.items():
+        target, rate = rows[0][2], rows[0][2] / max(1, rows[0][3])
+        miss = abs(sum(size * n for size, n, _, _ in rows) - target)
+        if miss > 0.01 * target:
+            assert len(rows) <= 16, (source, miss, target)
+            best = min(abs(sum(x[0] * (int(rate + 1e-9) + n) for x, n in zip(rows, way, strict=True)) - target) for way in itertools.product((0, 1), repeat=len(rows)))
+            assert miss <= 3 * best + 1e-6, (source, miss, best)
+
+
+def test_own_columns_of_any_name_come_through(spark):
+    columns = ["__key", "__copies", "__rows", "__each", "__own_0", "___own_key", "__nth", "a.b"]
+    rows = [(i, f"word {'more ' * (i % 7)} {i}", "s", *(f"{c}{i}" for c in columns)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in columns))
+    for out in (mixing.mixed(docs), minhash.deduplicated(docs)):
+        got = out.collect()
+        assert out.columns == docs.columns and got and {tuple(r) for r in got} <= set(rows)
+
+
 def test_flight_keeps_totals_and_rates():
     rng = np.random.default_rng(1)
     x, p = rng.integers(1, 500, 300).astype(float), rng.uniform(0.05, 0.95, 300)
