@@ -284,6 +284,54 @@ def test_noise_goes_whatever_its_size_and_text_stays(spark):
     assert text("<article><p>a <a href=/x/>link</a> in it<p>next</article>") == "a link in it\n\nnext"
 
 
+def test_the_run_makes_the_text(spark, monkeypatch):
+    """Another run gives another text on every page: its first token where the article is marked, the page's end where the run is widened."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    weights = html_text.learn(spark.createDataFrame([(p,) for p in pages], "html string"))
+    plain = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    best = html_text.best_run
+    for some, other in ((pages, lambda x: (best(x)[0], best(x)[0] + 1)), (plain, lambda x: (len(x) - 1, len(x)))):
+        monkeypatch.setattr(html_text, "best_run", best)
+        right = [html_text.extract(p, weights) for p in some]
+        monkeypatch.setattr(html_text, "best_run", other)
+        assert not any(a == html_text.extract(p, weights) for a, p in zip(right, some, strict=True))
+
+
+def test_negative_runs_go_and_names_inside_the_text_stay(spark):
+    short, said = "<p>Short article of a few good words here.</p>", "Short article of a few good words here."
+    long = "<p>" + "a reader says this and that " * 60 + "</p>"
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Menu entry</a></li>" for k in range(8)) + "</ul>"
+    cases = [
+        (f"<article>{short}<section id=discussion><h2>Discussion</h2><p>We see.</p></section></article>", [said, "Discussion", "We see."]),
+        (f"<article>{short}<section class=related-work><p>Others did.</p></section></article>", [said, "Others did."]),
+        (f"<article>{short}<p class=reply>Yes.</p><p class=promotion>He rose.</p></article>", [said, "Yes.", "He rose."]),
+        (f"<article>{short}<pre><code>x <span class=comment># note</span></code></pre></article>", [said, "x # note"]),
+        (f"<article>{short}<p>Sum <math><mi>a</mi></math> is.</p><xmp><b>&amp;</b> c</xmp></article>", [said, "Sum a is.", "<b>&amp;</b> c"]),
+        (f"<article>{short}<p class=notice>We use cookies.</p><p class=newsletter>Sign up.</p></article>", [said]),
+        (f"<article>{short}{menu}</article>", [said] + ["Menu entry"] * 8),
+        (f"<body><article>{short}</article><section id=comments><h1>Comments</h1>{long}</section></body>", [said]),
+        (f"<body><article>{short}</article><section id=comments><article>{long}</article><article>{long}</article></section></body>", [said]),
+        (f"<body><div>{short * 3}</div><section id=comments><h1>Comments</h1>{long}</section></body>", [said] * 3),
+        (f"<body><div id=wrap><div class=top>{menu}</div>{short * 3}</div></body>", [said] * 3),
+        (f"<body><div id=wrap><div class=top>{menu}</div><h1>Title</h1>{short * 3}<div>{short}</div></div></body>", ["Title"] + [said] * 4),
+        (f"<main><article><h1>T</h1>{short * 3}</article><section><article><h3>Other story</h3><p>Its summary.</p></article></section></main>", ["T"] + [said] * 3),
+    ]
+    for weights in (html_text.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")), html_text.weights_of({})):
+        for page, parts in cases:
+            assert html_text.extract(page, weights) == "\n\n".join(parts), page
+
+
+def test_names_are_learned_from_labelled_pages():
+    """A name that only ever stands beside articles goes, also inside a page's own; one seen within stays."""
+    inside, outside = Counter(), Counter()
+    page = "<body><article><p>{0}</p><div class=zing>{0}</div></article><div class=zang>{0}</div></body>".format("some words of a page " * 20)
+    for _ in range(20):
+        assert html_text.count_page(page, inside, outside)
+    weights = html_text.weights_of({k: (inside[k], outside[k]) for k in {*inside, *outside}})
+    assert html_text.extract("<article><p>One two three.</p><div class=zang>four five</div><div class=zing>six</div></article>", weights) == "One two three.\n\nsix"
+    assert weights["=zang"] < -4 < 0 < weights["=zing"]
+
+
 def test_deep_and_long_pages_take_linear_time():
     import time
 
