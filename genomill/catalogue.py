@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genomill.plans import alignments, core, diagonals, extra, formats, intervals, matches, objectives, recursion, refinement, rooting, sequences, trees, written  # noqa: F401  (each module registers its queries)
+from genomill.plans import alignments, core, diagonals, extra, formats, intervals, matches, objectives, realign, recursion, refinement, rooting, sequences, trees, written  # noqa: F401  (each module registers its queries)
 from genomill.plans.registry import QUERIES, SQL
 
 
