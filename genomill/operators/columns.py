@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genomill.operators.tallies import paired, position_weights
+
 # Substitution scores of nucleotides, 60 added.
 NUC_SCORES = {"AA": 151, "CC": 160, "GG": 160, "TT": 151, "AC": -54, "AG": 29, "AT": -63, "CG": -65, "CT": 29, "GT": -54}
 GAP_OPEN = -400.0
@@ -71,11 +73,9 @@ def weighted_profile(cols: DataFrame, group: str = "set_id") -> DataFrame:
     return found
 
 
-def pair_identity(cols: DataFrame, group: str = "set_id") -> DataFrame:
-    """group, a, b (b < a), both (columns without gap in either), same, identity."""
-    x, y = cols.select(group, "col", F.col("seq_id").alias("a"), F.col("ch").alias("x")), cols.select(group, "col", F.col("seq_id").alias("b"), F.col("ch").alias("y"))
-    pairs = x.join(y, [group, "col"]).where((F.col("b") < F.col("a")) & ~is_gap(F.col("x")) & ~is_gap(F.col("y")))
-    return pairs.groupBy(group, "a", "b").agg(F.count("*").alias("both"), F.count(F.when(F.col("x") == F.col("y"), 1)).alias("same")).withColumn("identity", F.col("same") / F.col("both"))
+def pair_identity(rows: DataFrame, group: str = "set_id") -> DataFrame:
+    """group, a, b (b < a), both (columns without gap in either), same, identity, from whole rows (group, seq_id, seq)."""
+    return paired(rows, group).withColumn("identity", F.col("same") / F.col("both"))
 
 
 def smoothed(scores: DataFrame, value: str, group: str = "set_id", window: int = 7, ceiling: float = 1.0) -> DataFrame:
@@ -87,12 +87,9 @@ def smoothed(scores: DataFrame, value: str, group: str = "set_id", window: int =
     return scores.withColumn("smooth", F.when(whole, mean).otherwise(0.0))
 
 
-def henikoff_weights(cols: DataFrame, group: str = "set_id") -> DataFrame:
-    """Position-based weights: a letter is worth 1 / (types in its column * sequences with it); normalised in the group."""
-    real = cols.where(~is_gap(F.col("ch")))
-    each = real.groupBy(group, "col", "ch").agg(F.count("*").alias("n"))
-    types = each.groupBy(group, "col").agg(F.count("*").alias("types"))
-    raw = real.join(each, [group, "col", "ch"]).join(types, [group, "col"]).groupBy(group, "seq_id").agg(F.sum(1.0 / (F.col("types") * F.col("n"))).alias("raw"))
+def henikoff_weights(rows: DataFrame, group: str = "set_id") -> DataFrame:
+    """Position-based weights: a letter is worth 1 / (types in its column * sequences with it); normalised in the group of rows (group, seq_id, seq)."""
+    raw = position_weights(rows, group)
     return raw.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy(group))).drop("raw")
 
 

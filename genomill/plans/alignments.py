@@ -57,7 +57,7 @@ IDENTITY = COLS + ", pr AS (SELECT x.set_id, x.seq_id AS a, y.seq_id AS b, count
 
 @query(f"WITH {IDENTITY} SELECT set_id, a, b, n_both AS both, same, round(CAST(same AS DOUBLE) / n_both, 6) AS identity FROM pr")
 def aln_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.pair_identity(cols(spark, sf_dir)).withColumn("identity", F.round("identity", 6))
+    return C.pair_identity(aln(spark, sf_dir)).withColumn("identity", F.round("identity", 6))
 
 
 @query(f"""
@@ -66,7 +66,7 @@ SELECT a, b, round(1 - p, 6) AS identity, round(CASE WHEN p < 0.75 THEN -ln(1 -
 """)
 def kimura_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The formula, the table beyond 75 % difference and the cap beyond 93 %."""
-    i = C.pair_identity(cols(spark, sf_dir))
+    i = C.pair_identity(aln(spark, sf_dir))
     return i.select("a", "b", F.round("identity", 6).alias("identity"), F.round(kimura(F.col("identity")), 6).alias("kimura"))
 
 
@@ -150,7 +150,7 @@ r AS (SELECT c.set_id, c.seq_id, sum(1.0::DOUBLE / (t.types * e.n)) AS raw FROM
 SELECT set_id, seq_id, round(raw / sum(raw) OVER (PARTITION BY set_id), 6) AS weight FROM r
 """)
 def henikoff_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.henikoff_weights(cols(spark, sf_dir)).select("set_id", "seq_id", F.round("weight", 6).alias("weight"))
+    return C.henikoff_weights(aln(spark, sf_dir)).select("set_id", "seq_id", F.round("weight", 6).alias("weight"))
 
 
 _SCORES = " ".join(f"WHEN '{k}' THEN {v} WHEN '{k[::-1]}' THEN {v}" for k, v in C.NUC_SCORES.items())

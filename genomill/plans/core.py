@@ -192,7 +192,7 @@ def column_windows(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFra
 @query(f"WITH {IDENTITY} SELECT set_id, a, b, round(-ln(greatest(CAST(same AS DOUBLE) / n_both, 0.05)), 6) + 0.0 AS d FROM pr")
 def log_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minus the logarithm of the identity, which counts as a twentieth at least."""
-    return C.pair_identity(cols(spark, sf_dir)).select("set_id", "a", "b", (F.round(-F.log(F.greatest("identity", F.lit(0.05))), 6) + 0.0).alias("d"))
+    return C.pair_identity(aln(spark, sf_dir)).select("set_id", "a", "b", (F.round(-F.log(F.greatest("identity", F.lit(0.05))), 6) + 0.0).alias("d"))
 
 
 @query(f"WITH {ALN} SELECT set_id, seq_id, length(seq) AS width, length(replace(seq, '-', '')) AS bases FROM aln WHERE length(seq) > 25 AND length(replace(seq, '-', '')) >= 10")

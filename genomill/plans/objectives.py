@@ -44,7 +44,7 @@ TIE = 0.0000013
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.henikoff_weights(cols(spark, sf_dir))
+    return C.henikoff_weights(aln(spark, sf_dir))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:

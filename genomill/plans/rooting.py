@@ -85,7 +85,7 @@ SELECT set_id, seq_id, cluster, round(1.0 / count(*) OVER (PARTITION BY set_id,
 """)
 def cluster_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of alignments in clusters linked by identity: an equal share of 1 in each, and the number of clusters as that of truly different rows."""
-    near = C.pair_identity(cols(spark, sf_dir)).where(F.col("identity") > ALIKE)
+    near = C.pair_identity(aln(spark, sf_dir)).where(F.col("identity") > ALIKE)
     return linked_clusters(aln(spark, sf_dir), near).withColumn("weight", F.round("weight", 9))
 
 
@@ -99,4 +99,4 @@ def gsc_weight_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gsc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each node's share goes to its branches by what is merged below them, from the root down to the rows."""
-    return gsc(aln(spark, sf_dir), C.pair_identity(cols(spark, sf_dir)))
+    return gsc(aln(spark, sf_dir), C.pair_identity(aln(spark, sf_dir)))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +35,37 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq_id"), F.col("conv_id").alias("set_id"), words.alias("words"))
 
 
+def longest_words(sizes: DataFrame) -> DataFrame:
+    """set_id, widths: the length of the longest k-th word of every set (set_id, sizes). Rows stream through the task, which holds one set's widths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, most = None, None
+        for batch in batches:
+            keys, words, done = batch.column("set_id").to_numpy(), batch.column("sizes"), []
+            at, size = words.offsets.to_numpy(), words.values.to_numpy()
+            for i in range(len(batch)):
+                own = size[at[i] : at[i + 1]]
+                if now is not None and keys[i] == now:
+                    if len(own) > len(most):
+                        most = np.concatenate([most, np.zeros(len(own) - len(most), most.dtype)])
+                    most[: len(own)] = np.maximum(most[: len(own)], own)
+                else:
+                    done += [] if now is None else [(now, most)]
+                    now, most = keys[i], own.copy()
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int64()), pa.array([w for _, w in done], pa.list_(pa.int32()))], names=["set_id", "widths"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([most], pa.list_(pa.int32()))], names=["set_id", "widths"])
+
+    return sizes.sortWithinPartitions("set_id").mapInArrow(run, "set_id long, widths array<int>")
+
+
 def aligned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """set_id, seq_id, seq: alignments of the turns of each conversation, with gaps inside the rows and at their ends."""
-    t = turns(spark, sf_dir)
-    width = t.select("set_id", F.posexplode("words").alias("k", "w")).groupBy("set_id", "k").agg(F.max(F.length("w")).alias("n"))
-    widths = width.groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("widths"))
-    row = F.zip_with("words", "widths", lambda w, n: F.rpad(F.coalesce(w, F.lit("")), n, F.lit("-")))
+    line = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), " "), folded), " ")
+    t = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("set_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq_id"), line.alias("line")).where("set_id is not null").repartition("set_id")
+    words = F.split("line", " ")
+    widths = longest_words(t.select("set_id", F.transform(words, lambda w: F.length(w)).alias("sizes")))
+    row = F.zip_with(words, "widths", lambda w, n: F.rpad(F.coalesce(w, F.lit("")), n, F.lit("-")))
     return t.join(widths, "set_id").select("set_id", "seq_id", F.array_join(row, "").alias("seq"))
 
 
