@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genomill.operators.columns import GAP_OPEN, is_gap, pair_score
+from genomill.operators.columns import GAP_OPEN, pair_score
+from genomill.operators.tallies import CLASSES, GAP, MOVES, tallied
 
 LETTERS = "ACGT"
 #: Share of a gap's opening that a row going on with a gap adds beside a row that opens one, where pairs aren't looked at.
@@ -62,71 +63,73 @@ def summed_pairs(pairs: DataFrame, weights: DataFrame, group: str = "set_id") ->
     return total.withColumn("score", F.col("letters") + F.col("gaps"))
 
 
-def weighted_columns(cols: DataFrame, weights: DataFrame, group: str = "set_id") -> DataFrame:
-    """group, seq_id, col, ch, weight, and whether the row has a gap here (g), before (p) and behind (n); off the ends it has none."""
-    w = Window.partitionBy(group, "seq_id").orderBy("col")
-    c = cols.join(weights, [group, "seq_id"]).withColumn("g", is_gap(F.col("ch")).cast("int"))
-    return c.withColumns({"p": F.coalesce(F.lag("g").over(w), F.lit(0)), "n": F.coalesce(F.lead("g").over(w), F.lit(0)), "first": F.lag("g").over(w).isNull(), "last": F.lead("g").over(w).isNull()})
+_SCORE = _TABLE[:4, :4]
+_L, _M = len(CLASSES), len(CLASSES) + len(MOVES)
 
 
-def column_shares(c: DataFrame, by: list[str]) -> DataFrame:
-    """Weighted letters (f_a .. f_t), gap transitions (ll, lg, gl, gg), gap penalties and score of each letter of every column.
+def weighted(rows: DataFrame, weights: DataFrame, group: str = "set_id") -> DataFrame:
+    """The rows (group, seq_id, seq) that have a weight, with it; a row is met once."""
+    return rows.select(group, "seq_id", "seq").join(weights, [group, "seq_id"])
 
-    Weights are made to sum to 1 among the rows of `by` without the column.
-    """
-    total = F.sum("weight")
-    share = lambda when: F.sum(F.when(when, F.col("weight")).otherwise(0.0)) / total
-    f = {f"f_{x.lower()}": F.sum(F.when(F.col("ch") == x, F.col("weight")).when(F.col("ch") == "N", F.col("weight") / 20).otherwise(0.0)) / total for x in LETTERS}
-    moves = {"ll": (0, 0), "lg": (0, 1), "gl": (1, 0), "gg": (1, 1)}
-    out = c.groupBy(*by, "col").agg(
-        *(v.alias(k) for k, v in f.items()), *(share((F.col("p") == a) & (F.col("g") == b)).alias(k) for k, (a, b) in moves.items()),
-        ((1 - share((F.col("p") == 0) & (F.col("g") == 1))) * GAP_OPEN / 2).alias("gap_open"), ((1 - share((F.col("n") == 0) & (F.col("g") == 1))) * GAP_OPEN / 2).alias("gap_close"), (F.min("g") == 1).alias("all_gaps"),
-    )
-    return out.withColumns({f"score_{x.lower()}": sum((F.col(f"f_{y.lower()}") * pair_score(x, y) for y in "CGT"), F.col("f_a") * pair_score(x, "A")) for x in LETTERS})
+
+def shared_out(s: np.ndarray) -> dict[str, np.ndarray]:
+    """Weighted letters (f: ACGT x columns), gap transitions (ll, lg, gl, gg), gap penalties and each letter's score, as shares of a column's weight; `none`: no letters, `held`: some row is there."""
+    total = s[:_L].sum(0)
+    one = np.where(total > 0, total, 1.0)
+    f = (s[:4] + s[4] / 20) / one
+    move = dict(zip(MOVES, s[_L:_M] / one, strict=True))
+    gaps = {"open": (1 - move["lg"]) * GAP_OPEN / 2, "close": (1 - move["le"]) * GAP_OPEN / 2}
+    letters = s[[i for i in range(_L) if i != GAP]]
+    return {"f": f, **move, **gaps, "score": _SCORE @ f, "none": ~(letters > 0).any(0), "held": total > 0}
 
 
-def fast_sum_of_pairs(c: DataFrame, group: str = "set_id") -> DataFrame:
-    """The sum over pairs from what each column holds of every letter and gap transition: work by columns, not by pairs.
+def fast_sum_of_pairs(rows: DataFrame, group: str = "set_id") -> DataFrame:
+    """The sum over pairs of weighted rows from what each column holds of every letter and gap transition: work by columns, not by pairs.
 
     Gaps are judged by one column and the one before: one row opens a gap beside a row that doesn't, or, at a share, beside one in a gap.
     """
-    w = F.col("weight")
-    each = c.groupBy(group, "col").agg(
-        *(F.sum(F.when(F.col("ch") == x, w).otherwise(0.0)).alias(f"f{x}") for x in LETTERS), *(F.sum(F.when(F.col("ch") == x, w * w).otherwise(0.0)).alias(f"s{x}") for x in LETTERS),
-        *(F.sum(F.when((F.col("p") == a) & (F.col("g") == b), w).otherwise(0.0)).alias(k) for k, (a, b) in {"ll": (0, 0), "lg": (0, 1), "gl": (1, 0), "gg": (1, 1)}.items()),
-    )
-    letters = F.lit(0.0)
-    for i, x in enumerate(LETTERS):
-        letters = letters + (F.col(f"f{x}") * F.col(f"f{x}") - F.col(f"s{x}")) / 2 * pair_score(x, x)
-        for y in LETTERS[i + 1 :]:
-            letters = letters + F.col(f"f{x}") * F.col(f"f{y}") * pair_score(x, y)
-    gaps = F.col("lg") * (F.col("ll") + F.col("gl") + BESIDE * F.col("gg")) * GAP_OPEN
-    return each.groupBy(group).agg(F.sum(letters).alias("letters"), F.sum(gaps).alias("gaps")).withColumn("score", F.col("letters") + F.col("gaps"))
-
-
-def profile_sequence_score(c: DataFrame, shares: DataFrame, group: str = "set_id") -> DataFrame:
-    """group, score: every row against the profile of the whole alignment, itself included, times its weight."""
-    letter = F.coalesce(*(F.when(F.col("ch") == x, F.col(f"score_{x.lower()}")) for x in LETTERS), F.lit(0.0))
-    opens, closes = F.col("first") | (F.col("p") == 0), F.col("last") | (F.col("n") == 0)
-    gap = F.when(opens, F.col("gap_open")).otherwise(0.0) + F.when(closes, F.col("gap_close")).otherwise(0.0)
-    scored = c.join(shares.drop("ll", "lg", "gl", "gg"), [group, "col"])
-    return scored.groupBy(group).agg(F.sum(F.col("weight") * F.when(F.col("g") == 1, gap).otherwise(letter)).alias("score"))
-
-
-def between_profiles(shares: DataFrame, half: str, group: str = "set_id") -> DataFrame:
-    """group, col, match, gap: two alignments of the same columns as profiles, those of `half` 0 and 1.
+
+    def made(s: np.ndarray) -> dict[str, np.ndarray]:
+        f, square, (ll, lg, gl, gg) = s[:4], s[_M : _M + 4], s[_L : _L + 4]
+        letters = ((f[:, None] * f[None]).sum(2) * _SCORE).sum() / 2 - (square.sum(1) * _SCORE.diagonal()).sum() / 2
+        gaps = (lg * (ll + gl + BESIDE * gg)).sum() * GAP_OPEN
+        return {"letters": np.array([letters]), "gaps": np.array([gaps])} if s.shape[1] else {"letters": np.zeros(0), "gaps": np.zeros(0)}
+
+    return tallied(rows, made, "letters double, gaps double", group, moves=True, weight=True).withColumn("score", F.col("letters") + F.col("gaps"))
+
+
+def profile_sequence_score(rows: DataFrame, group: str = "set_id") -> DataFrame:
+    """group, score: every weighted row against the profile of the whole alignment, itself included, times its weight. Rows with one letter in a column score alike, so columns are enough."""
+
+    def made(s: np.ndarray) -> dict[str, np.ndarray]:
+        p = shared_out(s)
+        score = (s[:4] * p["score"]).sum() + (s[_L + 1] * p["open"] + s[_L + 4] * p["close"]).sum()
+        return {"score": np.array([score][: int(s.shape[1] > 0)])}
+
+    return tallied(rows, made, "score double", group, moves=True, weight=True)
+
+
+def between_profiles(rows: DataFrame, group: str = "set_id") -> DataFrame:
+    """group, col, match, gap: two alignments of the same columns as profiles, those of the weighted rows of even and of odd seq_id.
 
     match: joint score of two columns with letters. gap: a stretch without letters in one of them costs what opening and closing it
-    costs in the other. Columns of groups without both halves are left out.
+    costs in the other. both: letters in both columns; held_0, held_1: shares of letters. Columns of groups without both halves are left out.
     """
-    w = Window.partitionBy(group, half).orderBy("col")
-    s = shares.withColumns({"starts": ~F.coalesce(F.lag("all_gaps").over(w), F.lit(False)), "ends": ~F.coalesce(F.lead("all_gaps").over(w), F.lit(False))})
-    side = lambda i: s.where(F.col(half) == i).select(group, "col", F.struct(*(c for c in s.columns if c not in (group, "col", half))).alias(f"s{i}"))
-    cost = lambda gapped, other: F.when(F.col(f"{gapped}.ends"), F.col(f"{other}.gap_close")).otherwise(0.0) + F.when(F.col(f"{gapped}.starts"), F.col(f"{other}.gap_open")).otherwise(0.0)
-    a, b = F.col("s0.all_gaps"), F.col("s1.all_gaps")
-    match = sum((F.col(f"s0.f_{x}") * F.col(f"s1.score_{x}") for x in "cgt"), F.col("s0.f_a") * F.col("s1.score_a"))
-    gap = F.when(a & b, 0.0).when(a, cost("s0", "s1")).when(b, cost("s1", "s0")).otherwise(0.0)
-    return side(0).join(side(1), [group, "col"]).select(group, "col", F.when(a | b, 0.0).otherwise(match).alias("match"), gap.alias("gap"), "s0", "s1")
+
+    def made(s: np.ndarray) -> dict[str, np.ndarray]:
+        x, y = (shared_out(h) for h in s)
+        at = np.flatnonzero(x["held"] & y["held"])
+        cost = []
+        for gapped, other in ((x, y), (y, x)):
+            beside = np.concatenate([[False], gapped["none"] & gapped["held"], [False]])
+            cost.append(np.where(~beside[2:], other["close"], 0.0) + np.where(~beside[:-2], other["open"], 0.0))
+        a, b = x["none"], y["none"]
+        match = np.where(a | b, 0.0, (x["f"] * y["score"]).sum(0))
+        gap = np.where(a & b, 0.0, np.where(a, cost[0], np.where(b, cost[1], 0.0)))
+        out = {"col": np.arange(s.shape[2], dtype=np.int32), "match": match, "gap": gap, "both": ~(a | b), "held_0": 1 - x["lg"] - x["gg"], "held_1": 1 - y["lg"] - y["gg"]}
+        return {k: v[at] for k, v in out.items()}
+
+    return tallied(rows, made, "col int, match double, gap double, both boolean, held_0 double, held_1 double", group, moves=True, weight=True, halves=True)
 
 
 def column_scores(both: DataFrame, group: str = "set_id") -> DataFrame:
@@ -135,9 +138,8 @@ def column_scores(both: DataFrame, group: str = "set_id") -> DataFrame:
     le is -2.5 where nothing matches, and null where the joint score has no logarithm.
     """
     s = F.col("match")
-    held = lambda i: 1 - F.col(f"s{i}.lg") - F.col(f"s{i}.gg")
-    return both.where(~F.col("s0.all_gaps") & ~F.col("s1.all_gaps")).select(
-        group, "col", s.alias("sp"), (s - CENTRE["ns"]).alias("ns"), (s - CENTRE["spn"]).alias("spn"), F.when(s == 0, -2.5).when(s > 0, (F.log(s) - CENTRE["le"]) * held(0) * held(1)).alias("le")
+    return both.where("both").select(
+        group, "col", s.alias("sp"), (s - CENTRE["ns"]).alias("ns"), (s - CENTRE["spn"]).alias("spn"), F.when(s == 0, -2.5).when(s > 0, (F.log(s) - CENTRE["le"]) * F.col("held_0") * F.col("held_1")).alias("le")
     )
 
 

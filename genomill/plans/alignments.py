@@ -34,19 +34,19 @@ def aln_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PROFILE} SELECT set_id, col, CASE WHEN n_seqs = n_gap THEN 'N' WHEN n_a = top THEN 'A' WHEN n_c = top THEN 'C' WHEN n_g = top THEN 'G' WHEN n_n = top THEN 'N' ELSE 'T' END AS consensus FROM p")
 def aln_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.profile(cols(spark, sf_dir)).select("set_id", "col", "consensus")
+    return C.profile(aln(spark, sf_dir)).select("set_id", "col", "consensus")
 
 
 @query(f"WITH {PROFILE} SELECT set_id, round(avg(CAST(top AS DOUBLE) / n_seqs) FILTER (n_gap < n_seqs), 6) AS mean_conservation, round(avg(CAST(n_seqs - n_gap AS DOUBLE) / n_seqs), 6) AS mean_occupancy, max(n_types) AS most_types FROM p GROUP BY set_id")
 def aln_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.profile(cols(spark, sf_dir))
+    p = C.profile(aln(spark, sf_dir))
     return p.groupBy("set_id").agg(F.round(F.avg(F.when(F.col("n_gap") < F.col("n_seqs"), F.col("conservation"))), 6).alias("mean_conservation"), F.round(F.avg("occupancy"), 6).alias("mean_occupancy"), F.max("n_types").alias("most_types"))
 
 
 @query(f"WITH {PROFILE} SELECT set_id, col, n_types, round(CAST(n_seqs - n_gap AS DOUBLE) / n_seqs, 6) AS occupancy, CASE WHEN n_gap = 0 AND n_types = 1 THEN '*' WHEN n_gap = 0 AND n_n = 0 AND ((n_a + n_g = n_seqs) OR (n_c + n_t = n_seqs)) THEN ':' ELSE ' ' END AS mark FROM p")
 def aln_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residue types, occupancy and a conservation mark: one letter, or one chemical class (purines, pyrimidines)."""
-    p = C.profile(cols(spark, sf_dir))
+    p = C.profile(aln(spark, sf_dir))
     alike = (F.col("n_a") + F.col("n_g") == F.col("n_seqs")) | (F.col("n_c") + F.col("n_t") == F.col("n_seqs"))
     mark = F.when((F.col("n_gap") == 0) & (F.col("n_types") == 1), "*").when((F.col("n_gap") == 0) & (F.col("n_n") == 0) & alike, ":").otherwise(" ")
     return p.select("set_id", "col", "n_types", F.round("occupancy", 6).alias("occupancy"), mark.alias("mark"))
@@ -72,7 +72,7 @@ def kimura_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PROFILE} SELECT set_id, col, n_a, n_c, n_g, n_t FROM p WHERE n_gap = 0 AND n_n = 0 AND n_types > 1")
 def core_snps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.snps(C.profile(cols(spark, sf_dir))).select("set_id", "col", "n_a", "n_c", "n_g", "n_t")
+    return C.snps(C.profile(aln(spark, sf_dir))).select("set_id", "col", "n_a", "n_c", "n_g", "n_t")
 
 
 @query(f"""
@@ -81,10 +81,9 @@ SELECT c.set_id, c.seq_id, string_agg(c.ch, '' ORDER BY c.col) AS snps FROM c JO
 """)
 def snp_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One string of core SNPs for each sequence."""
-    c = cols(spark, sf_dir)
-    snp = C.snps(C.profile(c)).select("set_id", "col")
-    letters = F.transform(F.array_sort(F.collect_list(F.struct("col", "ch"))), lambda x: x["ch"])
-    return c.join(snp, ["set_id", "col"], "left_semi").groupBy("set_id", "seq_id").agg(F.array_join(letters, "").alias("snps"))
+    a = aln(spark, sf_dir)
+    held = C.at_columns(a, C.is_snp)
+    return held.select("set_id", "seq_id", F.array_join(F.transform("at", lambda c: F.substr("seq", c + 1, F.lit(1))), "").alias("snps"))
 
 
 @query(f"""
@@ -96,9 +95,10 @@ SELECT 'set' || c.set_id AS chrom, c.col + 1 AS pos, v.ref, string_agg(DISTINCT
 FROM c JOIN v ON c.set_id = v.set_id AND c.col = v.col GROUP BY c.set_id, c.col, v.ref
 """)
 def vcf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cols(spark, sf_dir)
+    a = aln(spark, sf_dir)
+    c = C.at_columns(a, C.is_snp).select("set_id", "seq_id", "seq", F.explode("at").alias("col")).withColumn("ch", F.substr("seq", F.col("col") + 1, F.lit(1)))
     own = F.array_sort(F.collect_list(F.struct("seq_id", "ch")))
-    v = c.join(C.snps(C.profile(c)).select("set_id", "col"), ["set_id", "col"], "left_semi").groupBy("set_id", "col").agg(own.alias("own")).withColumn("ref", F.col("own")[0]["ch"])
+    v = c.groupBy("set_id", "col").agg(own.alias("own")).withColumn("ref", F.col("own")[0]["ch"])
     alt = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("own", lambda x: x["ch"]), lambda x: x != F.col("ref")))), ",")
     carriers = F.array_join(F.transform("own", lambda x: F.when(x["ch"] == F.col("ref"), "0").otherwise("1")), "")
     return v.select(F.concat(F.lit("set"), F.col("set_id").cast("string")).alias("chrom"), (F.col("col") + 1).alias("pos"), "ref", alt.alias("alt"), carriers.alias("carriers"))
@@ -116,7 +116,7 @@ SELECT set_id, col, round(f_a, 6) AS f_a, round(f_c, 6) AS f_c, round(f_g, 6) AS
   round(f_a * 29 + f_c * -65 + f_g * 160 + f_t * -54, 6) + 0.0 AS score_g, round(f_a * -63 + f_c * 29 + f_g * -54 + f_t * 151, 6) + 0.0 AS score_t FROM f
 """)
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.weighted_profile(cols(spark, sf_dir))
+    p = C.weighted_profile(aln(spark, sf_dir))
     return p.select("set_id", "col", *(F.round(c, 6).alias(c) for c in ("f_a", "f_c", "f_g", "f_t", "ll", "lg", "gl", "gg")), *((F.round(c, 6) + 0.0).alias(c) for c in ("gap_open", "gap_close", "score_a", "score_c", "score_g", "score_t")))
 
 
@@ -128,8 +128,7 @@ SMOOTH = PROFILE + (
 
 @query(f"WITH {SMOOTH} SELECT set_id, col, round(score, 6) AS score, round(smooth, 6) AS smooth FROM sm")
 def window_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.profile(cols(spark, sf_dir)).select("set_id", "col", F.col("conservation").alias("score"))
-    s = C.smoothed(p, "score", ceiling=0.9)
+    s = C.smoothed(aln(spark, sf_dir), ceiling=0.9).withColumn("score", F.col("conservation"))
     return s.select("set_id", "col", F.round("score", 6).alias("score"), F.round("smooth", 6).alias("smooth"))
 
 
@@ -139,8 +138,7 @@ SELECT set_id, col AS from_col, lead(col) OVER (PARTITION BY set_id ORDER BY col
 """)
 def anchor_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns good enough to anchor an alignment, and the ranges between them."""
-    p = C.profile(cols(spark, sf_dir)).select("set_id", "col", "n_gap", F.col("conservation").alias("score"))
-    a = C.smoothed(p, "score", ceiling=0.9).where("score >= 0.4 and smooth >= 0.42 and n_gap = 0")
+    a = C.smoothed(aln(spark, sf_dir), ceiling=0.9).where("conservation >= 0.4 and smooth >= 0.42 and n_gap = 0")
     return a.select("set_id", F.col("col").alias("from_col"), F.lead("col").over(Window.partitionBy("set_id").orderBy("col")).alias("to_col"))
 
 
@@ -161,7 +159,7 @@ WITH {COLS} SELECT x.set_id, CAST(sum(CASE x.ch || y.ch {_SCORES} ELSE 0 END) AS
 FROM c x JOIN c y ON x.set_id = y.set_id AND x.col = y.col AND y.seq_id < x.seq_id GROUP BY x.set_id
 """)
 def sum_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sum_of_pairs(cols(spark, sf_dir))
+    return C.sum_of_pairs(aln(spark, sf_dir))
 
 
 @query(f"""
@@ -171,7 +169,7 @@ e AS (SELECT set_id, min(col) FILTER (y = 1 AND nth = 10) AS at_col FROM r GROUP
 SELECT set_id, CASE WHEN at_col IS NOT NULL THEN CASE WHEN greatest(at_col - 10, 0) < 10 THEN 0 ELSE greatest(at_col - 10, 0) END END AS cut FROM e
 """)
 def indel_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.indel_stop(C.profile(cols(spark, sf_dir)))
+    return C.indel_stop(aln(spark, sf_dir))
 
 
 @query(f"""

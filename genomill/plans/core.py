@@ -168,19 +168,19 @@ SELECT set_id, col, string_agg(ch || n, '' ORDER BY n DESC, ch) AS counts FROM n
 """)
 def letter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters of each column, the commonest first."""
-    n = cols(spark, sf_dir).where("ch <> '-'").groupBy("set_id", "col", "ch").agg(F.count("*").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "ch")))
-    return n.groupBy("set_id", "col").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["ch"], (-x["k"]).cast("string"))), "").alias("counts"))
+    n = C.profile(aln(spark, sf_dir))
+    found = F.filter(F.array(*(F.struct((-F.col(f"n_{x.lower()}")).alias("k"), F.lit(x).alias("ch")) for x in "ACGTN")), lambda x: x["k"] < 0)
+    return n.where("n_gap < n_seqs").select("set_id", "col", F.array_join(F.transform(F.array_sort(found), lambda x: F.concat(x["ch"], (-x["k"]).cast("string"))), "").alias("counts"))
 
 
 @query(f"WITH {COLS} SELECT x.set_id, x.col, CAST(sum(CASE x.ch || y.ch {_SCORES} ELSE 0 END) AS BIGINT) AS score FROM c x JOIN c y ON x.set_id = y.set_id AND x.col = y.col AND y.seq_id < x.seq_id GROUP BY x.set_id, x.col")
 def column_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of all pairs of letters in each column, from counts of letters instead of pairs of rows."""
-    n = cols(spark, sf_dir).where("ch <> '-'").groupBy("set_id", "col").agg(*(F.count(F.when(F.col("ch") == x, 1)).alias(x) for x in "ACGTN"), F.count("*").alias("n"))
-    everything = cols(spark, sf_dir).groupBy("set_id", "col").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    n_pairs = lambda a, b: F.col(a) * (F.col(a) - 1) / 2 if a == b else F.col(a) * F.col(b)
+    n = C.profile(aln(spark, sf_dir)).where("n_seqs > 1")
+    held = lambda x: F.col(f"n_{x.lower()}")
+    n_pairs = lambda a, b: held(a) * (held(a) - 1) / 2 if a == b else held(a) * held(b)
     total = sum((F.lit(v) * n_pairs(*k) for k, v in C.NUC_SCORES.items()), F.lit(0))
-    return everything.join(n, ["set_id", "col"], "left").select("set_id", "col", F.coalesce(total, F.lit(0)).cast("long").alias("score"))
+    return n.select("set_id", "col", total.cast("long").alias("score"))
 
 
 @query(f"WITH {COLS} SELECT set_id, CAST(col // 200 AS INTEGER) AS win, min(col) AS first, max(col) AS last, count(*) FILTER (ch = '-') AS gaps FROM c GROUP BY set_id, win")

@@ -9,7 +9,7 @@ from genomill.operators import columns as C
 from genomill.operators.distances import kmer_distances, sketches
 from genomill.operators.extension import block_alignment, extend_block
 from genomill.operators.trees import kmer_distance_matrix, upgma
-from genomill.plans.alignments import ALN, COLS, aln, cols
+from genomill.plans.alignments import ALN, COLS, aln
 from genomill.plans.registry import load, query
 from genomill.plans.sequences import KMER_SQL
 from genomill.plans.trees import ROWS, per_set
@@ -94,10 +94,9 @@ SELECT c.set_id, c.seq_id, string_agg(c.ch, '' ORDER BY c.col) AS seq FROM c ANT
 """)
 def gapless_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments without the columns that hold a gap."""
-    c = cols(spark, sf_dir)
-    bad = c.where(C.is_gap(F.col("ch"))).select("set_id", "col").distinct()
-    letters = F.transform(F.array_sort(F.collect_list(F.struct("col", "ch"))), lambda x: x["ch"])
-    return c.join(bad, ["set_id", "col"], "left_anti").groupBy("set_id", "seq_id").agg(F.array_join(letters, "").alias("seq"))
+    a = aln(spark, sf_dir)
+    whole = C.at_columns(a, lambda n: n["n_gap"] == 0)
+    return whole.select("set_id", "seq_id", F.array_join(F.transform("at", lambda c: F.substr("seq", c + 1, F.lit(1))), "").alias("seq"))
 
 
 @query(f"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genomill.plans.alignments import ALN, aln, aln_occupancy
+from genomill.operators.columns import marks
+from genomill.plans.alignments import ALN, aln
 from genomill.plans.registry import load, query
 from genomill.sources import formats as R
 from genomill.sources import writers as W
@@ -69,7 +70,7 @@ def phylip_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clustal_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.clustal_text(aln(spark, sf_dir), aln_occupancy(spark, sf_dir))
+    return W.clustal_text(aln(spark, sf_dir), marks(aln(spark, sf_dir)))
 
 
 @query(f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from genomill.operators import columns as C
 from genomill.operators import objectives as O
-from genomill.plans.alignments import _SCORES, COLS, aln, cols
+from genomill.plans.alignments import _SCORES, COLS, aln
 from genomill.plans.registry import query
 
 WEIGHTS = (
@@ -80,9 +80,9 @@ FROM g x JOIN g y ON x.set_id = y.set_id AND x.col = y.col AND y.seq_id < x.seq_
 """)
 def objective_sp_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sum over pairs from the letters and gap transitions of columns; the SQL takes the pairs."""
-    c = O.weighted_columns(cols(spark, sf_dir), weights(spark, sf_dir))
-    many = aln(spark, sf_dir).groupBy("set_id").count().where("count > 1").select("set_id")
-    return rounded(O.fast_sum_of_pairs(c), "letters", "gaps").join(many, "set_id", "left_semi").select("set_id", "letters", "gaps")
+    w = weights(spark, sf_dir)
+    many = w.groupBy("set_id").count().where("count > 1").select("set_id")
+    return rounded(O.fast_sum_of_pairs(O.weighted(aln(spark, sf_dir), w)), "letters", "gaps").join(many, "set_id", "left_semi").select("set_id", "letters", "gaps")
 
 
 @query(PROFILES.format(cols=COLS, weights=WEIGHTS, half="0") + """
@@ -91,13 +91,11 @@ SELECT tr.set_id, round(sum(w * CASE WHEN g = 1 THEN CASE WHEN coalesce(p, 0) =
 """)
 def objective_ps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row against the profile of its alignment."""
-    c = O.weighted_columns(cols(spark, sf_dir), weights(spark, sf_dir))
-    return rounded(O.profile_sequence_score(c, O.column_shares(c, ["set_id"])), "score")
+    return rounded(O.profile_sequence_score(O.weighted(aln(spark, sf_dir), weights(spark, sf_dir))), "score")
 
 
 def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = O.weighted_columns(cols(spark, sf_dir), weights(spark, sf_dir)).withColumn("half", F.col("seq_id") % 2)
-    return O.between_profiles(O.column_shares(c, ["set_id", "half"]), "half")
+    return O.between_profiles(O.weighted(aln(spark, sf_dir), weights(spark, sf_dir)))
 
 
 @query(f"{HALVES} SELECT set_id, round(sum(match) + 0.0000013, 4) + 0.0 AS match, round(sum(gap) + 0.0000013, 4) + 0.0 AS gap, round(sum(match + gap) + 0.0000013, 4) + 0.0 AS score FROM bp GROUP BY set_id")

@@ -38,7 +38,7 @@ def refinement_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchor_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """set_id, col: every sixteenth of the columns in which all rows have a letter."""
-    p = C.profile(C.columns(aln(spark, sf_dir)))
+    p = C.profile(aln(spark, sf_dir))
     full = p.where("n_gap = 0 and n_seqs > 1").select("set_id", "col")
     return full.where(F.col("col") % 16 == 0)
 

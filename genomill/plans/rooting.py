@@ -9,7 +9,7 @@ from genomill.operators import columns as C
 from genomill.operators import rooting as R
 from genomill.operators.clusters import gsc_weights as gsc
 from genomill.operators.clusters import linked_clusters
-from genomill.plans.alignments import IDENTITY, aln, cols
+from genomill.plans.alignments import IDENTITY, aln
 from genomill.plans.registry import query
 from genomill.plans.trees import TREE_SQL, hierarchy
 

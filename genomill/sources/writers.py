@@ -53,12 +53,11 @@ def phylip_text(rows: DataFrame, group: str = "set_id") -> DataFrame:
 
 
 def clustal_text(rows: DataFrame, marks: DataFrame, group: str = "set_id", width: int = 60) -> DataFrame:
-    """CLUSTAL: blocks of `width` columns with a line of conservation marks."""
+    """CLUSTAL: blocks of `width` columns with a line of conservation marks (group, marks)."""
     own = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("seq_id", "seq"))).alias("own"))
-    line = marks.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "mark"))), lambda x: x["mark"]), "").alias("marks"))
     block = lambda i: F.concat(F.array_join(F.transform("own", lambda r: F.concat(F.rpad(r["seq_id"].cast("string"), 16, " "), F.substr(r["seq"], i * width + 1, F.lit(width)))), "\n"), F.lit("\n" + " " * 16), F.substr("marks", i * width + 1, F.lit(width)))
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("marks") / width).cast("int"), F.lit(1)) - 1), block)
-    return own.join(line, group).select(group, F.concat(F.lit("CLUSTAL multiple sequence alignment\n\n"), F.array_join(blocks, "\n\n"), F.lit("\n")).alias("text"))
+    return own.join(marks, group).select(group, F.concat(F.lit("CLUSTAL multiple sequence alignment\n\n"), F.array_join(blocks, "\n\n"), F.lit("\n")).alias("text"))
 
 
 def msf_line(name: Column, width: Column, checksum: Column) -> Column:

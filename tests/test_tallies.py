@@ -21,7 +21,7 @@ def odd_rows(seed: int) -> list[tuple[int, int, str]]:
     return [*rows, (3, 398, ""), (3, 399, "---"), (20, 2000, "-" * 7)]
 
 
-@pytest.mark.parametrize("name", ["henikoff_weights", "aln_identity", "kimura_distance", "log_distance", "gsc_weights", "gsc_weight_sums"])
+@pytest.mark.parametrize("name", ["henikoff_weights", "aln_identity", "kimura_distance", "log_distance", "gsc_weights", "gsc_weight_sums", "objective_sp", "objective_sp_fast", "objective_xp", "objective_ps", "objective_dp", "letter_counts", "column_profile", "indel_stop", "anchor_ranges", "window_smooth", "clustal_output", "gapless_columns", "column_scores", "sum_of_pairs", "trim_columns", "core_snps", "aln_occupancy", "snp_matrix", "aln_conservation"])
 def test_rows_are_not_cut_into_letters(spark, name):
     assert "Generate" not in plan_of(entry.queries()[name](spark, DATA))
 
@@ -48,3 +48,18 @@ def test_position_weights(spark):
     for s, w in raw.values():
         total[s] += w
     assert got == pytest.approx({i: w / total[s] for i, (s, w) in raw.items()})
+
+
+def test_marks_are_those_of_the_columns(spark):
+    q = entry.queries()["aln_occupancy"](spark, DATA).collect()
+    want = {}
+    for r in sorted(q, key=lambda r: (r.set_id, r.col)):
+        want[r.set_id] = want.get(r.set_id, "") + r.mark
+    from genomill.plans.alignments import aln
+
+    assert {r.set_id: r.marks for r in C.marks(aln(spark, DATA)).collect()} == want
+
+
+def test_a_row_alone_has_no_pairs(spark):
+    rows = spark.createDataFrame([(1, 1, "ACGT"), (2, 2, "AA"), (2, 3, "AC"), (3, 4, "NN"), (3, 5, "NN")], "set_id long, seq_id long, seq string")
+    assert sorted(map(tuple, C.sum_of_pairs(rows).collect())) == [(2, 151 - 54), (3, 0)]
