@@ -43,7 +43,9 @@ def merged(x: DataFrame, keys: list[str], bin_size: int = MERGE_BIN) -> DataFram
     w = Window.partitionBy(*keys, "bin").orderBy("start", "end")
     far = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("reach"))
     marked = _carried(binned, keys, F.col("end"), "reach").withColumn("first", F.when(F.coalesce(F.col("start") > far, F.lit(True)), F.col("start")))
-    island = F.coalesce(F.max("first").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("begun"))  # starts rise, so the last one is the greatest
+    # starts rise, so the last one is the greatest; rows of one start share it, whichever of them was met first
+    peers = Window.partitionBy(*keys, "bin").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    island = F.coalesce(F.max("first").over(peers), F.col("begun"))
     return _carried(marked, keys, F.col("first"), "begun").withColumn("island", island).groupBy(*keys, F.col("island").alias("start")).agg(F.max("end").alias("end"))
 
 
