@@ -149,7 +149,7 @@ def newick_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: load(spark, sf_dir, n)
     joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
     quoted = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
-    leaves = t("customer").groupBy("c_nationkey").agg(joined(F.format_string("c%d:%.3f", "c_custkey", F.abs("c_acctbal") / 1000)).alias("below"))
+    leaves = t("customer").withColumn("length", W.fixed(F.abs("c_acctbal") / 1000, F.lit(3))).groupBy("c_nationkey").agg(joined(F.format_string("c%d:%s", "c_custkey", "length")).alias("below"))
     nations = t("nation").join(leaves, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     inner = F.concat(F.when(F.col("below").isNull(), "").otherwise(F.concat(F.lit("("), "below", F.lit(")"))), quoted("n_name"), F.lit(":"), (1 + F.col("n_nationkey") % 5).cast("double").cast("string"))
     regions = nations.groupBy("n_regionkey").agg(joined(inner).alias("below")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))

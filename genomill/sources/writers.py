@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from genomill.functions.sequence import wrapped
 
@@ -60,6 +62,12 @@ def clustal_text(rows: DataFrame, marks: DataFrame, group: str = "set_id", width
     return own.join(marks, group).select(group, F.concat(F.lit("CLUSTAL multiple sequence alignment\n\n"), F.array_join(blocks, "\n\n"), F.lit("\n")).alias("text"))
 
 
+@F.pandas_udf(StringType())
+def fixed(value: pd.Series, digits: pd.Series) -> pd.Series:
+    """A number with so many digits behind the point, rounded from its exact binary value as C's printf does; Java rounds its shortest decimal form."""
+    return pd.Series([None if pd.isna(v) else f"{v:.{d}f}" for v, d in zip(value, digits, strict=True)], dtype=object)
+
+
 def msf_line(name: Column, width: Column, checksum: Column) -> Column:
     return F.format_string(" Name: %s  Len: %d  Check: %d  Weight: 1.00", name, width, checksum)
 
