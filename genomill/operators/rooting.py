@@ -1,7 +1,7 @@
 """Trees as rows (node, parent, length, leaf): distances to all leaves, roots, bipartitions, pruning.
 
-A tree has one root, the parent that is no node; a leaf's edges up to it are found by one recursive query, what lies
-above an edge by another from the root down.
+A tree has one root, the parent that is no node; a leaf's edges up to it are found level by level, and what lies above an
+edge from the root down.
 """
 
 from __future__ import annotations
@@ -9,23 +9,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from genomill.sources.scratch import stash
 
-def upward(tree: DataFrame, spark: SparkSession) -> DataFrame:
-    """leaf, node, length, depth: every edge above every leaf, depth 1 being its own; an edge is named by its lower node."""
-    return spark.sql(
-        """
-        WITH RECURSIVE up(leaf, node, parent, length, depth) AS (
-          SELECT node, node, parent, length, 1 FROM {tree} WHERE leaf
-          UNION ALL SELECT up.leaf, t.node, t.parent, t.length, up.depth + 1 FROM up JOIN {tree} t ON up.parent = t.node)
-        SELECT leaf, node, length, depth FROM up""",
-        tree=tree,
-    )
+
+def upward(tree: DataFrame) -> DataFrame:
+    """leaf, node, length, depth: every edge above every leaf, depth 1 being its own; an edge is named by its lower node.
+
+    One join a level, written to the shared folder; a recursive query may have a million rows only.
+    """
+    edges = tree.select("node", "parent", "length")
+    level = stash(tree.where("leaf").select(F.col("node").alias("leaf"), "node", "parent", "length", F.lit(1).alias("depth")), "upward")
+    found = level
+    while True:
+        above = edges.select(F.col("node").alias("above"), F.col("parent").alias("further"), F.col("length").alias("step"))
+        level = stash(level.join(above, level["parent"] == above["above"]).select("leaf", F.col("above").alias("node"), F.col("further").alias("parent"), F.col("step").alias("length"), (F.col("depth") + 1).alias("depth")), "upward")
+        if level.isEmpty():
+            return found.drop("parent")
+        found = found.unionByName(level)
 
 
 def below(tree: DataFrame, spark: SparkSession) -> DataFrame:
     """node, n, total, most: leaves below each node, and the sum and the greatest of their distances from it."""
     w = Window.partitionBy("leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    down = upward(tree, spark).withColumn("d", F.coalesce(F.sum("length").over(w), F.lit(0.0)))
+    down = upward(tree).withColumn("d", F.coalesce(F.sum("length").over(w), F.lit(0.0)))
     return down.groupBy("node").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.max("d").alias("most"))
 
 
@@ -39,15 +45,19 @@ def edge_distances(tree: DataFrame, spark: SparkSession) -> DataFrame:
     ranked = own.withColumn("rank", rank)
     every = ranked.groupBy("parent").agg(F.sum("n").alias("all_n"), F.sum("far").alias("all_far"), F.max("reach").alias("first"), F.max(F.when(F.col("rank") == 2, F.col("reach"))).alias("second"))
     sisters = ranked.join(every, "parent").select("node", "parent", "length", "n", "total", "most", (F.col("all_n") - F.col("n")).alias("sn"), (F.col("all_far") - F.col("far")).alias("sf"), F.when(F.col("rank") == 1, F.col("second")).otherwise(F.col("first")).alias("sm"))
-    return spark.sql(
-        """
-        WITH RECURSIVE down(node, parent, length, n, total, most, n_up, total_up, most_up) AS (
-          SELECT s.node, s.parent, s.length, s.n, s.total, s.most, s.sn, s.sf, s.sm FROM {s} s LEFT ANTI JOIN {s} t ON s.parent = t.node
-          UNION ALL
-          SELECT s.node, s.parent, s.length, s.n, s.total, s.most, s.sn + d.n_up, s.sf + d.total_up + d.n_up * d.length, greatest(s.sm, d.most_up + d.length) FROM {s} s JOIN down d ON s.parent = d.node)
-        SELECT * FROM down""",
-        s=sisters,
-    )
+    sisters = stash(sisters, "sisters")
+    level = stash(sisters.join(sisters.select(F.col("node").alias("parent")), "parent", "left_anti").select(*sisters.columns).withColumnsRenamed({"sn": "n_up", "sf": "total_up", "sm": "most_up"}), "edges")
+    found = level
+    while True:
+        d = level.select(F.col("node").alias("parent"), F.col("length").alias("d_length"), *("n_up", "total_up", "most_up"))
+        met = sisters.join(d, "parent").select(
+            "node", "parent", "length", "n", "total", "most", (F.col("sn") + F.col("n_up")).alias("n_up"),
+            (F.col("sf") + F.col("total_up") + F.col("n_up") * F.col("d_length")).alias("total_up"), F.greatest("sm", F.col("most_up") + F.col("d_length")).alias("most_up"),
+        )
+        level = stash(met, "edges")
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level)
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -69,7 +79,7 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def bipartitions(tree: DataFrame, spark: SparkSession) -> DataFrame:
     """node, n, part: of every edge the leaves on its smaller side (below it, if both are alike) as the hash of their sorted names. Equal hashes in two trees of the same leaves are shared splits."""
-    up = upward(tree, spark)
+    up = upward(tree)
     leaves = up.where("depth = 1").agg(F.count("*").alias("all"), F.array_sort(F.collect_list("leaf")).alias("names"))  # one row a tree
     own = up.groupBy("node").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("leaf")).alias("side")).withColumn("one", F.lit(1))
     both = own.join(F.broadcast(leaves.withColumn("one", F.lit(1))), "one")
@@ -79,7 +89,7 @@ def bipartitions(tree: DataFrame, spark: SparkSession) -> DataFrame:
 
 def pruned(tree: DataFrame, kept: DataFrame, spark: SparkSession, shortest: float = 0.0) -> DataFrame:
     """node, parent, length of the tree of the kept leaves (column node): nodes with one branch left are passed over, their edges added up; no edge is shorter than `shortest`."""
-    up = upward(tree, spark).join(kept.select(F.col("node").alias("leaf")), "leaf", "left_semi")
+    up = upward(tree).join(kept.select(F.col("node").alias("leaf")), "leaf", "left_semi")
     parents = tree.select("node", "parent")
     used = up.select("node").distinct().join(parents, "node")
     forks = used.groupBy("parent").agg(F.count("*").alias("branches")).where("branches > 1").select(F.col("parent").alias("node"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from genomill.operators.dp import PartialOrder, align_pair, local_score
 from genomill.operators.matches import compatible
+from genomill.operators.rooting import upward
 from genomill.operators.trees import Tree, kmer_distance_matrix, leaf_weights, midpoint, multiple_alignment, neighbour_joining, upgma
 from genomill.plans.registry import load, query
 from genomill.sources.sequences import short_seqs
@@ -125,15 +126,8 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ancestors(tree: DataFrame, spark: SparkSession) -> DataFrame:
-    """leaf, node, length, depth: every edge above every leaf, by a recursive query."""
-    return spark.sql(
-        """
-        WITH RECURSIVE up(leaf, node, parent, length, depth) AS (
-          SELECT node, node, parent, length, 1 FROM {tree} WHERE leaf
-          UNION ALL SELECT up.leaf, t.node, t.parent, t.length, up.depth + 1 FROM up JOIN {tree} t ON up.parent = t.node)
-        SELECT leaf, node, length, depth FROM up""",
-        tree=tree,
-    )
+    """leaf, node, length, depth: every edge above every leaf."""
+    return upward(tree)
 
 
 @query(f"""
