@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 def expand_inputs(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -160,12 +162,15 @@ def newick_rows(texts: DataFrame, text: str, key: str) -> DataFrame:
     return texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"key {kind}, node long, parent long, name string, edge_len double").withColumnRenamed("key", key)
 
 
-def path_edges(path: Column) -> Column:
-    """A path string of M, D, I as (op, prefix in a, prefix in b)."""
-    start = F.struct(F.array().cast("array<struct<op:string,pa:int,pb:int>>").alias("out"), F.lit(0).alias("pa"), F.lit(0).alias("pb"))
+@F.pandas_udf(ArrayType(StructType([StructField("op", StringType()), StructField("pa", IntegerType()), StructField("pb", IntegerType())])))
+def path_edges(path: pd.Series) -> pd.Series:
+    """A path string of M, D, I as (op, prefix in a, prefix in b), in time that grows with its length."""
 
-    def step(s, op):
-        a, b = s["pa"] + op.isin("M", "D").cast("int"), s["pb"] + op.isin("M", "I").cast("int")
-        return F.struct(F.array_append(s["out"], F.struct(op.alias("op"), a.alias("pa"), b.alias("pb"))).alias("out"), a.alias("pa"), b.alias("pb"))
+    def edges(text: str | None) -> list | None:
+        if text is None:
+            return None
+        at = np.frombuffer(text.encode(), np.uint8)
+        pa, pb = (np.cumsum(np.isin(at, list(ops))).tolist() for ops in (b"MD", b"MI"))
+        return list(zip(text, pa, pb, strict=True))
 
-    return F.aggregate(F.filter(F.split(path, "(?!^)"), lambda c: c != ""), start, step)["out"]
+    return path.map(edges)
