@@ -56,7 +56,7 @@ def multi_matches(s: DataFrame, k: int) -> DataFrame:
 
 
 def mumi(matches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """ref_id, query_id, mumi: the share of the reference outside matches; 1 where lengths differ by 30 % or more.
+    """ref_id, query_id, mumi: the share of the reference outside matches; 1 where lengths differ by more than 30 %, or a sequence is empty.
 
     A match as long as the whole reference counts from its second symbol, so an equal genome is at 1 / length.
     """
@@ -64,7 +64,7 @@ def mumi(matches: DataFrame, pairs: DataFrame) -> DataFrame:
     far = F.max(F.col("ref_start") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.col("ref_start") + F.col("length") - F.greatest(F.col("ref_start"), F.coalesce(far, F.lit(0))), F.lit(0))
     covered = matches.withColumn("new", new).groupBy("ref_id", "query_id").agg(F.sum("new").alias("covered"), F.max("length").alias("longest"))
-    ratio = F.col("ref_len") / F.col("query_len")
+    ratio = F.coalesce(F.try_divide("ref_len", "query_len"), F.lit(2.0))  # a sequence without bases is far from all others
     bases = F.coalesce(F.col("covered") - (F.col("longest") == F.col("ref_len")).cast("int"), F.lit(0))
     value = F.when((ratio > 1.3) | (ratio < 0.7), 1.0).otherwise(1 - bases / F.col("ref_len"))
     return pairs.join(covered, ["ref_id", "query_id"], "left").select("ref_id", "query_id", value.alias("mumi"))
