@@ -82,20 +82,37 @@ def pair_identity(rows: DataFrame, group: str = "set_id") -> DataFrame:
     return paired(rows, group).withColumn("identity", F.col("same") / F.col("both"))
 
 
+def _smooth(c: dict[str, np.ndarray], window: int, ceiling: float) -> tuple[np.ndarray, np.ndarray]:
+    """Conservation of each column, and the mean of it, capped, in an odd window around the column; 0 where the window leaves the alignment."""
+    conservation = np.max([c[x] for x in CLASSES[:GAP]], axis=0) / np.maximum(c["n_seqs"], 1)
+    value, smooth = np.minimum(conservation, ceiling), np.zeros(len(conservation))
+    if len(value) >= window:
+        smooth[window // 2 : len(value) - window // 2] = sum(value[i : len(value) - window + 1 + i] for i in range(window)) / window
+    return conservation, smooth
+
+
 def smoothed(rows: DataFrame, group: str = "set_id", window: int = 7, ceiling: float = 1.0) -> DataFrame:
     """The described columns and `smooth`, the mean of capped conservation in an odd window around each column; 0 where the window leaves the alignment."""
 
     def made(s: np.ndarray) -> dict[str, np.ndarray]:
         c = counts(s)
-        value = np.minimum(np.max([c[x] for x in CLASSES[:GAP]], axis=0) / np.maximum(c["n_seqs"], 1), ceiling)
-        smooth = np.zeros(len(value))
-        if len(value) >= window:
-            smooth[window // 2 : len(value) - window // 2] = sum(value[i : len(value) - window + 1 + i] for i in range(window)) / window
-        return c | {"smooth": smooth}
+        return c | {"smooth": _smooth(c, window, ceiling)[1]}
 
     return described(tallied(rows, made, COUNTS + ", smooth double", group))
 
 
+def anchors(rows: DataFrame, group: str = "set_id", window: int = 7, ceiling: float = 1.0, least: float = 0.4, smooth: float = 0.42) -> DataFrame:
+    """group, from_col, to_col: columns without gaps that are conserved by themselves and with those around them, and the next such column, null behind the last."""
+
+    def made(s: np.ndarray) -> dict[str, pa.Array]:
+        c = counts(s)
+        own, around = _smooth(c, window, ceiling)
+        at = np.flatnonzero((own >= least) & (around >= smooth) & (c["n_gap"] == 0)).astype(np.int32)
+        return {"from_col": pa.array(at), "to_col": pa.array([*at[1:].tolist(), None][: len(at)], pa.int32())}
+
+    return tallied(rows, made, "from_col int, to_col int", group)
+
+
 def henikoff_weights(rows: DataFrame, group: str = "set_id") -> DataFrame:
     """Position-based weights: a letter is worth 1 / (types in its column * sequences with it); normalised in the group of rows (group, seq_id, seq)."""
     raw = position_weights(rows, group)
@@ -156,6 +173,22 @@ def at_columns(rows: DataFrame, test: Callable[[dict[str, np.ndarray]], np.ndarr
     return rows.join(held, group).withColumn("at", F.filter("at", lambda c: c < F.length("seq"))).where(F.size("at") > 0)
 
 
+def letters_at(held: DataFrame, group: str = "set_id") -> DataFrame:
+    """group, seq_id, at, letters: what rows (group, seq_id, seq, at) have in their columns `at`; by byte, as a text is searched from its start for each of its letters."""
+    kind, ids = (held.schema[c].dataType.simpleString() for c in (group, "seq_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (data, start), places = text_of(batch.column("seq")), batch.column("at")
+            n = np.diff(places.offsets.to_numpy())
+            edges = np.concatenate([[0], np.cumsum(n)])
+            own = data[np.repeat(start[:-1], n) + places.flatten().to_numpy()].tobytes().decode()
+            letters = pa.array([own[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(group), batch.column("seq_id"), places, letters], names=[group, "seq_id", "at", "letters"])
+
+    return held.select(group, "seq_id", "seq", "at").mapInArrow(run, f"{group} {kind}, seq_id {ids}, at array<int>, letters string")
+
+
 def is_snp(n: dict[str, np.ndarray]) -> np.ndarray:
     """As `snps`."""
     return (n["n_gap"] == 0) & (n["n_n"] == 0) & (sum((n[f"n_{x}"] > 0).astype(int) for x in "acgt") > 1)

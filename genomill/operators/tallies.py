@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTERS = "ACGT"
@@ -111,8 +111,9 @@ def tallied(rows: DataFrame, make: Callable[[np.ndarray], dict[str, np.ndarray]]
         if parts:
             yield sent()
 
-    sent_rows = rows.select(group, "seq_id", "seq", *(["weight"] if weight else []))
-    return sent_rows.repartition(group).sortWithinPartitions(group, *([(F.col("seq_id") % 2)] if halves else [])).mapInArrow(run, f"{group} {kind}, {schema}")
+    # a number within the group: rows come together and in order, and are shuffled only where they aren't by group yet
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(F.col("seq_id") % 2 if halves else F.lit(0)))
+    return rows.select(group, "seq_id", "seq", *(["weight"] if weight else []), nth.alias("nth")).mapInArrow(run, f"{group} {kind}, {schema}")
 
 
 def counts(s: np.ndarray) -> dict[str, np.ndarray]:
@@ -134,7 +135,7 @@ def paired(rows: DataFrame, group: str = "set_id") -> DataFrame:
 
     Rows that repeat a seq_id count together; pairs without a common column are left out.
     """
-    keyed = rows.select(group, "seq_id", "seq").repartition(group)
+    keyed = rows.select(group, "seq_id", "seq")
     x, y = keyed.select(group, F.col("seq_id").alias("a"), F.col("seq").alias("x")), keyed.select(group, F.col("seq_id").alias("b"), F.col("seq").alias("y"))
     kind, ids = rows.schema[group].dataType.simpleString(), rows.schema["seq_id"].dataType.simpleString()
 
@@ -166,7 +167,7 @@ def position_worth(s: np.ndarray) -> dict[str, list]:
 
 def position_weights(rows: DataFrame, group: str = "set_id") -> DataFrame:
     """group, seq_id, raw: the sum over a row's letters of 1 / (kinds of letters in the column * rows with this one). Rows without letters are left out."""
-    keyed = rows.select(group, "seq_id", "seq").repartition(group)
+    keyed = rows.select(group, "seq_id", "seq")
     worth = tallied(keyed, position_worth, "size int, worth binary", group)
     kind, ids = rows.schema[group].dataType.simpleString(), rows.schema["seq_id"].dataType.simpleString()
     place = np.array([0, 1, 2, 3, 4, 0, 5])  # of a class in `worth`

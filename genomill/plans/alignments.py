@@ -9,6 +9,7 @@ from genomill.functions.sequence import PAMS, kimura
 from genomill.operators import columns as C
 from genomill.operators.merge import merged_columns
 from genomill.plans.registry import load, query
+from genomill.sources.scratch import spread
 from genomill.sources.sequences import ALN_SQL, aligned_turns
 
 ALN = ALN_SQL
@@ -82,8 +83,7 @@ SELECT c.set_id, c.seq_id, string_agg(c.ch, '' ORDER BY c.col) AS snps FROM c JO
 def snp_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One string of core SNPs for each sequence."""
     a = aln(spark, sf_dir)
-    held = C.at_columns(a, C.is_snp)
-    return held.select("set_id", "seq_id", F.array_join(F.transform("at", lambda c: F.substr("seq", c + 1, F.lit(1))), "").alias("snps"))
+    return C.letters_at(C.at_columns(a, C.is_snp)).select("set_id", "seq_id", F.col("letters").alias("snps"))
 
 
 @query(f"""
@@ -96,7 +96,8 @@ FROM c JOIN v ON c.set_id = v.set_id AND c.col = v.col GROUP BY c.set_id, c.col,
 """)
 def vcf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = aln(spark, sf_dir)
-    c = C.at_columns(a, C.is_snp).select("set_id", "seq_id", "seq", F.explode("at").alias("col")).withColumn("ch", F.substr("seq", F.col("col") + 1, F.lit(1)))
+    held = spread(C.letters_at(C.at_columns(a, C.is_snp)), "set_id", load(spark, sf_dir, "conversations"))  # letters, not rows; all columns of a set stay together
+    c = held.select("set_id", "seq_id", F.inline(F.arrays_zip(F.col("at").alias("col"), F.split("letters", "(?!^)").alias("ch")))).where("ch <> ''")
     own = F.array_sort(F.collect_list(F.struct("seq_id", "ch")))
     v = c.groupBy("set_id", "col").agg(own.alias("own")).withColumn("ref", F.col("own")[0]["ch"])
     alt = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("own", lambda x: x["ch"]), lambda x: x != F.col("ref")))), ",")
@@ -138,8 +139,7 @@ SELECT set_id, col AS from_col, lead(col) OVER (PARTITION BY set_id ORDER BY col
 """)
 def anchor_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns good enough to anchor an alignment, and the ranges between them."""
-    a = C.smoothed(aln(spark, sf_dir), ceiling=0.9).where("conservation >= 0.4 and smooth >= 0.42 and n_gap = 0")
-    return a.select("set_id", F.col("col").alias("from_col"), F.lead("col").over(Window.partitionBy("set_id").orderBy("col")).alias("to_col"))
+    return C.anchors(aln(spark, sf_dir), ceiling=0.9)
 
 
 @query(f"""

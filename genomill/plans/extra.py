@@ -96,7 +96,7 @@ def gapless_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments without the columns that hold a gap."""
     a = aln(spark, sf_dir)
     whole = C.at_columns(a, lambda n: n["n_gap"] == 0)
-    return whole.select("set_id", "seq_id", F.array_join(F.transform("at", lambda c: F.substr("seq", c + 1, F.lit(1))), "").alias("seq"))
+    return C.letters_at(whole).select("set_id", "seq_id", F.col("letters").alias("seq"))
 
 
 @query(f"""

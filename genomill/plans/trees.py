@@ -12,6 +12,7 @@ from genomill.operators.matches import compatible
 from genomill.operators.rooting import upward
 from genomill.operators.trees import Tree, kmer_distance_matrix, leaf_weights, midpoint, multiple_alignment, neighbour_joining, upgma
 from genomill.plans.registry import load, query
+from genomill.sources.scratch import spread
 from genomill.sources.sequences import short_seqs
 
 ROWS = "set_id long, seq_id long, seq string"
@@ -95,8 +96,8 @@ def nj_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snp_tree(ids: list, seqs: list[str]):
-    chars = np.array([list(s) for s in seqs])
-    d = np.array([[float((a != b).sum()) for b in chars] for a in chars])
+    chars = np.frombuffer("".join(seqs).encode(), np.uint8).reshape(len(seqs), -1)
+    d = np.array([(chars != a).sum(1) for a in chars], float)
     tree = upgma(d, "avg")
     return [(tree.newick([str(i) for i in ids]), tree.n)]
 
@@ -106,7 +107,7 @@ def snp_distance_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Newick tree of each set from the differences at its core SNPs: an average-linkage estimate instead of likelihood."""
     from genomill.plans.alignments import snp_matrix
 
-    return per_set(snp_matrix(spark, sf_dir).withColumnRenamed("snps", "seq"), _snp_tree, "set_id long, newick string, leaves long")
+    return per_set(spread(snp_matrix(spark, sf_dir).withColumnRenamed("snps", "seq"), "set_id", load(spark, sf_dir, "conversations")), _snp_tree, "set_id long, newick string, leaves long")
 
 
 TREE_SQL = """

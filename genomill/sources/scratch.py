@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: Bytes of input, as stored, for one partition of a shuffle of whole rows.
+PART = 4 << 20
+
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes `df` below the shared folder of `spark.checkpoint.dir` and reads it back: lineage is cut, lost executors lose nothing.
@@ -23,3 +26,10 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str, of: DataFrame | None = None) -> DataFrame:
+    """`df` shuffled by a key into partitions that don't grow with the input: one for each `PART` bytes that `of`, or itself, reads; Spark's number where that is more."""
+    size = int(str((of or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = 0 if size >= 1 << 60 else -(-size // PART)  # the optimiser's mark of an unknown size
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from genomill.functions.sequence import CYCLE, LETTERS, folded
 from genomill.plans.registry import load
+from genomill.sources.scratch import spread
 
 SET = 8  # sequences in a collection that is compared or aligned as a whole
 
@@ -36,7 +37,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def longest_words(sizes: DataFrame) -> DataFrame:
-    """set_id, widths: the length of the longest k-th word of every set (set_id, sizes). Rows stream through the task, which holds one set's widths."""
+    """set_id, widths: the length of the longest k-th word of every stretch of rows (set_id, sizes) of one set. Rows stream through the task, which holds one set's widths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, most = None, None
@@ -56,17 +57,21 @@ def longest_words(sizes: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([most], pa.list_(pa.int32()))], names=["set_id", "widths"])
 
-    return sizes.sortWithinPartitions("set_id").mapInArrow(run, "set_id long, widths array<int>")
+    return sizes.mapInArrow(run, "set_id long, widths array<int>")
 
 
 def aligned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """set_id, seq_id, seq: alignments of the turns of each conversation, with gaps inside the rows and at their ends."""
-    line = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), " "), folded), " ")
-    t = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("set_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq_id"), line.alias("line")).where("set_id is not null").repartition("set_id")
-    words = F.split("line", " ")
-    widths = longest_words(t.select("set_id", F.transform(words, lambda w: F.length(w)).alias("sizes")))
-    row = F.zip_with(words, "widths", lambda w, n: F.rpad(F.coalesce(w, F.lit("")), n, F.lit("-")))
-    return t.join(widths, "set_id").select("set_id", "seq_id", F.array_join(row, "").alias("seq"))
+    """set_id, seq_id, seq: alignments of the turns of each conversation, with gaps inside the rows and at their ends.
+
+    The texts are shuffled once, by set, and all that follows by set finds its rows where they are. Widths are made where the
+    texts are read, from rows of a set that follow each other there, and then from those.
+    """
+    t = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("set_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq_id"), F.coalesce("text", F.lit("")).alias("text")).where("set_id is not null")
+    partial = longest_words(t.select("set_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("sizes")))
+    widths = longest_words(spread(partial, "set_id", t).withColumnRenamed("widths", "sizes").sortWithinPartitions("set_id"))
+    line = F.regexp_replace(F.translate("text", LETTERS, CYCLE), "[^ACGT ]", "N")
+    row = F.zip_with(F.split("line", " "), "widths", lambda w, n: F.rpad(F.coalesce(w, F.lit("")), n, F.lit("-")))
+    return spread(t, "set_id").join(widths, "set_id").withColumn("line", line).select("set_id", "seq_id", F.array_join(row, "").alias("seq"))
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
