@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from genomill.operators.extension import align_gap
 from genomill.operators.frontier import pieces, recursive_matches
 from genomill.operators.maximal import collinear
-from genomill.sources.scratch import stash
+from genomill.sources.scratch import spread, stash
 
 
 def chains(anchors: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def chains(anchors: DataFrame) -> DataFrame:
         kept = collinear([(tuple(s), n, 0) for s, n in zip(rows["starts"], rows["length"], strict=True)])
         return pd.DataFrame({"set_id": key[0], "nth": range(len(kept)), "starts": pd.Series([list(a[0]) for a in kept], dtype=object), "length": [a[1] for a in kept]})
 
-    return anchors.select("set_id", "starts", "length").groupBy("set_id").applyInPandas(run, "set_id long, nth long, starts array<long>, length long")
+    return spread(anchors.select("set_id", "starts", "length"), "set_id", heavy=True).groupBy("set_id").applyInPandas(run, "set_id long, nth long, starts array<long>, length long")
 
 
 def gaps(chain: DataFrame, genomes: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def anchored_alignment(genomes: DataFrame, factor: float = 0.6, shortest: int =
     """
     genomes = stash(genomes.select("set_id", "place", "seq"), "genomes")
     parts = stash(gaps(chains(recursive_matches(genomes, factor, shortest)), genomes), "gaps")
-    cut = pieces(parts.select("set_id", "starts", "ends", F.lit(0).cast("long").alias("least")).distinct(), genomes).repartition("set_id", "starts")
+    cut = spread(pieces(parts.select("set_id", "starts", "ends", F.lit(0).cast("long").alias("least")).distinct(), genomes), "set_id", "starts", "ends", of=genomes, heavy=True)
     aligned = cut.mapInArrow(_aligning, "set_id long, starts array<long>, ends array<long>, rows array<string>")
     both = parts.join(aligned, ["set_id", "starts", "ends"]).select("set_id", "nth", F.posexplode(F.arrays_zip("rows", "ends")).alias("place", "x"), "anchor")
     anchor = F.lower(F.substring(F.col("seq").cast("binary"), F.col("x.ends") + 1, F.col("anchor")).cast("string"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from genomill.operators.dp import Profile, global_path, path_rows
 from genomill.operators.objectives import score_pair
 from genomill.operators.trees import Tree, kmer_distance_matrix, leaf_weights, upgma
+from genomill.sources.scratch import spread, stash
 
 #: Most rounds over all edges; a round without a change ends it earlier.
 ROUNDS = 8
@@ -39,11 +40,15 @@ def refine(rows: list[str], tree: Tree, weights: np.ndarray, rounds: int = ROUND
     accepted = 0
     if len(rows) < 3:
         return rows, 0
+    failed: set[tuple[int, ...]] = set()  # cuts that gain nothing with the rows as they are
     for r in range(rounds):
         changed = False
         edges = cuts(tree)
         for one in edges if r % 2 == 0 else edges[::-1]:
-            two = [i for i in range(len(rows)) if i not in set(one)]
+            if tuple(one) in failed:
+                continue
+            inside = set(one)
+            two = [i for i in range(len(rows)) if i not in inside]
             a, b = bare_columns([rows[i] for i in one]), bare_columns([rows[i] for i in two])
             if not a[0] or not b[0]:
                 continue
@@ -52,8 +57,11 @@ def refine(rows: list[str], tree: Tree, weights: np.ndarray, rounds: int = ROUND
             new = [""] * len(rows)
             for i, row in zip(one + two, fresh, strict=True):
                 new[i] = row
-            if cross_score(new, one, two, weights) > cross_score(rows, one, two, weights) + 1e-9:
+            if new != rows and cross_score(new, one, two, weights) > cross_score(rows, one, two, weights) + 1e-9:
                 rows, changed, accepted = new, True, accepted + 1
+                failed.clear()
+            else:
+                failed.add(tuple(one))
         if not changed:
             break
     return rows, accepted
@@ -75,7 +83,7 @@ def refined(aln: DataFrame, key: list[str], rounds: int = ROUNDS, of: Callable =
         fresh, accepted = refine(own, *of(own), rounds) if len(own) > 2 else (own, 0)
         return rows[[*key, "seq_id"]].assign(seq=fresh, accepted=accepted)
 
-    return aln.select(*key, "seq_id", "seq").groupBy(*key).applyInPandas(run, ", ".join(f"{k} {t}" for k, t in zip(key, kinds, strict=True)) + ", seq_id long, seq string, accepted long")
+    return spread(aln.select(*key, "seq_id", "seq"), *key, heavy=True).groupBy(*key).applyInPandas(run, ", ".join(f"{k} {t}" for k, t in zip(key, kinds, strict=True)) + ", seq_id long, seq string, accepted long")
 
 
 def cut_at(aln: DataFrame, anchors: DataFrame, group: str = "set_id") -> DataFrame:
@@ -96,4 +104,4 @@ def joined(parts: DataFrame, group: str = "set_id") -> DataFrame:
 
 def refined_between(aln: DataFrame, anchors: DataFrame, group: str = "set_id", rounds: int = ROUNDS) -> DataFrame:
     """The vertical form: what stands between anchor columns is refined as an alignment of its own, so that one alignment is many tasks."""
-    return joined(refined(cut_at(aln, anchors, group), [group, "part"], rounds), group)
+    return joined(refined(stash(cut_at(aln, anchors, group), "parts"), [group, "part"], rounds), group)

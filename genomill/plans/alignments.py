@@ -96,7 +96,7 @@ FROM c JOIN v ON c.set_id = v.set_id AND c.col = v.col GROUP BY c.set_id, c.col,
 """)
 def vcf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = aln(spark, sf_dir)
-    held = spread(C.letters_at(C.at_columns(a, C.is_snp)), "set_id", load(spark, sf_dir, "conversations"))  # letters, not rows; all columns of a set stay together
+    held = spread(C.letters_at(C.at_columns(a, C.is_snp)), "set_id", of=load(spark, sf_dir, "conversations"))  # letters, not rows; all columns of a set stay together
     c = held.select("set_id", "seq_id", F.inline(F.arrays_zip(F.col("at").alias("col"), F.split("letters", "(?!^)").alias("ch")))).where("ch <> ''")
     own = F.array_sort(F.collect_list(F.struct("seq_id", "ch")))
     v = c.groupBy("set_id", "col").agg(own.alias("own")).withColumn("ref", F.col("own")[0]["ch"])

@@ -13,7 +13,7 @@ from genomill.plans.alignments import ALN, COLS, aln
 from genomill.plans.registry import load, query
 from genomill.plans.sequences import KMER_SQL
 from genomill.plans.trees import ROWS, per_set
-from genomill.sources.scratch import stash
+from genomill.sources.scratch import spread, stash
 from genomill.sources.sequences import SEQS_SQL, TURNS_SQL, bounded, references, seqs, short_seqs, turns
 
 SKETCH, K = 200, 8
@@ -55,7 +55,7 @@ SELECT seq_id, ref_id, round(d, 6) + 0.0 AS d FROM d WHERE d <= 0.1
 def mash_recruit(spark: SparkSession, sf_dir: str, most: float = 0.1) -> DataFrame:
     """Sequences within a sketch distance of their language's reference: every sequence is held against one."""
     s = seqs(spark, sf_dir)
-    own = sketches(s, ["seq_id", "lang"], K, SKETCH)
+    own = sketches(spread(s, "seq_id", heavy=True), ["seq_id", "lang"], K, SKETCH)
     refs = sketches(references(s).withColumnsRenamed({"ref_seq": "seq"}), ["lang", "ref_id"], K, SKETCH).withColumnRenamed("sk", "ys")
     both = own.withColumnRenamed("sk", "xs").join(bounded(refs), "lang").where("seq_id <> ref_id")
     return sketch_pairs(both, ["seq_id", "ref_id"]).where(F.col("d") <= most).select("seq_id", "ref_id", (F.round("d", 6) + 0.0).alias("d"))

@@ -107,7 +107,7 @@ def snp_distance_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Newick tree of each set from the differences at its core SNPs: an average-linkage estimate instead of likelihood."""
     from genomill.plans.alignments import snp_matrix
 
-    return per_set(spread(snp_matrix(spark, sf_dir).withColumnRenamed("snps", "seq"), "set_id", load(spark, sf_dir, "conversations")), _snp_tree, "set_id long, newick string, leaves long")
+    return per_set(spread(snp_matrix(spark, sf_dir).withColumnRenamed("snps", "seq"), "set_id", of=load(spark, sf_dir, "conversations"), heavy=True), _snp_tree, "set_id long, newick string, leaves long")
 
 
 TREE_SQL = """

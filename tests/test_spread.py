@@ -31,3 +31,24 @@ def test_letters_and_anchors(spark):
     held = rows.selectExpr("*", "if(seq = '', array(), array(0, 3, 9)) as at")
     assert {r.seq_id: r.letters for r in C.letters_at(held).collect()} == {1: "ATC", 2: "ATC", 3: "A-C", 4: ""}
     assert sorted(tuple(r) for r in C.anchors(rows).collect()) == [(1, 4, 5), (1, 5, 6), (1, 6, None)]
+
+
+def test_heavy_work_of_one_small_file_has_several_tasks_a_core(spark):
+    from genomill.plans.matches import pairs
+    from genomill.sources.scratch import HEAVY, spread
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    least = HEAVY * spark.sparkContext.defaultParallelism
+    assert docs.rdd.getNumPartitions() < least <= spread(docs, "doc_id", heavy=True).rdd.getNumPartitions()
+    assert pairs(spark, DATA).rdd.getNumPartitions() >= least
+
+
+def test_cuts_that_failed_are_not_tried_again(monkeypatch):
+    from genomill.operators import refine as R
+
+    rows = ["ACGTACGT", "ACGTACGT", "ACGTACGT"]
+    tried = []
+    monkeypatch.setattr(R, "global_path", lambda a, b: tried.append(1) or "M" * len(a.shares))
+    monkeypatch.setattr(R, "cross_score", lambda *a: 0.0 if not tried else float(len(tried) == 1 and a[0] != rows))
+    tree, weights = R.tree_of(rows)
+    assert R.refine(rows, tree, weights, 8) == (rows, 0) and len(tried) == len(R.cuts(tree))
