@@ -46,9 +46,14 @@ def test_heavy_work_of_one_small_file_has_several_tasks_a_core(spark):
 def test_cuts_that_failed_are_not_tried_again(monkeypatch):
     from genomill.operators import refine as R
 
-    rows = ["ACGTACGT", "ACGTACGT", "ACGTACGT"]
-    tried = []
-    monkeypatch.setattr(R, "global_path", lambda a, b: tried.append(1) or "M" * len(a.shares))
-    monkeypatch.setattr(R, "cross_score", lambda *a: 0.0 if not tried else float(len(tried) == 1 and a[0] != rows))
+    rows, tried = ["ACGTACGT", "ACGTACGT", "ACGTACGT"], []
+
+    def path_rows(path, a, b):  # the first cut is accepted, no other
+        tried.append(path)
+        return [r + "-" * (len(tried) == 1) for r in a + b]
+
+    monkeypatch.setattr(R, "path_rows", path_rows)
+    monkeypatch.setattr(R, "cross_score", lambda own, *_: float(own[0].endswith("-")))
     tree, weights = R.tree_of(rows)
-    assert R.refine(rows, tree, weights, 8) == (rows, 0) and len(tried) == len(R.cuts(tree))
+    assert R.refine(rows, tree, weights, 2)[1] == 1
+    assert len(tried) == len(R.cuts(tree)) + 1  # in the second round only the cut that was accepted
