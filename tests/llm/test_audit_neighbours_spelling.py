@@ -154,6 +154,67 @@ def test_nearest_of_few_rows(spark):
     assert neighbours.nearest(huge).count() == 2
 
 
+def asked_of(space, ids, x, k, least=-np.inf):
+    return neighbours.Asked(space, k, ids, x, np.full(len(ids), least), np.full(len(ids), -1))
+
+
+def space_of(x):
+    largest = np.abs(x).max()
+    return neighbours.Space(x.shape[1], largest, np.linalg.norm(x / largest, axis=1).max())
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e150])
+@pytest.mark.parametrize("tile, checked", [(1 << 20, 1 << 16), (300, 16)])
+def test_block_finds_what_the_definition_does(monkeypatch, scale, tile, checked):
+    monkeypatch.setattr(neighbours, "TILE", tile)
+    monkeypatch.setattr(neighbours, "CHECKED", checked)
+    rng, k = np.random.default_rng(6), 20
+    x = rng.standard_normal((900, 16)) * scale
+    x[300:500], x[500:520] = x[20], x[40]  # copies of other ids
+    ids = np.arange(900)
+    ids[500:520] = 40  # and rows that are one and the same
+    space, queries_ = space_of(x), np.unique(ids[ids % 20 == 0], return_index=True)
+    asked = asked_of(space, queries_[0], x[queries_[1]], k)
+    mixed = rng.permutation(900)
+    neighbours.Block(space, 0, ids[mixed], x[mixed], k).search(asked, 1e9)
+    for i, q, got, scores in zip(asked.ids, asked.x, *(v.to_pylist() for v in asked.lists()), strict=True):
+        score = np.einsum("ij,ij->i", x, np.repeat(q[None], 900, axis=0))
+        best = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:k]
+        assert got == ids[best].tolist() and scores == score[best].tolist()
+
+
+def test_copies_and_far_rows_are_not_verified_one_by_one(monkeypatch):
+    rng, k, seen = np.random.default_rng(7), 20, []
+    add = neighbours.Asked.add
+    monkeypatch.setattr(neighbours.Asked, "add", lambda self, q, ids, x: (seen.append(len(q)), add(self, q, ids, x))[1])
+    for n in (2_000, 8_000):
+        x = rng.standard_normal((n, 64))
+        x[n // 2 :] = x[0]  # half of the rows are one vector
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        space, ids = space_of(x), np.arange(n)
+        asked = asked_of(space, ids[:50], x[:50], k)
+        block = neighbours.Block(space, 0, ids, x, k)
+        assert len(block.ids) == n // 2 - 1 + 2 * k
+        seen.append([])
+        block.search(asked, neighbours.quantile(neighbours.CONFIDENCE, neighbours.DIMENSIONS))
+    at = seen.index([])
+    few, many = (sum(v for v in part if v) for part in (seen[at + 1 : seen.index([], at + 1)], seen[seen.index([], at + 1) + 1 :]))
+    assert many < 2 * few  # of four times the rows; before, two thirds of the rows were verified
+
+
+def test_visits_of_a_query_do_not_grow_with_the_table(spark, monkeypatch):
+    for name, value in (("FEW", 50), ("BLOCKS", 8), ("GROUPS", 3), ("ASKED", 7)):
+        monkeypatch.setattr(neighbours, name, value)
+    visits, searched = [], neighbours.searched
+    monkeypatch.setattr(neighbours, "searched", lambda dealt, asks, *rest: (visits.append(asks.count()), searched(dealt, asks, *rest))[1])
+    rng = np.random.default_rng(8)
+    for n in (500, 3_000):
+        data = [(i, v) for i, v in enumerate(rng.standard_normal((n, 24)).astype(np.float32).tolist())]
+        df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+        assert held_against(collected(neighbours.nearest(df)), naive_nearest(data)) > 0.97
+    assert visits[0] == 25 and visits[2] == 150 and visits[1] <= 3 * 25 and visits[3] <= 3 * 150
+
+
 def test_chi_square():
     assert abs(neighbours.chi_square(2 * np.log(2), 2) - 0.5) < 1e-12
     assert abs(neighbours.quantile(0.95, 8) - 15.5073) < 1e-3
