@@ -42,8 +42,8 @@ SEED = 12
 ROWS, ASKED, LEAF, VALUES = 65_536, 65_536, 64, 1 << 22
 #: A block has `FEW` rows until there are `BLOCKS` blocks. Groups of blocks that queries travel to.
 FEW, BLOCKS, GROUPS = 8_192, 64, 24
-#: Queries that open leaves together, products made at once, candidates verified at once.
-SLAB, TILE, CHECKED = 1_024, 1 << 20, 1 << 16
+#: Queries that open leaves together, products made at once, candidates that are gathered, and verified at once.
+SLAB, TILE, CHECKED, CACHED = 1_024, 1 << 19, 1 << 16, 1 << 11
 #: Most rows whose projections make the split values of the coarse tree, and its most cells.
 SAMPLE, CELLS = 20_000, 4_096
 #: Most rows of a table with one row a block that is broadcast.
@@ -126,6 +126,29 @@ class Coarse:
         return node - len(self.axis)
 
 
+def true_at(mask: np.ndarray) -> np.ndarray:
+    """Places of the few true values of a mask, looked for eight at a time."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    eight = np.flatnonzero(flat[:whole].view(np.uint64))
+    i, j = np.nonzero(flat[:whole].reshape(-1, 8)[eight])
+    return np.concatenate([eight[i] * 8 + j, whole + np.flatnonzero(flat[whole:])])
+
+
+def outside(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distances of points from boxes."""
+    out, low, high = np.zeros((len(at), len(low))), np.asfortranarray(low), np.asfortranarray(high)
+    for i in range(0, len(at), step := max(1, CACHED * 8 // len(low))):
+        part, away = out[i : i + step], np.empty_like(out[i : i + step])
+        for d in range(DIMENSIONS):
+            own = at[i : i + step, d, None]
+            np.minimum(np.maximum(own, low[:, d], out=away), high[:, d], out=away)
+            away -= own
+            away *= away
+            part += away
+    return out
+
+
 class Asked:
     """Queries that search together, with the k best of each so far; `least`: the k-th best product that is known from elsewhere."""
 
@@ -152,17 +175,19 @@ class Asked:
         with np.errstate(over="ignore"):
             return (self.bar() / self.space.largest / self.peak - self.slack).astype(np.float32)[:, None]
 
-    def add(self, query: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        for i in range(0, len(query), CHECKED):
-            q, own = query[i : i + CHECKED], ids[i : i + CHECKED]
-            with np.errstate(over="ignore", invalid="ignore"):
-                score = np.einsum("ij,ij->i", x[i : i + CHECKED], self.x[q])
-            fit = ~(score < self.bar()[q])
-            q, own, score = np.append(self.query, q[fit]), np.append(self.found, own[fit]), np.append(self.score, score[fit])
-            order = np.lexsort((own, -score, q))
-            q = q[order]
-            keep = np.arange(len(q)) - np.searchsorted(q, q) < self.k
-            self.query, self.found, self.score = q[keep], own[order][keep], score[order][keep]
+    def add(self, query: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Query by query one of the rows of ids and x."""
+        score = np.empty(len(query))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for i in range(0, len(query), CACHED):
+                score[i : i + CACHED] = np.einsum("ij,ij->i", x[rows[i : i + CACHED]], self.x[query[i : i + CACHED]])
+        fit = ~(score < self.bar()[query])
+        q, own, score = np.append(self.query, query[fit]), np.append(self.found, ids[rows[fit]]), np.append(self.score, score[fit])
+        order = np.lexsort((own, -score, q))
+        q, own, score = q[order], own[order], score[order]
+        n = np.bincount(q, minlength=len(self.ids))
+        keep = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) < self.k
+        self.query, self.found, self.score = q[keep], own[keep], score[keep]
 
     def lists(self) -> tuple[pa.Array, pa.Array]:
         """vec_ids and inner products of every query's k best, best first."""
@@ -214,14 +239,6 @@ class Block:
 
     def search(self, asked: Asked, stop: float) -> None:
         """Adds to what the queries have found, but for those whose home this block is."""
-
-        def outside(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(at), len(low)))
-            for d in range(DIMENSIONS):
-                away = np.maximum(0, np.maximum(low[:, d] - at[:, d, None], at[:, d, None] - high[:, d]))
-                out += away * away
-            return out
-
         limit = self.space.reach(asked.x, asked.bar(), stop)
         who = np.flatnonzero((asked.home != self.number) & (outside(self.low.min(axis=0)[None], self.high.max(axis=0)[None], asked.at)[:, 0] <= limit))
         boxes = outside(self.low, self.high, asked.at[who])
@@ -246,13 +263,13 @@ class Block:
             nonlocal found, waiting
             if found:
                 own, rows = (np.concatenate(v) for v in zip(*found, strict=True))
-                asked.add(who[own], self.ids[rows], self.x[rows])
+                asked.add(who[own], rows, self.ids, self.x)
             found, waiting = [], 0
 
         def held(own: np.ndarray, rows: np.ndarray | slice, at: np.ndarray) -> None:
             nonlocal waiting
             q = who[own]
-            hit = np.flatnonzero(asked.short[q] @ self.short[rows].T >= least[q])
+            hit = true_at(asked.short[q] @ self.short[rows].T >= least[q])
             i, j = np.divmod(hit, len(at))
             i, j = own[i], at[j]
             fit = open_[i, self.leaf[j]] & (asked.ids[who[i]] != self.ids[j])
@@ -384,34 +401,40 @@ def searched(dealt: DataFrame, visits: DataFrame, asked: DataFrame, space: Space
     """What every visit (group, id, of, x, least, home) finds in the blocks of its group, but its home; asked: group, n, the visits counted before."""
     spark, kind = dealt.sparkSession, dict(dealt.dtypes)["x"]
     salts = stash(asked.groupBy("group").agg(F.ceil(F.sum("n") / min(ASKED, max(1, VALUES // space.width))).alias("salts")), "salts")
-    units = salts.agg(F.sum("salts")).first()[0] or 1
-    tasks = int(max(2 * spark.sparkContext.defaultParallelism, min(2 * units, 1_024), units // 16))
+    units, most = (v or 1 for v in salts.agg(F.sum("salts"), F.max("salts")).first())
+    tasks = int(min(groups * most, max(16 * spark.sparkContext.defaultParallelism, units // 16)))
     salts = small(salts, BROADCAST_BLOCKS)
     none = F.lit(0).cast("long")
     copies = dealt.withColumn("group", F.pmod("block", F.lit(groups).cast("long"))).join(salts, "group").select("group", F.explode(F.sequence(none, F.col("salts") - 1)).alias("chunk"), "block", "id", none.alias("of"), "x", F.lit(0.0).alias("least"), none.alias("home"))
     asks = visits.join(salts, "group").select("group", F.pmod(F.xxhash64("id", "of"), "salts").alias("chunk"), F.lit(-1).cast("long").alias("block"), "id", "of", "x", "least", "home")
-    return copies.unionByName(asks).repartition(tasks, "group", "chunk").sortWithinPartitions("group", "chunk", "block", "id", "of").mapInArrow(_searching(space, k, kind[6:-1]), f"query_id long, of long, block long, x {kind}, ids array<long>, scores array<double>")
+    return copies.unionByName(asks).repartitionById(tasks, F.expr(f"cast(pmod(group * {most} + chunk, {tasks}) as int)")).sortWithinPartitions("group", "chunk", "block", "id", "of").mapInArrow(_searching(space, k, kind[6:-1]), f"query_id long, of long, block long, x {kind}, ids array<long>, scores array<double>")
 
 
 def _going(space: Space, cells: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, parts: np.ndarray, k: int, groups: int, count: bool):
     """The groups of blocks that a query, with what it has found in its own block, still has to search; `count`: only how many queries go to each."""
-    stop = quantile(CONFIDENCE, DIMENSIONS)
+    stop, held = quantile(CONFIDENCE, DIMENSIONS), np.zeros((len(cells), groups))  # a cell's blocks in each group
+    of = np.repeat(np.arange(len(cells)), parts[cells])
+    np.add.at(held, (of, np.arange(len(of)) % groups), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            x = space.matrix_of(batch.column("x"))
-            at = space.projected(x, query=True)
-            least = np.array([s[-1] if len(s) == k else -np.inf for s in batch.column("scores").to_pylist()])
-            reach = space.reach(x, least, stop)
-            home, rows, to = np.asarray(batch.column("block")), [], []
-            for i in range(len(batch)):
-                open_ = cells[(np.maximum(0, np.maximum(low - at[i], at[i] - high)) ** 2).sum(axis=1) <= reach[i]]
-                blocks = np.repeat(first[open_], parts[open_]) + np.concatenate([np.arange(n) for n in parts[open_]] or [np.zeros(0, np.int64)])
-                own = np.unique(blocks[blocks != home[i]] % groups).astype(np.int64)
-                rows.append(np.full(len(own), i))
-                to.append(own)
-            rows, to = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, to))
+            if not len(batch):
+                continue
+            x, home = space.matrix_of(batch.column("x")), np.asarray(batch.column("block"))
+            scores, ends = np.asarray(batch.column("scores").flatten()), np.asarray(batch.column("scores").offsets)
+            least, full = np.full(len(batch), -np.inf), np.flatnonzero(np.diff(ends) == k)
+            least[full] = scores[ends[full + 1] - ends[0] - 1]
+            reach, at, rows, to = space.reach(x, least, stop), space.projected(x, query=True), [], []
+            for a in range(0, len(batch), CACHED // 8):
+                own = slice(a, a + CACHED // 8)
+                open_ = outside(low, high, at[own]) <= reach[own, None]
+                n, i = open_ @ held, np.arange(len(open_))
+                n[i, home[own] % groups] -= open_[i, np.searchsorted(first[cells], home[own], "right") - 1]
+                i, group = np.nonzero(n > 0)
+                rows.append(i + a)
+                to.append(group.astype(np.int64))
+            rows, to = np.concatenate(rows), np.concatenate(to)
             if count:
                 group, n = np.unique(to, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(n, pa.int64())], names=["group", "n"])
@@ -426,7 +449,8 @@ def _going(space: Space, cells: np.ndarray, low: np.ndarray, high: np.ndarray, f
 def usable(vectors: DataFrame) -> DataFrame:
     """id, x: the rows that take part; single precision stays, as it takes half the place."""
     x = F.col("embedding").cast("array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>")
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
+    # a null is not known to be less, and NaN is greater
+    fine = F.forall(x, lambda v: F.abs(v) < float("inf")) & F.exists(x, lambda v: v != 0)
     return vectors.select(F.col("vec_id").cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & fine)
 
 

@@ -186,7 +186,7 @@ def test_block_finds_what_the_definition_does(monkeypatch, scale, tile, checked)
 def test_copies_and_far_rows_are_not_verified_one_by_one(monkeypatch):
     rng, k, seen = np.random.default_rng(7), 20, []
     add = neighbours.Asked.add
-    monkeypatch.setattr(neighbours.Asked, "add", lambda self, q, ids, x: (seen.append(len(q)), add(self, q, ids, x))[1])
+    monkeypatch.setattr(neighbours.Asked, "add", lambda self, q, *rest: (seen.append(len(q)), add(self, q, *rest))[1])
     for n in (2_000, 8_000):
         x = rng.standard_normal((n, 64))
         x[n // 2 :] = x[0]  # half of the rows are one vector
