@@ -41,7 +41,7 @@ SEED = 12
 #: Most rows of a block, most queries that one copy of a block serves, points of a leaf; most components of either in a task.
 ROWS, ASKED, LEAF, VALUES = 65_536, 65_536, 64, 1 << 22
 #: A block has `FEW` rows until there are `BLOCKS` blocks. Groups of blocks that queries travel to.
-FEW, BLOCKS, GROUPS = 8_192, 64, 24
+FEW, BLOCKS, GROUPS = 8_192, 64, 12
 #: Queries that open leaves together, products made at once, candidates that are gathered, and verified at once.
 SLAB, TILE, CHECKED, CACHED = 1_024, 1 << 19, 1 << 16, 1 << 11
 #: Most rows whose projections make the split values of the coarse tree, and its most cells.
