@@ -41,6 +41,26 @@ def score_pair(a: str, b: str) -> tuple[float, float]:
     return letters, GAP_OPEN * (opened - half / 2)
 
 
+def scores_beside(row: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """What `score_pair` gives, letters and gaps in one, of a row with each of several; all as code points."""
+    x, y = _AT[np.minimum(row, 255)], _AT[np.minimum(rows, 255)]
+    gap_x, gap_y = (row == 45) | (row == 46), (rows == 45) | (rows == 46)
+    score = _TABLE.ravel()[x * 5 + y].sum(axis=1)
+    any_ = ~(gap_x & gap_y)
+    some = any_.any(axis=1)
+    if not some.any():
+        return score
+    both, here = ~(gap_x | gap_y), np.arange(len(rows))
+    opened = -0.5 * sum((gap_x[at] | gap_y[here, at]) & some for at in (any_.argmax(axis=1), len(row) - 1 - any_[:, ::-1].argmax(axis=1)))
+    for gap in (gap_x & ~gap_y, gap_y & ~gap_x):  # of what is this gap or letters in both rows, a gap behind letters opens
+        seen = gap | both
+        of, at = np.nonzero(seen)
+        now = gap[of, at]
+        first = now & np.append(True, ~now[:-1] | (of[1:] != of[:-1]))
+        opened = opened + np.bincount(of[first], minlength=len(rows))
+    return score + GAP_OPEN * opened
+
+
 def pair_scores(rows: DataFrame, group: str = "set_id", between: Column | None = None) -> DataFrame:
     """group, a, b (b < a), letters, gaps of the pairs of a group's rows (group, seq_id, seq); `between`: a condition on a and b. One pair a row."""
 
