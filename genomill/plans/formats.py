@@ -172,6 +172,6 @@ def bed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths from rows of alignments: a gap is a step in a alone, a letter a step in b alone."""
     path = F.translate("seq", "-NACGT", "DIIIII")
-    e = aln(spark, sf_dir).select("seq_id", R.path_edges(path).alias("e"))
-    last = F.element_at("e", -1)
-    return e.select("seq_id", F.size("e").alias("n_edges"), last["pa"].alias("pa"), last["pb"].alias("pb"))
+    e = R.edges_of(aln(spark, sf_dir).select("seq_id", path.alias("path")), "path", "seq_id")
+    last = lambda c: F.coalesce(F.try_element_at("edges", F.lit(-1))[c], F.lit(0)).alias(c)
+    return e.select("seq_id", F.size("edges").alias("n_edges"), last("pa"), last("pb"))

@@ -6,13 +6,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from genomill.operators.tallies import text_of
+
 
 def expand_inputs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, stem: folders give their files, .txt manifests one path a line, other files themselves."""
@@ -162,15 +167,43 @@ def newick_rows(texts: DataFrame, text: str, key: str) -> DataFrame:
     return texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"key {kind}, node long, parent long, name string, edge_len double").withColumnRenamed("key", key)
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("op", StringType()), StructField("pa", IntegerType()), StructField("pb", IntegerType())])))
-def path_edges(path: pd.Series) -> pd.Series:
-    """A path string of M, D, I as (op, prefix in a, prefix in b), in time that grows with its length."""
+EDGES = ArrayType(StructType([StructField("op", StringType()), StructField("pa", IntegerType()), StructField("pb", IntegerType())]))
+#: Edges made at once, some 17 bytes each, beside those of the last path.
+SENT = 1 << 20
+
+
+def _edges(paths: pa.Array) -> pa.ListArray:
+    """The edges of each path as one run of numbers, null where the path is null."""
+    ops, at = text_of(paths)
+    sums = []
+    for own in (b"MD", b"MI"):
+        total = np.cumsum(np.isin(ops, list(own)), dtype=np.int64)
+        before = np.append(0, total)[at[:-1]]
+        sums.append(pa.array((total - np.repeat(before, np.diff(at))).astype(np.int32)))
+    letters = pa.StringArray.from_buffers(len(ops), pa.py_buffer(np.arange(len(ops) + 1, dtype=np.int32)), pa.py_buffer(ops.tobytes()))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([letters, *sums], names=["op", "pa", "pb"]), mask=paths.is_null())
+
+
+@F.arrow_udf(EDGES)
+def path_edges(path: pa.Array) -> pa.Array:
+    """A path string of M, D, I as (op, prefix in a, prefix in b), in time that grows with its length. All edges of a batch are held; `edges_of` holds a part."""
+    return _edges(path)
+
+
+def edge_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """keep.., edges: the rows of each batch in parts of some `SENT` edges."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(path)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(batch):
+            done = ends[first - 1] if first else 0
+            last = max(int(np.searchsorted(ends, done + SENT, "right")), first + 1)
+            rows = batch.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), _edges(rows.column(path))], names=[*keep, "edges"])
+            first = last
 
-    def edges(text: str | None) -> list | None:
-        if text is None:
-            return None
-        at = np.frombuffer(text.encode(), np.uint8)
-        pa, pb = (np.cumsum(np.isin(at, list(ops))).tolist() for ops in (b"MD", b"MI"))
-        return list(zip(text, pa, pb, strict=True))
 
-    return path.map(edges)
+def edges_of(paths: DataFrame, path: str, *keep: str) -> DataFrame:
+    """keep.., edges: `path_edges` of every row. A task holds some `SENT` edges at once however many rows a batch has."""
+    kinds = "".join(f"{c} {paths.schema[c].dataType.simpleString()}, " for c in keep)
+    return paths.select(*keep, path).mapInArrow(lambda batches: edge_batches(batches, path, list(keep)), f"{kinds}edges {EDGES.simpleString()}")

@@ -85,3 +85,20 @@ def test_groups_go_on_behind_a_batch():
     schema = pa.schema([("k", pa.int64()), ("v", pa.int64())])
     assert [g.column("v").to_pylist() for g in groups_of((b.cast(schema) for b in batches), ["k"])] == [[1, 1], [2, 2, 2], [3], [4, 4]]
     assert list(groups_of(iter([]), ["k"])) == []
+
+
+def test_edges_of_many_paths_are_made_in_parts(spark):
+    import pyarrow as pa
+
+    from genomill.sources import formats
+
+    rng = random.Random(4)
+    paths = ["".join(rng.choices("MDI", k=rng.choice([0, 1, 700, 900]))) for _ in range(4000)] + [None]
+    rows = spark.createDataFrame(list(enumerate(paths)), "i long, p string").coalesce(1)
+    got = {r.i: r.edges for r in formats.edges_of(rows, "p", "i").collect()}
+    assert got[4000] is None and len(got) == 4001
+    for i in range(0, 4000, 50):
+        assert [tuple(e) for e in got[i]] == [(c, sum(x in "MD" for x in paths[i][: k + 1]), sum(x in "MI" for x in paths[i][: k + 1])) for k, c in enumerate(paths[i])]
+    table = pa.RecordBatch.from_pydict({"i": list(range(4001)), "p": paths})
+    sent = [len(pa.concat_arrays([b.column("edges")]).flatten()) for b in formats.edge_batches(iter([table]), "p", ["i"])]
+    assert sum(sent) == sum(len(p or "") for p in paths) and max(sent) <= formats.SENT < sum(sent)
