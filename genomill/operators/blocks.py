@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genomill.operators.extension import align_gap
+from genomill.operators.dp import together
+from genomill.operators.extension import filling
 from genomill.operators.frontier import pieces, recursive_matches
 from genomill.operators.maximal import collinear
 from genomill.sources.scratch import spread, stash
 
+#: Gaps that a task gives back at once.
+SENT = 256
+
 
 def chains(anchors: DataFrame) -> DataFrame:
     """set_id, nth, starts, length: of a set's anchors those of most symbols that follow each other in every genome, in order. Only numbers are gathered, no sequences."""
@@ -36,9 +40,23 @@ def gaps(chain: DataFrame, genomes: DataFrame) -> DataFrame:
 
 
 def _aligning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The gaps of a batch are aligned side by side and given back as they are done, `SENT` at once."""
     for batch in batches:
-        rows = [[r.upper() for r in align_gap([p.decode() for p in parts.as_py()])] for parts in batch.column("pieces")]
-        yield pa.RecordBatch.from_arrays([batch.column("set_id"), batch.column("starts"), batch.column("ends"), pa.array(rows, pa.list_(pa.string()))], names=["set_id", "starts", "ends", "rows"])
+        parts = batch.column("pieces")
+        works = ((sum(map(len, p)), filling(p)) for p in ([x.decode() for x in row] for row in (parts[i].as_py() for i in range(len(batch)))))
+        done: list[tuple[int, list[str]]] = []
+
+        def sent(done: list[tuple[int, list[str]]] = done, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+            own = batch.select(["set_id", "starts", "ends"]).take(pa.array([i for i, _ in done], pa.int64()))
+            rows = pa.array([[r.upper() for r in rows] for _, rows in done], pa.list_(pa.string()))
+            done.clear()
+            return pa.RecordBatch.from_arrays([*own.columns, rows], names=["set_id", "starts", "ends", "rows"])
+
+        for x in together(works):
+            done.append(x)
+            if len(done) == SENT:
+                yield sent()
+        yield sent()
 
 
 def anchored_alignment(genomes: DataFrame, factor: float = 0.6, shortest: int = 5) -> DataFrame:

@@ -102,3 +102,18 @@ def test_edges_of_many_paths_are_made_in_parts(spark):
     table = pa.RecordBatch.from_pydict({"i": list(range(4001)), "p": paths})
     sent = [len(pa.concat_arrays([b.column("edges")]).flatten()) for b in formats.edge_batches(iter([table]), "p", ["i"])]
     assert sum(sent) == sum(len(p or "") for p in paths) and max(sent) <= formats.SENT < sum(sent)
+
+
+def test_gaps_of_a_batch_share_their_calls(monkeypatch):
+    import pyarrow as pa
+
+    from genomill.operators.blocks import _aligning
+    from genomill.operators.extension import align_gap
+
+    rng, calls, own = random.Random(7), [], D._side_by_side
+    monkeypatch.setattr(D, "_side_by_side", lambda pairs: calls.append(len(pairs)) or own(pairs))
+    pieces = [["".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, 20, 30]))) for _ in range(3)] for _ in range(600)]
+    batch = pa.RecordBatch.from_pydict({"set_id": list(range(600)), "starts": [[0] * 3] * 600, "ends": [[1] * 3] * 600, "pieces": [[s.encode() for s in p] for p in pieces]})
+    got = {r["set_id"]: r["rows"] for b in _aligning(iter([batch])) for r in b.to_pylist()}
+    assert len(calls) * 20 < sum(calls)
+    assert got == {i: align_gap(p) for i, p in enumerate(pieces)}
