@@ -117,3 +117,40 @@ def test_gaps_of_a_batch_share_their_calls(monkeypatch):
     got = {r["set_id"]: r["rows"] for b in _aligning(iter([batch])) for r in b.to_pylist()}
     assert len(calls) * 20 < sum(calls)
     assert got == {i: align_gap(p) for i, p in enumerate(pieces)}
+
+
+def test_regions_searched_in_one_give_their_own_matches():
+    from genomill.operators import exact as X
+
+    rng = random.Random(5)
+    for n, k, alphabet in ((2, 3, "ACGT"), (3, 4, "ACN"), (2, 5, "A"), (4, 3, "AC"), (2, 28, "ACGT"), (2, 40, "ACGT")):
+        regions = []
+        for _ in range(120):
+            base = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 2, 5, 40, 90])))
+            regions.append(["".join(c if rng.random() > 0.05 else rng.choice(alphabet) for c in base) + base[: rng.choice([0, 9])] for _ in range(n)])
+        sizes = np.array([[len(s) for s in r] for r in regions])
+        starts = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
+        data = X.codes_of("".join(s for r in regions for s in r))
+        got = [[] for _ in regions]
+        for lot in X.regions_beside(sizes.sum(axis=1), k):
+            for i, at, length in zip(*(x.tolist() for x in X.matches_beside(data, starts[lot], sizes[lot], k)), strict=True):
+                got[lot[i]].append((tuple(at), length))
+        assert got == [X.unique_matches(r, k) for r in regions], (n, k)
+        assert n == 4 or alphabet == "A" or k > 20 or any(got)
+
+
+def test_regions_of_a_batch_share_their_calls(spark, monkeypatch):
+    import pyarrow as pa
+
+    from genomill.operators import frontier as R
+    from genomill.operators.exact import unique_matches
+
+    rng, calls, own = random.Random(6), [], R.matches_beside
+    monkeypatch.setattr(R, "matches_beside", lambda *x: calls.append(1) or own(*x))
+    pieces = [["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(2)] for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"set_id": list(range(500)), "starts": [[7, 9]] * 500, "ends": [[67, 69]] * 500, "least": [4] * 500, "pieces": [[s.encode() for s in p] for p in pieces]})
+    got = {r["set_id"]: r for b in R._matching(2)(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()}
+    assert len(calls) == 2
+    for i, p in enumerate(pieces):
+        raw = [{"starts": [7 + a, 9 + b], "length": n} for (a, b), n in unique_matches(p, 4)]
+        assert (got[i]["raw"], got[i]["own"]) == (raw, R._kept(raw, [], [7, 9], [67, 69], 2)) if raw else i not in got
