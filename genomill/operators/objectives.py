@@ -43,7 +43,7 @@ def score_pair(a: str, b: str) -> tuple[float, float]:
 
 def scores_beside(row: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """What `score_pair` gives, letters and gaps in one, of a row with each of several; all as code points."""
-    x, y = _AT[np.minimum(row, 255)], _AT[np.minimum(rows, 255)]
+    x, y = (_AT[np.minimum(r, 255)] for r in (row, rows))
     gap_x, gap_y = (row == 45) | (row == 46), (rows == 45) | (rows == 46)
     score = _TABLE.ravel()[x * 5 + y].sum(axis=1)
     any_ = ~(gap_x & gap_y)
@@ -54,10 +54,14 @@ def scores_beside(row: np.ndarray, rows: np.ndarray) -> np.ndarray:
     opened = -0.5 * sum((gap_x[at] | gap_y[here, at]) & some for at in (any_.argmax(axis=1), len(row) - 1 - any_[:, ::-1].argmax(axis=1)))
     for gap in (gap_x & ~gap_y, gap_y & ~gap_x):  # of what is this gap or letters in both rows, a gap behind letters opens
         seen = gap | both
-        of, at = np.nonzero(seen)
-        now = gap[of, at]
-        first = now & np.append(True, ~now[:-1] | (of[1:] != of[:-1]))
-        opened = opened + np.bincount(of[first], minlength=len(rows))
+        now, n = gap[seen], seen.sum(axis=1)
+        ends = np.cumsum(n)
+        begin = (ends - n)[n > 0]
+        first = now.copy()
+        first[1:] &= ~now[:-1]
+        first[begin] = now[begin]
+        total = np.append(0, np.cumsum(first))
+        opened = opened + total[ends] - total[ends - n]
     return score + GAP_OPEN * opened
 
 

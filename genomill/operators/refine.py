@@ -28,7 +28,7 @@ def bare_columns(rows: list[str]) -> list[str]:
 
 def cross_score(rows: list[str], one: list[int], two: list[int], weights: np.ndarray) -> float:
     """Weighted score of all pairs between two groups of rows. What a cut can change is only this part of the sum over all pairs."""
-    codes = letters(rows)
+    codes = np.minimum(letters(rows), 255).astype(np.uint8)
     return float(sum(weights[i] * (weights[two] * scores_beside(codes[i], codes[two])).sum() for i in one))
 
 
